@@ -60,7 +60,7 @@ def money_text(c: str | Column) -> Column:
 
 def safe_iso_date(c: str | Column) -> Column:
     """ISO text to date; anything else becomes null instead of an ANSI error."""
-    return F.try_to_date(col(c), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(col(c), "yyyy-MM-dd")
 
 
 def blank_to_null(c: str | Column) -> Column:

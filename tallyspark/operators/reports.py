@@ -401,3 +401,33 @@ def restock_export(restocks: DataFrame) -> DataFrame:
         F.date_format("restock_date", "yyyy-MM-dd").alias("restock_date"),
         F.when(flag, F.lit("Yes")).when(~flag, F.lit("No")).alias("updated_buy_price"),
     )
+
+
+def coerce_products(rows: DataFrame) -> DataFrame:
+    """Numeric text to numbers; unparsable or empty → 0."""
+    from ..functions.expr import coerce_money
+
+    def as_int(c: str) -> Column:
+        return F.coalesce(F.trim(F.col(c)).try_cast("int"), F.lit(0))
+
+    return rows.select(
+        "shop_id",
+        "seq",
+        "name",
+        to_double(coerce_money("buy_price")).alias("buy_price"),
+        to_double(coerce_money("sell_price")).alias("sell_price"),
+        as_int("stock_quantity").alias("stock_quantity"),
+        as_int("low_stock_threshold").alias("low_stock_threshold"),
+    )
+
+
+def clean_customer_input(requests: DataFrame) -> DataFrame:
+    """Trimmed names and phones, blank → null."""
+    from ..functions.expr import blank_to_null
+
+    return requests.select(
+        "shop_id",
+        "seq",
+        blank_to_null("customer_name").alias("customer_name"),
+        blank_to_null("phone").alias("phone"),
+    )

@@ -169,6 +169,14 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"conv_id % {SHOP_COUNT} AS shop_id, text AS question FROM conversations WHERE role = 'user'",
         ("t_shops",),
     ),
+    "t_product_text": (
+        "SELECT shop_id, seq, name, CASE WHEN seq % 7 = 0 THEN 'n/a' ELSE CAST(buy_price AS VARCHAR) END AS buy_price, "
+        "CASE WHEN seq % 5 = 0 THEN '' ELSE CAST(sell_price AS VARCHAR) END AS sell_price, "
+        "CASE WHEN seq % 3 = 0 THEN ' 12 ' ELSE CAST(stock_quantity AS VARCHAR) END AS stock_quantity, "
+        "CASE WHEN seq % 8 = 0 THEN 'x' ELSE CAST(low_stock_threshold AS VARCHAR) END AS low_stock_threshold "
+        "FROM t_product_requests",
+        ("t_product_requests",),
+    ),
 }
 
 

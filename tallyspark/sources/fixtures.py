@@ -357,3 +357,18 @@ def questions(t: DriverTables) -> DataFrame:
         F.col("text").alias("question"),
     )
     return fixed.unionByName(conv)
+
+
+def product_text_rows(t: DriverTables) -> DataFrame:
+    """The insert batch as it arrives from a text source (P14): numbers as text, some junk."""
+    r = product_requests(t)
+    k = F.col("seq")
+    return r.select(
+        "shop_id",
+        "seq",
+        "name",
+        F.when(k % 7 == 0, F.lit("n/a")).otherwise(F.col("buy_price").cast("string")).alias("buy_price"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.col("sell_price").cast("string")).alias("sell_price"),
+        F.when(k % 3 == 0, F.lit(" 12 ")).otherwise(F.col("stock_quantity").cast("string")).alias("stock_quantity"),
+        F.when(k % 8 == 0, F.lit("x")).otherwise(F.col("low_stock_threshold").cast("string")).alias("low_stock_threshold"),
+    )
