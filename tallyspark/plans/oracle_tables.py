@@ -15,6 +15,7 @@ from ..sources.fixtures import (
     RESTOCK_PRICE_RATIO,
     SHOP_COUNT,
     TODAY,
+    CLOSED_SEGMENT,
 )
 
 T = f"DATE '{TODAY.isoformat()}'"
@@ -177,10 +178,14 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         "FROM t_product_requests",
         ("t_product_requests",),
     ),
+    "t_customer_deletes": (
+        f"SELECT CAST(c_nationkey AS BIGINT) AS shop_id, c_custkey AS id FROM customer WHERE c_mktsegment = '{CLOSED_SEGMENT}'",
+        (),
+    ),
 }
 
 
-def with_tables(body: str, *names: str) -> str:
+def with_tables(body: str, *names: str, recursive: bool = False) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -194,4 +199,4 @@ def with_tables(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body

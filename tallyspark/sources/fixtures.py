@@ -372,3 +372,13 @@ def product_text_rows(t: DriverTables) -> DataFrame:
         F.when(k % 3 == 0, F.lit(" 12 ")).otherwise(F.col("stock_quantity").cast("string")).alias("stock_quantity"),
         F.when(k % 8 == 0, F.lit("x")).otherwise(F.col("low_stock_threshold").cast("string")).alias("low_stock_threshold"),
     )
+
+
+CLOSED_SEGMENT = "HOUSEHOLD"
+
+
+def customer_deletes(t: DriverTables) -> DataFrame:
+    """Customer delete batch for M3b: every customer of one market segment."""
+    return t.customer.where(F.col("c_mktsegment") == CLOSED_SEGMENT).select(
+        F.col("c_nationkey").cast("long").alias("shop_id"), F.col("c_custkey").alias("id")
+    )
