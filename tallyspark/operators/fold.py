@@ -127,8 +127,13 @@ def greedy_fold(
         + [StructField("accepted", BooleanType(), False), StructField("level_after", LongType(), True)]
         + ([StructField("mark_at", LongType(), True)] if mark else [])
     )
+    # The fold needs every row of a key in one task, in order.  Shuffle on a
+    # derived hash, not on the bare keys: a repartition on the keys is
+    # dropped as redundant after the key join above, and once AQE turns that
+    # join into a broadcast join its local shuffle reader hands each task one
+    # mapper's output, splitting keys across tasks.
     folded = (
-        hard.repartition(*key_cols)
+        hard.repartition(F.xxhash64(*key_cols))
         .sortWithinPartitions(*key_cols, *order_cols)
         .mapInPandas(_stream_fold(key_cols, mark), out_schema)
     )

@@ -400,7 +400,7 @@ def apply_restocks_stock(t):
         "CASE WHEN w.ok THEN 'accepted' ELSE 'rejected' END AS status, "
         "CASE WHEN w.ok THEN '' ELSE 'insufficient_stock' END AS reason, "
         "CASE WHEN w.ok THEN CAST(s.sell_price * s.q AS DOUBLE) END AS revenue, "
-        "CASE WHEN w.ok THEN CAST((s.sell_price - CAST(w.mk AS DECIMAL(20,0)) / 100) * s.q AS DOUBLE) END AS profit "
+        "CASE WHEN w.ok THEN CAST((s.sell_price - CAST(w.mk AS DECIMAL(18,0)) * 0.01) * s.q AS DOUBLE) END AS profit "
         "FROM seqd s JOIN walk w ON w.shop_id = s.shop_id AND w.product_id = s.product_id AND w.rn = s.rn "
         "WHERE s.kind = 1 UNION ALL SELECT shop_id, id, product_id, quantity, command_date, 'rejected', "
         "concat_ws(';', CASE WHEN coalesce(quantity, 0) <= 0 THEN 'quantity_not_positive' END, "
