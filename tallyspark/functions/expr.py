@@ -54,8 +54,12 @@ def py_round1(c: str | Column) -> Column:
 
 
 def money_text(c: str | Column) -> Column:
-    """``1,234.50 MAD`` (thousands separator, 2 decimals)."""
-    return F.concat(F.format_number(money(c), 2), F.lit(CURRENCY_SUFFIX))
+    """``1,234.50 MAD`` (thousands separator, 2 decimals).
+
+    Formats the value at its own precision: per-shop sums are wider than
+    ``decimal(12,2)`` and would overflow a narrowing cast.
+    """
+    return F.concat(F.format_number(col(c), 2), F.lit(CURRENCY_SUFFIX))
 
 
 def safe_iso_date(c: str | Column) -> Column:

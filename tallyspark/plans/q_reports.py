@@ -36,7 +36,7 @@ def top_selling_products(t):
     return R.top_selling_products(fx.sales(t), 10)
 
 
-RECO_SQL = with_tables(
+RECO_BODY = (
     f"""
     SELECT shop_id, product_id, name, category, stock_quantity, low_stock_threshold, units_sold_7d,
            round(avg_raw, 2) AS average_daily_sales,
@@ -59,10 +59,9 @@ RECO_SQL = with_tables(
       ) a
     ) b
     WHERE low OR soon
-    """,
-    "t_products",
-    "t_sales",
+    """
 )
+RECO_SQL = with_tables(RECO_BODY, "t_products", "t_sales")
 
 
 @query("restock_recommendations", RECO_SQL)
