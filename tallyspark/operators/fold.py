@@ -12,7 +12,7 @@ Plan:
    to take fits in the opening level, every take is accepted and order does
    not matter.  Most keys end here, as a partial aggregation + join.
 2. Contended keys only: hash-partition by key, sort within partitions by
-   ``(key, order)`` and stream the rows through ``mapInPandas``.  The Python
+   ``(key, order)`` and stream the rows through ``mapInArrow``.  The Python
    side keeps the state of the *current* key only and walks Arrow batches,
    so memory is bounded by the batch size, never by the size of a group;
    nothing is collected into an array, a task or the driver.
@@ -26,8 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -36,40 +35,48 @@ ADD = 0
 TAKE = 1
 
 
-def _stream_fold(
-    key_cols: list[str], has_mark: bool
-):  # returns the per-partition function for mapInPandas
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev_key: tuple | None = None
+HELPERS = ("_opening", "_opening_mark", "_mark")
+
+
+def _stream_fold(key_cols: list[str], has_mark: bool):
+    """Per-partition function for ``mapInArrow``.
+
+    Rows arrive sorted by key and order.  Only the state of the current key
+    is kept (it carries over batch boundaries); columns that pass through
+    unchanged stay Arrow arrays, only the few fold inputs become Python lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev_key: object = None
         level = 0
         mark = None
-        for pdf in batches:
-            n = len(pdf)
+        for batch in batches:
+            n = batch.num_rows
             if n == 0:
                 continue
-            keys = list(zip(*(pdf[c].to_numpy() for c in key_cols)))
-            kinds = pdf["_kind"].to_numpy()
-            amounts = pdf["_amount"].to_numpy()
-            openings = pdf["_opening"].to_numpy()
-            marks_in = pdf["_mark"].to_numpy() if has_mark else None
-            open_marks = pdf["_opening_mark"].to_numpy() if has_mark else None
-            accepted = np.zeros(n, dtype=bool)
-            after = np.zeros(n, dtype=np.int64)
-            mark_at = np.empty(n, dtype=object) if has_mark else None
+            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            key_lists = [cols[c].to_pylist() for c in key_cols]
+            keys = key_lists[0] if len(key_lists) == 1 else list(zip(*key_lists))
+            kinds = cols["_kind"].to_pylist()
+            amounts = cols["_amount"].to_pylist()
+            openings = cols["_opening"].to_pylist()
+            marks_in = cols["_mark"].to_pylist() if has_mark else None
+            open_marks = cols["_opening_mark"].to_pylist() if has_mark else None
+            accepted = [False] * n
+            after = [0] * n
+            mark_at = [None] * n if has_mark else None
             for i in range(n):
                 k = keys[i]
                 if k != prev_key:
                     prev_key = k
-                    level = int(openings[i])
+                    level = openings[i]
                     if has_mark:
-                        m0 = open_marks[i]
-                        mark = None if pd.isna(m0) else int(m0)
+                        mark = open_marks[i]
                 if has_mark:
-                    m = marks_in[i]
-                    if not pd.isna(m):
-                        mark = int(m)
+                    if marks_in[i] is not None:
+                        mark = marks_in[i]
                     mark_at[i] = mark
-                a = int(amounts[i])
+                a = amounts[i]
                 if kinds[i] == ADD:
                     level += a
                     accepted[i] = True
@@ -77,12 +84,14 @@ def _stream_fold(
                     level -= a
                     accepted[i] = True
                 after[i] = level
-            out = pdf.drop(columns=[c for c in ("_opening", "_opening_mark", "_mark") if c in pdf.columns])
-            out["accepted"] = accepted
-            out["level_after"] = after
+            names = [c for c in batch.schema.names if c not in HELPERS]
+            arrays = [cols[c] for c in names]
+            names += ["accepted", "level_after"]
+            arrays += [pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())]
             if has_mark:
-                out["mark_at"] = pd.array(mark_at, dtype="Int64")
-            yield out
+                names.append("mark_at")
+                arrays.append(pa.array(mark_at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
@@ -121,7 +130,7 @@ def greedy_fold(
     )
 
     hard = flagged.where(F.col("_contended")).drop("_contended")
-    fields = [f for f in hard.schema.fields if f.name not in ("_opening", "_opening_mark", "_mark")]
+    fields = [f for f in hard.schema.fields if f.name not in HELPERS]
     out_schema = StructType(
         fields
         + [StructField("accepted", BooleanType(), False), StructField("level_after", LongType(), True)]
@@ -135,6 +144,6 @@ def greedy_fold(
     folded = (
         hard.repartition(F.xxhash64(*key_cols))
         .sortWithinPartitions(*key_cols, *order_cols)
-        .mapInPandas(_stream_fold(key_cols, mark), out_schema)
+        .mapInArrow(_stream_fold(key_cols, mark), out_schema)
     )
     return easy.unionByName(folded)

@@ -16,6 +16,7 @@ from ..sources.fixtures import (
     SHOP_COUNT,
     TODAY,
     CLOSED_SEGMENT,
+    DEMO_DAYS,
 )
 
 T = f"DATE '{TODAY.isoformat()}'"
@@ -178,6 +179,18 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         "FROM t_product_requests",
         ("t_product_requests",),
     ),
+    "t_daily_ranges": (
+        f"SELECT p_partkey % {SHOP_COUNT} AS shop_id, p_partkey AS product_id, CAST(p_size % 4 AS INTEGER) AS min_units, "
+        "CAST(p_size % 4 + p_partkey % 9 AS INTEGER) AS max_units FROM part",
+        (),
+    ),
+    "t_demo_debts": (
+        "SELECT CAST(c_nationkey AS BIGINT) AS shop_id, o_orderkey AS id, c_name AS customer_name, "
+        "CASE WHEN o_orderstatus IN ('F', 'P') THEN 'debt' ELSE 'payment' END AS transaction_type, "
+        f"CAST(o_totalprice AS {MONEY}) AS amount, o_orderpriority AS note, "
+        f"CAST(o_orderkey % {DEMO_DAYS} AS INTEGER) AS days_ago FROM orders JOIN customer ON o_custkey = c_custkey",
+        (),
+    ),
     "t_customer_deletes": (
         f"SELECT CAST(c_nationkey AS BIGINT) AS shop_id, c_custkey AS id FROM customer WHERE c_mktsegment = '{CLOSED_SEGMENT}'",
         (),

@@ -382,3 +382,32 @@ def customer_deletes(t: DriverTables) -> DataFrame:
     return t.customer.where(F.col("c_mktsegment") == CLOSED_SEGMENT).select(
         F.col("c_nationkey").cast("long").alias("shop_id"), F.col("c_custkey").alias("id")
     )
+
+
+def product_daily_ranges(t: DriverTables) -> DataFrame:
+    """G1 input: each product's daily unit range (min from the size, width from the key)."""
+    low = F.col("p_size") % 4
+    return t.part.select(
+        (F.col("p_partkey") % SHOP_COUNT).alias("shop_id"),
+        F.col("p_partkey").alias("product_id"),
+        low.cast("int").alias("min_units"),
+        (low + F.col("p_partkey") % 9).cast("int").alias("max_units"),
+    )
+
+
+DEMO_DAYS = 30
+
+
+def demo_debt_rows(t: DriverTables) -> DataFrame:
+    """G2 input: debt rows written by customer name with a "days ago" offset."""
+    o, c = t.orders, t.customer.select("c_custkey", "c_name", "c_nationkey")
+    kind = F.when(F.col("o_orderstatus").isin("F", "P"), F.lit("debt")).otherwise(F.lit("payment"))
+    return o.join(c, o.o_custkey == c.c_custkey, "inner").select(
+        F.col("c_nationkey").cast("long").alias("shop_id"),
+        F.col("o_orderkey").alias("id"),
+        F.col("c_name").alias("customer_name"),
+        kind.alias("transaction_type"),
+        money("o_totalprice").alias("amount"),
+        F.col("o_orderpriority").alias("note"),
+        (F.col("o_orderkey") % DEMO_DAYS).cast("int").alias("days_ago"),
+    )

@@ -157,3 +157,16 @@ def test_answers_text_and_empty_variants(spark):
 def test_week_starts_monday():
     assert R.week_start(date(1998, 6, 12)) == date(1998, 6, 8)
     assert R.week_start(date(1998, 6, 8)) == date(1998, 6, 8)
+
+
+def test_generator_weekend_boost_and_skips(spark):
+    from tallyspark.operators import generate as G
+
+    p = products_df(spark, [(1, 1, "Ten", "c", 1, 2, 5, 1), (1, 2, "Zero", "c", 1, 2, 5, 1)])
+    ranges = spark.createDataFrame([(1, 1, 10, 10), (1, 2, 0, 0)], "shop_id long, product_id long, min_units int, max_units int")
+    rows = G.generate_sales(p, ranges, TODAY).collect()
+    assert {r.product_id for r in rows} == {1} and len(rows) == G.HISTORY_DAYS
+    by_day = {r.sale_date: r.quantity for r in rows}
+    assert by_day[date(1998, 6, 13 - 7)] == 12  # Saturday: round(11.5) = 12
+    assert by_day[date(1998, 6, 12)] == 10
+    assert all(r.revenue == 2.0 * r.quantity and r.profit == 1.0 * r.quantity for r in rows)
