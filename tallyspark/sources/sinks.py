@@ -1,8 +1,9 @@
 """Sinks: CSV export (S9) and versioned snapshot tables.
 
 Snapshots are never overwritten in place: each batch writes a new version
-folder and then replaces a small pointer file, so a failed job leaves the
-previous version intact and readers never see half a table.  All folders
+folder and then commits it by creating the next numbered pointer file, so a
+failed job leaves the previous version intact and readers never see half a
+table.  All folders
 live under shared storage (the cluster's ``spark.checkpoint.dir`` by default),
 never on an executor's local disk.
 """
@@ -59,19 +60,40 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(conf), p, jvm
 
 
-def current_version(spark: SparkSession, table_dir: str) -> str | None:
+POINTERS = "_pointers"
+
+
+def _pointer_dir(spark: SparkSession, table_dir: str):
     fs, _, jvm = _fs(spark, table_dir)
-    ptr = jvm.org.apache.hadoop.fs.Path(f"{table_dir.rstrip('/')}/_CURRENT")
-    if not fs.exists(ptr):
+    return fs, jvm, jvm.org.apache.hadoop.fs.Path(f"{table_dir.rstrip('/')}/{POINTERS}")
+
+
+def snapshot_meta(spark: SparkSession, table_dir: str) -> dict | None:
+    """Metadata of the current version: ``{"seq", "version", ...}`` or ``None``.
+
+    Pointers are small JSON files named by a zero-padded sequence number; the
+    highest one is current.  Committing a version only ever *creates* a file,
+    so a reader sees the old or the new version, never neither.
+    """
+    fs, jvm, pdir = _pointer_dir(spark, table_dir)
+    if not fs.exists(pdir):
         return None
-    stream = fs.open(ptr)
+    names = sorted(st.getPath().getName() for st in fs.listStatus(pdir) if st.getPath().getName().endswith(".json"))
+    if not names:
+        return None
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(pdir, names[-1]))
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())["version"]
+        return json.loads(reader.readLine())
     finally:
         stream.close()
 
 
+def current_version(spark: SparkSession, table_dir: str) -> str | None:
+    meta = snapshot_meta(spark, table_dir)
+    return None if meta is None else meta["version"]
+
+
 def read_snapshot(spark: SparkSession, table_dir: str, schema: StructType) -> DataFrame:
     """The current version of a snapshot table (empty when none was written)."""
     v = current_version(spark, table_dir)
@@ -80,20 +102,27 @@ def read_snapshot(spark: SparkSession, table_dir: str, schema: StructType) -> Da
     return spark.read.schema(schema).parquet(f"{table_dir.rstrip('/')}/{v}")
 
 
-def write_snapshot(spark: SparkSession, df: DataFrame, table_dir: str) -> str:
-    """Write ``df`` as a new version, then atomically repoint ``_CURRENT`` to it."""
+def write_snapshot(spark: SparkSession, df: DataFrame, table_dir: str, meta: dict | None = None) -> str:
+    """Write ``df`` as a new version folder, then commit it with a new pointer.
+
+    The pointer is written under a temporary name and renamed to the next
+    sequence number; if another writer took that number first the rename
+    fails and this commit raises instead of silently overwriting.
+    """
     version = f"v-{uuid.uuid4().hex}"
     base = table_dir.rstrip("/")
     df.write.mode("error").parquet(f"{base}/{version}")
-    fs, _, jvm = _fs(spark, base)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT.{version}.tmp")
-    out = fs.create(tmp, True)
+    prev = snapshot_meta(spark, base)
+    seq = 1 if prev is None else int(prev["seq"]) + 1
+    body = {**(meta or {}), "seq": seq, "version": version}
+    fs, jvm, pdir = _pointer_dir(spark, base)
+    fs.mkdirs(pdir)
+    tmp = jvm.org.apache.hadoop.fs.Path(pdir, f".{version}.tmp")
+    out = fs.create(tmp, False)
     try:
-        out.write(bytearray(json.dumps({"version": version}) + "\n", "utf-8"))
+        out.write(bytearray(json.dumps(body) + "\n", "utf-8"))
     finally:
         out.close()
-    final = jvm.org.apache.hadoop.fs.Path(f"{base}/_CURRENT")
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(tmp, final)
+    if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(pdir, f"{seq:020d}.json")):
+        raise RuntimeError(f"snapshot commit {seq} of {base} lost to a concurrent writer")
     return version
