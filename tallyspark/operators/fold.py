@@ -4,18 +4,22 @@ State per key is a non-negative *level* (units in stock, or cents owed).
 Each command either ``add``s to it (restock, new debt) or tries to ``take``
 from it (sale, payment): a take is accepted only when it fits, and a
 rejected take changes nothing.  Because of that, a running ``sum() OVER`` is
-wrong; the commands of a key have to be applied in order.
+wrong; the commands of a key have to be applied in order.  Commands that
+failed validation travel along as ``skip``: rejected, state unchanged.
 
-Plan:
+Plan (one scan of the commands, one shuffle):
 
-1. Pre-pass (pure DataFrame): per key, if everything the key's commands try
-   to take fits in the opening level, every take is accepted and order does
-   not matter.  Most keys end here, as a partial aggregation + join.
-2. Contended keys only: hash-partition by key, sort within partitions by
-   ``(key, order)`` and stream the rows through ``mapInArrow``.  The Python
-   side keeps the state of the *current* key only and walks Arrow batches,
-   so memory is bounded by the batch size, never by the size of a group;
-   nothing is collected into an array, a task or the driver.
+* hash-partition by key, sort within partitions by ``(key, order)`` and
+  stream the rows through ``mapInArrow``.  The Python side keeps the state
+  of the *current* key only and walks Arrow batches, so memory is bounded by
+  the batch size, never by the size of a group; nothing is collected into an
+  array, a task or the driver.  Skipped rows are spread by their own id, so
+  a pile of invalid commands never forms one group.
+* Hot keys (more than ``HOT_ROWS`` commands, levels bounded by
+  ``MAX_TABLE_LEVEL``) are found by a small aggregation job first; their
+  count is at most rows / ``HOT_ROWS``, so that key list is broadcast with a
+  proven bound.  Their commands are split into chunks folded in parallel
+  (``_chunked_fold``).  When no key is hot the plan is the single pass.
 
 Optionally the fold also tracks a *mark*: the latest non-null value of a
 column seen so far on the key (e.g. the buy price set by the last restock),
@@ -26,19 +30,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 ADD = 0
 TAKE = 1
+SKIP = 2
 
 
 HELPERS = ("_opening", "_opening_mark", "_mark")
 
+# Fixed parameters of the chunked path for hot keys.
+HOT_ROWS = 1_000_000  # commands of one key above which the key is split into chunks
+MAX_TABLE_LEVEL = 4096  # largest level for which per-chunk transfer tables are built
 
-def _stream_fold(key_cols: list[str], has_mark: bool):
+
+def _stream_fold(
+    key_cols: list[str],
+    has_mark: bool,
+    open_col: str = "_opening",
+    open_mark_col: str = "_opening_mark",
+    drop: tuple[str, ...] = HELPERS,
+):
     """Per-partition function for ``mapInArrow``.
 
     Rows arrive sorted by key and order.  Only the state of the current key
@@ -59,9 +75,9 @@ def _stream_fold(key_cols: list[str], has_mark: bool):
             keys = key_lists[0] if len(key_lists) == 1 else list(zip(*key_lists))
             kinds = cols["_kind"].to_pylist()
             amounts = cols["_amount"].to_pylist()
-            openings = cols["_opening"].to_pylist()
+            openings = cols[open_col].to_pylist()
             marks_in = cols["_mark"].to_pylist() if has_mark else None
-            open_marks = cols["_opening_mark"].to_pylist() if has_mark else None
+            open_marks = cols[open_mark_col].to_pylist() if has_mark else None
             accepted = [False] * n
             after = [0] * n
             mark_at = [None] * n if has_mark else None
@@ -77,14 +93,15 @@ def _stream_fold(key_cols: list[str], has_mark: bool):
                         mark = marks_in[i]
                     mark_at[i] = mark
                 a = amounts[i]
-                if kinds[i] == ADD:
+                kind = kinds[i]
+                if kind == ADD:
                     level += a
                     accepted[i] = True
-                elif a <= level:
+                elif kind == TAKE and a <= level:
                     level -= a
                     accepted[i] = True
                 after[i] = level
-            names = [c for c in batch.schema.names if c not in HELPERS]
+            names = [c for c in batch.schema.names if c not in drop]
             arrays = [cols[c] for c in names]
             names += ["accepted", "level_after"]
             arrays += [pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())]
@@ -96,54 +113,226 @@ def _stream_fold(key_cols: list[str], has_mark: bool):
     return run
 
 
-def greedy_fold(
-    commands: DataFrame,
-    key_cols: list[str],
-    order_cols: list[str],
-    mark: bool = False,
-) -> DataFrame:
-    """Apply ordered add/take commands per key.
+def _chunk_tables(ck: list[str], has_mark: bool):
+    """Pass 1 of the chunked fold: one transfer table per chunk.
 
-    ``commands`` must carry ``_kind`` (ADD/TAKE), ``_amount`` (long, ≥ 0),
-    ``_opening`` (long level before the batch) and, when ``mark`` is set,
-    ``_mark`` (long or null) and ``_opening_mark``.  Returns the commands
-    (minus those helper columns) with ``accepted``, ``level_after`` and, with
-    ``mark``, ``mark_at``.
+    ``table[l]`` is the level after the chunk for entry level ``l`` in
+    ``0 .. _top`` (``_top`` = opening + all adds of the key bounds every level
+    the key can reach).  Rows arrive sorted by (key, chunk, order); each row
+    updates the whole table with one vectorised step.
     """
-    totals = commands.groupBy(*key_cols).agg(
-        F.sum(F.when(F.col("_kind") == TAKE, F.col("_amount")).otherwise(F.lit(0))).alias("_demand"),
-        F.max("_opening").alias("_open0"),
-        (F.max(F.col("_mark").isNotNull().cast("int")) if mark else F.lit(0)).alias("_has_mark"),
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {c: [] for c in ck + ["_table", "_last_mark", "_opening", "_opening_mark"]}
+        cur = None
+        table = None
+        last_mark = None
+        first: dict[str, object] = {}
+        key_types: dict[str, pa.DataType] = {}
+
+        def emit() -> None:
+            for c in ck:
+                out[c].append(first[c])
+            out["_table"].append(table.tolist())
+            out["_last_mark"].append(last_mark)
+            out["_opening"].append(first["_opening"])
+            out["_opening_mark"].append(first.get("_opening_mark"))
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            key_types.update({c: batch.schema.field(c).type for c in ck})
+            cols = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)
+                    if name in ck or name in ("_kind", "_amount", "_opening", "_top", "_mark", "_opening_mark")}
+            keys = list(zip(*(cols[c] for c in ck)))
+            for i, k in enumerate(keys):
+                if k != cur:
+                    if cur is not None:
+                        emit()
+                    cur = k
+                    table = np.arange(cols["_top"][i] + 1, dtype=np.int64)
+                    last_mark = None
+                    first = {c: cols[c][i] for c in ck}
+                    first["_opening"] = cols["_opening"][i]
+                    if has_mark:
+                        first["_opening_mark"] = cols["_opening_mark"][i]
+                a = cols["_amount"][i]
+                kind = cols["_kind"][i]
+                if kind == ADD:
+                    table += a
+                elif kind == TAKE:
+                    np.subtract(table, a, out=table, where=table >= a)
+                if has_mark and cols["_mark"][i] is not None:
+                    last_mark = cols["_mark"][i]
+        if cur is not None:
+            emit()
+        if out["_table"]:
+            types = {**key_types, "_table": pa.list_(pa.int64()), "_last_mark": pa.int64(),
+                     "_opening": pa.int64(), "_opening_mark": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], types[c]) for c in out], names=list(out))
+
+    return run
+
+
+def _chunk_entries(key_cols: list[str], chunk_names: list[str], has_mark: bool):
+    """Pass 2: walk each key's chunk tables in order to get every chunk's
+    entry level (and entry mark).  One table is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev = None
+        level = 0
+        mark = None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            key_lists = [cols[c].to_pylist() for c in key_cols]
+            keys = list(zip(*key_lists))
+            openings = cols["_opening"].to_pylist()
+            open_marks = cols["_opening_mark"].to_pylist()
+            last_marks = cols["_last_mark"].to_pylist()
+            tables = cols["_table"]
+            entry = [0] * n
+            entry_mark = [None] * n
+            for i in range(n):
+                if keys[i] != prev:
+                    prev = keys[i]
+                    level = openings[i]
+                    mark = open_marks[i]
+                entry[i] = level
+                entry_mark[i] = mark
+                level = tables[i][level].as_py()
+                if has_mark and last_marks[i] is not None:
+                    mark = last_marks[i]
+            names = key_cols + chunk_names
+            arrays = [cols[c] for c in names] + [pa.array(entry, pa.int64()), pa.array(entry_mark, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names + ["_entry", "_entry_mark"])
+
+    return run
+
+
+def _chunked_fold(hot: DataFrame, key_cols: list[str], order_cols: list[str], chunk_names: list[str],
+                  mark: bool) -> DataFrame:
+    """Exact fold of hot keys split into chunks that run in parallel.
+
+    ``hot`` carries the chunk columns (contiguous runs of the order) and is
+    already hash-partitioned by ``xxhash64(key, chunk)``.  Pass 1 builds each
+    chunk's transfer table in parallel, pass 2 chains the tables per key (one
+    small row per chunk), pass 3 replays each chunk from its entry level in
+    parallel.  No task ever holds more than one chunk's state.
+    """
+    ck = key_cols + chunk_names
+    rows_schema = {f.name: f for f in hot.schema.fields}
+    table_schema = StructType(
+        [rows_schema[c] for c in ck]
+        + [
+            StructField("_table", ArrayType(LongType(), False), False),
+            StructField("_last_mark", LongType(), True),
+            StructField("_opening", LongType(), True),
+            StructField("_opening_mark", LongType(), True),
+        ]
     )
-    # A key needs ordering when its takes may not all fit, or when a mark
-    # changes along the way (then each row needs the mark in effect).
-    contended = totals.where((F.col("_demand") > F.col("_open0")) | (F.col("_has_mark") > 0)).select(
-        *key_cols, F.lit(True).alias("_contended")
+    tables = (
+        hot.select(*ck, *order_cols, "_kind", "_amount", "_opening", "_top",
+                   *(["_mark", "_opening_mark"] if mark else []))
+        .sortWithinPartitions(*ck, *order_cols)
+        .mapInArrow(_chunk_tables(ck, mark), table_schema)
     )
-    flagged = commands.join(contended, key_cols, "left")
-
-    easy = flagged.where(F.col("_contended").isNull()).select(
-        *[c for c in commands.columns if c not in ("_opening", "_opening_mark", "_mark")],
-        F.lit(True).alias("accepted"),
-        F.lit(None).cast("long").alias("level_after"),
-        *([F.col("_opening_mark").alias("mark_at")] if mark else []),
+    entry_schema = StructType(
+        [rows_schema[c] for c in ck]
+        + [StructField("_entry", LongType(), True), StructField("_entry_mark", LongType(), True)]
+    )
+    entries = (
+        tables.repartition(F.xxhash64(*key_cols))
+        .sortWithinPartitions(*ck)
+        .mapInArrow(_chunk_entries(key_cols, chunk_names, mark), entry_schema)
+    )
+    e = entries.select(*[F.col(c).alias(f"_e{c}") for c in ck], "_entry", "_entry_mark")
+    on = [hot[c].eqNullSafe(e[f"_e{c}"]) for c in ck]  # chunk values may be null
+    j = hot.join(e, on, "inner").drop("_top", *[f"_e{c}" for c in ck])
+    drop = HELPERS + ("_entry", "_entry_mark")
+    fields = [f for f in j.schema.fields if f.name not in drop]
+    out_schema = StructType(
+        fields
+        + [StructField("accepted", BooleanType(), False), StructField("level_after", LongType(), True)]
+        + ([StructField("mark_at", LongType(), True)] if mark else [])
     )
+    replay = (
+        j.repartition(F.xxhash64(*ck))
+        .sortWithinPartitions(*ck, *order_cols)
+        .mapInArrow(_stream_fold(ck, mark, "_entry", "_entry_mark", drop), out_schema)
+    )
+    return replay.drop(*chunk_names)
+
 
-    hard = flagged.where(F.col("_contended")).drop("_contended")
-    fields = [f for f in hard.schema.fields if f.name not in HELPERS]
+def _walk(commands: DataFrame, key_cols: list[str], order_cols: list[str], mark: bool, spread: str | None) -> DataFrame:
+    """Single-pass walk of every key: one shuffle, one sort, streamed state."""
+    fields = [f for f in commands.schema.fields if f.name not in HELPERS]
     out_schema = StructType(
         fields
         + [StructField("accepted", BooleanType(), False), StructField("level_after", LongType(), True)]
         + ([StructField("mark_at", LongType(), True)] if mark else [])
     )
-    # The fold needs every row of a key in one task, in order.  Shuffle on a
-    # derived hash, not on the bare keys: a repartition on the keys is
-    # dropped as redundant after the key join above, and once AQE turns that
-    # join into a broadcast join its local shuffle reader hands each task one
-    # mapper's output, splitting keys across tasks.
-    folded = (
-        hard.repartition(F.xxhash64(*key_cols))
+    # Every row of a key goes to one task, in order.  The partition hash is a
+    # derived expression, never the bare keys: a repartition on the keys can
+    # be dropped as redundant after an upstream join on them, and once AQE
+    # turns that join into a broadcast join its local shuffle reader hands
+    # each task one mapper's output, splitting keys across tasks.  Skipped
+    # rows are spread by ``spread`` (they never change state).
+    salt = [F.when(F.col("_kind") == SKIP, F.col(spread))] if spread else []
+    return (
+        commands.repartition(F.xxhash64(*key_cols, *salt))
         .sortWithinPartitions(*key_cols, *order_cols)
         .mapInArrow(_stream_fold(key_cols, mark), out_schema)
     )
-    return easy.unionByName(folded)
+
+
+def greedy_fold(
+    commands: DataFrame,
+    key_cols: list[str],
+    order_cols: list[str],
+    mark: bool = False,
+    chunk_cols: list[Column] | None = None,
+    hot_rows: int | None = None,
+    max_table_level: int | None = None,
+    spread: str | None = None,
+) -> DataFrame:
+    """Apply ordered add/take commands per key.
+
+    ``commands`` must carry ``_kind`` (ADD/TAKE/SKIP), ``_amount`` (long,
+    ≥ 0), ``_opening`` (long level before the batch) and, when ``mark`` is
+    set, ``_mark`` (long or null) and ``_opening_mark``.  Returns the commands
+    (minus those helper columns) with ``accepted``, ``level_after`` and, with
+    ``mark``, ``mark_at``.  ``spread`` names a unique column used to scatter
+    skipped rows.
+
+    With ``chunk_cols`` (expressions non-decreasing along the order, e.g. the
+    command date), a key with more than ``hot_rows`` commands whose levels
+    stay within ``max_table_level`` is folded by ``_chunked_fold`` in
+    parallel chunks instead of in one task.
+    """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    max_table_level = MAX_TABLE_LEVEL if max_table_level is None else max_table_level
+    if chunk_cols:
+        top = F.max("_opening") + F.sum(F.when(F.col("_kind") == ADD, F.col("_amount")).otherwise(F.lit(0)))
+        hot_keys = (
+            commands.where(F.col("_kind") != SKIP)
+            .groupBy(*key_cols)
+            .agg(F.count(F.lit(1)).alias("_n"), top.cast("long").alias("_top"))
+            .where((F.col("_n") > hot_rows) & (F.col("_top") <= max_table_level))
+            .select(*key_cols, "_top")
+        )
+        if not hot_keys.isEmpty():  # one small aggregation job decides the plan
+            # At most rows / hot_rows keys: a proven bound for the broadcast.
+            flagged = commands.join(F.broadcast(hot_keys), key_cols, "left")
+            cold = flagged.where(F.col("_top").isNull() | (F.col("_kind") == SKIP)).drop("_top")
+            chunk_names = [f"_chunk{i}" for i in range(len(chunk_cols))]
+            hot = flagged.where(F.col("_top").isNotNull() & (F.col("_kind") != SKIP)).select(
+                "*", *[c.alias(n) for c, n in zip(chunk_cols, chunk_names)]
+            )
+            hot = hot.repartition(F.xxhash64(*key_cols, *chunk_names))
+            return _walk(cold, key_cols, order_cols, mark, spread).unionByName(
+                _chunked_fold(hot, key_cols, order_cols, chunk_names, mark)
+            )
+    return _walk(commands, key_cols, order_cols, mark, spread)

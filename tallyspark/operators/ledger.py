@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null, is_blank, money, name_key, reasons, to_double
 from ..schemas import MONEY
-from .fold import ADD, TAKE, greedy_fold
+from .fold import ADD, SKIP, TAKE, greedy_fold
 
 ACCEPTED = "accepted"
 REJECTED = "rejected"
@@ -34,6 +34,12 @@ def _new_ids(existing: DataFrame, id_col: str, batch: DataFrame, seq_col: str =
     return top + F.lit(1) + (F.col(seq_col) - low)
 
 
+def _chunks(date_col: str) -> list[Column]:
+    """Chunks of a hot key for the parallel fold: one day, split by the first
+    two characters of the text id (contiguous in the (date, id) order)."""
+    return [F.col(date_col), F.substring(F.col("id"), 1, 2)]
+
+
 def _cents(c: str | Column) -> Column:
     return (money(c) * 100).cast("long")
 
@@ -190,7 +196,8 @@ SALE_OUT = ["shop_id", "id", "product_id", "product_name", "quantity", "sale_dat
 
 def apply_sales(products: DataFrame, commands: DataFrame) -> DataFrame:
     """M4: record a batch of sales; a sale that does not fit the stock left by
-    the earlier accepted sales of its product is rejected and takes nothing."""
+    the earlier accepted sales of its product is rejected and takes nothing.
+    Invalid requests ride through the same pass as skipped rows."""
     j = _with_product(commands, products)
     r = F.array_join(
         reasons(
@@ -199,28 +206,25 @@ def apply_sales(products: DataFrame, commands: DataFrame) -> DataFrame:
         ),
         ";",
     )
-    j = j.withColumn("_reasons", r)
-    bad = j.where(F.col("_reasons") != "").select(
-        "shop_id", "id", "product_id", "product_name", "quantity",
-        F.col("command_date").alias("sale_date"), F.lit(REJECTED).alias("status"), F.col("_reasons").alias("reason"),
-        F.lit(None).cast("double").alias("revenue"), F.lit(None).cast("double").alias("profit"),
-    )
-    good = j.where(F.col("_reasons") == "").select(
+    cmds = j.select(
         "shop_id", "product_id", "id", "command_date", "quantity", "product_name", "buy_price", "sell_price",
-        F.lit(TAKE).alias("_kind"),
-        F.col("quantity").cast("long").alias("_amount"),
-        F.col("stock_quantity").cast("long").alias("_opening"),
+        r.alias("_reasons"),
+        F.when(r == "", F.lit(TAKE)).otherwise(F.lit(SKIP)).alias("_kind"),
+        F.coalesce(F.col("quantity").cast("long"), F.lit(0)).alias("_amount"),
+        F.coalesce(F.col("stock_quantity").cast("long"), F.lit(0)).alias("_opening"),
+    )
+    f = greedy_fold(
+        cmds, ["shop_id", "product_id"], ["command_date", "id"], chunk_cols=_chunks("command_date"), spread="id"
     )
-    f = greedy_fold(good, ["shop_id", "product_id"], ["command_date", "id"])
     ok = F.col("accepted")
-    done = f.select(
+    return f.select(
         "shop_id", "id", "product_id", "product_name", "quantity", F.col("command_date").alias("sale_date"),
         _status(ok).alias("status"),
-        F.when(ok, F.lit("")).otherwise(F.lit("insufficient_stock")).alias("reason"),
+        F.when(ok, F.lit("")).when(F.col("_kind") == SKIP, F.col("_reasons"))
+        .otherwise(F.lit("insufficient_stock")).alias("reason"),
         F.when(ok, to_double(F.col("sell_price") * F.col("quantity"))).alias("revenue"),
         F.when(ok, to_double((F.col("sell_price") - F.col("buy_price")) * F.col("quantity"))).alias("profit"),
     )
-    return done.unionByName(bad)
 
 
 def stock_after(products: DataFrame, moved: DataFrame, sign: int) -> DataFrame:
@@ -297,45 +301,45 @@ def apply_restocks_stock(products: DataFrame, commands: DataFrame) -> DataFrame:
 
 def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
     """M9: sales and restocks on one timeline per product.  A sale sees the stock
-    and the buy price left by every earlier command (restocks first on ties)."""
+    and the buy price left by every earlier command (restocks first on ties).
+    Invalid sale requests ride through the same pass as skipped rows."""
     p = products.select(
         F.col("shop_id").alias("_p_shop"), F.col("id").alias("_p_id"), "stock_quantity", "buy_price", "sell_price"
     )
     rs = apply_restocks(products, restocks).select(
         "shop_id", "product_id", "id", F.col("restock_date").alias("command_date"),
         F.col("quantity_added").alias("quantity"), F.lit(0).alias("_rank"), F.lit(ADD).alias("_kind"),
-        F.when(F.col("updated_buy_price"), _cents("unit_buy_price")).alias("_mark"),
+        F.when(F.col("updated_buy_price"), _cents("unit_buy_price")).alias("_mark"), F.lit("").alias("_reasons"),
     )
     sv = validate_sales(products, sales)
-    bad = sv.where(~F.col("accepted")).select(
-        "shop_id", "id", "product_id", "quantity", F.col("command_date").alias("sale_date"),
-        F.lit(REJECTED).alias("status"), F.col("reasons").alias("reason"),
-        F.lit(None).cast("double").alias("revenue"), F.lit(None).cast("double").alias("profit"),
-    )
-    ss = sv.where(F.col("accepted")).select(
-        "shop_id", "product_id", "id", "command_date", "quantity", F.lit(1).alias("_rank"), F.lit(TAKE).alias("_kind"),
-        F.lit(None).cast("long").alias("_mark"),
+    ss = sv.select(
+        "shop_id", "product_id", "id", "command_date", "quantity", F.lit(1).alias("_rank"),
+        F.when(F.col("accepted"), F.lit(TAKE)).otherwise(F.lit(SKIP)).alias("_kind"),
+        F.lit(None).cast("long").alias("_mark"), F.col("reasons").alias("_reasons"),
     )
     cmds = rs.unionByName(ss)
-    cmds = cmds.join(p, (F.col("shop_id") == F.col("_p_shop")) & (F.col("product_id") == F.col("_p_id")), "inner")
+    cmds = cmds.join(p, (F.col("shop_id") == F.col("_p_shop")) & (F.col("product_id") == F.col("_p_id")), "left")
     cmds = cmds.select(
-        "shop_id", "product_id", "id", "command_date", "quantity", "_rank", "_kind", "_mark", "sell_price",
-        F.col("quantity").cast("long").alias("_amount"),
-        F.col("stock_quantity").cast("long").alias("_opening"),
+        "shop_id", "product_id", "id", "command_date", "quantity", "_rank", "_kind", "_mark", "_reasons", "sell_price",
+        F.coalesce(F.col("quantity").cast("long"), F.lit(0)).alias("_amount"),
+        F.coalesce(F.col("stock_quantity").cast("long"), F.lit(0)).alias("_opening"),
         _cents("buy_price").alias("_opening_mark"),
     )
-    f = greedy_fold(cmds, ["shop_id", "product_id"], ["command_date", "id", "_rank"], mark=True)
-    sold = f.where(F.col("_kind") == TAKE)
+    f = greedy_fold(
+        cmds, ["shop_id", "product_id"], ["command_date", "id", "_rank"], mark=True,
+        chunk_cols=_chunks("command_date"), spread="id",
+    )
+    sold = f.where(F.col("_kind") != ADD)
     ok = F.col("accepted")
     buy = _from_cents(F.col("mark_at"))
-    done = sold.select(
+    return sold.select(
         "shop_id", "id", "product_id", "quantity", F.col("command_date").alias("sale_date"),
         _status(ok).alias("status"),
-        F.when(ok, F.lit("")).otherwise(F.lit("insufficient_stock")).alias("reason"),
+        F.when(ok, F.lit("")).when(F.col("_kind") == SKIP, F.col("_reasons"))
+        .otherwise(F.lit("insufficient_stock")).alias("reason"),
         F.when(ok, to_double(F.col("sell_price") * F.col("quantity"))).alias("revenue"),
         F.when(ok, to_double((F.col("sell_price") - buy) * F.col("quantity"))).alias("profit"),
     )
-    return done.unionByName(bad)
 
 
 # ---------------------------------------------------------------- customers (M5, M7)
@@ -417,33 +421,35 @@ def apply_payments(customers: DataFrame, ledger: DataFrame, opening: DataFrame |
     the balance left by the earlier accepted rows is rejected.
 
     ``opening(shop_id, customer_id, balance)`` is the balance before the batch
-    (absent → 0).
+    (absent → 0).  Invalid rows ride through the same pass as skipped rows.
     """
     v = validate_payments(customers, ledger)
-    bad = v.where(~F.col("accepted")).select(
-        "shop_id", "id", "customer_id", "transaction_type", to_double(money("amount")).alias("amount"),
-        "transaction_date", F.lit(REJECTED).alias("status"), F.col("reasons").alias("reason"),
-    )
-    good = v.where(F.col("accepted"))
     if opening is not None:
-        good = good.join(opening.select("shop_id", "customer_id", _cents("balance").alias("_open")),
-                         ["shop_id", "customer_id"], "left")
+        v = v.join(opening.select("shop_id", "customer_id", _cents("balance").alias("_open")),
+                   ["shop_id", "customer_id"], "left")
     else:
-        good = good.withColumn("_open", F.lit(0).cast("long"))
-    good = good.select(
-        "shop_id", "customer_id", "id", "transaction_type", "amount", "transaction_date",
-        F.when(F.col("transaction_type") == "payment", F.lit(TAKE)).otherwise(F.lit(ADD)).alias("_kind"),
-        _cents("amount").alias("_amount"),
+        v = v.withColumn("_open", F.lit(0).cast("long"))
+    kind = (
+        F.when(~F.col("accepted"), F.lit(SKIP))
+        .when(F.col("transaction_type") == "payment", F.lit(TAKE))
+        .otherwise(F.lit(ADD))
+    )
+    good = v.select(
+        "shop_id", "customer_id", "id", "transaction_type", "amount", "transaction_date", "reasons",
+        kind.alias("_kind"),
+        F.coalesce(_cents("amount"), F.lit(0)).alias("_amount"),
         F.coalesce("_open", F.lit(0)).cast("long").alias("_opening"),
     )
-    f = greedy_fold(good, ["shop_id", "customer_id"], ["transaction_date", "id"])
+    # Balances are cents, far beyond the table bound of the chunked path, so
+    # no hot-key check is run: every customer is walked in one pass.
+    f = greedy_fold(good, ["shop_id", "customer_id"], ["transaction_date", "id"], spread="id")
     ok = F.col("accepted")
-    done = f.select(
+    return f.select(
         "shop_id", "id", "customer_id", "transaction_type", to_double(money("amount")).alias("amount"),
         "transaction_date", _status(ok).alias("status"),
-        F.when(ok, F.lit("")).otherwise(F.lit("exceeds_balance")).alias("reason"),
+        F.when(ok, F.lit("")).when(F.col("_kind") == SKIP, F.col("reasons"))
+        .otherwise(F.lit("exceeds_balance")).alias("reason"),
     )
-    return done.unionByName(bad)
 
 
 # ---------------------------------------------------------------- onboarding (M8)

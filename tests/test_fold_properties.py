@@ -61,3 +61,30 @@ def test_batches_compose(spark, qs, stock, cut):
     one = L.apply_sales_stock(p, both).collect()[0].stock_quantity
     two = L.apply_sales_stock(L.apply_sales_stock(p, a), b).collect()[0].stock_quantity
     assert one == two >= 0
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(keys=KEYS, marks=st.lists(st.one_of(st.none(), st.integers(min_value=1, max_value=99)), min_size=12,
+                                 max_size=12))
+def test_chunked_fold_matches_sequential_walk(spark, keys, marks):
+    """Every contended key forced through the parallel chunk path (3 rows per chunk)."""
+    from pyspark.sql import functions as F
+
+    rows, expected = [], {}
+    for k, (opening, cmds) in enumerate(keys):
+        mark_now = 1000 + k
+        for pos, ((kind, a), (ok, lvl)) in enumerate(zip(cmds, walk(opening, cmds))):
+            m = marks[pos] if kind == ADD else None
+            mark_now = m if m is not None else mark_now
+            rows.append((k, pos, kind, a, opening, m, 1000 + k))
+            expected[(k, pos)] = (ok, lvl, mark_now)
+    df = spark.createDataFrame(
+        rows, "k long, pos long, _kind int, _amount long, _opening long, _mark long, _opening_mark long"
+    )
+    out = greedy_fold(df, ["k"], ["pos"], mark=True, chunk_cols=[F.floor(F.col("pos") / 3)], hot_rows=0)
+    got = {(r.k, r.pos): r for r in out.collect()}
+    assert set(got) == set(expected)
+    for key, (ok, lvl, m) in expected.items():
+        r = got[key]
+        assert (r.accepted, r.mark_at) == (ok, m)
+        assert r.level_after in (None, lvl)  # the pre-pass does not report levels
