@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 ADD = 0
 TAKE = 1
@@ -118,7 +118,8 @@ def _chunk_tables(ck: list[str], has_mark: bool):
 
     ``table[l]`` is the level after the chunk for entry level ``l`` in
     ``0 .. _top`` (``_top`` = opening + all adds of the key bounds every level
-    the key can reach).  Rows arrive sorted by (key, chunk, order); each row
+    the key can reach).  Entries stay below ``2 * MAX_TABLE_LEVEL``, so tables
+    travel as int16 bytes (8 KB at most).  Rows arrive sorted by (key, chunk, order); each row
     updates the whole table with one vectorised step.
     """
 
@@ -133,7 +134,7 @@ def _chunk_tables(ck: list[str], has_mark: bool):
         def emit() -> None:
             for c in ck:
                 out[c].append(first[c])
-            out["_table"].append(table.tolist())
+            out["_table"].append(table.astype(np.int16).tobytes())
             out["_last_mark"].append(last_mark)
             out["_opening"].append(first["_opening"])
             out["_opening_mark"].append(first.get("_opening_mark"))
@@ -167,7 +168,7 @@ def _chunk_tables(ck: list[str], has_mark: bool):
         if cur is not None:
             emit()
         if out["_table"]:
-            types = {**key_types, "_table": pa.list_(pa.int64()), "_last_mark": pa.int64(),
+            types = {**key_types, "_table": pa.binary(), "_last_mark": pa.int64(),
                      "_opening": pa.int64(), "_opening_mark": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(out[c], types[c]) for c in out], names=list(out))
 
@@ -202,7 +203,7 @@ def _chunk_entries(key_cols: list[str], chunk_names: list[str], has_mark: bool):
                     mark = open_marks[i]
                 entry[i] = level
                 entry_mark[i] = mark
-                level = tables[i][level].as_py()
+                level = int(np.frombuffer(tables[i].as_py(), dtype=np.int16)[level])
                 if has_mark and last_marks[i] is not None:
                     mark = last_marks[i]
             names = key_cols + chunk_names
@@ -227,7 +228,7 @@ def _chunked_fold(hot: DataFrame, key_cols: list[str], order_cols: list[str], ch
     table_schema = StructType(
         [rows_schema[c] for c in ck]
         + [
-            StructField("_table", ArrayType(LongType(), False), False),
+            StructField("_table", BinaryType(), False),
             StructField("_last_mark", LongType(), True),
             StructField("_opening", LongType(), True),
             StructField("_opening_mark", LongType(), True),

@@ -40,13 +40,16 @@ def write_ledger(df: DataFrame, path: str, date_col: str, mode: str = "append")
     """Append ledger rows partitioned by month of ``date_col``.
 
     Month (not shop) partitioning keeps the folder count bounded however many
-    shops exist; rows are clustered by shop inside each file so min/max
-    statistics still prune by ``shop_id``.
+    shops exist.  Rows are range-partitioned on (month, shop, date, id): a
+    busy month or shop is cut into many tasks (the id makes every boundary
+    splittable), each task writes a few files of one month, and rows are
+    clustered by shop and date inside each file so min/max statistics prune
+    by ``shop_id`` and date.
     """
     (
         df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM"))
-        .repartition("month")
-        .sortWithinPartitions("shop_id", date_col)
+        .repartitionByRange("month", "shop_id", date_col, "id")
+        .sortWithinPartitions("month", "shop_id", date_col, "id")
         .write.mode(mode)
         .partitionBy("month")
         .parquet(path)
