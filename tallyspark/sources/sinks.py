@@ -129,3 +129,44 @@ def write_snapshot(spark: SparkSession, df: DataFrame, table_dir: str, meta: dic
     if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(pdir, f"{seq:020d}.json")):
         raise RuntimeError(f"snapshot commit {seq} of {base} lost to a concurrent writer")
     return version
+
+
+# Ledger tables are append-only and partitioned by month; the rest are snapshots.
+LEDGER_DATE = {"sales": "sale_date", "debt_transactions": "transaction_date", "restocks": "restock_date"}
+
+
+def table_schemas() -> dict[str, StructType]:
+    from .. import schemas as S
+
+    return {
+        "shops": S.SHOPS,
+        "profiles": S.PROFILES,
+        "products": S.PRODUCTS,
+        "customers": S.CUSTOMERS,
+        "sales": S.SALES,
+        "debt_transactions": S.DEBTS,
+        "restocks": S.RESTOCKS,
+    }
+
+
+def create_tables(spark: SparkSession, root: str) -> None:
+    """Every table as an empty Parquet table with its declared schema
+    (existing tables are left alone, like CREATE TABLE IF NOT EXISTS)."""
+    base = root.rstrip("/")
+    for name, schema in table_schemas().items():
+        df = spark.createDataFrame([], schema)
+        if name in LEDGER_DATE:
+            df = df.withColumn("month", F.lit(None).cast("string"))
+        df.write.mode("ignore").parquet(f"{base}/{name}")
+
+
+def reset_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    """Replace the named tables wholesale (demo reset and reload)."""
+    base = root.rstrip("/")
+    schemas = table_schemas()
+    for name, df in tables.items():
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schemas[name].fields])
+        if name in LEDGER_DATE:
+            write_ledger(rows, f"{base}/{name}", LEDGER_DATE[name], mode="overwrite")
+        else:
+            rows.write.mode("overwrite").parquet(f"{base}/{name}")

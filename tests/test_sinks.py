@@ -44,3 +44,19 @@ def test_csv_quotes_and_empty_text(spark):
     assert '"Say ""hi"", please"' in text
     back = {r.id: r for r in sinks.read_csv(spark, path, CUSTOMERS).collect()}
     assert back[1].name == 'Say "hi", please' and back[2].phone is None
+
+
+def test_create_then_reset_tables(spark):
+    t = DriverTables(spark, SF_SMALL)
+    root = scratch_path(spark, "tables")
+    sinks.create_tables(spark, root)
+    for name, schema in sinks.table_schemas().items():
+        df = spark.read.parquet(f"{root}/{name}")
+        assert df.count() == 0
+        assert [f.name for f in schema.fields] == [c for c in df.columns if c != "month"]
+    sinks.reset_tables(spark, root, {"products": fx.products(t), "sales": fx.sales(t)})
+    sinks.create_tables(spark, root)  # a second create keeps the data
+    assert spark.read.parquet(f"{root}/products").count() == fx.products(t).count()
+    assert spark.read.parquet(f"{root}/sales").count() == fx.sales(t).count()
+    sinks.reset_tables(spark, root, {"sales": fx.sales(t).limit(3)})
+    assert spark.read.parquet(f"{root}/sales").count() == 3
