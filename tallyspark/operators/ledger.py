@@ -360,28 +360,27 @@ def _customer_keys(customers: DataFrame) -> DataFrame:
 
 def upsert_customers(customers: DataFrame, commands: DataFrame) -> DataFrame:
     """M5: customers after a batch of debts: unknown names are created (first
-    spelling by seq wins), a non-blank phone overwrites (last by seq wins)."""
+    spelling by seq wins), a non-blank phone overwrites (last by seq wins).
+
+    One full outer join of the customers with the batch's per-name summary
+    yields both the updated and the new rows, so the batch is aggregated once.
+    """
     v = validate_debts(commands).where(F.col("accepted")).withColumn("_nk", name_key("customer_name"))
     per_name = v.groupBy("shop_id", "_nk").agg(
         F.min(F.struct("seq", F.trim("customer_name").alias("n"))).alias("_first"),
         F.max(F.when(~is_blank("phone"), F.struct("seq", F.trim("phone").alias("ph")))).alias("_phone"),
     )
-    keys = _customer_keys(customers)
-    j = per_name.join(keys, ["shop_id", "_nk"], "left")
-    new = j.where(F.col("_cid").isNull()).select(
+    # The phone goes to the lowest id among customers sharing the name key.
+    c = customers.withColumn("_nk", name_key("name")).join(_customer_keys(customers), ["shop_id", "_nk"], "left")
+    j = c.join(per_name, ["shop_id", "_nk"], "full").withColumn("seq", F.col("_first.seq"))
+    known = F.col("id").isNotNull()
+    new_phone = F.when((F.col("id") == F.col("_cid")) & F.col("_phone").isNotNull(), F.col("_phone.ph"))
+    return j.select(
         "shop_id",
-        F.col("_first.seq").alias("seq"),
-        F.col("_first.n").alias("name"),
-        F.col("_phone.ph").alias("phone"),
-    )
-    new = new.select("shop_id", _new_ids(customers, "id", v).alias("id"), "name", "phone")
-    phones = j.where(F.col("_cid").isNotNull() & F.col("_phone").isNotNull()).select(
-        "shop_id", F.col("_cid").alias("id"), F.col("_phone.ph").alias("_new_phone")
-    )
-    old = customers.join(phones, ["shop_id", "id"], "left").select(
-        "shop_id", "id", "name", F.coalesce("_new_phone", "phone").alias("phone")
+        F.when(known, F.col("id")).otherwise(_new_ids(customers, "id", v)).alias("id"),
+        F.when(known, F.col("name")).otherwise(F.col("_first.n")).alias("name"),
+        F.when(known, F.coalesce(new_phone, F.col("phone"))).otherwise(F.col("_phone.ph")).alias("phone"),
     )
-    return old.unionByName(new)
 
 
 def apply_debts(customers: DataFrame, commands: DataFrame) -> DataFrame:
