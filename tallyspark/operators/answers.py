@@ -11,7 +11,8 @@ questions).
 Item lists are ordered like the reference's tables and then joined with
 ``"; "``; the restock, best-seller and debtor lists keep the first 8 / 5 / 8
 items (the per-shop ``row_number`` limit runs before the shuffle); the
-low-stock list keeps every low-stock product of the shop.
+low-stock list keeps every low-stock product of the shop and is assembled
+in two levels (per stock/name bucket, then per shop).
 """
 
 from __future__ import annotations
@@ -174,11 +175,37 @@ def answer_unpaid(shops: DataFrame, customers: DataFrame, debts: DataFrame) -> D
     )
 
 
+def _bucketed_item_list(items: DataFrame, buckets: list[Column], order: list[str], item: Column) -> DataFrame:
+    """``(shop_id, text)`` for lists of unbounded length, built in two levels.
+
+    ``buckets`` must be non-decreasing along ``order`` (contiguous runs of
+    it).  Each bucket joins its own items in parallel; the shop then joins
+    the bucket texts in bucket order, so no single group sorts the whole
+    list.  The text itself is one value per shop, as the answer requires.
+    """
+    names = [f"_b{i}" for i in range(len(buckets))]
+    per_bucket = (
+        items.select("shop_id", *[b.alias(n) for b, n in zip(buckets, names)],
+                     F.struct(*[F.col(c) for c in order], item.alias("_item")).alias("_e"))
+        .groupBy("shop_id", *names)
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["_item"]),
+                          ITEM_SEPARATOR).alias("_part"))
+    )
+    return per_bucket.groupBy("shop_id").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(n) for n in names], F.col("_part")))),
+                        lambda e: e["_part"]),
+            ITEM_SEPARATOR,
+        ).alias("text")
+    )
+
+
 def answer_low_stock(shops: DataFrame, products: DataFrame) -> DataFrame:
     """Q7: every low-stock product of the shop, lowest stock first."""
     low = products.where(F.col("stock_quantity") <= F.col("low_stock_threshold"))
     item = F.concat(F.col("name"), F.lit(" ("), F.col("stock_quantity").cast("string"), F.lit(" left)"))
-    lists = _item_list(low, ["stock_quantity", "name"], item)
+    buckets = [F.col("stock_quantity"), F.substring(F.col("name"), 1, 2)]
+    lists = _bucketed_item_list(low, buckets, ["stock_quantity", "name"], item)
     return _sentence(_shop_ids(shops), lists, LOW_STOCK, LOW_STOCK_PREFIX, LOW_STOCK_EMPTY)
 
 
