@@ -26,6 +26,7 @@ def query(name: str, oracle: str | None = None):
 
         run.__name__ = f"q_{name}"
         run.__doc__ = fn.__doc__
+        run.__wrapped_module__ = fn.__module__.rsplit(".", 1)[-1]
         QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
