@@ -57,3 +57,24 @@ def test_top_k_is_a_window_group_limit(spark):
     t = DriverTables(spark, SF_SMALL)
     plan = _plan(R.top_selling_products(fx.sales(t), 10))
     assert "WindowGroupLimit" in plan
+
+
+def test_no_cross_joins_and_python_only_in_the_fold(spark):
+    import __spark_entry__ as E
+
+    fold_keys = {"apply_payments", "apply_sales", "apply_sales_stock", "apply_stock_timeline"}
+    for key, fn in E.queries().items():
+        plan = _plan(fn(spark, SF_SMALL))
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, key
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, key
+        assert ("MapInArrow" in plan) == (key in fold_keys), key
+
+
+def test_sales_fold_is_tenant_isolated(spark):
+    from tallyspark.operators import ledger as L
+
+    t = DriverTables(spark, SF_SMALL)
+    shop = 7
+    all_shops = L.apply_sales(fx.products(t), fx.sale_commands(t)).where(F.col("shop_id") == shop)
+    one = L.apply_sales(R.for_shop(fx.products(t), shop), R.for_shop(fx.sale_commands(t), shop))
+    assert _rows(all_shops) == _rows(one)
