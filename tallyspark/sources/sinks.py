@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 CSV_OPTIONS = {
     "header": "true",
@@ -56,6 +57,29 @@ def write_ledger(df: DataFrame, path: str, date_col: str, mode: str = "append")
     )
 
 
+def read_ledger(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    date_col: str,
+    start: date | None = None,
+    end: date | None = None,
+) -> DataFrame:
+    """Read a ledger written by ``write_ledger``, optionally for ``start..end``.
+
+    Spark does not derive the ``month`` folder bounds from a date predicate,
+    so the month range is added explicitly: a 7-day report lists and reads
+    one or two month folders, not the whole history.  The date predicate
+    itself is also pushed into the files' min/max statistics.
+    """
+    df = spark.read.schema(StructType(schema.fields + [StructField("month", StringType(), True)])).parquet(path)
+    if start is not None:
+        df = df.where((F.col("month") >= F.lit(start.strftime("%Y-%m"))) & (F.col(date_col) >= F.lit(start)))
+    if end is not None:
+        df = df.where((F.col("month") <= F.lit(end.strftime("%Y-%m"))) & (F.col(date_col) <= F.lit(end)))
+    return df.drop("month")
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -60,3 +60,20 @@ def test_create_then_reset_tables(spark):
     assert spark.read.parquet(f"{root}/sales").count() == fx.sales(t).count()
     sinks.reset_tables(spark, root, {"sales": fx.sales(t).limit(3)})
     assert spark.read.parquet(f"{root}/sales").count() == 3
+
+
+def test_read_ledger_prunes_month_folders(spark):
+    from datetime import date as _date
+
+    from tallyspark.schemas import SALES
+
+    t = DriverTables(spark, SF_SMALL)
+    path = scratch_path(spark, "ledger-read")
+    sinks.write_ledger(fx.sales(t), path, "sale_date")
+    start, end = _date(1998, 6, 6), fx.TODAY
+    df = sinks.read_ledger(spark, path, SALES, "sale_date", start, end)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "1998-06" in plan
+    want = fx.sales(t).where(f"sale_date BETWEEN DATE'{start}' AND DATE'{end}'").count()
+    assert df.count() == want > 0
+    assert df.columns == [f.name for f in SALES.fields]
