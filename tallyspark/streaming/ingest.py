@@ -1,22 +1,24 @@
-"""ST1: continuous ingest of stock commands (sales and restocks).
+"""ST1: continuous ingest of stock commands (sales and restocks) and of
+credit commands (debts and payments).
 
 The reference applies each sale or restock the moment it is entered.  Here
 command files land in a folder; Structured Streaming picks up new files and
-``foreachBatch`` applies each micro-batch to the current product snapshot
-with the batch operators (M9 timeline = M4 sales and M6 restocks on one
-order per product).
+``foreachBatch`` applies each micro-batch to the current snapshot with the
+batch operators: the M9 timeline (M4 sales and M6 restocks on one order per
+product) against the product snapshot, and M7 (payments no larger than the
+balance) against a balance snapshot.
 
 Exactly-once per micro-batch:
 
 1. the batch's ledger rows go to a folder named by the batch id (overwritten
    on a replay, so a retried batch never duplicates rows);
-2. the new product snapshot is written as a new version and committed by a
-   pointer that records the batch id;
+2. the new snapshot (products or balances) is written as a new version and
+   committed by a pointer that records the batch id;
 3. a batch whose id is not above the committed one is skipped, so a batch
    replayed after a crash between (2) and the stream's own commit does not
    apply twice.
 
-The stock change is computed from the ledger rows *read back* from storage,
+The stock or balance change is computed from the ledger rows *read back* from storage,
 which cuts the lineage between the fold and the snapshot write.  Commands
 are ordered within a micro-batch (date, id); a late command is applied in
 arrival order, as the reference does.
@@ -40,7 +42,7 @@ from pyspark.sql.types import (
 )
 
 from ..operators import ledger as L
-from ..schemas import MONEY, PRODUCTS
+from ..schemas import CUSTOMERS, MONEY, PRODUCTS
 from ..sources.sinks import read_snapshot, snapshot_meta, write_snapshot
 
 COMMANDS = StructType(
@@ -120,3 +122,84 @@ def start_command_stream(
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+# ---------------------------------------------------------------- credit (M7)
+
+CREDIT_COMMANDS = StructType(
+    [
+        StructField("transaction_type", StringType(), False),  # 'debt' | 'payment'
+        StructField("shop_id", LongType(), False),
+        StructField("id", LongType(), False),
+        StructField("customer_id", LongType(), True),
+        StructField("amount", MONEY, True),
+        StructField("transaction_date", DateType(), True),
+    ]
+)
+BALANCES = StructType(
+    [
+        StructField("shop_id", LongType(), False),
+        StructField("customer_id", LongType(), False),
+        StructField("balance", MONEY, True),
+    ]
+)
+
+
+def apply_credit_batch(
+    spark: SparkSession, cmds: DataFrame, batch_id: int, customers_dir: str, balances_dir: str, ledger_dir: str
+) -> bool:
+    """Apply one batch of debts and payments; ``False`` when already applied.
+
+    The batch's ledger outcomes go to a folder named by the batch id; the
+    balance change is summed from the accepted rows read back from storage
+    and merged into a new balance snapshot (customers without rows keep
+    theirs), committed with the batch id.
+    """
+    meta = snapshot_meta(spark, balances_dir)
+    if meta is not None and int(meta.get("batch_id", -1)) >= batch_id:
+        return False
+    customers = read_snapshot(spark, customers_dir, CUSTOMERS)
+    opening = read_snapshot(spark, balances_dir, BALANCES)
+    out_dir = f"{ledger_dir.rstrip('/')}/debt_transactions/batch_id={batch_id}"
+    L.apply_payments(customers, cmds, opening).write.mode("overwrite").parquet(out_dir)
+    signed = F.when(F.col("transaction_type") == "debt", F.col("amount")).otherwise(-F.col("amount")).cast(MONEY)
+    delta = (
+        spark.read.parquet(out_dir)
+        .where(F.col("status") == L.ACCEPTED)
+        .groupBy("shop_id", "customer_id")
+        .agg(F.sum(signed).alias("_delta"))
+    )
+    after = opening.join(delta, ["shop_id", "customer_id"], "full").select(
+        "shop_id",
+        "customer_id",
+        (F.coalesce(F.col("balance"), F.lit(0).cast(MONEY)) + F.coalesce(F.col("_delta"), F.lit(0).cast(MONEY)))
+        .cast(MONEY)
+        .alias("balance"),
+    )
+    write_snapshot(spark, after, balances_dir, {"batch_id": batch_id})
+    return True
+
+
+def start_credit_stream(
+    spark: SparkSession,
+    source_dir: str,
+    customers_dir: str,
+    balances_dir: str,
+    ledger_dir: str,
+    checkpoint_dir: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Start the debt/payment ingest stream."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        apply_credit_batch(batch.sparkSession, batch, batch_id, customers_dir, balances_dir, ledger_dir)
+
+    writer = (
+        spark.readStream.schema(CREDIT_COMMANDS)
+        .option("recursiveFileLookup", "true")
+        .parquet(source_dir)
+        .writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint_dir)
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()

@@ -62,3 +62,29 @@ def test_stream_equals_batch_and_is_idempotent(spark):
     assert meta["batch_id"] >= 1 and meta["seq"] >= 3
     assert I.apply_command_batch(spark, cmds, 0, prod, led) is False
     assert snapshot_meta(spark, prod) == meta
+
+
+def test_credit_stream_equals_batch(spark):
+    t = DriverTables(spark, SF_SMALL)
+    base = scratch_path(spark, "credit-test")
+    src, cust, bal, led, ckpt = (f"{base}/{n}" for n in ("source", "customers", "balances", "ledger", "checkpoint"))
+    customers = fx.customers(t)
+    write_snapshot(spark, customers, cust)
+    cmds = fx.debts(t).select(*[F.col(f.name).cast(f.dataType) for f in I.CREDIT_COMMANDS.fields])
+    cut = F.lit(date(1995, 1, 1))
+    cmds.where(F.col("transaction_date") < cut).write.parquet(f"{src}/a")
+    I.start_credit_stream(spark, src, cust, bal, led, ckpt, available_now=True).awaitTermination(300)
+    cmds.where(F.col("transaction_date") >= cut).write.parquet(f"{src}/b")
+    q = I.start_credit_stream(spark, src, cust, bal, led, ckpt, available_now=True)
+    q.awaitTermination(300)
+    assert q.exception() is None
+
+    outcomes = L.apply_payments(customers, cmds)
+    streamed = spark.read.parquet(f"{led}/debt_transactions").drop("batch_id")
+    assert _rows(streamed.select(*outcomes.columns)) == _rows(outcomes)
+    acc = outcomes.where(F.col("status") == L.ACCEPTED)
+    signed = F.when(F.col("transaction_type") == "debt", F.col("amount")).otherwise(-F.col("amount"))
+    want = acc.groupBy("shop_id", "customer_id").agg(F.round(F.sum(signed), 2).alias("b"))
+    got = read_snapshot(spark, bal, I.BALANCES).select("shop_id", "customer_id", F.col("balance").cast("double"))
+    assert _rows(got) == _rows(want)
+    assert I.apply_credit_batch(spark, cmds, 0, cust, bal, led) is False
