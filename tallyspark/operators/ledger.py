@@ -302,25 +302,45 @@ def apply_restocks_stock(products: DataFrame, commands: DataFrame) -> DataFrame:
 def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
     """M9: sales and restocks on one timeline per product.  A sale sees the stock
     and the buy price left by every earlier command (restocks first on ties).
-    Invalid sale requests ride through the same pass as skipped rows."""
-    p = products.select(
-        F.col("shop_id").alias("_p_shop"), F.col("id").alias("_p_id"), "stock_quantity", "buy_price", "sell_price"
-    )
-    rs = apply_restocks(products, restocks).select(
-        "shop_id", "product_id", "id", F.col("restock_date").alias("command_date"),
-        F.col("quantity_added").alias("quantity"), F.lit(0).alias("_rank"), F.lit(ADD).alias("_kind"),
-        F.when(F.col("updated_buy_price"), _cents("unit_buy_price")).alias("_mark"), F.lit("").alias("_reasons"),
-    )
-    sv = validate_sales(products, sales)
-    ss = sv.select(
-        "shop_id", "product_id", "id", "command_date", "quantity", F.lit(1).alias("_rank"),
-        F.when(F.col("accepted"), F.lit(TAKE)).otherwise(F.lit(SKIP)).alias("_kind"),
-        F.lit(None).cast("long").alias("_mark"), F.col("reasons").alias("_reasons"),
-    )
-    cmds = rs.unionByName(ss)
-    cmds = cmds.join(p, (F.col("shop_id") == F.col("_p_shop")) & (F.col("product_id") == F.col("_p_id")), "left")
-    cmds = cmds.select(
-        "shop_id", "product_id", "id", "command_date", "quantity", "_rank", "_kind", "_mark", "_reasons", "sell_price",
+
+    Both command kinds are unioned and joined to the products once; each row
+    is validated by its kind's rules (V3 for sales, V6 for restocks) and
+    invalid rows ride through the fold as skips.  Only sale rows are reported.
+    """
+    none = F.lit(None)
+    s = sales.select(
+        "shop_id", "product_id", "id", "command_date", "quantity", F.lit(True).alias("_is_sale"),
+        F.lit(1).alias("_rank"), none.cast("string").alias("supplier_name"),
+        none.cast(MONEY).alias("unit_buy_price"), none.cast("boolean").alias("update_buy_price"),
+    )
+    r = restocks.select(
+        "shop_id", "product_id", "id", "command_date", "quantity", F.lit(False).alias("_is_sale"),
+        F.lit(0).alias("_rank"), "supplier_name", "unit_buy_price", "update_buy_price",
+    )
+    j = _with_product(s.unionByName(r), products)
+    qty_bad = F.coalesce(F.col("quantity"), F.lit(0)) <= 0
+    missing = F.col("_p_id").isNull()
+    sale_reasons = F.array_join(reasons((qty_bad, "quantity_not_positive"), (missing, "product_not_found")), ";")
+    restock_reasons = F.array_join(
+        reasons(
+            (qty_bad, "quantity_not_positive"),
+            (is_blank("supplier_name"), "supplier_required"),
+            (F.col("unit_buy_price") < 0, "negative_price"),
+            (missing, "product_not_found"),
+        ),
+        ";",
+    )
+    is_sale = F.col("_is_sale")
+    kind = (
+        F.when(is_sale, F.when(sale_reasons == "", F.lit(TAKE)).otherwise(F.lit(SKIP)))
+        .when(restock_reasons == "", F.lit(ADD))
+        .otherwise(F.lit(SKIP))
+    )
+    cmds = j.select(
+        "shop_id", "product_id", "id", "command_date", "quantity", "_rank", "_is_sale", "sell_price",
+        kind.alias("_kind"),
+        F.when(is_sale, sale_reasons).alias("_reasons"),
+        F.when(~is_sale & (restock_reasons == "") & F.col("update_buy_price"), _cents("unit_buy_price")).alias("_mark"),
         F.coalesce(F.col("quantity").cast("long"), F.lit(0)).alias("_amount"),
         F.coalesce(F.col("stock_quantity").cast("long"), F.lit(0)).alias("_opening"),
         _cents("buy_price").alias("_opening_mark"),
@@ -329,7 +349,7 @@ def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFr
         cmds, ["shop_id", "product_id"], ["command_date", "id", "_rank"], mark=True,
         chunk_cols=_chunks("command_date"), spread="id",
     )
-    sold = f.where(F.col("_kind") != ADD)
+    sold = f.where(F.col("_is_sale"))
     ok = F.col("accepted")
     buy = _from_cents(F.col("mark_at"))
     return sold.select(
