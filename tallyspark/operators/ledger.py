@@ -280,11 +280,23 @@ def apply_restocks(products: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def apply_restocks_stock(products: DataFrame, commands: DataFrame) -> DataFrame:
-    """M6: stock += Σ quantity; buy price = the last price-updating restock (by date, id)."""
-    led = apply_restocks(products, commands)
-    agg = led.groupBy("shop_id", F.col("product_id").alias("id")).agg(
-        F.sum("quantity_added").alias("_units"),
-        F.max(F.when(F.col("updated_buy_price"), F.struct("restock_date", "id", "unit_buy_price"))).alias("_last"),
+    """M6: stock += Σ quantity; buy price = the last price-updating restock (by date, id).
+
+    The row rules of V6 are applied before aggregating; "product exists" needs
+    no join of its own, since restocks of unknown products find no row in the
+    final products join.  One join with the products, after the batch is
+    reduced to one row per product.
+    """
+    ok = commands.where(
+        (F.coalesce(F.col("quantity"), F.lit(0)) > 0)
+        & ~is_blank("supplier_name")
+        & ~F.coalesce(F.col("unit_buy_price") < 0, F.lit(False))
+    )
+    agg = ok.groupBy("shop_id", F.col("product_id").alias("id")).agg(
+        F.sum("quantity").alias("_units"),
+        F.max(
+            F.when(F.col("update_buy_price"), F.struct("command_date", "id", money("unit_buy_price").alias("unit_buy_price")))
+        ).alias("_last"),
     )
     j = products.join(agg, ["shop_id", "id"], "left")
     return j.select(
