@@ -19,7 +19,9 @@ Plan (one scan of the commands, one shuffle):
   ``MAX_TABLE_LEVEL``) are found by a small aggregation job first; their
   count is at most rows / ``HOT_ROWS``, so that key list is broadcast with a
   proven bound.  Their commands are split into chunks folded in parallel
-  (``_chunked_fold``).  When no key is hot the plan is the single pass.
+  (``_chunked_fold``); the flagged commands are checkpointed to the shared
+  folder once, since three branches read them.  When no key is hot the plan
+  is the single pass.
 
 Optionally the fold also tracks a *mark*: the latest non-null value of a
 column seen so far on the key (e.g. the buy price set by the last restock),
@@ -36,6 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
+from ..session import ensure_checkpoint_dir
+
 ADD = 0
 TAKE = 1
 SKIP = 2
@@ -326,7 +330,12 @@ def greedy_fold(
         )
         if not hot_keys.isEmpty():  # one small aggregation job decides the plan
             # At most rows / hot_rows keys: a proven bound for the broadcast.
-            flagged = commands.join(F.broadcast(hot_keys), key_cols, "left")
+            # The flagged commands feed three branches (cold walk, chunk
+            # tables, replay); a reliable checkpoint in the shared folder
+            # scans and joins them once and cuts the lineage of the chunked
+            # stages.
+            ensure_checkpoint_dir(commands.sparkSession)
+            flagged = commands.join(F.broadcast(hot_keys), key_cols, "left").checkpoint()
             cold = flagged.where(F.col("_top").isNull() | (F.col("_kind") == SKIP)).drop("_top")
             chunk_names = [f"_chunk{i}" for i in range(len(chunk_cols))]
             hot = flagged.where(F.col("_top").isNotNull() & (F.col("_kind") != SKIP)).select(
