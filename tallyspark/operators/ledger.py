@@ -102,18 +102,23 @@ UPDATE_FIELDS = ["name", "category", "buy_price", "sell_price", "stock_quantity"
 
 def update_outcomes(products: DataFrame, updates: DataFrame) -> DataFrame:
     """M2 per command: unknown id, rule violations, or a name another product uses."""
-    known = products.select("shop_id", "id", name_key("name").alias("_own_nk")).withColumn("_known", F.lit(True))
-    names = products.select("shop_id", name_key("name").alias("_nk"), F.col("id").alias("_other_id"))
+    known = products.select("shop_id", "id").withColumn("_known", F.lit(True))
+    # One row per (shop, name key): several products may share a key, and a
+    # plain join on it would duplicate the update rows.
+    names = products.groupBy("shop_id", name_key("name").alias("_nk")).agg(
+        F.min("id").alias("_min_id"), F.max("id").alias("_max_id")
+    )
     u = validate_products(updates).withColumn("_nk", name_key("name"))
     u = u.join(known, ["shop_id", "id"], "left").join(names, ["shop_id", "_nk"], "left")
+    taken = F.col("_min_id").isNotNull() & ~((F.col("_min_id") == F.col("id")) & (F.col("_max_id") == F.col("id")))
     extra = F.concat_ws(
         ";",
         F.when(F.col("_known").isNull(), F.lit("not_found")),
-        F.when(F.col("_other_id").isNotNull() & (F.col("_other_id") != F.col("id")), F.lit("duplicate_name")),
+        F.when(taken, F.lit("duplicate_name")),
     )
     allr = F.concat_ws(";", F.nullif(F.col("reasons"), F.lit("")), F.nullif(extra, F.lit("")))
     return u.withColumn("reasons", allr).withColumn("accepted", F.col("reasons") == "").drop(
-        "_nk", "_own_nk", "_known", "_other_id"
+        "_nk", "_known", "_min_id", "_max_id"
     )
 
 

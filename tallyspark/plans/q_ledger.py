@@ -89,10 +89,11 @@ def insert_products(t):
 UPD_CTE = (
     ", u AS (SELECT x.*, concat_ws(';', CASE WHEN x.v1 <> '' THEN x.v1 END, "
     "CASE WHEN k.id IS NULL THEN 'not_found' END, "
-    "CASE WHEN o.id IS NOT NULL AND o.id <> x.id THEN 'duplicate_name' END) AS reasons "
-    f"FROM (SELECT *, {V1} AS v1 FROM t_product_updates) x "
+    "CASE WHEN o.min_id IS NOT NULL AND NOT (o.min_id = x.id AND o.max_id = x.id) THEN 'duplicate_name' END) "
+    f"AS reasons FROM (SELECT *, {V1} AS v1 FROM t_product_updates) x "
     "LEFT JOIN t_products k ON k.shop_id = x.shop_id AND k.id = x.id "
-    "LEFT JOIN t_products o ON o.shop_id = x.shop_id AND lower(trim(o.name)) = lower(trim(x.name))), "
+    "LEFT JOIN (SELECT shop_id, lower(trim(name)) AS nk, min(id) AS min_id, max(id) AS max_id FROM t_products "
+    "GROUP BY shop_id, lower(trim(name))) o ON o.shop_id = x.shop_id AND o.nk = lower(trim(x.name))), "
     "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shop_id, id ORDER BY command_date DESC, "
     "command_id DESC) AS rn FROM u WHERE reasons = '') y WHERE rn = 1)\n"
 )

@@ -170,3 +170,14 @@ def test_generator_weekend_boost_and_skips(spark):
     assert by_day[date(1998, 6, 13 - 7)] == 12  # Saturday: round(11.5) = 12
     assert by_day[date(1998, 6, 12)] == 10
     assert all(r.revenue == 2.0 * r.quantity and r.profit == 1.0 * r.quantity for r in rows)
+
+
+def test_update_rejected_when_name_key_is_shared(spark):
+    p = products_df(spark, [(1, 1, "Tea", "c", 1, 2, 5, 1), (1, 2, "TEA", "c", 1, 2, 5, 1)])
+    upd = spark.createDataFrame(
+        [(1, 1, TODAY, "u1", " tea ", "c", d(1), d(2), 5, 1)],
+        "shop_id long, id long, command_date date, command_id string, name string, category string, "
+        "buy_price decimal(12,2), sell_price decimal(12,2), stock_quantity int, low_stock_threshold int",
+    )
+    out = L.update_outcomes(p, upd).collect()
+    assert len(out) == 1 and not out[0].accepted and out[0].reasons == "duplicate_name"
