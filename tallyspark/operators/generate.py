@@ -79,8 +79,10 @@ def resolve_relative_rows(
     named entity's id in ``id_col`` and ``date_col = today - days_ago``.
 
     ``names(shop_id, id, name)`` is the current table; names match exactly, as
-    the generator wrote them; a row whose name is absent is dropped.
+    the generator wrote them; a row whose name is absent is dropped.  Should a
+    name occur twice, the highest id wins (a name → id map built in id order),
+    and the lookup side has one row per name, so no row is duplicated.
     """
-    keys = names.select("shop_id", F.col("name").alias(name_col), F.col("id").alias(id_col))
+    keys = names.groupBy("shop_id", F.col("name").alias(name_col)).agg(F.max("id").alias(id_col))
     j = rows.join(keys, ["shop_id", name_col], "inner")
     return j.withColumn(date_col, F.date_sub(date_lit(today), F.col("days_ago"))).drop("days_ago")

@@ -41,7 +41,8 @@ def generate_sales(t):
     with_tables(
         "SELECT d.shop_id, d.id, c.id AS customer_id, d.customer_name, d.transaction_type, "
         f"CAST(d.amount AS DOUBLE) AS amount, d.note, CAST({T} - d.days_ago AS DATE) AS transaction_date "
-        "FROM t_demo_debts d JOIN t_customers c ON c.shop_id = d.shop_id AND c.name = d.customer_name",
+        "FROM t_demo_debts d JOIN (SELECT shop_id, name, max(id) AS id FROM t_customers GROUP BY shop_id, name) c "
+        "ON c.shop_id = d.shop_id AND c.name = d.customer_name",
         "t_demo_debts",
         "t_customers",
     ),
