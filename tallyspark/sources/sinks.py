@@ -1,22 +1,22 @@
 """Sinks: CSV export (S9) and versioned snapshot tables.
 
 Snapshots are never overwritten in place: each batch writes a new version
-folder and then commits it by creating the next numbered pointer file, so a
-failed job leaves the previous version intact and readers never see half a
-table.  All folders
-live under shared storage (the cluster's ``spark.checkpoint.dir`` by default),
-never on an executor's local disk.
+folder and then commits it by creating the next numbered pointer (a one-row
+JSON table), so a failed job leaves the previous version intact and readers
+never see half a table.  Everything goes through the DataFrame reader and
+writer; all folders live under shared storage (the cluster's
+``spark.checkpoint.dir`` by default), never on an executor's local disk.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 CSV_OPTIONS = {
     "header": "true",
@@ -80,40 +80,30 @@ def read_ledger(
     return df.drop("month")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf), p, jvm
-
-
 POINTERS = "_pointers"
-
-
-def _pointer_dir(spark: SparkSession, table_dir: str):
-    fs, _, jvm = _fs(spark, table_dir)
-    return fs, jvm, jvm.org.apache.hadoop.fs.Path(f"{table_dir.rstrip('/')}/{POINTERS}")
+POINTER = StructType(
+    [
+        StructField("seq", LongType(), False),
+        StructField("version", StringType(), False),
+        StructField("batch_id", LongType(), True),
+    ]
+)
 
 
 def snapshot_meta(spark: SparkSession, table_dir: str) -> dict | None:
-    """Metadata of the current version: ``{"seq", "version", ...}`` or ``None``.
+    """Metadata of the current version: ``{"seq", "version", "batch_id"}`` or ``None``.
 
-    Pointers are small JSON files named by a zero-padded sequence number; the
-    highest one is current.  Committing a version only ever *creates* a file,
-    so a reader sees the old or the new version, never neither.
+    Each commit is a one-row JSON table under ``_pointers/<seq>``; the highest
+    sequence number is current.  A commit only ever *creates* a pointer, and
+    a pointer being written shows no data file until its job commits, so a
+    reader sees the old or the new version, never neither.
     """
-    fs, jvm, pdir = _pointer_dir(spark, table_dir)
-    if not fs.exists(pdir):
-        return None
-    names = sorted(st.getPath().getName() for st in fs.listStatus(pdir) if st.getPath().getName().endswith(".json"))
-    if not names:
-        return None
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(pdir, names[-1]))
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        return json.loads(reader.readLine())
-    finally:
-        stream.close()
+        pointers = spark.read.schema(POINTER).json(f"{table_dir.rstrip('/')}/{POINTERS}/*")
+        rows = pointers.orderBy(F.col("seq").desc()).limit(1).collect()
+    except AnalysisException:  # nothing committed yet
+        return None
+    return rows[0].asDict() if rows else None
 
 
 def current_version(spark: SparkSession, table_dir: str) -> str | None:
@@ -132,26 +122,18 @@ def read_snapshot(spark: SparkSession, table_dir: str, schema: StructType) -> Da
 def write_snapshot(spark: SparkSession, df: DataFrame, table_dir: str, meta: dict | None = None) -> str:
     """Write ``df`` as a new version folder, then commit it with a new pointer.
 
-    The pointer is written under a temporary name and renamed to the next
-    sequence number; if another writer took that number first the rename
-    fails and this commit raises instead of silently overwriting.
+    The pointer is written with ``mode("error")`` under the next sequence
+    number: if another writer committed that number first, this commit raises
+    instead of silently overwriting.
     """
     version = f"v-{uuid.uuid4().hex}"
     base = table_dir.rstrip("/")
     df.write.mode("error").parquet(f"{base}/{version}")
     prev = snapshot_meta(spark, base)
     seq = 1 if prev is None else int(prev["seq"]) + 1
-    body = {**(meta or {}), "seq": seq, "version": version}
-    fs, jvm, pdir = _pointer_dir(spark, base)
-    fs.mkdirs(pdir)
-    tmp = jvm.org.apache.hadoop.fs.Path(pdir, f".{version}.tmp")
-    out = fs.create(tmp, False)
-    try:
-        out.write(bytearray(json.dumps(body) + "\n", "utf-8"))
-    finally:
-        out.close()
-    if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(pdir, f"{seq:020d}.json")):
-        raise RuntimeError(f"snapshot commit {seq} of {base} lost to a concurrent writer")
+    batch_id = (meta or {}).get("batch_id")
+    pointer = spark.createDataFrame([(seq, version, None if batch_id is None else int(batch_id))], POINTER)
+    pointer.write.mode("error").json(f"{base}/{POINTERS}/{seq:020d}")
     return version
 
 

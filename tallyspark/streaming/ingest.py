@@ -65,6 +65,11 @@ SALE_COLUMNS = ["shop_id", "product_id", "id", "command_date", "quantity"]
 RESTOCK_COLUMNS = SALE_COLUMNS + ["supplier_name", "unit_buy_price", "update_buy_price"]
 
 
+def _applied(meta: dict | None, batch_id: int) -> bool:
+    """True when the committed snapshot already includes ``batch_id``."""
+    return meta is not None and meta.get("batch_id") is not None and int(meta["batch_id"]) >= batch_id
+
+
 def split_commands(cmds: DataFrame) -> tuple[DataFrame, DataFrame]:
     sales = cmds.where(F.col("kind") == SALE).select(*SALE_COLUMNS)
     restocks = cmds.where(F.col("kind") == RESTOCK).select(*RESTOCK_COLUMNS)
@@ -76,7 +81,7 @@ def apply_command_batch(
 ) -> bool:
     """Apply one batch of commands; ``False`` when the batch was already applied."""
     meta = snapshot_meta(spark, products_dir)
-    if meta is not None and int(meta.get("batch_id", -1)) >= batch_id:
+    if _applied(meta, batch_id):
         return False
     products = read_snapshot(spark, products_dir, PRODUCTS)
     sales, restocks = split_commands(cmds)
@@ -156,7 +161,7 @@ def apply_credit_batch(
     theirs), committed with the batch id.
     """
     meta = snapshot_meta(spark, balances_dir)
-    if meta is not None and int(meta.get("batch_id", -1)) >= batch_id:
+    if _applied(meta, batch_id):
         return False
     customers = read_snapshot(spark, customers_dir, CUSTOMERS)
     opening = read_snapshot(spark, balances_dir, BALANCES)
