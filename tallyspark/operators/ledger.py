@@ -64,9 +64,10 @@ def validate_products(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reasons", F.array_join(r, ";")).withColumn("accepted", F.col("reasons") == "")
 
 
-def duplicate_products(products: DataFrame, requests: DataFrame) -> DataFrame:
-    """V2: among rule-valid inserts, names already used in the shop (any case)
-    or repeated within the batch (the lowest ``seq`` keeps the name)."""
+def _insert_check(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """V1 + V2 on an insert batch: the rule-valid requests (all their columns)
+    with ``reason`` ('' = accepted): a name already used in the shop (any
+    case) or repeated within the batch (the lowest ``seq`` keeps it)."""
     v = validate_products(requests).where(F.col("accepted")).drop("reasons", "accepted")
     v = v.withColumn("_nk", name_key("name"))
     taken = products.select("shop_id", name_key("name").alias("_nk")).distinct().withColumn("_taken", F.lit(True))
@@ -78,13 +79,20 @@ def duplicate_products(products: DataFrame, requests: DataFrame) -> DataFrame:
         .when(F.col("seq") != F.col("_first"), F.lit("duplicate_in_batch"))
         .otherwise(F.lit(""))
     )
-    return v.select("shop_id", "seq", "name", reason.alias("reason"), (reason == "").alias("accepted"))
+    return v.withColumn("reason", reason).drop("_nk", "_taken", "_first")
+
+
+def duplicate_products(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """V2: among rule-valid inserts, names already used in the shop (any case)
+    or repeated within the batch (the lowest ``seq`` keeps the name)."""
+    c = _insert_check(products, requests)
+    return c.select("shop_id", "seq", "name", "reason", (F.col("reason") == "").alias("accepted"))
 
 
 def insert_products(products: DataFrame, requests: DataFrame) -> DataFrame:
-    """M1: the accepted inserts as product rows with new ids (trimmed text)."""
-    ok = duplicate_products(products, requests).where(F.col("accepted")).select("shop_id", "seq")
-    rows = requests.join(ok, ["shop_id", "seq"], "left_semi")
+    """M1: the accepted inserts as product rows with new ids (trimmed text).
+    The checked rows carry every request column, so the batch is not re-read."""
+    rows = _insert_check(products, requests).where(F.col("reason") == "")
     return rows.select(
         "shop_id",
         _new_ids(products, "id", requests).alias("id"),
