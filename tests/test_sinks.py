@@ -77,3 +77,18 @@ def test_read_ledger_prunes_month_folders(spark):
     want = fx.sales(t).where(f"sale_date BETWEEN DATE'{start}' AND DATE'{end}'").count()
     assert df.count() == want > 0
     assert df.columns == [f.name for f in SALES.fields]
+
+
+def test_report_over_written_ledger_equals_direct(spark):
+    from datetime import timedelta
+
+    from tallyspark.operators import reports as R
+    from tallyspark.schemas import SALES
+
+    t = DriverTables(spark, SF_SMALL)
+    path = scratch_path(spark, "ledger-report")
+    sinks.write_ledger(fx.sales(t), path, "sale_date")
+    window = sinks.read_ledger(spark, path, SALES, "sale_date", fx.TODAY - timedelta(days=6), fx.TODAY)
+    direct = R.restock_recommendations(fx.products(t), fx.sales(t), fx.TODAY)
+    stored = R.restock_recommendations(fx.products(t), window, fx.TODAY)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, stored.collect()))
