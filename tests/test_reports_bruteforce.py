@@ -62,3 +62,25 @@ def test_rounding_sweep_over_stock_and_units(spark):
         if listed:
             assert got[i].average_daily_sales == round(avg, 2), (stock, units)
             assert got[i].estimated_days_until_stockout == round(days, 1), (stock, units)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(sales=st.lists(st.tuples(st.integers(min_value=0, max_value=2), st.sampled_from("ABCDEFG"),
+                                st.integers(min_value=1, max_value=3), st.integers(min_value=1, max_value=3)),
+                      min_size=1, max_size=30))
+def test_top_k_matches_python_sort(spark, sales):
+    """Units desc, revenue desc, name asc; ties are common with these small values."""
+    rows = [(shop, f"s{k}", 1, name, q, TODAY, d(rev), d(0)) for k, (shop, name, q, rev) in enumerate(sales)]
+    got = {(r.shop_id, r.rank): (r.product_name, r.units_sold, r.revenue)
+           for r in R.top_selling_products(spark.createDataFrame(rows, S.SALES), 3).collect()}
+    want = {}
+    for shop in {s for s, *_ in sales}:
+        agg = {}
+        for s, name, q, rev in sales:
+            if s == shop:
+                u, r = agg.get(name, (0, 0))
+                agg[name] = (u + q, r + rev)
+        ranked = sorted(agg.items(), key=lambda kv: (-kv[1][0], -kv[1][1], kv[0]))[:3]
+        for rank, (name, (u, r)) in enumerate(ranked, start=1):
+            want[(shop, rank)] = (name, u, float(r))
+    assert got == want
