@@ -84,3 +84,24 @@ def test_top_k_matches_python_sort(spark, sales):
         for rank, (name, (u, r)) in enumerate(ranked, start=1):
             want[(shop, rank)] = (name, u, float(r))
     assert got == want
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.integers(min_value=0, max_value=4), st.sampled_from(["debt", "payment"]),
+                               st.integers(min_value=1, max_value=50000)), max_size=30))
+def test_balances_and_unpaid_match_python(spark, rows):
+    """Customers 0..4 of one shop; negative balances count 0 in the unpaid total."""
+    customers = spark.createDataFrame([(1, c, f"C{c}", None) for c in range(5)], S.CUSTOMERS)
+    debts = spark.createDataFrame(
+        [(1, k, c, f"C{c}", kind, d(cents / 100), None, TODAY) for k, (c, kind, cents) in enumerate(rows)], S.DEBTS
+    )
+    shops = spark.createDataFrame([(1, "S", 1)], S.SHOPS)
+    want = {c: [0, 0] for c in range(5)}
+    for c, kind, cents in rows:
+        want[c][0 if kind == "debt" else 1] += cents
+    got = {r.customer_id: r for r in R.customer_balances(customers, debts).collect()}
+    for c, (debt, paid) in want.items():
+        assert (got[c].total_debt, got[c].total_paid, got[c].remaining_balance) == (
+            debt / 100, paid / 100, (debt - paid) / 100)
+    unpaid = R.total_unpaid_debt(shops, customers, debts).collect()[0].total_unpaid
+    assert unpaid == sum(max(debt - paid, 0) for debt, paid in want.values()) / 100
