@@ -105,3 +105,33 @@ def test_balances_and_unpaid_match_python(spark, rows):
             debt / 100, paid / 100, (debt - paid) / 100)
     unpaid = R.total_unpaid_debt(shops, customers, debts).collect()[0].total_unpaid
     assert unpaid == sum(max(debt - paid, 0) for debt, paid in want.values()) / 100
+
+
+WORDS = ["restock", "best", "product", "profit", "week", "weekly", "today", "daily", "who", "owe", "debt",
+         "unpaid", "total", "low", "stock", "Stock", "PROFIT", " ", "?", "x"]
+
+
+def python_intent(question):
+    from tallyspark.operators import answers as A
+
+    q = question.strip().lower()
+    rules = [
+        ("restock" in q, A.RESTOCK),
+        ("best" in q and "product" in q, A.BEST),
+        ("profit" in q and ("week" in q or "weekly" in q), A.PROFIT_WEEK),
+        ("profit" in q and ("today" in q or "daily" in q), A.PROFIT_TODAY),
+        ("who" in q and ("owe" in q or "debt" in q), A.DEBTORS),
+        ("unpaid" in q or ("total" in q and "debt" in q), A.UNPAID),
+        ("low" in q and "stock" in q, A.LOW_STOCK),
+    ]
+    return next((intent for hit, intent in rules if hit), A.HELP)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(qs=st.lists(st.lists(st.sampled_from(WORDS), max_size=5).map("".join), min_size=1, max_size=40))
+def test_intents_match_python_rules(spark, qs):
+    from tallyspark.operators import answers as A
+
+    df = spark.createDataFrame([(i, 1, q) for i, q in enumerate(qs)], S.QUESTIONS)
+    got = {r.question_id: r.intent for r in A.question_intent(df).collect()}
+    assert got == {i: python_intent(q) for i, q in enumerate(qs)}
