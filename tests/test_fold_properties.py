@@ -90,3 +90,36 @@ def test_chunked_fold_matches_sequential_walk(spark, keys, marks):
         assert r.accepted == ok
         if r._kind != SKIP:  # a skipped row may be walked apart from its key
             assert (r.level_after, r.mark_at) == (lvl, m)
+
+
+def test_mixed_hot_and_cold_keys_in_one_call(spark):
+    """Keys above and below ``hot_rows`` in the same batch: cold keys walked,
+    hot keys chunked, results unioned; compared with the sequential walk."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows, expected = [], {}
+    for k in range(6):
+        opening, level, mark = rng.randint(0, 20), None, 700 + k
+        level = opening
+        for pos in range(rng.choice([5, 8, 40, 60])):
+            kind, a = rng.choice([ADD, TAKE, TAKE, SKIP]), rng.randint(0, 9)
+            m = rng.choice([None, rng.randint(1, 99)]) if kind == ADD else None
+            ok = kind == ADD or (kind == TAKE and a <= level)
+            level += a if kind == ADD else (-a if ok else 0)
+            mark = m if m is not None else mark
+            rows.append((k, pos, kind, a, opening, m, 700 + k, f"{k}-{pos}"))
+            expected[(k, pos)] = (ok, level, mark, kind)
+    df = spark.createDataFrame(
+        rows, "k long, pos long, _kind int, _amount long, _opening long, _mark long, _opening_mark long, sid string"
+    )
+    out = greedy_fold(df, ["k"], ["pos"], mark=True, chunk_cols=[F.floor(F.col("pos") / 4)], hot_rows=20,
+                      spread="sid")
+    got = {(r.k, r.pos): r for r in out.collect()}
+    assert set(got) == set(expected)
+    for key, (ok, lvl, m, kind) in expected.items():
+        assert got[key].accepted == ok
+        if kind != SKIP:
+            assert (got[key].level_after, got[key].mark_at) == (lvl, m)
