@@ -181,3 +181,23 @@ def test_update_rejected_when_name_key_is_shared(spark):
     )
     out = L.update_outcomes(p, upd).collect()
     assert len(out) == 1 and not out[0].accepted and out[0].reasons == "duplicate_name"
+
+
+def test_customer_upsert_rules(spark):
+    customers = spark.createDataFrame([(1, 10, "Amina", "0600")], S.CUSTOMERS)
+    cmds = spark.createDataFrame(
+        [(1, 1, " amina ", "0611", 5.0, None, TODAY),       # existing, any case: phone overwritten
+         (1, 2, "AMINA", " ", 5.0, None, TODAY),            # blank phone keeps the last given one
+         (1, 3, "Driss", " ", 7.0, None, TODAY),            # new customer, first spelling wins
+         (1, 4, "DRISS", "0722", 7.0, None, TODAY),         # same new customer, gives the phone
+         (1, 5, "Zed", None, 0.001, None, TODAY)],          # amount rounds to 0.00: rejected, no customer
+        "shop_id long, seq long, customer_name string, phone string, amount double, note string, command_date date",
+    )
+    after = {r.name: r for r in L.upsert_customers(customers, cmds).collect()}
+    assert set(after) == {"Amina", "Driss"}
+    assert after["Amina"].id == 10 and after["Amina"].phone == "0611"
+    assert after["Driss"].id > 10 and after["Driss"].phone == "0722"
+    rows = {r.id: r for r in L.apply_debts(customers, cmds).collect()}
+    assert rows[1].customer_id == rows[2].customer_id == 10 and rows[1].customer_name == "amina"
+    assert rows[3].customer_id == rows[4].customer_id == after["Driss"].id
+    assert rows[5].status == "rejected" and rows[5].customer_id is None
