@@ -201,3 +201,19 @@ def test_customer_upsert_rules(spark):
     assert rows[1].customer_id == rows[2].customer_id == 10 and rows[1].customer_name == "amina"
     assert rows[3].customer_id == rows[4].customer_id == after["Driss"].id
     assert rows[5].status == "rejected" and rows[5].customer_id is None
+
+
+def test_delete_sets_null_and_cascades(spark):
+    p = products_df(spark, [(1, 1, "Tea", "c", 1, 2, 5, 1), (1, 2, "Rice", "c", 1, 2, 5, 1)])
+    s = _sales(spark, [(1, "s1", 1, "Tea", 1, TODAY, 2, 1), (1, "s2", 2, "Rice", 1, TODAY, 2, 1)])
+    gone = spark.createDataFrame([(1, 1), (1, 99)], "shop_id long, id long")
+    assert {r.id for r in L.delete_products(p, gone).collect()} == {2}
+    assert {(r.shop_id, r.id) for r in L.accepted_deletes(p, gone).collect()} == {(1, 1)}
+    after = {r.id: r for r in L.null_deleted_refs(s, p, gone).collect()}
+    assert after["s1"].product_id is None and after["s1"].product_name == "Tea"
+    assert after["s2"].product_id == 2
+    debts = spark.createDataFrame(
+        [(1, 1, 7, "A", "debt", d(5), None, TODAY), (1, 2, 8, "B", "debt", d(5), None, TODAY)], S.DEBTS
+    )
+    left = L.cascade_customer_delete(debts, spark.createDataFrame([(1, 7)], "shop_id long, id long"))
+    assert [r.customer_id for r in left.collect()] == [8]
