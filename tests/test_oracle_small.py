@@ -12,9 +12,10 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as E
+from tallyspark.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem conversations".split()
-KEYS = sorted(E.queries())
+KEYS = sorted(QUERIES)
 
 
 def _norm(v):
@@ -38,10 +39,10 @@ def duck():
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, duck, key):
-    df = E.queries()[key](spark, SF_SMALL)
+    df = QUERIES[key](spark, SF_SMALL)
     cols = sorted(df.columns)
     got = Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())
-    sql = E.oracle_sql().get(key)
+    sql = ORACLES.get(key)
     if sql is None:
         assert sum(got.values()) >= 0
         return
