@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, mixing, quality, secrets, simhash
 from .common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,44 @@ def register(f):
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(read_documents(spark, sf_dir), shingle=3, max_bits=2)
     return found.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
+@register
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).withColumn("found", secrets.find_spans(F.col("text")))
+    found = F.col("found")
+    count = lambda kind: F.size(secrets.of_kinds(found, kind)).cast("long").alias(f"n_{kind}")
+    base = [r.kind for r in secrets.RULES if r.base]
+    base_text = secrets.spans_text(secrets.of_kinds(found, *base))
+    return docs.select(
+        "doc_id",
+        *[count(kind) for kind in base],
+        F.sha2(base_text.cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(found).alias("spans"),
+    )
+
+
+@register
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(read_documents(spark, sf_dir))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[F.col(f"quality.{c}") for c in counts], "base_failed", "kept", "distance")
+
+
+@register
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "source")
+    return mixing.schedule(docs.withColumn("text", F.lit(None).cast("string"))).drop("text")
+
+
+@register
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = read_documents(spark, sf_dir).select("doc_id", bpe.encode("text", *vocabulary).alias("ids"))
+    docs = docs.select("doc_id", "ids", bpe.decode("ids", *vocabulary).alias("decoded"))
+    return docs.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
