@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, simhash
+from ..session import scratch_path
+from . import bpe, langid, licenses, lzprint, mixing, quality, rans, secrets, simhash
 from .common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,49 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register
+def op10_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "rans")
+    rans.write(read_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return rans.read(spark, path).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+@register
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.learn(docs.where(fold != 1), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text")
+    docs = docs.select("doc_id", "held_out", langid.predict("text", model, spark).alias("p"))
+    return docs.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@register
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.with_neighbours(read_documents(spark, sf_dir))
+
+
+@register
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_documents(spark, sf_dir))
+    words, base = F.col("places.word"), F.col("places.label")
+    both = F.array_union(base, F.col("blocks.label"))
+    listed = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
+    best = F.array_max(F.col("blocks.containment"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).cast("long").alias("first_word"),
+        F.array_max(words).cast("long").alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(both).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
