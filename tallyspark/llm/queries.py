@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, langid, licenses, lzprint, mixing, quality, rans, secrets, simhash
+from . import bpe, langid, licenses, lzprint, mixing, passages, quality, rans, secrets, simhash
 from .common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.find(read_documents(spark, sf_dir))
+    text = F.transform("spans", lambda s: F.concat_ws(":", s["begin"], s["end"], s["other"]))
+    return found.select("doc_id", "class_id", "n_links", F.array_join(text, ",").alias("passages"))
+
+
 @register
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_documents(spark, sf_dir))

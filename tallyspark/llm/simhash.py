@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
+from .graph import components
 
 HASH_SEED = 42
 MAX_BUCKET = 2048
@@ -62,6 +63,8 @@ def simhash64(text: str | None, shingle: int) -> int:
 def fingerprint(text: Column | str, shingle: int = 3) -> Column:
     """Fingerprint column (long); texts cross to Python in Arrow batches, nothing else does."""
 
+    small_batches()
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash64(t, shingle) for t in texts], dtype="int64")
@@ -144,30 +147,6 @@ def links(fps: DataFrame, max_bits: int = 2, max_bucket: int = MAX_BUCKET) -> Da
     return groups.select(F.explode(forest("fps")).alias("l")).select("l.a", "l.b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of (a, b) edges as (node, root), root the smallest node of its component.
-
-    Alternates large-star and small-star steps; every step keeps the number of
-    edges at most, each round is written to the shared folder, and the loop
-    ends when a round changes nothing.
-    """
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    now = store(edges.select(high.alias("u"), low.alias("v")).where("u <> v").distinct(), "cc")
-    mark = None
-    while True:
-        digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if digest == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = digest
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = store(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
-
-
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2,
     max_bucket: int = MAX_BUCKET,

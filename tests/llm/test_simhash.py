@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from tallyspark.llm import simhash as S
+from tallyspark.llm.graph import components
 
 DOC = "doc_id long, text string, lang string"
 
@@ -87,14 +88,14 @@ def test_links_connect_dense_fingerprints(spark):
     for bucket in (3, 2048):
         found = S.links(df, 2, bucket)
         assert all(((r.a ^ r.b) % 2**64).bit_count() <= 2 for r in found.collect())
-        got = {r.node: r.root for r in S.components(found).collect()}
+        got = {r.node: r.root for r in components(found).collect()}
         assert {f: got.get(f, f) for f in order} == {f: root(f) for f in order}
     assert want is None
 
 
 def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1002), (1002, 1000)], "a long, b long")
-    got = {r.node: r.root for r in S.components(df).collect()}
+    got = {r.node: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, 1002: 1000}
 
 
