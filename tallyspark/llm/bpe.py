@@ -19,6 +19,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,10 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pieces import PieceMemory
+from .common import small_batches
+from .pieces import PieceMemory, Remembered
+
+PRETOKENS = 1_200_000  # pre-tokens remembered, at most
 
 
 
@@ -90,48 +94,58 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.pretokens = Remembered(self.resolve, PRETOKENS)
         self.memory = PieceMemory(self.learn)
 
     def merge(self, token: bytes) -> bytes:
         """Ids of a byte string by heap merges over linked byte runs."""
         n, rank_of = len(token), self.ranks.get
-        end = list(range(1, n + 1))  # of the run that begins here; 0 once it has been merged away
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        end = list(range(1, n + 2))  # of the run that begins here; 0 once it has been merged away
         before = list(range(-1, n))
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank_of(token[i : i + 2])) is not None]
+        # an entry is rank, begin and stop of a pair in one number: the lowest rank comes first, then the leftmost
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank_of(token[i : i + 2])) is not None]
         heapify(heap)
         while heap:
-            _, a, mid, stop = heappop(heap)
-            if end[a] != mid or end[mid] != stop:
+            top = heappop(heap)
+            a, stop = top >> bits & mask, top & mask
+            mid = end[a]
+            if not mid or end[mid] != stop:
                 continue  # one of the two runs has grown or gone since
-            end[a], end[mid], before[stop] = stop, 0, a
+            end[a] = stop
+            end[mid] = 0
+            before[stop] = a
             if stop < n and (r := rank_of(token[a : end[stop]])) is not None:
-                heappush(heap, (r, a, stop, end[stop]))
+                heappush(heap, (r << bits | a) << bits | end[stop])
             if a and (r := rank_of(token[before[a] : stop])) is not None:
-                heappush(heap, (r, before[a], a, stop))
+                heappush(heap, (r << bits | before[a]) << bits | stop)
         ids, at = [], 0
         while at < n:
             ids.append(self.ranks[token[at : end[at]]])
             at = end[at]
-        return np.array(ids, dtype="<i4").tobytes()
+        return pack(f"<{len(ids)}i", *ids)
 
-    def resolve(self, pretokens: list[str]) -> dict[str, bytes]:
+    def resolve(self, pretokens: list[str]) -> list[bytes]:
         """Ids of distinct pre-tokens: the perfect hash first, the heap for what is not a token."""
         raw = [p.encode("utf-8", "replace") for p in pretokens]
         slots = self.perfect.slots(_hashes(raw)).tolist()
-        out = {}
-        for p, b, slot in zip(pretokens, raw, slots):
-            hit = slot >= 0 and self.slot_token[slot] == b
-            out[p] = self.slot_id[slot : slot + 1].tobytes() if hit else self.merge(b)
+        out = []
+        for token, slot in zip(raw, slots):
+            hit = slot >= 0 and self.slot_token[slot] == token
+            out.append(self.slot_id[slot : slot + 1].tobytes() if hit else self.merge(token))
         return out
 
     def learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces of text, each cut into pre-tokens."""
-        cut = [self.find(p) for p in pieces]
-        ids = self.resolve(list({t for p in cut for t in p}))
+        # an ASCII word, with the space before it, is one pre-token by itself
+        cut = [[p] if p[1:].isalpha() and p[0] == " " and p.isascii() else self.find(p) for p in pieces]
+        self.pretokens.start()
+        ids = self.pretokens.fill({t for p in cut for t in p})
         return [b"".join([ids[t] for t in p]) for p in cut]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        return (np.frombuffer(ids, dtype="<i4") for ids in self.memory.encode(texts))
+        return self.memory.encode(texts)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -151,6 +165,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(text: Column | str, path: str, pattern: str) -> Column:
     """Token ids (array<int>) of each text; special tokens are never made."""
+    small_batches()
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
@@ -161,6 +176,7 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
 
 def decode(ids: Column | str, path: str, pattern: str) -> Column:
     """Bytes of each array of token ids."""
+    small_batches()
 
     @F.pandas_udf("binary")
     def raw(lists: pd.Series) -> pd.Series:

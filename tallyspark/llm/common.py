@@ -37,6 +37,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches() -> None:
+    """At most ``BATCH_ROWS`` rows an Arrow batch, so that a batch of long texts fits in a Python worker."""
+    spark = SparkSession.active()
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def unused(name: str, columns: Iterable[str]) -> str:
     """``name``, with underscores added until it clashes with none of ``columns`` (in any case)."""
     taken = {c.lower() for c in columns}

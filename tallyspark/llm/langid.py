@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import store
+from .common import small_batches, store
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000
@@ -240,6 +240,8 @@ def predict(text: Column | str, model: Model, spark) -> Column:
     """struct(lang, score) of each text."""
     shared = spark.sparkContext.broadcast(model)
 
+    small_batches()
+
     @F.pandas_udf("lang string, score double")
     def best(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])

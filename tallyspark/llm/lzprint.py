@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 
 KEPT = 64
 DIGITS = 8
@@ -101,6 +101,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(text: Column | str) -> Column:
     """Fingerprint text: the sketch's hashes in hexadecimal, ascending."""
 
+    small_batches()
+
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([as_text(sketch_of(t)) for t in texts], dtype=object)
@@ -197,5 +199,6 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy()))
     extras = firsts.select(before.alias("bucket"), F.lit(1).alias("extra"), "doc_id", "text")
     rows = docs.select("bucket", F.lit(0).alias("extra"), "doc_id", "text").unionByName(extras)
+    small_batches()
     rows = rows.repartition(ranges, "bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text")
     return rows.mapInArrow(_walk, OUT)

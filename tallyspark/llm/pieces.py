@@ -12,42 +12,94 @@ The memory is a bounded cache: it never changes a result.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-MEMO = 300_000  # pieces remembered before the memory starts afresh
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+PIECES = 1_000_000  # pieces remembered, at most
 LONG_PIECE = 64  # characters; longer pieces are not remembered
-BLOCK_TEXTS = 256
+BLOCK_CHARS = 4_000_000  # of the texts whose pieces are numbered together
 UNSAFE_CUT = re.compile(r"\s \s|\s \Z")
 
 
+class Remembered:
+    """What was learned of at most ``limit`` keys, besides those of the request at hand.
+
+    Two generations: keys in use move to the young one; when it holds half the
+    limit it becomes the old one and what only the former old one held is
+    forgotten.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], Iterable], limit: int):
+        self.learn, self.limit = learn, limit
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.long: list[str] = []
+
+    def start(self) -> dict[str, object]:
+        """The dict that answers the next request; what it lacks is got by ``fill``."""
+        for key in self.long:
+            del self.young[key]
+        self.long = []
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
+        return self.young
+
+    def fill(self, keys: Iterable[str]) -> dict[str, object]:
+        """The same dict, with every one of ``keys``, until the next start."""
+        missing = set(keys).difference(self.young)
+        known = missing.intersection(self.old)
+        for key in known:
+            self.young[key] = self.old.pop(key)
+        fresh = list(missing - known)
+        self.long += [key for key in fresh if len(key) > LONG_PIECE]
+        self.young.update(zip(fresh, self.learn(fresh)))
+        return self.young
+
+
 class PieceMemory:
     """``learn`` gives the ids, as bytes, of each of a list of pieces."""
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = PIECES):
         self.learn = learn
-        self.first: dict[str, bytes] = {}  # by a text's first piece
-        self.later: dict[str, bytes] = {}  # by what follows a space
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), BLOCK_TEXTS):
-            block = [t if UNSAFE_CUT.search(t) else t.split(" ") for t in texts[at : at + BLOCK_TEXTS]]
-            cut = [p for p in block if isinstance(p, list)]
-            if len(self.first) + len(self.later) > MEMO:
-                self.first.clear()
-                self.later.clear()
-            heads = list({p[0] for p in cut if p[0] not in self.first})
-            self.first.update(zip(heads, self.learn(heads)))
-            fresh: set[str] = set()
-            for p in cut:
-                fresh.update(set(p[1:]).difference(self.later))
-            tails = list(fresh)
-            self.later.update(zip(tails, self.learn([" " + t for t in tails])))
-            for p in block:
-                if isinstance(p, str):
-                    yield self.learn([p])[0]
-                else:
-                    yield self.first[p[0]] + b"".join(map(self.later.__getitem__, p[1:]))
-            for memo, keys in ((self.first, heads), (self.later, tails)):
-                for key in keys:
-                    if len(key) > LONG_PIECE:
-                        del memo[key]
+        self.first = Remembered(learn, limit // 4)  # a text's first piece
+        self.later = Remembered(lambda keys: learn([" " + k for k in keys]), limit)  # what follows a space
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids (int32) of each text."""
+        block: list[str] = []
+        size = 0
+        for text in texts:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+        if block:
+            yield from self._block(block)
+
+    def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Each distinct piece of the block is looked up once; Arrow numbers the pieces."""
+        whole = [UNSAFE_CUT.search(t) is not None for t in texts]
+        cut = pc.split_pattern(pa.array([" " if w else t for t, w in zip(texts, whole)], pa.large_string()), " ")
+        numbered = pc.dictionary_encode(cut.flatten())
+        bounds, number = cut.offsets.to_numpy().copy(), numbered.indices.to_numpy().copy()
+        bounds -= bounds[0]
+        heads, tails = [t.split(" ", 1)[0] if not w else "" for t, w in zip(texts, whole)], numbered.dictionary.to_pylist()
+        self.first.start()
+        self.later.start()
+        first, later = self.first.fill(set(heads)), self.later.fill(tails)
+        # a text's first piece has no space before it: a number of its own
+        number[bounds[:-1]] = np.arange(len(tails), len(tails) + len(heads))
+        ids = [later[t] for t in tails] + [first[h] for h in heads]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[number]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[number] - (ends - n), n) + np.arange(ends[-1])
+        flat = np.frombuffer(b"".join(ids), dtype="<i4")[at]
+        cuts = np.concatenate([[0], ends])[bounds]
+        for i, text in enumerate(texts):
+            yield np.frombuffer(self.learn([text])[0], dtype="<i4") if whole[i] else flat[cuts[i] : cuts[i + 1]]

@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 from .pieces import PieceMemory
 
 SCALE_BITS = 20
@@ -170,19 +170,20 @@ def _tokenizer(path: str) -> PieceMemory:
 def token_ids(text: Column | str, path: str, end_id: int) -> Column:
     """Ids of each text and the end id: zstandard-compressed little-endian uint32."""
 
+    small_batches()
+
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        pack, end = zstandard.ZstdCompressor(level=3).compress, struct.pack("<I", end_id)
+        pack, end = zstandard.ZstdCompressor(level=3).compress, np.array([end_id], dtype="<u4")
         encoded = _tokenizer(path).encode(["" if t is None else t for t in texts])
-        return pd.Series([pack(_planes(x + end)) for x in encoded], dtype=object)
+        return pd.Series([pack(_narrow(np.concatenate([x.view("<u4"), end]))) for x in encoded], dtype=object)
 
     return ids(text)
 
 
-def _planes(raw: bytes) -> bytes:
-    """uint32 as uint16 where all fit (marked by the first byte), which compresses better."""
-    ids = np.frombuffer(raw, dtype="<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\x04" + raw
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids as uint16 where all fit (marked by the first byte), else as uint32."""
+    return b"\x02" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\x04" + ids.tobytes()
 
 
 def unpack_ids(packed: bytes) -> np.ndarray:

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MAX_EXACT = 32  # strings that a part of an expression may stand for before they become a query
 
 SPAN = "array<struct<kind:string,begin:int,end:int>>"
@@ -196,6 +198,8 @@ def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = set().union(*map(_named, queries))
 
+    small_batches()
+
     @F.pandas_udf(SPAN)
     def scan(texts: pd.Series) -> pd.Series:
         texts = ["" if t is None else t for t in texts]

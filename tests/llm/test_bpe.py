@@ -42,9 +42,12 @@ def test_perfect_hash_is_minimal_and_perfect():
     assert B.PerfectHash(keys[:0]).slots(keys[:3]).tolist() == [-1, -1, -1]
 
 
-def test_memo_overflow_changes_nothing(monkeypatch):
-    monkeypatch.setattr(P, "MEMO", 3)
-    same([f"w{i} x{i} y{i}" for i in range(600)])
+def test_forgetting_changes_nothing():
+    small = B.Codec(B.read_ranks(PATH), PATTERN)
+    small.memory, small.pretokens.limit = P.PieceMemory(small.learn, 6), 4
+    texts = [f"w{i % 40} x{i} y{i % 7} " + "z" * (i % 90) for i in range(900)]
+    assert [x.tolist() for x in small.encode(texts)] == [REFERENCE.encode_ordinary(t) for t in texts]
+    assert len(small.pretokens.old) + len(small.pretokens.young) < 3000
 
 
 def test_columns(spark):
