@@ -45,7 +45,7 @@ FLOORS = (0.06, 0.10, 0.10, 0.10)  # standard deviations added to every covarian
 SUPPORT = 0.75
 MIN_UNIT = 50
 STEPS = 3
-CONFIDENCE = 1 - 1e-9
+CONFIDENCE = 1 - 1e-7
 BINS_PER_DOUBLING = 32
 DIM = 4
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
