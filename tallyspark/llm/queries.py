@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, langid, licenses, lzprint, mixing, passages, quality, rans, secrets, simhash
+from . import bpe, langid, licenses, lzprint, mixing, oracles, passages, quality, rans, secrets, simhash
 from .common import read_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,6 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(both).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
+
+
+ORACLES.update(op3_secret_scan=oracles.secret_scan(), op8_license_scan=oracles.license_scan())
