@@ -20,6 +20,11 @@ CURRENCY_SUFFIX = " MAD"
 DELETED_PRODUCT = "Deleted product"
 UNNAMED_SHOP = "Unnamed shop"
 SOON_DAYS = 3
+# Fixed value: the characters that Python's ``str.strip`` removes.
+WHITE_SPACE = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WINDOW_DAYS = 7
 
 
@@ -67,17 +72,27 @@ def safe_iso_date(c: str | Column) -> Column:
     return F.try_to_date(col(c), "yyyy-MM-dd")
 
 
+def strip(c: str | Column) -> Column:
+    """Leading and trailing white space removed, as Python's ``str.strip`` does."""
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
+
+
 def blank_to_null(c: str | Column) -> Column:
-    return F.nullif(F.trim(col(c)), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def is_blank(c: str | Column) -> Column:
-    return col(c).isNull() | (F.trim(col(c)) == "")
+    return col(c).isNull() | (strip(c) == "")
+
+
+def violated(cond: Column) -> Column:
+    """A rule's "bad" condition, where null counts as bad."""
+    return F.coalesce(cond, F.lit(True))
 
 
 def name_key(c: str | Column) -> Column:
     """Case-insensitive matching key for product and customer names."""
-    return F.lower(F.trim(col(c)))
+    return F.lower(strip(c))
 
 
 def reasons(*rules: tuple[Column, str]) -> Column:
@@ -88,4 +103,10 @@ def reasons(*rules: tuple[Column, str]) -> Column:
 
 def coerce_money(c: str | Column) -> Column:
     """Text or number to money; unparsable → 0 (hosted-path coercion)."""
-    return F.coalesce(F.trim(col(c).cast("string")).try_cast(MONEY), dec("0.00"))
+    return F.coalesce(strip(col(c).cast("string")).try_cast(MONEY), dec("0.00"))
+
+
+def coerce_int(c: str | Column) -> Column:
+    """Text or number to an integer: any number is cut toward zero, what is none becomes 0."""
+    number = strip(col(c).cast("string")).try_cast("double")
+    return F.coalesce(number.try_cast("int"), F.lit(0))

@@ -17,12 +17,12 @@ in two levels (per stock/name bucket, then per shop).
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import money_text
+from ..functions.expr import money_text, name_key
 from . import reports as R
 
 # Intent names and the answer sentences (must equal the reference's).
@@ -63,11 +63,11 @@ def _has(q: Column, word: str) -> Column:
 
 def intent_of(question: str | Column) -> Column:
     """Q1: the first matching rule wins; plain substrings of the lower-cased text."""
-    q = F.lower(F.trim(F.col(question) if isinstance(question, str) else question))
+    q = name_key(question)
     return (
         F.when(_has(q, "restock"), F.lit(RESTOCK))
         .when(_has(q, "best") & _has(q, "product"), F.lit(BEST))
-        .when(_has(q, "profit") & (_has(q, "week") | _has(q, "weekly")), F.lit(PROFIT_WEEK))
+        .when(_has(q, "profit") & _has(q, "week"), F.lit(PROFIT_WEEK))
         .when(_has(q, "profit") & (_has(q, "today") | _has(q, "daily")), F.lit(PROFIT_TODAY))
         .when(_has(q, "who") & (_has(q, "owe") | _has(q, "debt")), F.lit(DEBTORS))
         .when(_has(q, "unpaid") | (_has(q, "total") & _has(q, "debt")), F.lit(UNPAID))
@@ -175,38 +175,144 @@ def answer_unpaid(shops: DataFrame, customers: DataFrame, debts: DataFrame) -> D
     )
 
 
-def _bucketed_item_list(items: DataFrame, buckets: list[Column], order: list[str], item: Column) -> DataFrame:
-    """``(shop_id, text)`` for lists of unbounded length, built in two levels.
+PART_ITEMS = 1000  # items of one part of an unbounded list
 
-    ``buckets`` must be non-decreasing along ``order`` (contiguous runs of
-    it).  Each bucket joins its own items in parallel; the shop then joins
-    the bucket texts in bucket order, so no single group sorts the whole
-    list.  The text itself is one value per shop, as the answer requires.
+
+def answer_low_stock(shops: DataFrame, products: DataFrame) -> DataFrame:
+    """Q7: every low-stock product of the shop, lowest stock first, in numbered parts of ``PART_ITEMS`` items."""
+    low = products.where(F.col("stock_quantity") <= F.col("low_stock_threshold"))
+    item = F.concat(F.col("name"), F.lit(" ("), F.col("stock_quantity").cast("string"), F.lit(" left)"))
+    ranked = R.rank_within_shop(low, [F.col("stock_quantity"), F.col("name")], None, "pos")
+    packed = ranked.select("shop_id", _part("pos").alias("part"), F.struct("pos", item.alias("_item")).alias("_e"))
+    texts = packed.groupBy("shop_id", "part").agg(_joined("_e").alias("text"))
+    j = _shop_ids(shops).join(texts, "shop_id", "left")
+    answer = F.concat(F.lit(LOW_STOCK_PREFIX), F.col("text"), F.lit("."))
+    return j.select(
+        "shop_id",
+        F.lit(LOW_STOCK).alias("intent"),
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce(answer, F.lit(LOW_STOCK_EMPTY)).alias("answer"),
+    )
+
+
+def _part(rank: str) -> Column:
+    return F.floor((F.col(rank) - 1) / PART_ITEMS).cast("int")
+
+
+def _joined(entries: str) -> Column:
+    """Items of collected (position, item) entries, in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(entries)), lambda e: e["_item"]), ITEM_SEPARATOR)
+
+
+NUMBER = "decimal(24,4)"
+ITEM = (
+    "array<struct<intent:string,late:boolean,first:decimal(24,4),second:decimal(24,4),name:string,exact:string,"
+    "text:string,value:decimal(38,4)>>"
+)
+
+
+def _item(intent: str, keep: Column, first, second, name, text: Column | None, value: Column | None = None, exact=None, late=None):
+    """One entry of a shop's answer: its order (late, first, second, name, exact), its text or the value it adds."""
+    number = lambda x: (F.lit(None) if x is None else x).cast(NUMBER)
+    plain = lambda x: (F.lit(None) if x is None else x).cast("string")
+    entry = F.struct(
+        F.lit(intent).alias("intent"),
+        (F.lit(False) if late is None else late).alias("late"),
+        number(first).alias("first"),
+        number(second).alias("second"),
+        plain(name).alias("name"),
+        plain(exact).alias("exact"),
+        plain(text).alias("text"),
+        (F.lit(None) if value is None else value).cast("decimal(38,4)").alias("value"),
+    )
+    return F.when(keep, entry)
+
+
+def _entries(*items: Column) -> Column:
+    return F.filter(F.array(*items), lambda x: x.isNotNull()).cast(ITEM)
+
+
+def _stock_entries(products: DataFrame, sales: DataFrame, today: date) -> DataFrame:
+    """Entries of Q2, Q3, Q4 and Q7 from one scan of the sales and one of the products.
+
+    Sales are summed per (shop, product id, name) with conditional sums for the
+    periods; each sum then counts for its name (best sellers), its product
+    (7-day units) and its shop (profits).  Product rows join the same grouping.
     """
-    names = [f"_b{i}" for i in range(len(buckets))]
-    per_bucket = (
-        items.select("shop_id", *[b.alias(n) for b, n in zip(buckets, names)],
-                     F.struct(*[F.col(c) for c in order], item.alias("_item")).alias("_e"))
-        .groupBy("shop_id", *names)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_e")), lambda e: e["_item"]),
-                          ITEM_SEPARATOR).alias("_part"))
+    day = F.col("sale_date")
+    recent = day.between(F.lit(today - timedelta(days=R.WINDOW_DAYS - 1)), F.lit(today)) & F.col("product_id").isNotNull()
+    week = day.between(F.lit(R.week_start(today)), F.lit(today))
+    sums = R.dated_sales(sales).groupBy("shop_id", "product_id", "product_name").agg(
+        F.sum("quantity").cast("long").alias("units"),
+        F.sum("revenue").alias("revenue"),
+        F.sum(F.when(recent, F.col("quantity"))).cast("long").alias("recent"),
+        F.sum(F.when(week, F.col("profit"))).alias("week"),
+        F.sum(F.when(day == F.lit(today), F.col("profit"))).alias("day"),
+    )
+    money = "decimal(24,2)"
+    fields = {
+        "name": "string", "ref": "long", "units": "long", "revenue": money, "recent": "long", "week": money, "day": money,
+        "p": "struct<name:string,stock:int,low:int>",
+    }
+
+    def row(kind: str, **given: Column) -> Column:
+        cells = [(given.get(k, F.lit(None))).cast(t).alias(k) for k, t in fields.items()]
+        return F.struct(F.lit(kind).alias("kind"), *cells)
+
+    c = F.col
+    by_name = row("name", name=c("product_name"), units=c("units"), revenue=c("revenue"))
+    by_product = row("product", ref=c("product_id"), recent=c("recent"))
+    by_shop = row("shop", week=c("week"), day=c("day"))
+    sold = sums.select("shop_id", F.inline(F.array(by_name, by_product, by_shop)))
+    known = products.select(
+        "shop_id",
+        F.inline(F.array(row("product", ref=c("id"), p=F.struct(c("name"), c("stock_quantity"), c("low_stock_threshold"))))),
     )
-    return per_bucket.groupBy("shop_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(n) for n in names], F.col("_part")))),
-                        lambda e: e["_part"]),
-            ITEM_SEPARATOR,
-        ).alias("text")
+    facts = sold.unionByName(known).groupBy("shop_id", "kind", "name", "ref").agg(
+        *[F.sum(k).alias(k) for k in ("units", "revenue", "recent", "week", "day")], F.max("p").alias("p")
     )
+    units = F.coalesce(c("recent"), F.lit(0)).cast("int")
+    days = F.when(units > 0, c("p.stock").cast("double") / (units.cast("double") / F.lit(float(R.WINDOW_DAYS))))
+    low = c("p.stock") <= c("p.low")
+    soon = F.coalesce(days < R.SOON_DAYS, F.lit(False))
+    why = F.when(low & soon, F.lit(R.LOW_AND_SOON)).when(low, F.lit(R.LOW_ONLY)).otherwise(F.lit(R.SOON_ONLY))
+    stock = c("p.stock").cast("string")
+    is_product = (c("kind") == "product") & c("p").isNotNull()
+    shown = R.py_round1(days)
+    named = (c("kind") == "name") & c("name").isNotNull()
+    entries = _entries(
+        _item(BEST, named, -c("units"), -c("revenue"), c("name"),
+              F.concat(c("name"), F.lit(" ("), c("units").cast("string"), F.lit(" units)"))),
+        _item(RESTOCK, is_product & (low | soon), shown, c("p.stock"), c("p.name"),
+              F.concat(c("p.name"), F.lit(" ("), stock, F.lit(" left: "), why, F.lit(")")), late=shown.isNull()),
+        _item(LOW_STOCK, is_product & low, c("p.stock"), None, c("p.name"),
+              F.concat(c("p.name"), F.lit(" ("), stock, F.lit(" left)"))),
+        _item(PROFIT_WEEK, c("kind") == "shop", None, None, None, None, c("week")),
+        _item(PROFIT_TODAY, c("kind") == "shop", None, None, None, None, c("day")),
+    )
+    return facts.select("shop_id", F.inline(entries))
+
+
+def _balance_entries(customers: DataFrame, debts: DataFrame) -> DataFrame:
+    """Entries of Q5 and Q6 from one table of balances."""
+    left = F.col("remaining_balance")
+    zero = F.lit(0).cast("decimal(12,2)")
+    name = F.col("customer_name")
+    entries = _entries(
+        _item(DEBTORS, left > 0, -left, None, F.lower(name),
+              F.concat(name, F.lit(" ("), money_text("remaining_balance"), F.lit(")")), exact=name),
+        _item(UNPAID, F.lit(True), None, None, None, None, F.greatest(left, zero)),
+    )
+    return R.balance_totals(customers, debts).select("shop_id", F.inline(entries))
 
 
-def answer_low_stock(shops: DataFrame, products: DataFrame) -> DataFrame:
-    """Q7: every low-stock product of the shop, lowest stock first."""
-    low = products.where(F.col("stock_quantity") <= F.col("low_stock_threshold"))
-    item = F.concat(F.col("name"), F.lit(" ("), F.col("stock_quantity").cast("string"), F.lit(" left)"))
-    buckets = [F.col("stock_quantity"), F.substring(F.col("name"), 1, 2)]
-    lists = _bucketed_item_list(low, buckets, ["stock_quantity", "name"], item)
-    return _sentence(_shop_ids(shops), lists, LOW_STOCK, LOW_STOCK_PREFIX, LOW_STOCK_EMPTY)
+LISTS = {
+    RESTOCK: (RESTOCK_ITEMS, RESTOCK_PREFIX, RESTOCK_EMPTY),
+    BEST: (BEST_ITEMS, BEST_PREFIX, BEST_EMPTY),
+    DEBTORS: (DEBTOR_ITEMS, DEBTORS_PREFIX, DEBTORS_EMPTY),
+    LOW_STOCK: (None, LOW_STOCK_PREFIX, LOW_STOCK_EMPTY),
+}
+VALUES = {PROFIT_WEEK: PROFIT_WEEK_PREFIX, PROFIT_TODAY: PROFIT_TODAY_PREFIX, UNPAID: UNPAID_PREFIX}
 
 
 def answer_table(
@@ -217,30 +323,49 @@ def answer_table(
     debts: DataFrame,
     today: date,
 ) -> DataFrame:
-    """``(shop_id, intent, answer)`` for every shop and every intent but help."""
-    parts = [
-        answer_restock(shops, products, sales, today),
-        answer_best(shops, sales),
-        answer_profit(shops, products, sales, today),
-        answer_debtors(shops, customers, debts),
-        answer_unpaid(shops, customers, debts),
-        answer_low_stock(shops, products),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``(shop_id, intent, part, answer)`` for every shop and every intent but help, in one pass.
+
+    Sales, products, debts and customers are each read once; all answers share
+    one ranking and one grouping.  An unbounded list comes in numbered parts.
+    """
+    entries = _stock_entries(products, sales, today).unionByName(_balance_entries(customers, debts))
+    listed = entries.groupBy("shop_id", "intent", "late", "first", "second", "name", "exact", "text").agg(
+        F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")
+    )
+    order = Window.partitionBy("shop_id", "intent").orderBy("late", "first", "second", "name", "exact", "text")
+    ranked = listed.withColumn("rank", F.row_number().over(order))
+    limit = F.lit(None).cast("int")
+    for intent, (most, _, _) in LISTS.items():
+        if most is not None:
+            limit = F.when(F.col("intent") == intent, F.lit(most)).otherwise(limit)
+    part = F.when(F.col("text").isNull(), F.lit(0)).otherwise(_part("rank"))
+    entry = F.struct(F.col("rank").alias("pos"), F.array_join(F.array_repeat("text", F.col("n").cast("int")), ITEM_SEPARATOR).alias("_item"))
+    kept = ranked.where(F.coalesce(F.col("rank") <= limit, F.lit(True)))
+    kept = kept.select("shop_id", "intent", part.alias("part"), F.when(F.col("text").isNotNull(), entry).alias("_e"), "value")
+    texts = kept.groupBy("shop_id", "intent", "part").agg(_joined("_e").alias("text"), F.sum("value").alias("value"))
+    intents = F.explode(F.array(*[F.lit(i) for i in (*LISTS, *VALUES)]))
+    base = _shop_ids(shops).select("shop_id", intents.alias("intent"))
+    j = base.join(texts, ["shop_id", "intent"], "left")
+    answer = F.lit(None).cast("string")
+    for intent, (_, prefix, empty) in LISTS.items():
+        sentence = F.when(F.col("text").isNull(), F.lit(empty)).otherwise(F.concat(F.lit(prefix), F.col("text"), F.lit(".")))
+        answer = F.when(F.col("intent") == intent, sentence).otherwise(answer)
+    for intent, prefix in VALUES.items():
+        money = money_text(F.coalesce(F.col("value"), F.lit(0).cast("decimal(38,4)")))
+        answer = F.when(F.col("intent") == intent, F.concat(F.lit(prefix), money, F.lit("."))).otherwise(answer)
+    return j.select("shop_id", "intent", F.coalesce("part", F.lit(0)).alias("part"), answer.alias("answer"))
 
 
 def assistant_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Q8: each question with its intent and answer; unmatched → the help text."""
+    """Q8: each question with its intent and answer (a row per part); unmatched → the help text."""
     q = question_intent(questions)
-    a = answers.select(F.col("shop_id").alias("a_shop_id"), F.col("intent").alias("a_intent"), "answer")
+    a = answers.select(F.col("shop_id").alias("a_shop_id"), F.col("intent").alias("a_intent"), "part", "answer")
     j = q.join(a, (F.col("shop_id") == F.col("a_shop_id")) & (F.col("intent") == F.col("a_intent")), "left")
     return j.select(
         "question_id",
         "shop_id",
         "question",
         "intent",
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce(F.col("answer"), F.lit(HELP_TEXT)).alias("answer"),
     )

@@ -3,29 +3,32 @@
 State per key is a non-negative *level* (units in stock, or cents owed).
 Each command either ``add``s to it (restock, new debt) or tries to ``take``
 from it (sale, payment): a take is accepted only when it fits, and a
-rejected take changes nothing.  Because of that, a running ``sum() OVER`` is
+rejected take changes nothing (a take may need a little more than it takes, ``_extra``).  Because of that, a running ``sum() OVER`` is
 wrong; the commands of a key have to be applied in order.  Commands that
 failed validation travel along as ``skip``: rejected, state unchanged.
 
-Plan (one scan of the commands, one shuffle):
-
-* hash-partition by key, sort within partitions by ``(key, order)`` and
-  stream the rows through ``mapInArrow``.  The Python side keeps the state
-  of the *current* key only and walks Arrow batches, so memory is bounded by
-  the batch size, never by the size of a group; nothing is collected into an
-  array, a task or the driver.  Skipped rows are spread by their own id, so
-  a pile of invalid commands never forms one group.
-* Hot keys (more than ``HOT_ROWS`` commands, levels bounded by
-  ``MAX_TABLE_LEVEL``) are found by a small aggregation job first; their
-  count is at most rows / ``HOT_ROWS``, so that key list is broadcast with a
-  proven bound.  Their commands are split into chunks folded in parallel
-  (``_chunked_fold``); the flagged commands are checkpointed to the shared
-  folder once, since three branches read them.  When no key is hot the plan
-  is the single pass.
+One algorithm for every key, of any size, level and id type:
+
+1. The commands of a key are cut into *runs*: the rows with one value of the
+   first order column (the command date).  Runs are the unit of parallel work,
+   so a key that holds a large share of all rows is spread over its days.
+   Inside a run, running sums give its net change and its *need*: the smallest
+   entry level at which every take of the run fits.
+2. The run summaries of a key (one row a day) are chained: as long as each
+   run's entry level covers its need, all of its commands are accepted and the
+   next entry level is exact.  Those runs are settled without Python.
+3. From the first run of a key that does not fit, the key's rows are replayed
+   in order, streamed through ``mapInArrow`` with the exact entry level.  This
+   rest is sequential by nature (each decision changes the next).  It holds one
+   Arrow batch and one key's state; slices of a batch that fit as a whole, or
+   of which nothing fits, are settled by numpy prefix sums, and only mixed
+   slices are walked.
 
 Optionally the fold also tracks a *mark*: the latest non-null value of a
 column seen so far on the key (e.g. the buy price set by the last restock),
 reported for every row as ``mark_at``.
+
+The plan is lazy: nothing here runs a job.
 """
 
 from __future__ import annotations
@@ -34,315 +37,174 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
-
-from ..session import ensure_checkpoint_dir
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 ADD = 0
 TAKE = 1
 SKIP = 2
 
-
-HELPERS = ("_opening", "_opening_mark", "_mark")
-
-# Fixed parameters of the chunked path for hot keys.
-HOT_ROWS = 1_000_000  # commands of one key above which the key is split into chunks
-MAX_TABLE_LEVEL = 4096  # largest level for which per-chunk transfer tables are built
+HELPERS = ("_opening", "_opening_mark", "_mark", "_extra")
+SLICE = 512  # rows of one key settled at once where they all fit or none does
+
+
+def replay(kinds: np.ndarray, amounts: np.ndarray, level: int, extras: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(accepted, level after) of one key's commands in order, from ``level``."""
+    accepted = np.zeros(len(kinds), dtype=bool)
+    after = np.empty(len(kinds), dtype=np.int64)
+    extras = np.zeros(len(kinds), dtype=np.int64) if extras is None else extras
+    add, take = kinds == ADD, kinds == TAKE
+    for begin in range(0, len(kinds), SLICE):
+        part = slice(begin, begin + SLICE)
+        a, t, x, e = add[part], take[part], amounts[part], extras[part]
+        running = np.cumsum(np.where(a, x, 0) - np.where(t, x, 0))
+        if not t.any() or level + (running - e)[t].min() >= 0:
+            accepted[part] = a | t
+            after[part] = level + running
+        elif level + x[a].sum() < (x + e)[t].min():
+            accepted[part] = a
+            after[part] = level + np.cumsum(np.where(a, x, 0))
+        else:
+            rows = zip(a.tolist(), t.tolist(), x.tolist(), e.tolist())
+            for i, (is_add, is_take, amount, extra) in enumerate(rows, begin):
+                if is_add:
+                    level += amount
+                    accepted[i] = True
+                elif is_take and amount + extra <= level:
+                    level -= amount
+                    accepted[i] = True
+                after[i] = level
+        level = int(after[min(begin + SLICE, len(kinds)) - 1])
+    return accepted, after
 
 
-def _stream_fold(
-    key_cols: list[str],
-    has_mark: bool,
-    open_col: str = "_opening",
-    open_mark_col: str = "_opening_mark",
-    drop: tuple[str, ...] = HELPERS,
-):
-    """Per-partition function for ``mapInArrow``.
+def _stream(key_cols: list[str], has_mark: bool):
+    """Per-partition function for ``mapInArrow`` over rows sorted by key and order.
 
-    Rows arrive sorted by key and order.  Only the state of the current key
-    is kept (it carries over batch boundaries); columns that pass through
-    unchanged stay Arrow arrays, only the few fold inputs become Python lists.
+    Only the state of the current key is kept; it carries over batch boundaries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev_key: object = None
-        level = 0
-        mark = None
+        last_key: object = None
+        level, mark = 0, None
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            key_lists = [cols[c].to_pylist() for c in key_cols]
-            keys = key_lists[0] if len(key_lists) == 1 else list(zip(*key_lists))
-            kinds = cols["_kind"].to_pylist()
-            amounts = cols["_amount"].to_pylist()
-            openings = cols[open_col].to_pylist()
+            cols = dict(zip(batch.schema.names, batch.columns))
+            keys = list(zip(*(cols[c].to_pylist() for c in key_cols)))
+            bounds = [0, *(i for i in range(1, n) if keys[i] != keys[i - 1]), n]
+            kinds = cols["_kind"].to_numpy(zero_copy_only=False)
+            amounts = cols["_amount"].to_numpy(zero_copy_only=False)
+            extras = cols["_extra"].to_numpy(zero_copy_only=False)
+            openings = cols["_opening"].to_pylist()
+            accepted, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
             marks_in = cols["_mark"].to_pylist() if has_mark else None
-            open_marks = cols[open_mark_col].to_pylist() if has_mark else None
-            accepted = [False] * n
-            after = [0] * n
-            mark_at = [None] * n if has_mark else None
-            for i in range(n):
-                k = keys[i]
-                if k != prev_key:
-                    prev_key = k
-                    level = openings[i]
-                    if has_mark:
-                        mark = open_marks[i]
+            open_marks = cols["_opening_mark"].to_pylist() if has_mark else None
+            marks: list[int | None] = []
+            for begin, end in zip(bounds, bounds[1:]):
+                if keys[begin] != last_key:
+                    last_key, level = keys[begin], openings[begin]
+                    mark = open_marks[begin] if has_mark else None
+                accepted[begin:end], after[begin:end] = replay(
+                    kinds[begin:end], amounts[begin:end], level, extras[begin:end]
+                )
+                level = int(after[end - 1])
                 if has_mark:
-                    if marks_in[i] is not None:
-                        mark = marks_in[i]
-                    mark_at[i] = mark
-                a = amounts[i]
-                kind = kinds[i]
-                if kind == ADD:
-                    level += a
-                    accepted[i] = True
-                elif kind == TAKE and a <= level:
-                    level -= a
-                    accepted[i] = True
-                after[i] = level
-            names = [c for c in batch.schema.names if c not in drop]
-            arrays = [cols[c] for c in names]
+                    for m in marks_in[begin:end]:
+                        mark = mark if m is None else m
+                        marks.append(mark)
+            names = [c for c in batch.schema.names if c not in HELPERS]
+            arrays = [cols[c] for c in names] + [pa.array(accepted), pa.array(after)]
             names += ["accepted", "level_after"]
-            arrays += [pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())]
             if has_mark:
                 names.append("mark_at")
-                arrays.append(pa.array(mark_at, pa.int64()))
+                arrays.append(pa.array(marks, pa.int64()))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def _chunk_tables(ck: list[str], has_mark: bool):
-    """Pass 1 of the chunked fold: one transfer table per chunk.
-
-    ``table[l]`` is the level after the chunk for entry level ``l`` in
-    ``0 .. _top`` (``_top`` = opening + all adds of the key bounds every level
-    the key can reach).  Entries stay below ``2 * MAX_TABLE_LEVEL``, so tables
-    travel as int16 bytes (8 KB at most).  Rows arrive sorted by (key, chunk, order); each row
-    updates the whole table with one vectorised step.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {c: [] for c in ck + ["_table", "_last_mark", "_opening", "_opening_mark"]}
-        cur = None
-        table = None
-        last_mark = None
-        first: dict[str, object] = {}
-        key_types: dict[str, pa.DataType] = {}
-
-        def emit() -> None:
-            for c in ck:
-                out[c].append(first[c])
-            out["_table"].append(table.astype(np.int16).tobytes())
-            out["_last_mark"].append(last_mark)
-            out["_opening"].append(first["_opening"])
-            out["_opening_mark"].append(first.get("_opening_mark"))
-
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key_types.update({c: batch.schema.field(c).type for c in ck})
-            cols = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)
-                    if name in ck or name in ("_kind", "_amount", "_opening", "_top", "_mark", "_opening_mark")}
-            keys = list(zip(*(cols[c] for c in ck)))
-            for i, k in enumerate(keys):
-                if k != cur:
-                    if cur is not None:
-                        emit()
-                    cur = k
-                    table = np.arange(cols["_top"][i] + 1, dtype=np.int64)
-                    last_mark = None
-                    first = {c: cols[c][i] for c in ck}
-                    first["_opening"] = cols["_opening"][i]
-                    if has_mark:
-                        first["_opening_mark"] = cols["_opening_mark"][i]
-                a = cols["_amount"][i]
-                kind = cols["_kind"][i]
-                if kind == ADD:
-                    table += a
-                elif kind == TAKE:
-                    np.subtract(table, a, out=table, where=table >= a)
-                if has_mark and cols["_mark"][i] is not None:
-                    last_mark = cols["_mark"][i]
-        if cur is not None:
-            emit()
-        if out["_table"]:
-            types = {**key_types, "_table": pa.binary(), "_last_mark": pa.int64(),
-                     "_opening": pa.int64(), "_opening_mark": pa.int64()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], types[c]) for c in out], names=list(out))
-
-    return run
-
-
-def _chunk_entries(key_cols: list[str], chunk_names: list[str], has_mark: bool):
-    """Pass 2: walk each key's chunk tables in order to get every chunk's
-    entry level (and entry mark).  One table is in memory at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev = None
-        level = 0
-        mark = None
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            key_lists = [cols[c].to_pylist() for c in key_cols]
-            keys = list(zip(*key_lists))
-            openings = cols["_opening"].to_pylist()
-            open_marks = cols["_opening_mark"].to_pylist()
-            last_marks = cols["_last_mark"].to_pylist()
-            tables = cols["_table"]
-            entry = [0] * n
-            entry_mark = [None] * n
-            for i in range(n):
-                if keys[i] != prev:
-                    prev = keys[i]
-                    level = openings[i]
-                    mark = open_marks[i]
-                entry[i] = level
-                entry_mark[i] = mark
-                level = int(np.frombuffer(tables[i].as_py(), dtype=np.int16)[level])
-                if has_mark and last_marks[i] is not None:
-                    mark = last_marks[i]
-            names = key_cols + chunk_names
-            arrays = [cols[c] for c in names] + [pa.array(entry, pa.int64()), pa.array(entry_mark, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + ["_entry", "_entry_mark"])
-
-    return run
-
-
-def _chunked_fold(hot: DataFrame, key_cols: list[str], order_cols: list[str], chunk_names: list[str],
-                  mark: bool) -> DataFrame:
-    """Exact fold of hot keys split into chunks that run in parallel.
-
-    ``hot`` carries the chunk columns (contiguous runs of the order) and is
-    already hash-partitioned by ``xxhash64(key, chunk)``.  Pass 1 builds each
-    chunk's transfer table in parallel, pass 2 chains the tables per key (one
-    small row per chunk), pass 3 replays each chunk from its entry level in
-    parallel.  No task ever holds more than one chunk's state.
-    """
-    ck = key_cols + chunk_names
-    rows_schema = {f.name: f for f in hot.schema.fields}
-    table_schema = StructType(
-        [rows_schema[c] for c in ck]
-        + [
-            StructField("_table", BinaryType(), False),
-            StructField("_last_mark", LongType(), True),
-            StructField("_opening", LongType(), True),
-            StructField("_opening_mark", LongType(), True),
-        ]
-    )
-    tables = (
-        hot.select(*ck, *order_cols, "_kind", "_amount", "_opening", "_top",
-                   *(["_mark", "_opening_mark"] if mark else []))
-        .sortWithinPartitions(*ck, *order_cols)
-        .mapInArrow(_chunk_tables(ck, mark), table_schema)
-    )
-    entry_schema = StructType(
-        [rows_schema[c] for c in ck]
-        + [StructField("_entry", LongType(), True), StructField("_entry_mark", LongType(), True)]
-    )
-    entries = (
-        tables.repartition(F.xxhash64(*key_cols))
-        .sortWithinPartitions(*ck)
-        .mapInArrow(_chunk_entries(key_cols, chunk_names, mark), entry_schema)
-    )
-    e = entries.select(*[F.col(c).alias(f"_e{c}") for c in ck], "_entry", "_entry_mark")
-    on = [hot[c].eqNullSafe(e[f"_e{c}"]) for c in ck]  # chunk values may be null
-    j = hot.join(e, on, "inner").drop("_top", *[f"_e{c}" for c in ck])
-    drop = HELPERS + ("_entry", "_entry_mark")
-    fields = [f for f in j.schema.fields if f.name not in drop]
-    out_schema = StructType(
-        fields
-        + [StructField("accepted", BooleanType(), False), StructField("level_after", LongType(), True)]
-        + ([StructField("mark_at", LongType(), True)] if mark else [])
-    )
-    replay = (
-        j.repartition(F.xxhash64(*ck))
-        .sortWithinPartitions(*ck, *order_cols)
-        .mapInArrow(_stream_fold(ck, mark, "_entry", "_entry_mark", drop), out_schema)
-    )
-    return replay.drop(*chunk_names)
-
-
-def _walk(commands: DataFrame, key_cols: list[str], order_cols: list[str], mark: bool, spread: str | None) -> DataFrame:
-    """Single-pass walk of every key: one shuffle, one sort, streamed state."""
-    fields = [f for f in commands.schema.fields if f.name not in HELPERS]
-    out_schema = StructType(
-        fields
-        + [StructField("accepted", BooleanType(), False), StructField("level_after", LongType(), True)]
-        + ([StructField("mark_at", LongType(), True)] if mark else [])
-    )
-    # Every row of a key goes to one task, in order.  The partition hash is a
-    # derived expression, never the bare keys: a repartition on the keys can
-    # be dropped as redundant after an upstream join on them, and once AQE
-    # turns that join into a broadcast join its local shuffle reader hands
-    # each task one mapper's output, splitting keys across tasks.  Skipped
-    # rows are spread by ``spread`` (they never change state).
-    salt = [F.when(F.col("_kind") == SKIP, F.col(spread))] if spread else []
-    return (
-        commands.repartition(F.xxhash64(*key_cols, *salt))
-        .sortWithinPartitions(*key_cols, *order_cols)
-        .mapInArrow(_stream_fold(key_cols, mark), out_schema)
-    )
-
-
 def greedy_fold(
-    commands: DataFrame,
-    key_cols: list[str],
-    order_cols: list[str],
-    mark: bool = False,
-    chunk_cols: list[Column] | None = None,
-    hot_rows: int | None = None,
-    max_table_level: int | None = None,
-    spread: str | None = None,
+    commands: DataFrame, key_cols: list[str], order_cols: list[str], mark: bool = False, spread: str | None = None
 ) -> DataFrame:
     """Apply ordered add/take commands per key.
 
     ``commands`` must carry ``_kind`` (ADD/TAKE/SKIP), ``_amount`` (long,
     ≥ 0), ``_opening`` (long level before the batch) and, when ``mark`` is
-    set, ``_mark`` (long or null) and ``_opening_mark``.  Returns the commands
+    set, ``_mark`` (long or null) and ``_opening_mark``; optionally ``_extra``
+    (long, ≥ 0: what a take needs beyond its amount).  Returns the commands
     (minus those helper columns) with ``accepted``, ``level_after`` and, with
-    ``mark``, ``mark_at``.  ``spread`` names a unique column used to scatter
-    skipped rows.
-
-    With ``chunk_cols`` (expressions non-decreasing along the order, e.g. the
-    command date), a key with more than ``hot_rows`` commands whose levels
-    stay within ``max_table_level`` is folded by ``_chunked_fold`` in
-    parallel chunks instead of in one task.
+    ``mark``, ``mark_at`` (both null for skipped rows).  ``spread`` names a
+    unique column used to scatter skipped rows, so that a pile of invalid
+    commands never forms one group.
     """
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    max_table_level = MAX_TABLE_LEVEL if max_table_level is None else max_table_level
-    if chunk_cols:
-        top = F.max("_opening") + F.sum(F.when(F.col("_kind") == ADD, F.col("_amount")).otherwise(F.lit(0)))
-        hot_keys = (
-            commands.where(F.col("_kind") != SKIP)
-            .groupBy(*key_cols)
-            .agg(F.count(F.lit(1)).alias("_n"), top.cast("long").alias("_top"))
-            .where((F.col("_n") > hot_rows) & (F.col("_top") <= max_table_level))
-            .select(*key_cols, "_top")
-        )
-        if not hot_keys.isEmpty():  # one small aggregation job decides the plan
-            # At most rows / hot_rows keys: a proven bound for the broadcast.
-            # The flagged commands feed three branches (cold walk, chunk
-            # tables, replay); a reliable checkpoint in the shared folder
-            # scans and joins them once and cuts the lineage of the chunked
-            # stages.
-            ensure_checkpoint_dir(commands.sparkSession)
-            flagged = commands.join(F.broadcast(hot_keys), key_cols, "left").checkpoint()
-            cold = flagged.where(F.col("_top").isNull() | (F.col("_kind") == SKIP)).drop("_top")
-            chunk_names = [f"_chunk{i}" for i in range(len(chunk_cols))]
-            hot = flagged.where(F.col("_top").isNotNull() & (F.col("_kind") != SKIP)).select(
-                "*", *[c.alias(n) for c, n in zip(chunk_cols, chunk_names)]
-            )
-            hot = hot.repartition(F.xxhash64(*key_cols, *chunk_names))
-            return _walk(cold, key_cols, order_cols, mark, spread).unionByName(
-                _chunked_fold(hot, key_cols, order_cols, chunk_names, mark)
-            )
-    return _walk(commands, key_cols, order_cols, mark, spread)
+    if "_extra" not in commands.columns:
+        commands = commands.withColumn("_extra", F.lit(0).cast("long"))
+    run, live = order_cols[0], F.col("_kind") != SKIP
+    salt = F.when(~live, F.xxhash64(spread)) if spread else F.lit(None).cast("long")
+    net = F.when(F.col("_kind") == ADD, F.col("_amount")).when(F.col("_kind") == TAKE, -F.col("_amount")).otherwise(F.lit(0))
+    inside = Window.partitionBy(*key_cols, run, "_salt").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    rows = commands.withColumn("_salt", salt).withColumn("_net", net.cast("long"))
+    rows = rows.withColumn("_sum", F.sum("_net").over(inside))
+    if mark:
+        rows = rows.withColumn("_run_mark", F.last("_mark", ignorenulls=True).over(inside))
+
+    # one row a run: net change, need, and the last mark; chained per key
+    last_mark = [F.max(F.when(F.col("_mark").isNotNull(), F.struct(*order_cols, "_mark"))).alias("_last")] if mark else []
+    opens = [F.max("_opening_mark").alias("_open_mark")] if mark else []
+    runs = rows.where(live).groupBy(*key_cols, run, "_salt").agg(
+        F.sum("_net").alias("_change"),
+        F.max(F.when(F.col("_kind") == TAKE, F.col("_extra") - F.col("_sum")).otherwise(F.lit(0))).alias("_need"),
+        F.max("_opening").alias("_open"),
+        *opens,
+        *last_mark,
+    )
+    chain = Window.partitionBy(*key_cols).orderBy(run)
+    before, upto = chain.rowsBetween(Window.unboundedPreceding, -1), chain.rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("_entry", F.col("_open") + F.coalesce(F.sum("_change").over(before), F.lit(0)))
+    misses = F.max((F.col("_entry") < F.col("_need")).cast("int"))
+    runs = runs.withColumn("_late", misses.over(upto) == 1).withColumn("_later", F.coalesce(misses.over(before), F.lit(0)) == 1)
+    # the level with which a key's replay begins: the entry of its first run that does not fit
+    first_late = F.col("_late") & ~F.col("_later")
+    whole = Window.partitionBy(*key_cols)
+    runs = runs.withColumn("_replay", F.max(F.when(first_late, F.col("_entry"))).over(whole))
+    keep = ["_entry", "_late", "_replay"]
+    if mark:
+        entry_mark = F.coalesce(F.last("_last._mark", ignorenulls=True).over(before), F.col("_open_mark"))
+        runs = runs.withColumn("_entry_mark", entry_mark)
+        # a mark may be null for a whole key, so it travels in a struct
+        replay_mark = F.max(F.when(first_late, F.struct("_entry_mark"))).over(whole)
+        runs = runs.withColumn("_replay_mark", replay_mark["_entry_mark"])
+        keep += ["_entry_mark", "_replay_mark"]
+    names = [*key_cols, run]
+    runs = runs.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)], *keep)
+    same = live & F.col("_salt").isNull()
+    for i, c in enumerate(names):
+        same = same & rows[c].eqNullSafe(F.col(f"_r{i}"))
+    placed = rows.join(runs, same, "left").drop(*[f"_r{i}" for i in range(len(names))])
+
+    own = [c for c in commands.columns if c not in HELPERS]
+    done = placed.where(~live | ~F.col("_late"))
+    settled = done.select(
+        *own,
+        F.when(live, True).otherwise(False).alias("accepted"),
+        F.when(live, F.col("_entry") + F.col("_sum")).alias("level_after"),
+        *([F.when(live, F.coalesce("_run_mark", "_entry_mark")).alias("mark_at")] if mark else []),
+    )
+    rest = placed.where(live & F.col("_late")).withColumn("_opening", F.col("_replay"))
+    if mark:
+        rest = rest.withColumn("_opening_mark", F.col("_replay_mark"))
+    rest = rest.select(*commands.columns)
+    fields = [f for f in rest.schema.fields if f.name not in HELPERS]
+    schema = StructType(
+        fields
+        + [StructField("accepted", BooleanType(), False), StructField("level_after", LongType(), True)]
+        + ([StructField("mark_at", LongType(), True)] if mark else [])
+    )
+    # The partition hash is a derived expression, never the bare keys: a
+    # repartition on the keys can be dropped as redundant after a join on them,
+    # and an adaptive local shuffle read could then split a key over tasks.
+    replayed = rest.repartition(F.xxhash64(*key_cols)).sortWithinPartitions(*key_cols, *order_cols)
+    return settled.unionByName(replayed.mapInArrow(_stream(key_cols, mark), schema))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import DELETED_PRODUCT, UNNAMED_SHOP, to_double
+from ..schemas import RESTOCKS
 from .reports import product_list
 
 
@@ -76,15 +77,19 @@ def sales_current_names(sales: DataFrame, products: DataFrame) -> DataFrame:
     return sales_history(with_current_product_names(sales, products, DELETED_PRODUCT))
 
 
-def debt_history(debts: DataFrame, customers: DataFrame) -> DataFrame:
-    """S4 + J3: ledger rows with the customer's phone; null note/phone → ''."""
-    c = customers.select(F.col("shop_id").alias("c_shop_id"), F.col("id").alias("c_id"), F.col("phone"))
+def debt_history(debts: DataFrame, customers: DataFrame, name_mode: str = "snapshot") -> DataFrame:
+    """S4 + J3: ledger rows with the customer's phone; null note/phone → ''.
+    ``name_mode='current'`` shows the customer's present name ('' without a customer)."""
+    c = customers.select(
+        F.col("shop_id").alias("c_shop_id"), F.col("id").alias("c_id"), F.col("phone"), F.col("name").alias("c_name")
+    )
+    shown = F.col("c_name") if name_mode == "current" else F.col("customer_name")
     j = debts.join(c, (F.col("shop_id") == F.col("c_shop_id")) & (F.col("customer_id") == F.col("c_id")), "left")
     return j.select(
         "shop_id",
         "id",
         "customer_id",
-        F.coalesce("customer_name", F.lit("")).alias("customer_name"),
+        F.coalesce(shown, F.lit("")).alias("customer_name"),
         F.coalesce("phone", F.lit("")).alias("phone"),
         "transaction_type",
         to_double("amount").alias("amount"),
@@ -93,17 +98,7 @@ def debt_history(debts: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-RESTOCK_COLUMNS = [
-    "shop_id",
-    "id",
-    "product_id",
-    "product_name",
-    "quantity_added",
-    "supplier_name",
-    "unit_buy_price",
-    "restock_date",
-    "updated_buy_price",
-]
+RESTOCK_COLUMNS = RESTOCKS.names
 
 
 def restock_history(restocks: DataFrame, products: DataFrame | None = None, name_mode: str = "snapshot") -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import blank_to_null, is_blank, money, name_key, reasons, to_double
+from ..functions.expr import blank_to_null, is_blank, money, name_key, reasons, strip, to_double, violated
 from ..schemas import MONEY
 from .fold import ADD, SKIP, TAKE, greedy_fold
 
@@ -34,12 +34,6 @@ def _new_ids(existing: DataFrame, id_col: str, batch: DataFrame, seq_col: str =
     return top + F.lit(1) + (F.col(seq_col) - low)
 
 
-def _chunks(date_col: str) -> list[Column]:
-    """Chunks of a hot key for the parallel fold: one day, split by the first
-    two characters of the text id (contiguous in the (date, id) order)."""
-    return [F.col(date_col), F.substring(F.col("id"), 1, 2)]
-
-
 def _cents(c: str | Column) -> Column:
     return (money(c) * 100).cast("long")
 
@@ -54,12 +48,12 @@ def _from_cents(c: str | Column) -> Column:
 
 
 def validate_products(requests: DataFrame) -> DataFrame:
-    """V1: all violated rules per requested product row."""
+    """V1: all violated rules per requested product row; a missing number violates its rule."""
     r = reasons(
         (is_blank("name"), "name_required"),
         (is_blank("category"), "category_required"),
-        ((F.col("buy_price") < 0) | (F.col("sell_price") < 0), "negative_price"),
-        ((F.col("stock_quantity") < 0) | (F.col("low_stock_threshold") < 0), "negative_stock"),
+        (violated((F.col("buy_price") < 0) | (F.col("sell_price") < 0)), "negative_price"),
+        (violated((F.col("stock_quantity") < 0) | (F.col("low_stock_threshold") < 0)), "negative_stock"),
     )
     return requests.withColumn("reasons", F.array_join(r, ";")).withColumn("accepted", F.col("reasons") == "")
 
@@ -96,8 +90,8 @@ def insert_products(products: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select(
         "shop_id",
         _new_ids(products, "id", requests).alias("id"),
-        F.trim("name").alias("name"),
-        F.trim("category").alias("category"),
+        strip("name").alias("name"),
+        strip("category").alias("category"),
         money("buy_price").alias("buy_price"),
         money("sell_price").alias("sell_price"),
         F.col("stock_quantity").cast("int").alias("stock_quantity"),
@@ -108,25 +102,81 @@ def insert_products(products: DataFrame, requests: DataFrame) -> DataFrame:
 UPDATE_FIELDS = ["name", "category", "buy_price", "sell_price", "stock_quantity", "low_stock_threshold"]
 
 
+def _rename_walk(batches):
+    """Replays the contested commands of each shop in order (rows sorted by shop, rank, date, command id).
+
+    Rank 0 rows say who holds a contested name before the batch, rank 1 rows are
+    commands; the state is the contested names of the current shop.
+    """
+    shop, holders, held = None, {}, {}
+    for batch in batches:
+        taken = []
+        for row in zip(*(batch[c].tolist() for c in ("shop_id", "_rank", "id", "_nk", "_valid"))):
+            if row[0] != shop:
+                shop, holders, held = row[0], {}, {}
+            _, rank, product, name, valid = row
+            if rank == 0:
+                holders.setdefault(name, set()).add(product)
+                held[product] = name
+                taken.append(False)
+                continue
+            clash = bool(holders.get(name, set()) - {product})
+            taken.append(clash)
+            if valid and not clash:
+                holders.get(held.get(product), set()).discard(product)
+                holders.setdefault(name, set()).add(product)
+                held[product] = name
+        out = batch[["shop_id", "command_id"]].assign(_taken=taken)
+        yield out[batch["_rank"] == 1]
+
+
 def update_outcomes(products: DataFrame, updates: DataFrame) -> DataFrame:
-    """M2 per command: unknown id, rule violations, or a name another product uses."""
-    known = products.select("shop_id", "id").withColumn("_known", F.lit(True))
-    # One row per (shop, name key): several products may share a key, and a
-    # plain join on it would duplicate the update rows.
-    names = products.groupBy("shop_id", name_key("name").alias("_nk")).agg(
-        F.min("id").alias("_min_id"), F.max("id").alias("_max_id")
-    )
-    u = validate_products(updates).withColumn("_nk", name_key("name"))
-    u = u.join(known, ["shop_id", "id"], "left").join(names, ["shop_id", "_nk"], "left")
-    taken = F.col("_min_id").isNotNull() & ~((F.col("_min_id") == F.col("id")) & (F.col("_max_id") == F.col("id")))
+    """M2 per command: unknown id, rule violations, or a name that another product
+    of the shop uses at that moment.
+
+    Commands count in order (date, command id).  Only *contested* names need the
+    order: those that a command would move a product to or from.  A command
+    on any other name is decided by the opening snapshot.  The contested
+    commands of a shop are replayed in order, streamed, with the shop's
+    contested names as state.
+    """
+    own = products.select("shop_id", "id", name_key("name").alias("_own"))
+    u = validate_products(updates).withColumn("_nk", name_key("name")).join(own, ["shop_id", "id"], "left")
+    moves = u.where((F.col("reasons") == "") & F.col("_own").isNotNull() & (F.col("_nk") != F.col("_own")))
+    contested = moves.select("shop_id", F.explode(F.array("_nk", "_own")).alias("_nk")).distinct()
+    movers = moves.select("shop_id", "id").distinct()
+    # a mover's other commands belong to the replay too: they move it back
+    marked = u.join(contested.withColumn("_c", F.lit(True)), ["shop_id", "_nk"], "left").join(
+        movers.withColumn("_m", F.lit(True)), ["shop_id", "id"], "left"
+    )
+    order = ["shop_id", "_rank", "command_date", "command_id"]
+    commands = marked.where(F.col("_c") | F.col("_m")).select(
+        "shop_id", F.lit(1).alias("_rank"), "command_date", "command_id", "id", "_nk",
+        ((F.col("reasons") == "") & F.col("_own").isNotNull()).alias("_valid"),
+    )
+    opening = own.withColumnRenamed("_own", "_nk").join(contested, ["shop_id", "_nk"], "left_semi").select(
+        "shop_id", F.lit(0).alias("_rank"), F.lit(None).cast("date").alias("command_date"),
+        F.lit(None).cast(dict(updates.dtypes)["command_id"]).alias("command_id"), "id", "_nk", F.lit(True).alias("_valid"),
+    )
+    types = dict(updates.dtypes)
+    walked = (
+        commands.unionByName(opening)
+        .repartition(F.xxhash64("shop_id"))
+        .sortWithinPartitions(*order)
+        .mapInPandas(_rename_walk, f"shop_id {types['shop_id']}, command_id {types['command_id']}, _taken boolean")
+    )
+    # names that no command moves: taken if the opening snapshot has another holder
+    others = own.groupBy("shop_id", F.col("_own").alias("_nk")).agg(F.min("id").alias("_min_id"), F.max("id").alias("_max_id"))
+    u = u.join(others, ["shop_id", "_nk"], "left").join(walked, ["shop_id", "command_id"], "left")
+    at_first = F.col("_min_id").isNotNull() & ~((F.col("_min_id") == F.col("id")) & (F.col("_max_id") == F.col("id")))
     extra = F.concat_ws(
         ";",
-        F.when(F.col("_known").isNull(), F.lit("not_found")),
-        F.when(taken, F.lit("duplicate_name")),
+        F.when(F.col("_own").isNull(), F.lit("not_found")),
+        F.when(F.coalesce("_taken", at_first), F.lit("duplicate_name")),
     )
     allr = F.concat_ws(";", F.nullif(F.col("reasons"), F.lit("")), F.nullif(extra, F.lit("")))
-    return u.withColumn("reasons", allr).withColumn("accepted", F.col("reasons") == "").drop(
-        "_nk", "_known", "_min_id", "_max_id"
+    return u.withColumn("reasons", allr).withColumn("accepted", F.col("reasons") == "").select(
+        *updates.columns, "reasons", "accepted"
     )
 
 
@@ -137,7 +187,7 @@ def update_products(products: DataFrame, updates: DataFrame) -> DataFrame:
         F.max(F.struct("command_date", "command_id", *[F.col(c).alias(f"n_{c}") for c in UPDATE_FIELDS])).alias("u")
     )
     j = products.join(last, ["shop_id", "id"], "left")
-    out = [F.coalesce(F.trim(F.col(f"u.n_{c}")) if c in ("name", "category") else F.col(f"u.n_{c}"), F.col(c)).alias(c)
+    out = [F.coalesce(strip(F.col(f"u.n_{c}")) if c in ("name", "category") else F.col(f"u.n_{c}"), F.col(c)).alias(c)
            for c in UPDATE_FIELDS]
     return j.select("shop_id", "id", *out).select(
         "shop_id", "id", "name", "category",
@@ -152,6 +202,14 @@ def accepted_deletes(table: DataFrame, deletes: DataFrame, key: str = "id") -> D
     return deletes.select("shop_id", key).join(table.select("shop_id", key), ["shop_id", key], "left_semi").distinct()
 
 
+def delete_outcomes(table: DataFrame, deletes: DataFrame, key: str = "id") -> DataFrame:
+    """M3 per request: accepted, or rejected because nothing has that id in the shop."""
+    known = table.select("shop_id", key).distinct().withColumn("_known", F.lit(True))
+    j = deletes.select("shop_id", key).distinct().join(known, ["shop_id", key], "left")
+    ok = F.col("_known").isNotNull()
+    return j.select("shop_id", key, _status(ok).alias("status"), F.when(ok, F.lit("")).otherwise(F.lit("not_found")).alias("reason"))
+
+
 def delete_products(products: DataFrame, deletes: DataFrame) -> DataFrame:
     """M3: products without the deleted ones."""
     return products.join(deletes.select("shop_id", "id"), ["shop_id", "id"], "left_anti")
@@ -226,9 +284,7 @@ def apply_sales(products: DataFrame, commands: DataFrame) -> DataFrame:
         F.coalesce(F.col("quantity").cast("long"), F.lit(0)).alias("_amount"),
         F.coalesce(F.col("stock_quantity").cast("long"), F.lit(0)).alias("_opening"),
     )
-    f = greedy_fold(
-        cmds, ["shop_id", "product_id"], ["command_date", "id"], chunk_cols=_chunks("command_date"), spread="id"
-    )
+    f = greedy_fold(cmds, ["shop_id", "product_id"], ["command_date", "id"], spread="id")
     ok = F.col("accepted")
     return f.select(
         "shop_id", "id", "product_id", "product_name", "quantity", F.col("command_date").alias("sale_date"),
@@ -268,7 +324,7 @@ def validate_restocks(products: DataFrame, commands: DataFrame) -> DataFrame:
     r = reasons(
         (F.coalesce(F.col("quantity"), F.lit(0)) <= 0, "quantity_not_positive"),
         (is_blank("supplier_name"), "supplier_required"),
-        (F.col("unit_buy_price") < 0, "negative_price"),
+        (violated(F.col("unit_buy_price") < 0), "negative_price"),
         (F.col("_p_id").isNull(), "product_not_found"),
     )
     return j.select(*commands.columns, "product_name", F.array_join(r, ";").alias("reasons")).withColumn(
@@ -285,7 +341,7 @@ def apply_restocks(products: DataFrame, commands: DataFrame) -> DataFrame:
         "product_id",
         "product_name",
         F.col("quantity").alias("quantity_added"),
-        F.trim("supplier_name").alias("supplier_name"),
+        strip("supplier_name").alias("supplier_name"),
         money("unit_buy_price").alias("unit_buy_price"),
         F.col("command_date").alias("restock_date"),
         F.col("update_buy_price").alias("updated_buy_price"),
@@ -303,7 +359,7 @@ def apply_restocks_stock(products: DataFrame, commands: DataFrame) -> DataFrame:
     ok = commands.where(
         (F.coalesce(F.col("quantity"), F.lit(0)) > 0)
         & ~is_blank("supplier_name")
-        & ~F.coalesce(F.col("unit_buy_price") < 0, F.lit(False))
+        & ~violated(F.col("unit_buy_price") < 0)
     )
     agg = ok.groupBy("shop_id", F.col("product_id").alias("id")).agg(
         F.sum("quantity").alias("_units"),
@@ -324,13 +380,13 @@ def apply_restocks_stock(products: DataFrame, commands: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- timeline (M9)
 
 
-def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
-    """M9: sales and restocks on one timeline per product.  A sale sees the stock
-    and the buy price left by every earlier command (restocks first on ties).
+def _timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
+    """Sales and restocks on one timeline per product, folded.  A sale sees the
+    stock and the buy price left by every earlier command (restocks first on ties).
 
     Both command kinds are unioned and joined to the products once; each row
     is validated by its kind's rules (V3 for sales, V6 for restocks) and
-    invalid rows ride through the fold as skips.  Only sale rows are reported.
+    invalid rows ride through the fold as skips.
     """
     none = F.lit(None)
     s = sales.select(
@@ -350,7 +406,7 @@ def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFr
         reasons(
             (qty_bad, "quantity_not_positive"),
             (is_blank("supplier_name"), "supplier_required"),
-            (F.col("unit_buy_price") < 0, "negative_price"),
+            (violated(F.col("unit_buy_price") < 0), "negative_price"),
             (missing, "product_not_found"),
         ),
         ";",
@@ -362,7 +418,7 @@ def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFr
         .otherwise(F.lit(SKIP))
     )
     cmds = j.select(
-        "shop_id", "product_id", "id", "command_date", "quantity", "_rank", "_is_sale", "sell_price",
+        "shop_id", "product_id", "id", "command_date", "quantity", "_rank", "_is_sale", "product_name", "sell_price",
         kind.alias("_kind"),
         F.when(is_sale, sale_reasons).alias("_reasons"),
         F.when(~is_sale & (restock_reasons == "") & F.col("update_buy_price"), _cents("unit_buy_price")).alias("_mark"),
@@ -370,15 +426,17 @@ def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFr
         F.coalesce(F.col("stock_quantity").cast("long"), F.lit(0)).alias("_opening"),
         _cents("buy_price").alias("_opening_mark"),
     )
-    f = greedy_fold(
-        cmds, ["shop_id", "product_id"], ["command_date", "id", "_rank"], mark=True,
-        chunk_cols=_chunks("command_date"), spread="id",
-    )
-    sold = f.where(F.col("_is_sale"))
+    return greedy_fold(cmds, ["shop_id", "product_id"], ["command_date", "id", "_rank"], mark=True, spread="id")
+
+
+def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
+    """M9: the sale rows of the timeline, with the product's name and the profit at the buy price of the moment.
+    The restock rows are those of ``apply_restocks``: no rule of theirs depends on the order."""
+    sold = _timeline(products, sales, restocks).where(F.col("_is_sale"))
     ok = F.col("accepted")
     buy = _from_cents(F.col("mark_at"))
     return sold.select(
-        "shop_id", "id", "product_id", "quantity", F.col("command_date").alias("sale_date"),
+        "shop_id", "id", "product_id", "product_name", "quantity", F.col("command_date").alias("sale_date"),
         _status(ok).alias("status"),
         F.when(ok, F.lit("")).when(F.col("_kind") == SKIP, F.col("_reasons"))
         .otherwise(F.lit("insufficient_stock")).alias("reason"),
@@ -387,6 +445,23 @@ def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFr
     )
 
 
+def timeline_stock(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
+    """M9: the product snapshot after the timeline: stock moved by every accepted command, the last buy price."""
+    done = _timeline(products, sales, restocks).where(F.col("accepted"))
+    signed = F.when(F.col("_is_sale"), -F.col("quantity")).otherwise(F.col("quantity"))
+    moved = done.groupBy("shop_id", F.col("product_id").alias("id")).agg(
+        F.sum(signed).alias("_units"), F.max(F.struct("command_date", "id", "_rank", "mark_at")).alias("_last")
+    )
+    j = products.join(moved, ["shop_id", "id"], "left")
+    return j.select(
+        "shop_id", "id", "name", "category",
+        F.coalesce(_from_cents(F.col("_last.mark_at")), F.col("buy_price")).alias("buy_price"),
+        "sell_price",
+        (F.col("stock_quantity") + F.coalesce(F.col("_units"), F.lit(0))).cast("int").alias("stock_quantity"),
+        "low_stock_threshold",
+    )
+
+
 # ---------------------------------------------------------------- customers (M5, M7)
 
 
@@ -412,8 +487,8 @@ def upsert_customers(customers: DataFrame, commands: DataFrame) -> DataFrame:
     """
     v = validate_debts(commands).where(F.col("accepted")).withColumn("_nk", name_key("customer_name"))
     per_name = v.groupBy("shop_id", "_nk").agg(
-        F.min(F.struct("seq", F.trim("customer_name").alias("n"))).alias("_first"),
-        F.max(F.when(~is_blank("phone"), F.struct("seq", F.trim("phone").alias("ph")))).alias("_phone"),
+        F.min(F.struct("seq", strip("customer_name").alias("n"))).alias("_first"),
+        F.max(F.when(~is_blank("phone"), F.struct("seq", strip("phone").alias("ph")))).alias("_phone"),
     )
     # The phone goes to the lowest id among customers sharing the name key.
     c = customers.withColumn("_nk", name_key("name")).join(_customer_keys(customers), ["shop_id", "_nk"], "left")
@@ -439,7 +514,7 @@ def apply_debts(customers: DataFrame, commands: DataFrame) -> DataFrame:
         "shop_id",
         F.col("seq").alias("id"),
         F.when(F.col("accepted"), F.col("_cid")).alias("customer_id"),
-        F.trim("customer_name").alias("customer_name"),
+        strip("customer_name").alias("customer_name"),
         F.lit("debt").alias("transaction_type"),
         to_double(money("amount")).alias("amount"),
         blank_to_null("note").alias("note"),
@@ -449,48 +524,75 @@ def apply_debts(customers: DataFrame, commands: DataFrame) -> DataFrame:
     )
 
 
-def validate_payments(customers: DataFrame, payments: DataFrame) -> DataFrame:
-    """V5: amount > 0 after rounding, customer exists."""
-    c = customers.select("shop_id", F.col("id").alias("customer_id")).withColumn("_known", F.lit(True))
-    j = payments.join(c, ["shop_id", "customer_id"], "left")
-    r = reasons(
-        (F.coalesce(money("amount"), F.lit(0)) <= 0, "amount_not_positive"),
-        (F.col("_known").isNull(), "customer_not_found"),
+LEDGER_TYPES = ("debt", "payment")
+PAYMENT_NOTE = "Customer payment"
+
+
+def signed_amount(amount: Column, kind: Column) -> Column:
+    """What a ledger row adds to the balance; null for a type outside the domain."""
+    return F.when(kind == "debt", amount).when(kind == "payment", -amount)
+
+
+def _with_customer(customers: DataFrame, rows: DataFrame) -> DataFrame:
+    c = customers.select("shop_id", F.col("id").alias("customer_id"), F.col("name").alias("_name"))
+    return rows.join(c.withColumn("_known", F.lit(True)), ["shop_id", "customer_id"], "left")
+
+
+def _payment_reasons() -> Column:
+    return F.array_join(
+        reasons(
+            (violated(~F.col("transaction_type").isin(*LEDGER_TYPES)), "unknown_type"),
+            (F.coalesce(money("amount"), F.lit(0)) <= 0, "amount_not_positive"),
+            (F.col("_known").isNull(), "customer_not_found"),
+        ),
+        ";",
     )
-    return j.withColumn("reasons", F.array_join(r, ";")).drop("_known").withColumn("accepted", F.col("reasons") == "")
+
+
+def validate_payments(customers: DataFrame, payments: DataFrame) -> DataFrame:
+    """V4 (type domain) and V5: amount > 0 after rounding, customer exists."""
+    j = _with_customer(customers, payments).withColumn("reasons", _payment_reasons())
+    return j.select(*payments.columns, "reasons").withColumn("accepted", F.col("reasons") == "")
 
 
 def apply_payments(customers: DataFrame, ledger: DataFrame, opening: DataFrame | None = None) -> DataFrame:
     """M7: replay debt and payment commands per customer; a payment larger than
     the balance left by the earlier accepted rows is rejected.
 
-    ``opening(shop_id, customer_id, balance)`` is the balance before the batch
-    (absent → 0).  Invalid rows ride through the same pass as skipped rows.
+    The guard compares the amount as given; the ledger row holds it rounded.
+    A payment's row carries the customer's name and a fixed note, a debt's row the
+    name and note of the command, where given.  ``opening(shop_id, customer_id,
+    balance)`` is the balance before the batch (absent → 0).  Invalid rows ride
+    through the same pass as skipped rows.
     """
-    v = validate_payments(customers, ledger)
+    has = set(ledger.columns)
+    v = _with_customer(customers, ledger).withColumn("reasons", _payment_reasons())
     if opening is not None:
-        v = v.join(opening.select("shop_id", "customer_id", _cents("balance").alias("_open")),
+        v = v.join(opening.select("shop_id", "customer_id", (F.col("balance") * 100).cast("long").alias("_open")),
                    ["shop_id", "customer_id"], "left")
     else:
         v = v.withColumn("_open", F.lit(0).cast("long"))
-    kind = (
-        F.when(~F.col("accepted"), F.lit(SKIP))
-        .when(F.col("transaction_type") == "payment", F.lit(TAKE))
-        .otherwise(F.lit(ADD))
-    )
+    pays = F.coalesce(F.col("transaction_type") == "payment", F.lit(False))
+    typed = F.coalesce(strip("customer_name"), F.col("_name")) if "customer_name" in has else F.col("_name")
+    note = blank_to_null("note") if "note" in has else F.lit(None).cast("string")
+    kind = F.when(F.col("reasons") != "", F.lit(SKIP)).when(pays, F.lit(TAKE)).otherwise(F.lit(ADD))
+    cents = F.coalesce(_cents("amount"), F.lit(0))
+    # an amount that was rounded down needs one cent more than it takes
+    asked = F.ceil(F.col("amount").cast("decimal(38,6)") * 100).cast("long")
     good = v.select(
         "shop_id", "customer_id", "id", "transaction_type", "amount", "transaction_date", "reasons",
+        F.when(pays, F.col("_name")).otherwise(typed).alias("customer_name"),
+        F.when(pays, F.lit(PAYMENT_NOTE)).otherwise(note).alias("note"),
         kind.alias("_kind"),
-        F.coalesce(_cents("amount"), F.lit(0)).alias("_amount"),
+        cents.alias("_amount"),
+        F.greatest(F.coalesce(asked, F.lit(0)) - cents, F.lit(0)).cast("long").alias("_extra"),
         F.coalesce("_open", F.lit(0)).cast("long").alias("_opening"),
     )
-    # Balances are cents, far beyond the table bound of the chunked path, so
-    # no hot-key check is run: every customer is walked in one pass.
     f = greedy_fold(good, ["shop_id", "customer_id"], ["transaction_date", "id"], spread="id")
     ok = F.col("accepted")
     return f.select(
-        "shop_id", "id", "customer_id", "transaction_type", to_double(money("amount")).alias("amount"),
-        "transaction_date", _status(ok).alias("status"),
+        "shop_id", "id", "customer_id", "customer_name", "transaction_type", to_double(money("amount")).alias("amount"),
+        "note", "transaction_date", _status(ok).alias("status"),
         F.when(ok, F.lit("")).when(F.col("_kind") == SKIP, F.col("reasons"))
         .otherwise(F.lit("exceeds_balance")).alias("reason"),
     )
@@ -518,7 +620,7 @@ def onboard_shops(shops: DataFrame, profiles: DataFrame, requests: DataFrame) ->
         _status(ok).alias("status"),
         "reason",
         F.when(ok, _new_ids(shops, "id", requests)).alias("shop_id"),
-        F.when(ok, F.trim("shop_name")).alias("shop_name"),
+        F.when(ok, strip("shop_name")).alias("shop_name"),
         F.when(ok, blank_to_null("full_name")).alias("full_name"),
         F.when(ok, F.lit("owner")).alias("role"),
     )

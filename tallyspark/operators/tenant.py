@@ -19,8 +19,15 @@ def caller_shops(profiles: DataFrame) -> DataFrame:
     return profiles.where(F.col("shop_id").isNotNull()).select(F.col("id").alias("user_id"), "shop_id")
 
 
+def rows_for_caller(table: DataFrame, profiles: DataFrame, caller: int) -> DataFrame:
+    """The rows that one caller may see or change: those of the shop in the caller's profile."""
+    own = caller_shops(profiles).where(F.col("user_id") == caller).select("shop_id")
+    return table.join(own, "shop_id", "left_semi")
+
+
 def visible_rows(table: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every row of ``table`` paired with each user allowed to see it."""
+    """P2 for all callers at once: every row of ``table`` with each user of its shop (rows × users of a shop;
+    use ``rows_for_caller`` for one caller)."""
     return caller_shops(profiles).join(table, "shop_id", "inner")
 
 
@@ -35,9 +42,15 @@ def visible_shops(shops: DataFrame, profiles: DataFrame) -> DataFrame:
     return owned.unionByName(mine).distinct()
 
 
+def changeable_shops(shops: DataFrame, profiles: DataFrame) -> DataFrame:
+    """P3 for update and delete: shops that a user owns AND that are the shop of the user's profile."""
+    mine = caller_shops(profiles).select(F.col("user_id").alias("owner_id"), F.col("shop_id").alias("id"))
+    return shops.join(mine, ["owner_id", "id"], "left_semi").select(F.col("owner_id").alias("user_id"), "id", "name", "owner_id")
+
+
 def visible_profiles(profiles: DataFrame) -> DataFrame:
-    """A user sees exactly the profile whose id is theirs."""
-    return profiles.select(F.col("id").alias("user_id"), "id", "shop_id", "full_name", "role")
+    """P4 (select, update, delete): a user's own profile, when it names a shop (the caller's shop is that one)."""
+    return profiles.where(F.col("shop_id").isNotNull()).select(F.col("id").alias("user_id"), "id", "shop_id", "full_name", "role")
 
 
 def profile_insert_check(requests: DataFrame, shops: DataFrame) -> DataFrame:
@@ -48,8 +61,8 @@ def profile_insert_check(requests: DataFrame, shops: DataFrame) -> DataFrame:
         owned.withColumn("owns", F.lit(True)), ["shop_id", "caller_id"], "left"
     )
     r = reasons(
-        (F.col("id") != F.col("caller_id"), "not_own_profile"),
-        (F.col("role") != F.lit("owner"), "role_not_owner"),
+        (~F.col("id").eqNullSafe(F.col("caller_id")) | F.col("id").isNull(), "not_own_profile"),
+        (~F.col("role").eqNullSafe(F.lit("owner")), "role_not_owner"),
         (F.col("owns").isNull(), "shop_not_owned"),
     )
     return checked.select(
@@ -58,10 +71,11 @@ def profile_insert_check(requests: DataFrame, shops: DataFrame) -> DataFrame:
 
 
 def tenant_mismatch(requests: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Writes whose requested shop IS DISTINCT FROM the caller's shop."""
+    """Writes that name no shop, or another than the caller's."""
     own = caller_shops(profiles).select(F.col("user_id").alias("caller_id"), F.col("shop_id").alias("own_shop_id"))
     j = requests.join(own, "caller_id", "left")
-    return j.where(~F.col("requested_shop_id").eqNullSafe(F.col("own_shop_id"))).select(
+    wrong = F.col("requested_shop_id").isNull() | ~F.col("requested_shop_id").eqNullSafe(F.col("own_shop_id"))
+    return j.where(wrong).select(
         "request_id", "caller_id", "requested_shop_id", "own_shop_id"
     )
 

@@ -7,6 +7,9 @@ driver's pre-registered views.
 
 from __future__ import annotations
 
+import re
+
+from ..functions.expr import WHITE_SPACE
 from ..sources.fixtures import (
     BUY_RATIO,
     DISCONTINUED_BRAND,
@@ -85,8 +88,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         "CAST(l_quantity AS INTEGER) AS quantity_added, s_name AS supplier_name, "
         f"CAST(CAST(l_extendedprice AS {MONEY}) * {RESTOCK_PRICE_RATIO} AS {MONEY}) AS unit_buy_price, "
         "CAST(l_shipdate AS DATE) AS restock_date, l_linestatus = 'O' AS updated_buy_price "
-        "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey "
-        "WHERE l_returnflag = 'R'",
+        "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey",
         (),
     ),
     "t_discontinued": (
@@ -97,24 +99,28 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "t_product_requests": (
         f"SELECT p_partkey % {SHOP_COUNT} AS shop_id, p_partkey AS seq, "
-        f"CASE WHEN p_partkey % 17 = 0 THEN '  ' WHEN p_partkey % 11 = 0 THEN upper({PNAME}) "
+        f"CASE WHEN p_partkey % 34 = 0 THEN '\t\u00a0' WHEN p_partkey % 17 = 0 THEN '  ' WHEN p_partkey % 11 = 0 THEN upper({PNAME}) "
         "WHEN p_partkey % 13 = 0 THEN p_brand || ' special' "
         "ELSE ' ' || p_name || ' new ' || CAST(p_partkey AS VARCHAR) END AS name, "
         "CASE WHEN p_partkey % 23 = 0 THEN '' ELSE p_type END AS category, "
-        f"CAST(CASE WHEN p_partkey % 19 = 0 THEN -1.00 ELSE CAST(CAST(p_retailprice AS {MONEY}) * {BUY_RATIO} AS {MONEY}) END AS {MONEY}) AS buy_price, "
+        f"CAST(CASE WHEN p_partkey % 19 = 0 THEN -1.00 WHEN p_partkey % 41 <> 0 THEN CAST(CAST(p_retailprice AS {MONEY}) * {BUY_RATIO} AS {MONEY}) END AS {MONEY}) AS buy_price, "
         f"CAST(CASE WHEN p_partkey % 29 = 0 THEN -1.00 ELSE CAST(p_retailprice AS {MONEY}) END AS {MONEY}) AS sell_price, "
-        "CAST(CASE WHEN p_partkey % 31 = 0 THEN -1 ELSE p_size END AS INTEGER) AS stock_quantity, "
+        "CAST(CASE WHEN p_partkey % 31 = 0 THEN -1 WHEN p_partkey % 43 <> 0 THEN p_size END AS INTEGER) AS stock_quantity, "
         "CAST(CASE WHEN p_partkey % 37 = 0 THEN -1 ELSE 5 END AS INTEGER) AS low_stock_threshold FROM part",
         (),
     ),
     "t_product_updates": (
         f"SELECT l_partkey % {SHOP_COUNT} AS shop_id, "
         "CASE WHEN l_orderkey % 9 = 0 THEN l_partkey + 1000000000 ELSE l_partkey END AS id, "
-        f"CAST(l_shipdate AS DATE) AS command_date, {LINE_ID} AS command_id, {PNAME} AS name, p_type AS category, "
-        f"CAST(CAST(l_extendedprice AS {MONEY}) * 0.015 AS {MONEY}) AS buy_price, "
+        f"CAST(l_shipdate AS DATE) AS command_date, {LINE_ID} AS command_id, "
+        "CASE WHEN l_orderkey % 10 = 3 THEN 'Shared ' || CAST(l_partkey % 5 AS VARCHAR) "
+        f"WHEN l_orderkey % 10 = 4 THEN upper({PNAME}) "
+        f"WHEN l_orderkey % 10 = 5 THEN '\tpool ' || CAST(l_orderkey % 7 AS VARCHAR) ELSE {PNAME} END AS name, "
+        "p_type AS category, CASE WHEN l_orderkey % 13 <> 0 THEN "
+        f"CAST(CAST(l_extendedprice AS {MONEY}) * 0.015 AS {MONEY}) END AS buy_price, "
         f"CAST(CAST(l_extendedprice AS {MONEY}) * 0.02 AS {MONEY}) AS sell_price, "
         "CAST(l_quantity AS INTEGER) AS stock_quantity, l_linenumber AS low_stock_threshold "
-        "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'N' AND l_linestatus = 'F'",
+        "FROM lineitem JOIN part ON l_partkey = p_partkey",
         (),
     ),
     "t_sale_commands": (
@@ -125,11 +131,12 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "t_restock_commands": (
         f"SELECT l_partkey % {SHOP_COUNT} AS shop_id, l_partkey AS product_id, {LINE_ID} AS id, "
         "CAST(l_shipdate AS DATE) AS command_date, "
-        "CASE WHEN l_orderkey % 41 = 0 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS quantity, "
-        "CASE WHEN l_orderkey % 43 = 0 THEN ' ' ELSE s_name END AS supplier_name, "
-        f"CAST(CAST(l_extendedprice AS {MONEY}) * {RESTOCK_PRICE_RATIO} AS {MONEY}) AS unit_buy_price, "
+        "CASE WHEN l_orderkey % 41 = 0 THEN 0 WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INTEGER) "
+        "ELSE CAST(floor(l_quantity / 10) AS INTEGER) END AS quantity, "
+        "CASE WHEN l_orderkey % 43 = 0 THEN ' \n' ELSE s_name END AS supplier_name, CASE WHEN l_orderkey % 53 <> 0 THEN "
+        f"CAST(CAST(l_extendedprice AS {MONEY}) * {RESTOCK_PRICE_RATIO} AS {MONEY}) END AS unit_buy_price, "
         "l_linestatus = 'O' AS update_buy_price "
-        "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'",
+        "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
         (),
     ),
     "t_debt_commands": (
@@ -144,16 +151,24 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         "FROM orders JOIN customer ON o_custkey = c_custkey",
         (),
     ),
+    "t_credit_commands": (
+        "SELECT shop_id, id, customer_id, customer_name, CASE WHEN id % 59 = 0 THEN 'refund' WHEN id % 61 <> 0 "
+        "THEN transaction_type END AS transaction_type, CAST(CASE WHEN id % 67 = 0 THEN 0.004 "
+        "ELSE CAST(amount AS DECIMAL(14,3)) + CASE WHEN id % 3 = 0 THEN 0.004 ELSE 0.000 END END AS DECIMAL(14,3)) AS amount, "
+        "note, transaction_date FROM t_debts",
+        ("t_debts",),
+    ),
     "t_profile_requests": (
         "SELECT CAST(n_nationkey AS BIGINT) AS request_id, CAST(n_regionkey AS BIGINT) AS caller_id, "
-        "CAST(CASE WHEN n_nationkey % 4 = 3 THEN (n_regionkey + 1) % 5 ELSE n_regionkey END AS BIGINT) AS id, "
-        "CAST(n_nationkey AS BIGINT) AS shop_id, CASE WHEN n_nationkey % 6 = 5 THEN 'staff' ELSE 'owner' END AS role "
+        "CAST(CASE WHEN n_nationkey % 4 = 3 THEN (n_regionkey + 1) % 5 WHEN n_nationkey % 11 <> 10 THEN n_regionkey END "
+        "AS BIGINT) AS id, CAST(n_nationkey AS BIGINT) AS shop_id, "
+        "CASE WHEN n_nationkey % 6 = 5 THEN 'staff' WHEN n_nationkey % 7 <> 6 THEN 'owner' END AS role "
         "FROM nation",
         (),
     ),
     "t_tenant_requests": (
-        "SELECT s.id AS request_id, sh.owner_id AS caller_id, "
-        "CASE WHEN s.quantity = 13 THEN NULL ELSE s.shop_id END AS requested_shop_id "
+        "SELECT s.id AS request_id, sh.owner_id + CASE WHEN s.quantity % 4 = 1 THEN 1000000 ELSE 0 END AS caller_id, "
+        "CASE WHEN s.quantity IN (13, 14) THEN NULL ELSE s.shop_id END AS requested_shop_id "
         "FROM t_sales s JOIN t_shops sh ON s.shop_id = sh.id",
         ("t_sales", "t_shops"),
     ),
@@ -168,13 +183,13 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         "SELECT s.id * 1000 + CAST(p.i AS BIGINT) AS question_id, s.id AS shop_id, p.q AS question "
         f"FROM t_shops s CROSS JOIN (VALUES {_phrases}) p(i, q) "
         "UNION ALL SELECT 1000000000 + conv_id * 1000 + turn AS question_id, "
-        f"conv_id % {SHOP_COUNT} AS shop_id, text AS question FROM conversations WHERE role = 'user'",
+        f"conv_id % {SHOP_COUNT} AS shop_id, text AS question FROM conversations",
         ("t_shops",),
     ),
     "t_product_text": (
         "SELECT shop_id, seq, name, CASE WHEN seq % 7 = 0 THEN 'n/a' ELSE CAST(buy_price AS VARCHAR) END AS buy_price, "
         "CASE WHEN seq % 5 = 0 THEN '' ELSE CAST(sell_price AS VARCHAR) END AS sell_price, "
-        "CASE WHEN seq % 3 = 0 THEN ' 12 ' ELSE CAST(stock_quantity AS VARCHAR) END AS stock_quantity, "
+        "CASE WHEN seq % 9 = 0 THEN '12.7' WHEN seq % 9 = 3 THEN '1e1' WHEN seq % 3 = 0 THEN ' 12\t' ELSE CAST(stock_quantity AS VARCHAR) END AS stock_quantity, "
         "CASE WHEN seq % 8 = 0 THEN 'x' ELSE CAST(low_stock_threshold AS VARCHAR) END AS low_stock_threshold "
         "FROM t_product_requests",
         ("t_product_requests",),
@@ -198,6 +213,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def python_strip(sql: str) -> str:
+    """``trim(x)`` of a statement as Python's ``strip``, which removes all white space."""
+    return re.sub(r"\btrim\(([\w.]+)\)", lambda m: f"trim({m[1]}, '{WHITE_SPACE}')", sql)
+
+
 def with_tables(body: str, *names: str, recursive: bool = False) -> str:
     order: list[str] = []
 
@@ -210,6 +230,7 @@ def with_tables(body: str, *names: str, recursive: bool = False) -> str:
 
     for n in names:
         visit(n)
+    body = python_strip(body)
     if not order:
         return body
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body

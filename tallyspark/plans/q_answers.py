@@ -18,7 +18,7 @@ def _q(text: str) -> str:
 INTENT_SQL = (
     "CASE WHEN contains(q, 'restock') THEN 'restock' "
     "WHEN contains(q, 'best') AND contains(q, 'product') THEN 'best_products' "
-    "WHEN contains(q, 'profit') AND (contains(q, 'week') OR contains(q, 'weekly')) THEN 'profit_week' "
+    "WHEN contains(q, 'profit') AND contains(q, 'week') THEN 'profit_week' "
     "WHEN contains(q, 'profit') AND (contains(q, 'today') OR contains(q, 'daily')) THEN 'profit_today' "
     "WHEN contains(q, 'who') AND (contains(q, 'owe') OR contains(q, 'debt')) THEN 'debtors' "
     "WHEN contains(q, 'unpaid') OR (contains(q, 'total') AND contains(q, 'debt')) THEN 'unpaid' "
@@ -73,14 +73,16 @@ UNPAID_BODY = (
     + " || '.' AS answer FROM t_shops s LEFT JOIN (SELECT shop_id, sum(greatest(remaining_balance, 0)) AS total "
     f"FROM ({BAL}) b GROUP BY shop_id) u ON u.shop_id = s.id"
 )
-LOW_BODY = _sentence(
-    "SELECT shop_id, string_agg(name || ' (' || CAST(stock_quantity AS VARCHAR) || ' left)', '; ' "
-    "ORDER BY stock_quantity, name) AS text FROM t_products WHERE stock_quantity <= low_stock_threshold "
-    "GROUP BY shop_id",
-    A.LOW_STOCK, A.LOW_STOCK_PREFIX, A.LOW_STOCK_EMPTY,
+LOW_BODY = (
+    f"SELECT s.id AS shop_id, '{A.LOW_STOCK}' AS intent, CAST(coalesce(l.part, 0) AS INTEGER) AS part, "
+    f"CASE WHEN l.text IS NULL THEN {_q(A.LOW_STOCK_EMPTY)} ELSE {_q(A.LOW_STOCK_PREFIX)} || l.text || '.' END AS answer "
+    "FROM t_shops s LEFT JOIN (SELECT shop_id, part, string_agg(name || ' (' || CAST(stock_quantity AS VARCHAR) || "
+    "' left)', '; ' ORDER BY stock_quantity, name) AS text FROM (SELECT *, (row_number() OVER (PARTITION BY shop_id "
+    f"ORDER BY stock_quantity, name) - 1) // {A.PART_ITEMS} AS part FROM t_products "
+    "WHERE stock_quantity <= low_stock_threshold) p GROUP BY shop_id, part) l ON l.shop_id = s.id"
 )
 ALL_ANSWERS = " UNION ALL ".join(
-    f"SELECT * FROM ({b}) a{i}"
+    f"SELECT shop_id, intent, {'part' if b is LOW_BODY else '0 AS part'}, answer FROM ({b}) a{i}"
     for i, b in enumerate([RESTOCK_BODY, BEST_BODY, PROFIT_BODY, DEBTORS_BODY, UNPAID_BODY, LOW_BODY])
 )
 
@@ -134,7 +136,8 @@ def answer_low_stock(t):
 @query(
     "assistant_answers",
     with_tables(
-        f"SELECT i.question_id, i.shop_id, i.question, i.intent, coalesce(a.answer, {_q(A.HELP_TEXT)}) AS answer "
+        f"SELECT i.question_id, i.shop_id, i.question, i.intent, "
+        f"CAST(coalesce(a.part, 0) AS INTEGER) AS part, coalesce(a.answer, {_q(A.HELP_TEXT)}) AS answer "
         f"FROM ({INTENTS}) i LEFT JOIN ({ALL_ANSWERS}) a ON a.shop_id = i.shop_id AND a.intent = i.intent",
         "t_questions",
         "t_shops",

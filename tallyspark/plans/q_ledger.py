@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+from ..functions.expr import to_double
 from ..operators import ledger as L
 from ..operators import reports as R
 from ..operators import tenant as TN
 from ..sources import fixtures as fx
 from .oracle_tables import with_tables
 from .q_reports import PRODUCT_LIST
-from .registry import query
+from .registry import QUERIES, query
 
 BLANK = "({c} IS NULL OR trim({c}) = '')"
 V1 = (
     "concat_ws(';', CASE WHEN " + BLANK.format(c="name") + " THEN 'name_required' END, "
     "CASE WHEN " + BLANK.format(c="category") + " THEN 'category_required' END, "
-    "CASE WHEN buy_price < 0 OR sell_price < 0 THEN 'negative_price' END, "
-    "CASE WHEN stock_quantity < 0 OR low_stock_threshold < 0 THEN 'negative_stock' END)"
+    "CASE WHEN coalesce(buy_price < 0 OR sell_price < 0, true) THEN 'negative_price' END, "
+    "CASE WHEN coalesce(stock_quantity < 0 OR low_stock_threshold < 0, true) THEN 'negative_stock' END)"
 )
 PRODUCT_D = PRODUCT_LIST  # shop_id, id, name, category, prices as double, stock, threshold
 
@@ -86,19 +88,40 @@ def insert_products(t):
 # ---------------------------------------------------------------- M2, M3
 
 
+# One command at a time: the state of a shop is the list of its products with their present name keys.
 UPD_CTE = (
-    ", u AS (SELECT x.*, concat_ws(';', CASE WHEN x.v1 <> '' THEN x.v1 END, "
-    "CASE WHEN k.id IS NULL THEN 'not_found' END, "
-    "CASE WHEN o.min_id IS NOT NULL AND NOT (o.min_id = x.id AND o.max_id = x.id) THEN 'duplicate_name' END) "
-    f"AS reasons FROM (SELECT *, {V1} AS v1 FROM t_product_updates) x "
-    "LEFT JOIN t_products k ON k.shop_id = x.shop_id AND k.id = x.id "
-    "LEFT JOIN (SELECT shop_id, lower(trim(name)) AS nk, min(id) AS min_id, max(id) AS max_id FROM t_products "
-    "GROUP BY shop_id, lower(trim(name))) o ON o.shop_id = x.shop_id AND o.nk = lower(trim(x.name))), "
+    f", u0 AS (SELECT *, {V1} AS v1, lower(trim(name)) AS nk, row_number() OVER (PARTITION BY shop_id "
+    "ORDER BY command_date, command_id) AS rn FROM t_product_updates), "
+    "s0 AS (SELECT shop_id, list({'id': id, 'nk': lower(trim(name))}) AS held FROM t_products GROUP BY shop_id), "
+    "uw AS (SELECT shop_id, CAST(0 AS BIGINT) AS rn, CAST('' AS VARCHAR) AS reasons, held FROM s0 UNION ALL "
+    "SELECT x.shop_id, x.rn, x.reasons, CASE WHEN x.reasons = '' THEN list_transform(x.held, lambda h: CASE WHEN h.id = x.id "
+    "THEN {'id': h.id, 'nk': x.nk} ELSE h END) ELSE x.held END AS held FROM ("
+    "SELECT c.shop_id, c.rn, c.id, c.nk, w.held, concat_ws(';', CASE WHEN c.v1 <> '' THEN c.v1 END, "
+    "CASE WHEN len(list_filter(w.held, lambda h: h.id = c.id)) = 0 THEN 'not_found' END, "
+    "CASE WHEN len(list_filter(w.held, lambda h: h.nk = c.nk AND h.id <> c.id)) > 0 THEN 'duplicate_name' END) AS reasons "
+    "FROM uw w JOIN u0 c ON c.shop_id = w.shop_id AND c.rn = w.rn + 1) x), "
+    "u AS (SELECT c.*, w.reasons FROM u0 c JOIN uw w ON w.shop_id = c.shop_id AND w.rn = c.rn), "
     "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shop_id, id ORDER BY command_date DESC, "
-    "command_id DESC) AS rn FROM u WHERE reasons = '') y WHERE rn = 1)\n"
+    "command_id DESC) AS nth FROM u WHERE reasons = '') y WHERE nth = 1)\n"
 )
 
 
+@query(
+    "update_outcomes",
+    with_tables(
+        UPD_CTE + "SELECT shop_id, id, command_date, command_id, name, reasons, reasons = '' AS accepted FROM u",
+        "t_product_updates",
+        "t_products",
+        recursive=True,
+    ),
+)
+def update_outcomes(t):
+    """M2: every update command with its verdict, names resolved in command order."""
+    return L.update_outcomes(fx.products(t), fx.product_updates(t)).select(
+        "shop_id", "id", "command_date", "command_id", "name", "reasons", "accepted"
+    )
+
+
 @query(
     "update_products",
     with_tables(
@@ -112,6 +135,7 @@ UPD_CTE = (
         ),
         "t_product_updates",
         "t_products",
+        recursive=True,
     ),
 )
 def update_products(t):
@@ -135,6 +159,21 @@ def delete_products(t):
     return R.product_list(L.delete_products(fx.products(t), fx.discontinued_products(t)))
 
 
+@query(
+    "delete_outcomes",
+    with_tables(
+        "SELECT d.shop_id, d.id, CASE WHEN p.id IS NULL THEN 'rejected' ELSE 'accepted' END AS status, "
+        "CASE WHEN p.id IS NULL THEN 'not_found' ELSE '' END AS reason FROM (SELECT DISTINCT * FROM t_discontinued) d "
+        "LEFT JOIN t_products p ON p.shop_id = d.shop_id AND p.id = d.id",
+        "t_products",
+        "t_discontinued",
+    ),
+)
+def delete_outcomes(t):
+    """M3: every delete request, unknown ids rejected."""
+    return L.delete_outcomes(fx.products(t), fx.discontinued_products(t))
+
+
 @query(
     "sales_after_product_delete",
     with_tables(
@@ -171,43 +210,36 @@ def cascade_customer_delete(t):
     return H.debt_rows(L.cascade_customer_delete(fx.debts(t), fx.customer_deletes(t)))
 
 
-@query(
-    "cascade_shop_delete",
-    with_tables(
-        ", gone AS (SELECT s.id AS shop_id FROM t_shops s WHERE NOT EXISTS (SELECT 1 FROM t_profiles p "
-        "WHERE p.shop_id = s.id))\n"
-        "SELECT table_name, shop_id, CAST(count(*) AS BIGINT) AS row_count FROM ("
-        "SELECT 'products' AS table_name, shop_id FROM t_products UNION ALL "
-        "SELECT 'sales', shop_id FROM t_sales UNION ALL SELECT 'customers', shop_id FROM t_customers UNION ALL "
-        "SELECT 'debts', shop_id FROM t_debts UNION ALL SELECT 'restocks', shop_id FROM t_restocks) a "
-        "WHERE shop_id NOT IN (SELECT shop_id FROM gone) GROUP BY table_name, shop_id",
-        "t_shops",
-        "t_profiles",
-        "t_products",
-        "t_sales",
-        "t_customers",
-        "t_debts",
-        "t_restocks",
-    ),
-)
-def cascade_shop_delete(t):
-    """Rows left per table and shop after deleting every shop no profile uses."""
-    checked = TN.shop_delete_check(fx.shop_delete_requests(t), fx.profiles(t))
-    gone = checked.where(F.col("accepted")).select("shop_id")
-    tables = {
-        "products": fx.products(t),
-        "sales": fx.sales(t),
-        "customers": fx.customers(t),
-        "debts": fx.debts(t),
-        "restocks": fx.restocks(t),
-    }
-    left = L.cascade_shop_delete(tables, gone)
-    parts = [df.groupBy("shop_id").agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(n))
-             for n, df in left.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("table_name", "shop_id", "row_count")
+CASCADE_TABLES = {"products": fx.products, "sales": fx.sales, "customers": fx.customers, "debts": fx.debts, "restocks": fx.restocks}
+CASCADE_MONEY = ("buy_price", "sell_price", "revenue", "profit", "amount", "unit_buy_price")
+
+
+def _cascade(name: str, table) -> None:
+    replace = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in CASCADE_MONEY if c in SCHEMAS[name].names)
+
+    @query(
+        f"cascade_shop_delete_{name}",
+        with_tables(
+            f"SELECT {f'* REPLACE ({replace})' if replace else '*'} FROM t_{name} x WHERE EXISTS "
+            "(SELECT 1 FROM t_profiles p WHERE p.shop_id = x.shop_id) OR NOT EXISTS (SELECT 1 FROM t_shops s "
+            "WHERE s.id = x.shop_id)",
+            "t_shops",
+            "t_profiles",
+            f"t_{name}",
+        ),
+    )
+    def rows_left(t):
+        checked = TN.shop_delete_check(fx.shop_delete_requests(t), fx.profiles(t))
+        gone = checked.where(F.col("accepted")).select("shop_id")
+        left = L.cascade_shop_delete({name: table(t)}, gone)[name]
+        return left.withColumns({c: to_double(c) for c in CASCADE_MONEY if c in left.columns})
+
+    QUERIES[f"cascade_shop_delete_{name}"].__doc__ = f"M3b: {name} rows left after deleting every shop no profile uses."
+
+
+SCHEMAS = {"products": S.PRODUCTS, "sales": S.SALES, "customers": S.CUSTOMERS, "debts": S.DEBTS, "restocks": S.RESTOCKS}
+for _name, _table in CASCADE_TABLES.items():
+    _cascade(_name, _table)
 
 
 # ---------------------------------------------------------------- M4 sales
@@ -311,7 +343,7 @@ def orphan_sales(t):
 V6 = (
     "concat_ws(';', CASE WHEN coalesce(c.quantity, 0) <= 0 THEN 'quantity_not_positive' END, "
     "CASE WHEN " + BLANK.format(c="c.supplier_name") + " THEN 'supplier_required' END, "
-    "CASE WHEN c.unit_buy_price < 0 THEN 'negative_price' END, "
+    "CASE WHEN coalesce(c.unit_buy_price < 0, true) THEN 'negative_price' END, "
     "CASE WHEN p.id IS NULL THEN 'product_not_found' END)"
 )
 RESTOCK_V = (
@@ -377,33 +409,38 @@ def apply_restocks_stock(t):
 # ---------------------------------------------------------------- M9 timeline
 
 
+TIMELINE = (
+    RESTOCK_V
+    + ", sv AS (SELECT c.*, p.name AS product_name, p.id IS NULL AS missing FROM t_sale_commands c LEFT JOIN t_products p "
+    "ON p.shop_id = c.shop_id AND p.id = c.product_id), "
+    "cmd AS (SELECT shop_id, product_id, id, restock_date AS d, 0 AS rk, 0 AS kind, quantity_added AS q, "
+    "CASE WHEN updated_buy_price THEN CAST(unit_buy_price * 100 AS BIGINT) END AS mark FROM rl UNION ALL "
+    "SELECT shop_id, product_id, id, command_date, 1, 1, quantity, NULL FROM sv WHERE NOT missing AND "
+    "coalesce(quantity, 0) > 0), "
+    "seqd AS (SELECT c.*, p.stock_quantity AS open_lvl, CAST(p.buy_price * 100 AS BIGINT) AS open_mark, "
+    "p.sell_price, p.name AS product_name, row_number() OVER (PARTITION BY c.shop_id, c.product_id ORDER BY d, c.id, rk) AS rn "
+    "FROM cmd c JOIN t_products p ON p.shop_id = c.shop_id AND p.id = c.product_id), "
+    "walk AS (SELECT shop_id, product_id, rn, kind = 0 OR q <= open_lvl AS ok, "
+    "CASE WHEN kind = 0 THEN open_lvl + q WHEN q <= open_lvl THEN open_lvl - q ELSE open_lvl END AS lvl, "
+    "coalesce(mark, open_mark) AS mk FROM seqd WHERE rn = 1 UNION ALL "
+    "SELECT s.shop_id, s.product_id, s.rn, s.kind = 0 OR s.q <= w.lvl, "
+    "CASE WHEN s.kind = 0 THEN w.lvl + s.q WHEN s.q <= w.lvl THEN w.lvl - s.q ELSE w.lvl END, "
+    "coalesce(s.mark, w.mk) FROM walk w JOIN seqd s ON s.shop_id = w.shop_id AND s.product_id = w.product_id "
+    "AND s.rn = w.rn + 1)\n"
+)
+
+
 @query(
     "apply_stock_timeline",
     with_tables(
-        RESTOCK_V
-        + ", sv AS (SELECT c.*, p.id IS NULL AS missing FROM t_sale_commands c LEFT JOIN t_products p "
-        "ON p.shop_id = c.shop_id AND p.id = c.product_id), "
-        "cmd AS (SELECT shop_id, product_id, id, restock_date AS d, 0 AS rk, 0 AS kind, quantity_added AS q, "
-        "CASE WHEN updated_buy_price THEN CAST(unit_buy_price * 100 AS BIGINT) END AS mark FROM rl UNION ALL "
-        "SELECT shop_id, product_id, id, command_date, 1, 1, quantity, NULL FROM sv WHERE NOT missing AND "
-        "coalesce(quantity, 0) > 0), "
-        "seqd AS (SELECT c.*, p.stock_quantity AS open_lvl, CAST(p.buy_price * 100 AS BIGINT) AS open_mark, "
-        "p.sell_price, row_number() OVER (PARTITION BY c.shop_id, c.product_id ORDER BY d, c.id, rk) AS rn "
-        "FROM cmd c JOIN t_products p ON p.shop_id = c.shop_id AND p.id = c.product_id), "
-        "walk AS (SELECT shop_id, product_id, rn, kind = 0 OR q <= open_lvl AS ok, "
-        "CASE WHEN kind = 0 THEN open_lvl + q WHEN q <= open_lvl THEN open_lvl - q ELSE open_lvl END AS lvl, "
-        "coalesce(mark, open_mark) AS mk FROM seqd WHERE rn = 1 UNION ALL "
-        "SELECT s.shop_id, s.product_id, s.rn, s.kind = 0 OR s.q <= w.lvl, "
-        "CASE WHEN s.kind = 0 THEN w.lvl + s.q WHEN s.q <= w.lvl THEN w.lvl - s.q ELSE w.lvl END, "
-        "coalesce(s.mark, w.mk) FROM walk w JOIN seqd s ON s.shop_id = w.shop_id AND s.product_id = w.product_id "
-        "AND s.rn = w.rn + 1)\n"
-        "SELECT s.shop_id, s.id, s.product_id, s.q AS quantity, s.d AS sale_date, "
+        TIMELINE
+        + "SELECT s.shop_id, s.id, s.product_id, s.product_name, s.q AS quantity, s.d AS sale_date, "
         "CASE WHEN w.ok THEN 'accepted' ELSE 'rejected' END AS status, "
         "CASE WHEN w.ok THEN '' ELSE 'insufficient_stock' END AS reason, "
         "CASE WHEN w.ok THEN CAST(s.sell_price * s.q AS DOUBLE) END AS revenue, "
         "CASE WHEN w.ok THEN CAST((s.sell_price - CAST(w.mk AS DECIMAL(18,0)) * 0.01) * s.q AS DOUBLE) END AS profit "
         "FROM seqd s JOIN walk w ON w.shop_id = s.shop_id AND w.product_id = s.product_id AND w.rn = s.rn "
-        "WHERE s.kind = 1 UNION ALL SELECT shop_id, id, product_id, quantity, command_date, 'rejected', "
+        "WHERE s.kind = 1 UNION ALL SELECT shop_id, id, product_id, product_name, quantity, command_date, 'rejected', "
         "concat_ws(';', CASE WHEN coalesce(quantity, 0) <= 0 THEN 'quantity_not_positive' END, "
         "CASE WHEN missing THEN 'product_not_found' END), NULL, NULL FROM sv WHERE missing OR coalesce(quantity, 0) <= 0",
         "t_restock_commands",
@@ -417,6 +454,28 @@ def apply_stock_timeline(t):
     return L.apply_stock_timeline(fx.products(t), fx.sale_commands(t), fx.restock_commands(t))
 
 
+@query(
+    "timeline_stock",
+    with_tables(
+        TIMELINE
+        + PRODUCT_D.format(
+            src="(SELECT p.shop_id, p.id, p.name, p.category, CASE WHEN e.mk IS NULL THEN p.buy_price ELSE "
+            "CAST(CAST(e.mk AS DECIMAL(18,0)) * 0.01 AS DECIMAL(12,2)) END AS buy_price, p.sell_price, "
+            "CAST(coalesce(e.lvl, p.stock_quantity) AS INTEGER) AS stock_quantity, p.low_stock_threshold FROM t_products p "
+            "LEFT JOIN (SELECT shop_id, product_id, arg_max(lvl, rn) AS lvl, arg_max(mk, rn) AS mk FROM walk "
+            "GROUP BY shop_id, product_id) e ON e.shop_id = p.shop_id AND e.product_id = p.id) z"
+        ),
+        "t_restock_commands",
+        "t_sale_commands",
+        "t_products",
+        recursive=True,
+    ),
+)
+def timeline_stock(t):
+    """M9: stock and buy price after the timeline."""
+    return R.product_list(L.timeline_stock(fx.products(t), fx.sale_commands(t), fx.restock_commands(t)))
+
+
 # ---------------------------------------------------------------- M5, M7, M8 customers and shops
 
 
@@ -479,18 +538,27 @@ def validate_debts(t):
 
 
 PAY = (
-    ", pv AS (SELECT d.*, concat_ws(';', CASE WHEN coalesce(d.amount, 0) <= 0 THEN 'amount_not_positive' END, "
-    "CASE WHEN c.id IS NULL THEN 'customer_not_found' END) AS reasons FROM t_debts d LEFT JOIN "
+    ", pv AS (SELECT d.*, c.name AS c_name, concat_ws(';', "
+    "CASE WHEN coalesce(d.transaction_type NOT IN ('debt', 'payment'), true) THEN 'unknown_type' END, "
+    "CASE WHEN coalesce(CAST(d.amount AS DECIMAL(12,2)), 0) <= 0 THEN 'amount_not_positive' END, "
+    "CASE WHEN c.id IS NULL THEN 'customer_not_found' END) AS reasons FROM t_credit_commands d LEFT JOIN "
     "(SELECT * FROM t_customers c0 WHERE NOT EXISTS (SELECT 1 FROM t_customer_deletes x WHERE x.shop_id = c0.shop_id "
     "AND x.id = c0.id)) c ON c.shop_id = d.shop_id AND c.id = d.customer_id), "
-    "pg AS (SELECT *, CAST(amount * 100 AS BIGINT) AS cents, transaction_type = 'payment' AS take, "
-    "row_number() OVER (PARTITION BY shop_id, customer_id ORDER BY transaction_date, id) AS rn FROM pv "
+    "pl AS (SELECT *, CASE WHEN transaction_type = 'payment' THEN c_name ELSE coalesce(trim(customer_name), c_name) END "
+    "AS row_name, CASE WHEN transaction_type = 'payment' THEN 'Customer payment' ELSE nullif(trim(note), '') END AS row_note, "
+    "CAST(amount AS DECIMAL(12,2)) AS rounded FROM pv), "
+    "pg AS (SELECT *, transaction_type = 'payment' AS take, "
+    "row_number() OVER (PARTITION BY shop_id, customer_id ORDER BY transaction_date, id) AS rn FROM pl "
     "WHERE reasons = ''), "
-    "walk AS (SELECT shop_id, customer_id, rn, NOT take OR cents <= 0 AS ok, "
-    "CASE WHEN NOT take THEN cents WHEN cents <= 0 THEN 0 - cents ELSE 0 END AS lvl FROM pg WHERE rn = 1 "
-    "UNION ALL SELECT g.shop_id, g.customer_id, g.rn, NOT g.take OR g.cents <= w.lvl, "
-    "CASE WHEN NOT g.take THEN w.lvl + g.cents WHEN g.cents <= w.lvl THEN w.lvl - g.cents ELSE w.lvl END "
-    "FROM walk w JOIN pg g ON g.shop_id = w.shop_id AND g.customer_id = w.customer_id AND g.rn = w.rn + 1)\n"
+    "walk AS (SELECT shop_id, customer_id, CAST(0 AS BIGINT) AS rn, true AS ok, CAST(0 AS DECIMAL(18,2)) AS lvl FROM pg "
+    "GROUP BY shop_id, customer_id UNION ALL SELECT g.shop_id, g.customer_id, g.rn, NOT g.take OR g.amount <= w.lvl, "
+    "CAST(CASE WHEN NOT g.take THEN w.lvl + g.rounded WHEN g.amount <= w.lvl THEN w.lvl - g.rounded ELSE w.lvl END "
+    "AS DECIMAL(18,2)) FROM walk w JOIN pg g ON g.shop_id = w.shop_id AND g.customer_id = w.customer_id "
+    "AND g.rn = w.rn + 1)\n"
+)
+PAY_ROW = (
+    "SELECT {a}shop_id, {a}id, {a}customer_id, {a}row_name AS customer_name, {a}transaction_type, "
+    "CAST({a}rounded AS DOUBLE) AS amount, {a}row_note AS note, {a}transaction_date, "
 )
 
 
@@ -498,39 +566,41 @@ PAY = (
     "apply_payments",
     with_tables(
         PAY
-        + "SELECT g.shop_id, g.id, g.customer_id, g.transaction_type, CAST(g.amount AS DOUBLE) AS amount, "
-        "g.transaction_date, CASE WHEN w.ok THEN 'accepted' ELSE 'rejected' END AS status, "
+        + PAY_ROW.format(a="g.")
+        + "CASE WHEN w.ok THEN 'accepted' ELSE 'rejected' END AS status, "
         "CASE WHEN w.ok THEN '' ELSE 'exceeds_balance' END AS reason FROM pg g JOIN walk w "
-        "ON w.shop_id = g.shop_id AND w.customer_id = g.customer_id AND w.rn = g.rn "
-        "UNION ALL SELECT shop_id, id, customer_id, transaction_type, CAST(amount AS DOUBLE), transaction_date, "
-        "'rejected', reasons FROM pv WHERE reasons <> ''",
-        "t_debts",
+        "ON w.shop_id = g.shop_id AND w.customer_id = g.customer_id AND w.rn = g.rn UNION ALL "
+        + PAY_ROW.format(a="")
+        + "'rejected', reasons FROM pl WHERE reasons <> ''",
+        "t_credit_commands",
         "t_customers",
         "t_customer_deletes",
         recursive=True,
     ),
 )
 def apply_payments(t):
-    """M7: the debt ledger replayed with the overpayment guard (customers of one
+    """M7: the credit commands replayed with the overpayment guard (customers of one
     segment deleted first, so their rows are rejected as unknown)."""
     customers = fx.customers(t).join(fx.customer_deletes(t), ["shop_id", "id"], "left_anti")
-    return L.apply_payments(customers, fx.debts(t))
+    return L.apply_payments(customers, fx.credit_commands(t))
 
 
 @query(
     "validate_payments",
     with_tables(
         PAY + "SELECT shop_id, id, customer_id, reasons, reasons = '' AS accepted FROM pv",
-        "t_debts",
+        "t_credit_commands",
         "t_customers",
         "t_customer_deletes",
         recursive=True,
     ),
 )
 def validate_payments(t):
-    """V5: amount > 0 and customer exists."""
+    """V4/V5: known type, amount > 0 and customer exists."""
     customers = fx.customers(t).join(fx.customer_deletes(t), ["shop_id", "id"], "left_anti")
-    return L.validate_payments(customers, fx.debts(t)).select("shop_id", "id", "customer_id", "reasons", "accepted")
+    return L.validate_payments(customers, fx.credit_commands(t)).select(
+        "shop_id", "id", "customer_id", "reasons", "accepted"
+    )
 
 
 @query(

@@ -331,8 +331,9 @@ def sales_with_dates(t):
     with_tables(
         "SELECT shop_id, seq, name, CAST(coalesce(TRY_CAST(trim(buy_price) AS DECIMAL(12,2)), 0) AS DOUBLE) AS buy_price, "
         "CAST(coalesce(TRY_CAST(trim(sell_price) AS DECIMAL(12,2)), 0) AS DOUBLE) AS sell_price, "
-        "coalesce(TRY_CAST(trim(stock_quantity) AS INTEGER), 0) AS stock_quantity, "
-        "coalesce(TRY_CAST(trim(low_stock_threshold) AS INTEGER), 0) AS low_stock_threshold FROM t_product_text",
+        "CAST(coalesce(trunc(TRY_CAST(trim(stock_quantity) AS DOUBLE)), 0) AS INTEGER) AS stock_quantity, "
+        "CAST(coalesce(trunc(TRY_CAST(trim(low_stock_threshold) AS DOUBLE)), 0) AS INTEGER) AS low_stock_threshold "
+        "FROM t_product_text",
         "t_product_text",
     ),
 )

@@ -68,6 +68,27 @@ def debt_history(t):
     return H.debt_history(fx.debts(t), fx.customers(t)).orderBy("shop_id", *H.newest_first("transaction_date"))
 
 
+@query(
+    "debt_history_current_names",
+    with_tables(
+        "SELECT d.shop_id, d.id, d.customer_id, coalesce(c.name, '') AS customer_name, "
+        "coalesce(c.phone, '') AS phone, d.transaction_type, CAST(d.amount AS DOUBLE) AS amount, "
+        "coalesce(d.note, '') AS note, d.transaction_date FROM t_debts d "
+        "LEFT JOIN (SELECT c0.* FROM t_customers c0 WHERE NOT EXISTS (SELECT 1 FROM t_customer_deletes x "
+        "WHERE x.shop_id = c0.shop_id AND x.id = c0.id)) c ON c.shop_id = d.shop_id AND c.id = d.customer_id",
+        "t_debts",
+        "t_customers",
+        "t_customer_deletes",
+    ),
+)
+def debt_history_current_names(t):
+    """S4 (D11): debt ledger with present customer names; '' for deleted customers."""
+    customers = fx.customers(t).join(fx.customer_deletes(t), ["shop_id", "id"], "left_anti")
+    return H.debt_history(fx.debts(t), customers, name_mode="current").orderBy(
+        "shop_id", *H.newest_first("transaction_date")
+    )
+
+
 @query("restock_history", with_tables(RESTOCK_D.format(src="t_restocks"), "t_restocks"))
 def restock_history(t):
     """Restock ledger (snapshot names), newest first."""
@@ -190,3 +211,46 @@ def csv_roundtrip_restocks(t):
 def csv_roundtrip_customers(t):
     """Customer export to CSV and back (null phone stays null)."""
     return _roundtrip(t, fx.customers(t), CUSTOMERS, "customers")
+
+
+# ---------------------------------------------------------------- S10-S12 stored tables
+
+
+@query("tables_roundtrip_products", with_tables("SELECT * FROM t_products", "t_products"))
+def tables_roundtrip_products(t):
+    """Tables created empty, products reloaded twice, the current version read."""
+    root = scratch_path(t.spark, "tables-products")
+    sinks.create_tables(t.spark, root)
+    sinks.reset_tables(t.spark, root, {"products": fx.discontinued_products(t).join(fx.products(t), ["shop_id", "id"])})
+    sinks.reset_tables(t.spark, root, {"products": fx.products(t)})
+    return sinks.read_table(t.spark, root, "products")
+
+
+@query("tables_roundtrip_restocks", with_tables("SELECT * FROM t_restocks", "t_restocks"))
+def tables_roundtrip_restocks(t):
+    """A ledger reloaded wholesale and read back."""
+    root = scratch_path(t.spark, "tables-restocks")
+    sinks.reset_tables(t.spark, root, {"restocks": fx.restocks(t)})
+    return sinks.read_table(t.spark, root, "restocks")
+
+
+@query("ledger_append_replayed", with_tables("SELECT * FROM t_sales", "t_sales"))
+def ledger_append_replayed(t):
+    """The sales appended as two batches, one of them twice."""
+    root, sales = scratch_path(t.spark, "ledger-append"), fx.sales(t)
+    sinks.create_tables(t.spark, root)
+    small = F.col("quantity") < 25
+    sinks.append_rows(t.spark, root, "sales", sales.where(small), batch_id=1)
+    for _ in range(2):
+        sinks.append_rows(t.spark, root, "sales", sales.where(~small), batch_id=2)
+    return sinks.read_table(t.spark, root, "sales")
+
+
+@query("stored_sales_for_shop", with_tables(SALES_D.format(src="t_sales WHERE shop_id = 7"), "t_sales"))
+def stored_sales_for_shop(t):
+    """One shop's sales from a written ledger (the shop prunes files and row groups)."""
+    from ..operators import reports as R
+
+    root = scratch_path(t.spark, "stored-sales")
+    sinks.reset_tables(t.spark, root, {"sales": fx.sales(t)})
+    return H.sales_history(R.for_shop(sinks.read_table(t.spark, root, "sales"), 7))

@@ -51,9 +51,43 @@ def rls_visible_shops(t):
     return TN.visible_shops(fx.shops(t), fx.profiles(t))
 
 
+CALLER = 2
+
+
+@query(
+    "rls_caller_sales",
+    with_tables(
+        SALES_D.format(src=f"t_sales WHERE shop_id IN (SELECT shop_id FROM t_profiles WHERE id = {CALLER})"),
+        "t_sales",
+        "t_profiles",
+    ),
+)
+def rls_caller_sales(t):
+    """The sales that one caller may see (semi-join on the caller's shop)."""
+    from ..operators import history as H
+
+    return H.sales_history(TN.rows_for_caller(fx.sales(t), fx.profiles(t), CALLER))
+
+
+@query(
+    "rls_changeable_shops",
+    with_tables(
+        "SELECT s.owner_id AS user_id, s.id, s.name, s.owner_id FROM t_shops s JOIN t_profiles p "
+        "ON p.id = s.owner_id AND p.shop_id = s.id",
+        "t_shops",
+        "t_profiles",
+    ),
+)
+def rls_changeable_shops(t):
+    """Shops each user may update or delete (owner AND member)."""
+    return TN.changeable_shops(fx.shops(t), fx.profiles(t))
+
+
 @query(
     "rls_visible_profile",
-    with_tables("SELECT id AS user_id, id, shop_id, full_name, role FROM t_profiles", "t_profiles"),
+    with_tables(
+        "SELECT id AS user_id, id, shop_id, full_name, role FROM t_profiles WHERE shop_id IS NOT NULL", "t_profiles"
+    ),
 )
 def rls_visible_profile(t):
     """Own-profile visibility."""
@@ -65,8 +99,8 @@ def rls_visible_profile(t):
     with_tables(
         "SELECT request_id, caller_id, id, shop_id, role, reasons, reasons = '' AS accepted FROM ("
         "SELECT r.request_id, r.caller_id, r.id, r.shop_id, r.role, concat_ws(';', "
-        "CASE WHEN r.id <> r.caller_id THEN 'not_own_profile' END, "
-        "CASE WHEN r.role <> 'owner' THEN 'role_not_owner' END, "
+        "CASE WHEN r.id IS NULL OR r.id IS DISTINCT FROM r.caller_id THEN 'not_own_profile' END, "
+        "CASE WHEN r.role IS DISTINCT FROM 'owner' THEN 'role_not_owner' END, "
         "CASE WHEN s.id IS NULL THEN 'shop_not_owned' END) AS reasons "
         "FROM t_profile_requests r LEFT JOIN t_shops s ON s.id = r.shop_id AND s.owner_id = r.caller_id) x",
         "t_profile_requests",
@@ -83,7 +117,7 @@ def profiles_insert_check(t):
     with_tables(
         "SELECT r.request_id, r.caller_id, r.requested_shop_id, p.shop_id AS own_shop_id "
         "FROM t_tenant_requests r LEFT JOIN t_profiles p ON p.id = r.caller_id "
-        "WHERE r.requested_shop_id IS DISTINCT FROM p.shop_id",
+        "WHERE r.requested_shop_id IS NULL OR r.requested_shop_id IS DISTINCT FROM p.shop_id",
         "t_tenant_requests",
         "t_profiles",
     ),

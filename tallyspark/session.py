@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from pathlib import Path
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def build_session(
@@ -51,9 +53,22 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    share_package(spark)
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
+
+    On a cluster where that folder is not shared, install the package on the
+    executors or submit it with ``--py-files``.
+    """
+    workers = spark.sparkContext.environment
+    paths = [p for p in workers.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        workers["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+
+
 def is_machine_local(path: str) -> bool:
     """True for a path that names the local file system of whichever machine opens it."""
     return path.startswith(("file:", "/")) or "://" not in path

@@ -145,7 +145,7 @@ def debts(t: DriverTables) -> DataFrame:
 
 
 def restocks(t: DriverTables) -> DataFrame:
-    li = t.lineitem.where(F.col("l_returnflag") == "R")
+    li = t.lineitem
     s = t.supplier.select("s_suppkey", "s_name")
     p = t.part.select("p_partkey", "p_name")
     return (
@@ -182,7 +182,8 @@ def product_requests(t: DriverTables) -> DataFrame:
     k = F.col("p_partkey")
     sell = money("p_retailprice")
     name = (
-        F.when(k % 17 == 0, F.lit("  "))
+        F.when(k % 34 == 0, F.lit("\t\u00a0"))
+        .when(k % 17 == 0, F.lit("  "))
         .when(k % 11 == 0, F.upper(_product_name()))
         .when(k % 13 == 0, F.concat(F.col("p_brand"), F.lit(" special")))
         .otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit(" new "), k.cast("string")))
@@ -192,27 +193,35 @@ def product_requests(t: DriverTables) -> DataFrame:
         k.alias("seq"),
         name.alias("name"),
         F.when(k % 23 == 0, F.lit("")).otherwise(F.col("p_type")).alias("category"),
-        F.when(k % 19 == 0, dec("-1.00")).otherwise(money(sell * dec(BUY_RATIO))).cast(MONEY).alias("buy_price"),
+        F.when(k % 19 == 0, dec("-1.00")).when(k % 41 != 0, money(sell * dec(BUY_RATIO))).cast(MONEY).alias("buy_price"),
         F.when(k % 29 == 0, dec("-1.00")).otherwise(sell).cast(MONEY).alias("sell_price"),
-        F.when(k % 31 == 0, F.lit(-1)).otherwise(F.col("p_size")).cast("int").alias("stock_quantity"),
+        F.when(k % 31 == 0, F.lit(-1)).when(k % 43 != 0, F.col("p_size")).cast("int").alias("stock_quantity"),
         F.when(k % 37 == 0, F.lit(-1)).otherwise(F.lit(5)).cast("int").alias("low_stock_threshold"),
     )
 
 
 def product_updates(t: DriverTables) -> DataFrame:
-    """Full-row update commands for M2 (several per product; some unknown ids)."""
-    li = t.lineitem.where((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"))
+    """Full-row update commands for M2: several per product, some unknown ids and null
+    prices; renames to names that several products want, lose and take again."""
+    li = t.lineitem
     p = t.part.select("p_partkey", "p_name", "p_type")
     ext = money("l_extendedprice")
+    k = F.col("l_orderkey")
+    name = (
+        F.when(k % 10 == 3, F.concat(F.lit("Shared "), (F.col("l_partkey") % 5).cast("string")))
+        .when(k % 10 == 4, F.upper(_product_name()))
+        .when(k % 10 == 5, F.concat(F.lit("\tpool "), (k % 7).cast("string")))
+        .otherwise(_product_name())
+    )
     pid = F.when(F.col("l_orderkey") % 9 == 0, F.col("l_partkey") + 1_000_000_000).otherwise(F.col("l_partkey"))
     return li.join(p, li.l_partkey == p.p_partkey, "inner").select(
         (F.col("l_partkey") % SHOP_COUNT).alias("shop_id"),
         pid.alias("id"),
         F.col("l_shipdate").cast("date").alias("command_date"),
         _line_id().alias("command_id"),
-        _product_name().alias("name"),
+        name.alias("name"),
         F.col("p_type").alias("category"),
-        money(ext * dec("0.015")).alias("buy_price"),
+        F.when(k % 13 != 0, money(ext * dec("0.015"))).alias("buy_price"),
         money(ext * dec("0.02")).alias("sell_price"),
         F.col("l_quantity").cast("int").alias("stock_quantity"),
         F.col("l_linenumber").alias("low_stock_threshold"),
@@ -231,8 +240,10 @@ def sale_commands(t: DriverTables) -> DataFrame:
 
 
 def restock_commands(t: DriverTables) -> DataFrame:
-    """Restock requests (returned lineitems), some with blank supplier or bad values."""
-    li = t.lineitem.where(F.col("l_returnflag") == "R")
+    """Restock requests (every lineitem; a tenth of the units unless returned), some with
+    blank supplier, null price or bad values."""
+    li = t.lineitem
+    units = F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(F.floor(F.col("l_quantity") / 10))
     s = t.supplier.select("s_suppkey", "s_name")
     k = F.col("l_orderkey")
     return li.join(s, li.l_suppkey == s.s_suppkey, "inner").select(
@@ -240,9 +251,9 @@ def restock_commands(t: DriverTables) -> DataFrame:
         F.col("l_partkey").alias("product_id"),
         _line_id().alias("id"),
         F.col("l_shipdate").cast("date").alias("command_date"),
-        F.when(k % 41 == 0, F.lit(0)).otherwise(F.col("l_quantity").cast("int")).alias("quantity"),
-        F.when(k % 43 == 0, F.lit(" ")).otherwise(F.col("s_name")).alias("supplier_name"),
-        money(money("l_extendedprice") * dec(RESTOCK_PRICE_RATIO)).alias("unit_buy_price"),
+        F.when(k % 41 == 0, F.lit(0)).otherwise(units.cast("int")).alias("quantity"),
+        F.when(k % 43 == 0, F.lit(" \n")).otherwise(F.col("s_name")).alias("supplier_name"),
+        F.when(k % 53 != 0, money(money("l_extendedprice") * dec(RESTOCK_PRICE_RATIO))).alias("unit_buy_price"),
         (F.col("l_linestatus") == "O").alias("update_buy_price"),
     )
 
@@ -272,32 +283,51 @@ def debt_commands(t: DriverTables) -> DataFrame:
     )
 
 
+def credit_commands(t: DriverTables) -> DataFrame:
+    """The debt ledger as raw commands for M7: amounts with fractions of a cent, unknown and null types."""
+    k = F.col("id")
+    amount = F.col("amount") + F.when(k % 3 == 0, dec("0.004")).otherwise(dec("0.000"))
+    return debts(t).select(
+        "shop_id",
+        "id",
+        "customer_id",
+        "customer_name",
+        F.when(k % 59 == 0, F.lit("refund")).when(k % 61 != 0, F.col("transaction_type")).alias("transaction_type"),
+        F.when(k % 67 == 0, dec("0.004")).otherwise(amount).cast("decimal(14,3)").alias("amount"),
+        "note",
+        "transaction_date",
+    )
+
+
 def shop_delete_requests(t: DriverTables) -> DataFrame:
     return shops(t).select(F.col("id").alias("shop_id"))
 
 
 def profile_requests(t: DriverTables) -> DataFrame:
-    """Profile inserts: the caller claims a shop; role differs for some."""
+    """Profile inserts: the caller claims a shop; role or id differs or is null for some."""
     n = t.nation
     return n.select(
         F.col("n_nationkey").cast("long").alias("request_id"),
         F.col("n_regionkey").cast("long").alias("caller_id"),
         F.when(F.col("n_nationkey") % 4 == 3, (F.col("n_regionkey") + 1) % 5)
-        .otherwise(F.col("n_regionkey"))
+        .when(F.col("n_nationkey") % 11 != 10, F.col("n_regionkey"))
         .cast("long")
         .alias("id"),
         F.col("n_nationkey").cast("long").alias("shop_id"),
-        F.when(F.col("n_nationkey") % 6 == 5, F.lit("staff")).otherwise(F.lit("owner")).alias("role"),
+        F.when(F.col("n_nationkey") % 6 == 5, F.lit("staff"))
+        .when(F.col("n_nationkey") % 7 != 6, F.lit("owner"))
+        .alias("role"),
     )
 
 
 def tenant_requests(t: DriverTables) -> DataFrame:
-    """Every sale as a write attempt by the owner of its shop; some name no shop."""
+    """Every sale as a write attempt by the owner of its shop; some name no shop, some callers have no profile."""
     s = sales(t)
     sh = shops(t).select(F.col("id").alias("sid"), F.col("owner_id").alias("caller_id"))
-    requested = F.when(F.col("quantity") == 13, F.lit(None).cast("long")).otherwise(F.col("shop_id"))
+    requested = F.when(~F.col("quantity").isin(13, 14), F.col("shop_id"))
+    caller = F.when(F.col("quantity") % 4 == 1, F.col("caller_id") + 1_000_000).otherwise(F.col("caller_id"))
     return s.join(sh, s.shop_id == sh.sid, "inner").select(
-        F.col("id").alias("request_id"), F.col("caller_id"), requested.alias("requested_shop_id")
+        F.col("id").alias("request_id"), caller.alias("caller_id"), requested.alias("requested_shop_id")
     )
 
 
@@ -344,14 +374,14 @@ QUESTION_PHRASES = [
 
 
 def questions(t: DriverTables) -> DataFrame:
-    """Fixed phrases for every shop, plus every user turn of ``conversations``."""
+    """Fixed phrases for every shop, plus every turn of ``conversations``."""
     phrases = F.array(*[F.lit(q) for q in QUESTION_PHRASES])
     fixed = shops(t).select(F.col("id").alias("shop_id"), F.posexplode(phrases).alias("phrase_no", "question")).select(
         (F.col("shop_id") * 1000 + F.col("phrase_no")).alias("question_id"),
         "shop_id",
         "question",
     )
-    conv = t.conversations.where(F.col("role") == "user").select(
+    conv = t.conversations.select(
         (F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
         (F.col("conv_id") % SHOP_COUNT).alias("shop_id"),
         F.col("text").alias("question"),
@@ -369,7 +399,8 @@ def product_text_rows(t: DriverTables) -> DataFrame:
         "name",
         F.when(k % 7 == 0, F.lit("n/a")).otherwise(F.col("buy_price").cast("string")).alias("buy_price"),
         F.when(k % 5 == 0, F.lit("")).otherwise(F.col("sell_price").cast("string")).alias("sell_price"),
-        F.when(k % 3 == 0, F.lit(" 12 ")).otherwise(F.col("stock_quantity").cast("string")).alias("stock_quantity"),
+        F.when(k % 9 == 0, F.lit("12.7")).when(k % 9 == 3, F.lit("1e1")).when(k % 3 == 0, F.lit(" 12\t"))
+        .otherwise(F.col("stock_quantity").cast("string")).alias("stock_quantity"),
         F.when(k % 8 == 0, F.lit("x")).otherwise(F.col("low_stock_threshold").cast("string")).alias("low_stock_threshold"),
     )
 

@@ -37,8 +37,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
-def write_ledger(df: DataFrame, path: str, date_col: str, mode: str = "append") -> None:
-    """Append ledger rows partitioned by month of ``date_col``.
+def write_ledger(df: DataFrame, path: str, date_col: str, batch_id: int | None = None) -> None:
+    """Append ledger rows partitioned by month of ``date_col`` and batch.
+
+    With a ``batch_id`` the write replaces that batch's own folders only, so a
+    replayed batch never duplicates rows; without one, rows are appended.
 
     Month (not shop) partitioning keeps the folder count bounded however many
     shops exist.  Rows are range-partitioned on (month, shop, date, id): a
@@ -47,14 +50,18 @@ def write_ledger(df: DataFrame, path: str, date_col: str, mode: str = "append")
     clustered by shop and date inside each file so min/max statistics prune
     by ``shop_id`` and date.
     """
-    (
-        df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM"))
-        .repartitionByRange("month", "shop_id", date_col, "id")
+    rows = df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM")).withColumn(
+        "batch", F.lit("load" if batch_id is None else str(batch_id))
+    )
+    writer = (
+        rows.repartitionByRange("month", "shop_id", date_col, "id")
         .sortWithinPartitions("month", "shop_id", date_col, "id")
-        .write.mode(mode)
-        .partitionBy("month")
-        .parquet(path)
+        .write.partitionBy("month", "batch")
     )
+    if batch_id is None:
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_ledger(
@@ -72,12 +79,16 @@ def read_ledger(
     one or two month folders, not the whole history.  The date predicate
     itself is also pushed into the files' min/max statistics.
     """
-    df = spark.read.schema(StructType(schema.fields + [StructField("month", StringType(), True)])).parquet(path)
+    folders = [StructField("month", StringType(), True), StructField("batch", StringType(), True)]
+    try:
+        df = spark.read.schema(StructType(schema.fields + folders)).parquet(path)
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], schema)
     if start is not None:
         df = df.where((F.col("month") >= F.lit(start.strftime("%Y-%m"))) & (F.col(date_col) >= F.lit(start)))
     if end is not None:
         df = df.where((F.col("month") <= F.lit(end.strftime("%Y-%m"))) & (F.col(date_col) <= F.lit(end)))
-    return df.drop("month")
+    return df.drop("month", "batch")
 
 
 POINTERS = "_pointers"
@@ -119,21 +130,28 @@ def read_snapshot(spark: SparkSession, table_dir: str, schema: StructType) -> Da
     return spark.read.schema(schema).parquet(f"{table_dir.rstrip('/')}/{v}")
 
 
-def write_snapshot(spark: SparkSession, df: DataFrame, table_dir: str, meta: dict | None = None) -> str:
+LATEST = object()
+
+
+def write_snapshot(
+    spark: SparkSession, df: DataFrame, table_dir: str, meta: dict | None = None, base: dict | None | object = LATEST
+) -> str:
     """Write ``df`` as a new version folder, then commit it with a new pointer.
 
-    The pointer is written with ``mode("error")`` under the next sequence
-    number: if another writer committed that number first, this commit raises
-    instead of silently overwriting.
+    ``base`` is the ``snapshot_meta`` that ``df`` was computed from (``None``: no
+    version yet).  The commit takes the sequence number after it and is written
+    with ``mode("error")``: if another writer has committed since that base, this
+    commit raises instead of losing the other's update.  Without ``base`` the
+    write is a replacement, whatever the current version is.
     """
-    version = f"v-{uuid.uuid4().hex}"
-    base = table_dir.rstrip("/")
-    df.write.mode("error").parquet(f"{base}/{version}")
-    prev = snapshot_meta(spark, base)
-    seq = 1 if prev is None else int(prev["seq"]) + 1
+    table = table_dir.rstrip("/")
     batch_id = (meta or {}).get("batch_id")
+    prev = snapshot_meta(spark, table) if base is LATEST else base
+    seq = 1 if prev is None else int(prev["seq"]) + 1
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(f"{table}/{version}")
     pointer = spark.createDataFrame([(seq, version, None if batch_id is None else int(batch_id))], POINTER)
-    pointer.write.mode("error").json(f"{base}/{POINTERS}/{seq:020d}")
+    pointer.write.mode("error").json(f"{table}/{POINTERS}/{seq:020d}")
     return version
 
 
@@ -155,24 +173,48 @@ def table_schemas() -> dict[str, StructType]:
     }
 
 
+def read_table(spark: SparkSession, root: str, name: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """The current rows of a table made by ``create_tables`` (a ledger optionally for ``start..end``)."""
+    table, schema = f"{root.rstrip('/')}/{name}", table_schemas()[name]
+    if name not in LEDGER_DATE:
+        return read_snapshot(spark, table, schema)
+    version = current_version(spark, table)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return read_ledger(spark, f"{table}/{version}", schema, LEDGER_DATE[name], start, end)
+
+
+def append_rows(spark: SparkSession, root: str, name: str, rows: DataFrame, batch_id: int | None = None) -> None:
+    """S12 on a table made by ``create_tables``: ledger rows into the current version."""
+    table = f"{root.rstrip('/')}/{name}"
+    write_ledger(_typed(rows, name), f"{table}/{current_version(spark, table)}", LEDGER_DATE[name], batch_id)
+
+
+def _typed(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in table_schemas()[name].fields])
+
+
 def create_tables(spark: SparkSession, root: str) -> None:
-    """Every table as an empty Parquet table with its declared schema
+    """Every table with its declared schema, empty, as a first committed version
     (existing tables are left alone, like CREATE TABLE IF NOT EXISTS)."""
-    base = root.rstrip("/")
     for name, schema in table_schemas().items():
-        df = spark.createDataFrame([], schema)
-        if name in LEDGER_DATE:
-            df = df.withColumn("month", F.lit(None).cast("string"))
-        df.write.mode("ignore").parquet(f"{base}/{name}")
+        if current_version(spark, f"{root.rstrip('/')}/{name}") is None:
+            reset_tables(spark, root, {name: spark.createDataFrame([], schema)})
 
 
 def reset_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
-    """Replace the named tables wholesale (demo reset and reload)."""
-    base = root.rstrip("/")
-    schemas = table_schemas()
+    """Replace the named tables wholesale (demo reset and reload).
+
+    Each table is written as a new version and committed by its pointer, so a
+    failed reload leaves the former rows in place.
+    """
     for name, df in tables.items():
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schemas[name].fields])
-        if name in LEDGER_DATE:
-            write_ledger(rows, f"{base}/{name}", LEDGER_DATE[name], mode="overwrite")
-        else:
-            rows.write.mode("overwrite").parquet(f"{base}/{name}")
+        table, rows = f"{root.rstrip('/')}/{name}", _typed(df, name)
+        if name not in LEDGER_DATE:
+            write_snapshot(spark, rows, table)
+            continue
+        prev = snapshot_meta(spark, table)
+        seq, version = 1 if prev is None else int(prev["seq"]) + 1, f"v-{uuid.uuid4().hex}"
+        write_ledger(rows, f"{table}/{version}", LEDGER_DATE[name])
+        pointer = spark.createDataFrame([(seq, version, None)], POINTER)
+        pointer.write.mode("error").json(f"{table}/{POINTERS}/{seq:020d}")

@@ -10,8 +10,10 @@ balance) against a balance snapshot.
 
 Exactly-once per micro-batch:
 
-1. the batch's ledger rows go to a folder named by the batch id (overwritten
-   on a replay, so a retried batch never duplicates rows);
+1. the batch's outcomes go to a folder named by the batch id; the accepted
+   rows go to the ledger in its declared schema, under the batch's own
+   folders, and the rejected rows to a folder of rejects (all overwritten on a
+   replay, so a retried batch never duplicates rows);
 2. the new snapshot (products or balances) is written as a new version and
    committed by a pointer that records the batch id;
 3. a batch whose id is not above the committed one is skipped, so a batch
@@ -34,6 +36,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import (
     BooleanType,
     DateType,
+    DecimalType,
+    DoubleType,
     IntegerType,
     LongType,
     StringType,
@@ -42,8 +46,16 @@ from pyspark.sql.types import (
 )
 
 from ..operators import ledger as L
-from ..schemas import CUSTOMERS, MONEY, PRODUCTS
-from ..sources.sinks import read_snapshot, snapshot_meta, write_snapshot
+from ..schemas import CUSTOMERS, DEBTS, MONEY, PRODUCTS
+from ..sources.sinks import (
+    LEDGER_DATE,
+    read_ledger,
+    read_snapshot,
+    snapshot_meta,
+    table_schemas,
+    write_ledger,
+    write_snapshot,
+)
 
 COMMANDS = StructType(
     [
@@ -76,6 +88,21 @@ def split_commands(cmds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sales, restocks
 
 
+def _reject(rows: DataFrame, ledger_dir: str, name: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/rejects/{name}/batch_id={batch_id}")
+
+
+def _accept(rows: DataFrame, ledger_dir: str, name: str, batch_id: int) -> None:
+    """Accepted rows in the ledger's declared schema, under the batch's own folders."""
+    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in table_schemas()[name].fields])
+    write_ledger(typed, f"{ledger_dir.rstrip('/')}/{name}", LEDGER_DATE[name], batch_id)
+
+
+def ledger(spark: SparkSession, ledger_dir: str, name: str) -> DataFrame:
+    """A streamed ledger, readable by every report."""
+    return read_ledger(spark, f"{ledger_dir.rstrip('/')}/{name}", table_schemas()[name], LEDGER_DATE[name])
+
+
 def apply_command_batch(
     spark: SparkSession, cmds: DataFrame, batch_id: int, products_dir: str, ledger_dir: str
 ) -> bool:
@@ -85,18 +112,18 @@ def apply_command_batch(
         return False
     products = read_snapshot(spark, products_dir, PRODUCTS)
     sales, restocks = split_commands(cmds)
-    base = ledger_dir.rstrip("/")
-    sale_dir = f"{base}/sales/batch_id={batch_id}"
-    restock_dir = f"{base}/restocks/batch_id={batch_id}"
-    L.apply_stock_timeline(products, sales, restocks).write.mode("overwrite").parquet(sale_dir)
-    L.apply_restocks(products, restocks).write.mode("overwrite").parquet(restock_dir)
-    sold = (
-        spark.read.parquet(sale_dir)
-        .where(F.col("status") == L.ACCEPTED)
-        .select("shop_id", "product_id", F.col("quantity").alias("units"))
-    )
-    after = L.stock_after(L.apply_restocks_stock(products, restocks), sold, -1)
-    write_snapshot(spark, after, products_dir, {"batch_id": batch_id})
+    # outcomes of the batch, once: the ledger, the rejects and the snapshot are read from there
+    outcome_dir = f"{ledger_dir.rstrip('/')}/outcomes/sales/batch_id={batch_id}"
+    L.apply_stock_timeline(products, sales, restocks).write.mode("overwrite").parquet(outcome_dir)
+    outcomes = spark.read.parquet(outcome_dir)
+    sold = outcomes.where(F.col("status") == L.ACCEPTED)
+    _accept(sold, ledger_dir, "sales", batch_id)
+    _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, "sales", batch_id)
+    _accept(L.apply_restocks(products, restocks), ledger_dir, "restocks", batch_id)
+    _reject(L.validate_restocks(products, restocks).where(~F.col("accepted")), ledger_dir, "restocks", batch_id)
+    units = sold.select("shop_id", "product_id", F.col("quantity").alias("units"))
+    after = L.stock_after(L.apply_restocks_stock(products, restocks), units, -1)
+    write_snapshot(spark, after, products_dir, {"batch_id": batch_id}, base=meta)
     return True
 
 
@@ -137,54 +164,120 @@ CREDIT_COMMANDS = StructType(
         StructField("shop_id", LongType(), False),
         StructField("id", LongType(), False),
         StructField("customer_id", LongType(), True),
-        StructField("amount", MONEY, True),
+        StructField("amount", DecimalType(14, 3), True),  # as given; the ledger rounds
         StructField("transaction_date", DateType(), True),
     ]
 )
+NAMED_DEBTS = StructType(
+    [
+        StructField("shop_id", LongType(), False),
+        StructField("seq", LongType(), False),
+        StructField("customer_name", StringType(), True),
+        StructField("phone", StringType(), True),
+        StructField("amount", DoubleType(), True),
+        StructField("note", StringType(), True),
+        StructField("command_date", DateType(), True),
+    ]
+)
 BALANCES = StructType(
     [
         StructField("shop_id", LongType(), False),
         StructField("customer_id", LongType(), False),
-        StructField("balance", MONEY, True),
+        StructField("balance", DecimalType(20, 2), True),  # a sum, wider than one amount
     ]
 )
 
 
+def _add_to_balances(opening: DataFrame, rows: DataFrame) -> DataFrame:
+    """The balances after the accepted ledger ``rows``; customers without rows keep theirs."""
+    signed = L.signed_amount(F.col("amount"), F.col("transaction_type"))
+    delta = rows.groupBy("shop_id", "customer_id").agg(F.sum(signed).alias("_delta"))
+    zero = F.lit(0).cast("decimal(20,2)")
+    total = F.coalesce(F.col("balance"), zero) + F.coalesce(F.col("_delta"), zero)
+    j = opening.join(delta, ["shop_id", "customer_id"], "full")
+    return j.select("shop_id", "customer_id", total.cast("decimal(20,2)").alias("balance"))
+
+
+def _batch_rows(spark: SparkSession, ledger_dir: str, batch_id: int) -> DataFrame:
+    """The accepted debt rows of one batch, read back from storage."""
+    path = f"{ledger_dir.rstrip('/')}/debt_transactions"
+    schema = StructType(DEBTS.fields + [StructField("batch", StringType(), True)])
+    return spark.read.schema(schema).parquet(path).where(F.col("batch") == str(batch_id)).drop("batch")
+
+
+def _outcomes(rows: DataFrame, ledger_dir: str, name: str, batch_id: int) -> DataFrame:
+    path = f"{ledger_dir.rstrip('/')}/outcomes/{name}/batch_id={batch_id}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def apply_credit_batch(
     spark: SparkSession, cmds: DataFrame, batch_id: int, customers_dir: str, balances_dir: str, ledger_dir: str
 ) -> bool:
     """Apply one batch of debts and payments; ``False`` when already applied.
 
-    The batch's ledger outcomes go to a folder named by the batch id; the
-    balance change is summed from the accepted rows read back from storage
-    and merged into a new balance snapshot (customers without rows keep
-    theirs), committed with the batch id.
+    Accepted rows go to the ledger, rejected ones apart; the balance change is
+    summed from the batch's outcomes read back from storage and committed as a
+    new balance snapshot with the batch id.
     """
     meta = snapshot_meta(spark, balances_dir)
     if _applied(meta, batch_id):
         return False
     customers = read_snapshot(spark, customers_dir, CUSTOMERS)
     opening = read_snapshot(spark, balances_dir, BALANCES)
-    out_dir = f"{ledger_dir.rstrip('/')}/debt_transactions/batch_id={batch_id}"
-    L.apply_payments(customers, cmds, opening).write.mode("overwrite").parquet(out_dir)
-    signed = F.when(F.col("transaction_type") == "debt", F.col("amount")).otherwise(-F.col("amount")).cast(MONEY)
-    delta = (
-        spark.read.parquet(out_dir)
-        .where(F.col("status") == L.ACCEPTED)
-        .groupBy("shop_id", "customer_id")
-        .agg(F.sum(signed).alias("_delta"))
-    )
-    after = opening.join(delta, ["shop_id", "customer_id"], "full").select(
-        "shop_id",
-        "customer_id",
-        (F.coalesce(F.col("balance"), F.lit(0).cast(MONEY)) + F.coalesce(F.col("_delta"), F.lit(0).cast(MONEY)))
-        .cast(MONEY)
-        .alias("balance"),
-    )
-    write_snapshot(spark, after, balances_dir, {"batch_id": batch_id})
+    outcomes = _outcomes(L.apply_payments(customers, cmds, opening), ledger_dir, "debt_transactions", batch_id)
+    rows = outcomes.where(F.col("status") == L.ACCEPTED).withColumn("amount", F.col("amount").cast(MONEY))
+    _accept(rows, ledger_dir, "debt_transactions", batch_id)
+    _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, "debt_transactions", batch_id)
+    write_snapshot(spark, _add_to_balances(opening, rows), balances_dir, {"batch_id": batch_id}, base=meta)
     return True
 
 
+def apply_named_debts(
+    spark: SparkSession, cmds: DataFrame, batch_id: int, customers_dir: str, balances_dir: str, ledger_dir: str
+) -> bool:
+    """M5 as a stream: new debts by customer name; unknown names become customers.
+
+    The ledger rows come first, then the customer snapshot, then the balances;
+    each commit records the batch id, and a replay resumes at the first that
+    does not have it.  ``False`` when all of them do.
+    """
+    known, owed = snapshot_meta(spark, customers_dir), snapshot_meta(spark, balances_dir)
+    if _applied(known, batch_id) and _applied(owed, batch_id):
+        return False
+    name = "named_debts"
+    if not _applied(known, batch_id):
+        customers = read_snapshot(spark, customers_dir, CUSTOMERS)
+        outcomes = _outcomes(L.apply_debts(customers, cmds), ledger_dir, name, batch_id)
+        _accept(outcomes.where(F.col("status") == L.ACCEPTED), ledger_dir, "debt_transactions", batch_id)
+        _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, name, batch_id)
+        write_snapshot(spark, L.upsert_customers(customers, cmds), customers_dir, {"batch_id": batch_id}, base=known)
+    rows = _batch_rows(spark, ledger_dir, batch_id)
+    after = _add_to_balances(read_snapshot(spark, balances_dir, BALANCES), rows)
+    write_snapshot(spark, after, balances_dir, {"batch_id": batch_id}, base=owed)
+    return True
+
+
+def start_named_debt_stream(
+    spark: SparkSession, source_dir: str, customers_dir: str, balances_dir: str, ledger_dir: str, checkpoint_dir: str,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Start the ingest stream of new debts by name."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        apply_named_debts(batch.sparkSession, batch, batch_id, customers_dir, balances_dir, ledger_dir)
+
+    writer = (
+        spark.readStream.schema(NAMED_DEBTS)
+        .option("recursiveFileLookup", "true")
+        .parquet(source_dir)
+        .writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint_dir)
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def start_credit_stream(
     spark: SparkSession,
     source_dir: str,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import random
 from datetime import timedelta
 
+import numpy as np
+import pytest
 from conftest import SALE_CMD, TODAY, products_df
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyspark.operators import ledger as L
-from tallyspark.operators.fold import ADD, SKIP, TAKE, greedy_fold
+from tallyspark.operators.fold import ADD, SKIP, SLICE, TAKE, greedy_fold, replay
 
 CMD = st.tuples(st.sampled_from([ADD, TAKE, TAKE, SKIP]), st.integers(min_value=0, max_value=9))
 KEYS = st.lists(st.tuples(st.integers(min_value=0, max_value=15), st.lists(CMD, min_size=1, max_size=12)),
@@ -63,63 +67,84 @@ def test_batches_compose(spark, qs, stock, cut):
     assert one == two >= 0
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(keys=KEYS, marks=st.lists(st.one_of(st.none(), st.integers(min_value=1, max_value=99)), min_size=12,
-                                 max_size=12))
-def test_chunked_fold_matches_sequential_walk(spark, keys, marks):
-    """Every contended key forced through the parallel chunk path (3 rows per chunk)."""
-    from pyspark.sql import functions as F
+def marked_walk(opening, mark, cmds):
+    """cmds: (kind, amount, mark) in order → (accepted, level, mark) per command."""
+    out = []
+    for (ok, level), (kind, a, m) in zip(walk(opening, [c[:2] for c in cmds]), cmds):
+        mark = m if m is not None else mark
+        out.append((ok, level, mark))
+    return out
+
+
+FOLD_ROW = "k long, day int, pos {id}, _kind int, _amount long, _opening long, _mark long, _opening_mark long, sid string"
 
+
+def check_marked(spark, keys, id_type="long", name=lambda pos: pos):
+    """keys: (opening, [(day, kind, amount, mark)]) with days ascending; ids are ``name(pos)``, ascending in a day."""
     rows, expected = [], {}
     for k, (opening, cmds) in enumerate(keys):
-        mark_now = 1000 + k
-        for pos, ((kind, a), (ok, lvl)) in enumerate(zip(cmds, walk(opening, cmds))):
-            m = marks[pos] if kind == ADD else None  # skipped and take rows carry no mark
-            mark_now = m if m is not None else mark_now
-            rows.append((k, pos, kind, a, opening, m, 1000 + k))
-            expected[(k, pos)] = (ok, lvl, mark_now)
-    df = spark.createDataFrame(
-        rows, "k long, pos long, _kind int, _amount long, _opening long, _mark long, _opening_mark long"
-    )
-    out = greedy_fold(df, ["k"], ["pos"], mark=True, chunk_cols=[F.floor(F.col("pos") / 3)], hot_rows=0,
-                      spread="pos")
+        states = marked_walk(opening, 700 + k, [c[1:] for c in cmds])
+        for pos, ((day, kind, a, m), state) in enumerate(zip(cmds, states)):
+            rows.append((k, day, name(pos), kind, a, opening, m, 700 + k, f"{k}-{pos}"))
+            expected[(k, name(pos))] = (*state, kind)
+    df = spark.createDataFrame(rows, FOLD_ROW.format(id=id_type))
+    out = greedy_fold(df, ["k"], ["day", "pos"], mark=True, spread="sid")
     got = {(r.k, r.pos): r for r in out.collect()}
     assert set(got) == set(expected)
-    for key, (ok, lvl, m) in expected.items():
-        r = got[key]
-        assert r.accepted == ok
-        if r._kind != SKIP:  # a skipped row may be walked apart from its key
-            assert (r.level_after, r.mark_at) == (lvl, m)
+    for key, (ok, level, mark, kind) in expected.items():
+        assert got[key].accepted == ok, key
+        if kind != SKIP:
+            assert (got[key].level_after, got[key].mark_at) == (level, mark), key
+
+
+DAY_CMD = st.tuples(
+    st.integers(0, 3), st.sampled_from([ADD, TAKE, TAKE, SKIP]), st.integers(0, 9), st.one_of(st.none(), st.integers(1, 99))
+)
 
 
-def test_mixed_hot_and_cold_keys_in_one_call(spark):
-    """Keys above and below ``hot_rows`` in the same batch: cold keys walked,
-    hot keys chunked, results unioned; compared with the sequential walk."""
-    import random
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(keys=st.lists(st.tuples(st.integers(0, 25), st.lists(DAY_CMD, min_size=1, max_size=14)), min_size=1, max_size=6))
+def test_runs_and_replay_match_the_walk_with_integer_ids(spark, keys):
+    """Positions pass 9 and 10, so an order by text would differ from that of the numbers."""
+    keys = [(o, [(d, k, a, m if k == ADD else None) for d, k, a, m in sorted(cs, key=lambda c: c[0])]) for o, cs in keys]
+    check_marked(spark, keys)
 
-    from pyspark.sql import functions as F
 
+def test_one_key_holds_a_third_of_all_rows_with_shared_prefixes_and_cents(spark):
     rng = random.Random(11)
-    rows, expected = [], {}
-    for k in range(6):
-        opening, level, mark = rng.randint(0, 20), None, 700 + k
-        level = opening
-        for pos in range(rng.choice([5, 8, 40, 60])):
-            kind, a = rng.choice([ADD, TAKE, TAKE, SKIP]), rng.randint(0, 9)
-            m = rng.choice([None, rng.randint(1, 99)]) if kind == ADD else None
-            ok = kind == ADD or (kind == TAKE and a <= level)
-            level += a if kind == ADD else (-a if ok else 0)
-            mark = m if m is not None else mark
-            rows.append((k, pos, kind, a, opening, m, 700 + k, f"{k}-{pos}"))
-            expected[(k, pos)] = (ok, level, mark, kind)
-    df = spark.createDataFrame(
-        rows, "k long, pos long, _kind int, _amount long, _opening long, _mark long, _opening_mark long, sid string"
+
+    def commands(n, days):
+        cmds = []
+        for day in range(days):
+            for _ in range(n // days):
+                kind = rng.choice([ADD, ADD, TAKE, TAKE, SKIP])
+                cmds.append((day, kind, rng.randint(1, 250_000_00), rng.randint(1, 99) if kind == ADD and rng.random() < 0.3 else None))
+        return cmds
+
+    keys = [(rng.randint(0, 10**9), commands(60, 6)) for _ in range(60)] + [(10**11, commands(900, 30)), (5, commands(900, 1))]
+    check_marked(spark, keys, "string", lambda pos: f"same-prefix-{pos:05d}")
+
+
+def test_numeric_ids_decide_in_number_order(spark):
+    """Stock 10, one day: id 9 takes 8 first, so id 10 (which wants 5) is rejected."""
+    p = products_df(spark, [(1, 1, "A", "c", 1, 2, 10, 0)])
+    cmds = spark.createDataFrame([(1, 1, 10, TODAY, 5), (1, 1, 9, TODAY, 8)], SALE_CMD.replace("id string", "id long"))
+    assert {r.id: r.status for r in L.apply_sales(p, cmds).collect()} == {9: "accepted", 10: "rejected"}
+
+
+@pytest.mark.parametrize("opening", [0, 3, 700, 10**6])
+def test_replay_equals_the_walk_across_slices(opening):
+    rng = random.Random(opening)
+    for size in (0, 1, SLICE, SLICE + 1, 3 * SLICE + 7):
+        cmds = [(rng.choice([ADD, TAKE, TAKE, SKIP]), rng.randint(0, 40)) for _ in range(size)]
+        kinds, amounts = (np.array([c[i] for c in cmds], dtype=np.int64) for i in (0, 1))
+        ok, after = replay(kinds, amounts, opening)
+        assert list(zip(ok.tolist(), after.tolist())) == walk(opening, cmds)
+
+
+def test_the_fold_runs_no_job_while_the_plan_is_built(spark):
+    p = products_df(spark, [(1, 1, "A", "c", 1, 2, 10, 0)])
+    broken = spark.createDataFrame([(1, 1, "x", TODAY, 5)], SALE_CMD).withColumn(
+        "quantity", F.raise_error(F.lit("a job ran")).cast("int")
     )
-    out = greedy_fold(df, ["k"], ["pos"], mark=True, chunk_cols=[F.floor(F.col("pos") / 4)], hot_rows=20,
-                      spread="sid")
-    got = {(r.k, r.pos): r for r in out.collect()}
-    assert set(got) == set(expected)
-    for key, (ok, lvl, m, kind) in expected.items():
-        assert got[key].accepted == ok
-        if kind != SKIP:
-            assert (got[key].level_after, got[key].mark_at) == (lvl, m)
+    L.apply_sales(p, broken)  # evaluating one row would raise

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-
+import pytest
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
-from tallyspark.schemas import CUSTOMERS, PRODUCTS
+from tallyspark.schemas import CUSTOMERS, PRODUCTS, SALES
 from tallyspark.session import scratch_path
 from tallyspark.sources import fixtures as fx
 from tallyspark.sources import sinks
@@ -20,7 +21,7 @@ def test_ledger_append_by_month(spark):
     sinks.write_ledger(sales, path, "sale_date")
     sinks.write_ledger(sales.limit(5), path, "sale_date")
     back = spark.read.parquet(path)
-    assert back.count() == n + 5
+    assert back.count() == n + 5 == sinks.read_ledger(spark, path, SALES, "sale_date").count()
     months = {r.month for r in back.select("month").distinct().collect()}
     assert all(len(m) == 7 and m[4] == "-" for m in months)
 
@@ -46,20 +47,57 @@ def test_csv_quotes_and_empty_text(spark):
     assert back[1].name == 'Say "hi", please' and back[2].phone is None
 
 
+def test_a_commit_on_an_old_base_raises(spark):
+    path = scratch_path(spark, "lost-update")
+    row = lambda q: spark.createDataFrame([(1, 1, "A", "c", None, None, q, 1)], PRODUCTS)
+    sinks.write_snapshot(spark, row(1), path)
+    seen_by_a = seen_by_b = sinks.snapshot_meta(spark, path)
+    sinks.write_snapshot(spark, row(2), path, base=seen_by_b)
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        sinks.write_snapshot(spark, row(3), path, base=seen_by_a)
+    assert sinks.read_snapshot(spark, path, PRODUCTS).collect()[0].stock_quantity == 2
+
+
+def test_a_replayed_batch_replaces_its_own_rows_only(spark):
+    t = DriverTables(spark, SF_SMALL)
+    path = scratch_path(spark, "replay")
+    sales = fx.sales(t)
+    sinks.write_ledger(sales.limit(7), path, "sale_date", batch_id=1)
+    for _ in range(2):
+        sinks.write_ledger(sales.limit(5), path, "sale_date", batch_id=2)
+    assert sinks.read_ledger(spark, path, SALES, "sale_date").count() == 12
+
+
 def test_create_then_reset_tables(spark):
     t = DriverTables(spark, SF_SMALL)
     root = scratch_path(spark, "tables")
     sinks.create_tables(spark, root)
     for name, schema in sinks.table_schemas().items():
-        df = spark.read.parquet(f"{root}/{name}")
-        assert df.count() == 0
-        assert [f.name for f in schema.fields] == [c for c in df.columns if c != "month"]
+        df = sinks.read_table(spark, root, name)
+        assert df.count() == 0 and df.columns == schema.names
     sinks.reset_tables(spark, root, {"products": fx.products(t), "sales": fx.sales(t)})
     sinks.create_tables(spark, root)  # a second create keeps the data
-    assert spark.read.parquet(f"{root}/products").count() == fx.products(t).count()
-    assert spark.read.parquet(f"{root}/sales").count() == fx.sales(t).count()
+    assert sinks.read_table(spark, root, "products").count() == fx.products(t).count()
+    assert sinks.read_table(spark, root, "sales").count() == fx.sales(t).count()
+    sinks.append_rows(spark, root, "sales", fx.sales(t).limit(4), batch_id=1)
+    assert sinks.read_table(spark, root, "sales").count() == fx.sales(t).count() + 4
     sinks.reset_tables(spark, root, {"sales": fx.sales(t).limit(3)})
-    assert spark.read.parquet(f"{root}/sales").count() == 3
+    assert sinks.read_table(spark, root, "sales").count() == 3
+
+
+def test_the_stream_runs_on_created_tables(spark):
+    from tallyspark.streaming import ingest as I
+
+    t = DriverTables(spark, SF_SMALL)
+    root = scratch_path(spark, "stream-tables")
+    sinks.create_tables(spark, root)
+    sinks.reset_tables(spark, root, {"products": fx.products(t)})
+    cmds = fx.sale_commands(t).select(
+        F.lit(I.SALE).alias("kind"), *I.SALE_COLUMNS, F.lit(None).cast("string").alias("supplier_name"),
+        F.lit(None).cast("decimal(12,2)").alias("unit_buy_price"), F.lit(None).cast("boolean").alias("update_buy_price"),
+    )
+    assert I.apply_command_batch(spark, cmds, 0, f"{root}/products", f"{root}/ledger")
+    assert I.ledger(spark, f"{root}/ledger", "sales").count() > 0
 
 
 def test_read_ledger_prunes_month_folders(spark):

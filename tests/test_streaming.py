@@ -7,12 +7,14 @@ from datetime import date
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
+from tallyspark.operators import answers as A
 from tallyspark.operators import ledger as L
+from tallyspark.operators import reports as R
 from tallyspark.session import scratch_path
 from tallyspark.sources import fixtures as fx
 from tallyspark.sources.driver import DriverTables
 from tallyspark.sources.sinks import read_snapshot, snapshot_meta, write_snapshot
-from tallyspark.schemas import PRODUCTS
+from tallyspark.schemas import CUSTOMERS, DEBTS, PRODUCTS, SALES
 from tallyspark.streaming import ingest as I
 
 CUT = date(1995, 6, 1)
@@ -55,8 +57,25 @@ def test_stream_equals_batch_and_is_idempotent(spark):
     want = L.stock_after(L.apply_restocks_stock(products, restocks), sold, -1)
     got = read_snapshot(spark, prod, PRODUCTS)
     assert _rows(got) == _rows(want)
-    streamed = spark.read.parquet(f"{led}/sales").drop("batch_id")
-    assert _rows(streamed.select(*outcomes.columns)) == _rows(outcomes)
+    streamed = I.ledger(spark, led, "sales")
+    accepted = outcomes.where(F.col("status") == L.ACCEPTED)
+    typed = accepted.select(*[F.col(f.name).cast(f.dataType) for f in SALES.fields])
+    assert _rows(streamed) == _rows(typed) != []
+    rejected = spark.read.parquet(f"{led}/rejects/sales").drop("batch_id")
+    assert _rows(rejected.select(*outcomes.columns)) == _rows(outcomes.where(F.col("status") != L.ACCEPTED))
+    # every report runs on the streamed ledger and equals the report on the batch result
+    shops, day = fx.shops(t), fx.TODAY
+    reports = (
+        lambda sales: R.dashboard_metrics(shops, got, sales, day),
+        lambda sales: R.weekly_totals(shops, sales, day),
+        lambda sales: R.weekly_top_products(sales, day),
+        lambda sales: R.weekly_highest_profit(sales, day),
+        lambda sales: R.top_selling_products(sales),
+        lambda sales: R.restock_recommendations(got, sales, day),
+        lambda sales: A.answer_table(shops, got, sales, fx.customers(t), fx.debts(t), day),
+    )
+    for report in reports:
+        assert _rows(report(streamed)) == _rows(report(typed)) != []
 
     meta = snapshot_meta(spark, prod)
     assert meta["batch_id"] >= 1 and meta["seq"] >= 3
@@ -70,7 +89,7 @@ def test_credit_stream_equals_batch(spark):
     src, cust, bal, led, ckpt = (f"{base}/{n}" for n in ("source", "customers", "balances", "ledger", "checkpoint"))
     customers = fx.customers(t)
     write_snapshot(spark, customers, cust)
-    cmds = fx.debts(t).select(*[F.col(f.name).cast(f.dataType) for f in I.CREDIT_COMMANDS.fields])
+    cmds = fx.credit_commands(t).select(*[F.col(f.name).cast(f.dataType) for f in I.CREDIT_COMMANDS.fields])
     cut = F.lit(date(1995, 1, 1))
     cmds.where(F.col("transaction_date") < cut).write.parquet(f"{src}/a")
     I.start_credit_stream(spark, src, cust, bal, led, ckpt, available_now=True).awaitTermination(300)
@@ -80,11 +99,33 @@ def test_credit_stream_equals_batch(spark):
     assert q.exception() is None
 
     outcomes = L.apply_payments(customers, cmds)
-    streamed = spark.read.parquet(f"{led}/debt_transactions").drop("batch_id")
-    assert _rows(streamed.select(*outcomes.columns)) == _rows(outcomes)
     acc = outcomes.where(F.col("status") == L.ACCEPTED)
+    typed = acc.select(*[F.col(f.name).cast(f.dataType) for f in DEBTS.fields])
+    streamed = I.ledger(spark, led, "debt_transactions")
+    assert _rows(streamed) == _rows(typed) != []
+    assert _rows(R.customer_balances(customers, streamed)) == _rows(R.customer_balances(customers, typed))
     signed = F.when(F.col("transaction_type") == "debt", F.col("amount")).otherwise(-F.col("amount"))
     want = acc.groupBy("shop_id", "customer_id").agg(F.round(F.sum(signed), 2).alias("b"))
     got = read_snapshot(spark, bal, I.BALANCES).select("shop_id", "customer_id", F.col("balance").cast("double"))
     assert _rows(got) == _rows(want)
     assert I.apply_credit_batch(spark, cmds, 0, cust, bal, led) is False
+
+
+def test_named_debts_stream_makes_customers_and_balances(spark):
+    t = DriverTables(spark, SF_SMALL)
+    base = scratch_path(spark, "named-test")
+    src, cust, bal, led, ckpt = (f"{base}/{n}" for n in ("source", "customers", "balances", "ledger", "checkpoint"))
+    customers = fx.customers(t)
+    write_snapshot(spark, customers, cust)
+    cmds = fx.debt_commands(t).select(*[F.col(f.name).cast(f.dataType) for f in I.NAMED_DEBTS.fields])
+    cmds.write.parquet(f"{src}/a")
+    q = I.start_named_debt_stream(spark, src, cust, bal, led, ckpt, available_now=True)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    assert _rows(read_snapshot(spark, cust, CUSTOMERS)) == _rows(L.upsert_customers(customers, cmds))
+    rows = L.apply_debts(customers, cmds).where(F.col("status") == L.ACCEPTED)
+    typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in DEBTS.fields])
+    assert _rows(I.ledger(spark, led, "debt_transactions")) == _rows(typed) != []
+    want = typed.groupBy("shop_id", "customer_id").agg(F.sum("amount").cast("decimal(20,2)").alias("b"))
+    assert _rows(read_snapshot(spark, bal, I.BALANCES)) == _rows(want)
+    assert I.apply_named_debts(spark, cmds, 0, cust, bal, led) is False

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from conftest import SF_SMALL, TODAY
 from pyspark.sql import functions as F
 
@@ -49,8 +50,45 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert all("l_comment" not in line and "l_receiptdate" not in line for line in li)
     assert any("PushedFilters: [IsNotNull(l_shipdate)" in line or "l_shipdate" in line.split("PushedFilters")[1]
                for line in li)
-    one = _plan(R.for_shop(fx.sales(t), 3))
-    assert "PushedFilters" in one
+
+
+def test_the_tenant_filter_reaches_a_written_ledger(spark):
+    from datetime import timedelta
+
+    from tallyspark.schemas import SALES
+    from tallyspark.session import scratch_path
+    from tallyspark.sources import sinks
+
+    path = scratch_path(spark, "ledger-tenant")
+    sinks.write_ledger(fx.sales(DriverTables(spark, SF_SMALL)), path, "sale_date")
+    week = sinks.read_ledger(spark, path, SALES, "sale_date", TODAY - timedelta(days=6), TODAY)
+    one = R.for_shop(week, 3)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = _plan(one)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan.split("PushedFilters")[1]
+    assert "EqualTo(shop_id,3)" in pushed and "GreaterThanOrEqual(sale_date" in pushed
+    assert "1998-06" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    direct = R.for_shop(fx.sales(DriverTables(spark, SF_SMALL)), 3)
+    want = direct.where(F.col("sale_date").between(F.lit(TODAY - timedelta(days=6)), F.lit(TODAY)))
+    assert _rows(one) == _rows(want.select(*one.columns))
+
+
+def test_an_unshared_checkpoint_folder_is_refused(spark):
+    from tallyspark import session
+
+    assert session.is_machine_local("file:/a/b") and session.is_machine_local("/a") and not session.is_machine_local("s3a://x/y")
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Cluster:
+        conf = Conf({"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"})
+        sparkContext = type("C", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Cluster())
 
 
 def test_top_k_is_a_window_group_limit(spark):
@@ -60,14 +98,16 @@ def test_top_k_is_a_window_group_limit(spark):
 
 
 def test_no_cross_joins_and_python_only_in_the_fold(spark):
-    import __spark_entry__ as E
+    from tallyspark.plans import QUERIES
 
-    fold_keys = {"apply_payments", "apply_sales", "apply_sales_stock", "apply_stock_timeline"}
-    for key, fn in E.queries().items():
+    fold_keys = {"apply_payments", "apply_sales", "apply_sales_stock", "apply_stock_timeline", "timeline_stock"}
+    renames = {"update_outcomes", "update_products"}
+    for key, fn in QUERIES.items():
         plan = _plan(fn(spark, SF_SMALL))
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, key
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, key
         assert ("MapInArrow" in plan) == (key in fold_keys), key
+        assert ("MapInPandas" in plan) == (key in renames), key
 
 
 def test_sales_fold_is_tenant_isolated(spark):
