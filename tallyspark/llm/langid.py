@@ -14,7 +14,7 @@ labelled documents.  A model holds languages x vocabulary numbers, whatever the
 size of the corpus.
 
 Words of one byte length are scored side by side in numpy.  Each task remembers
-the scores of words it has met, up to ``MEMO`` words; that never changes a result.
+the scores of words it has met, up to ``MEMO`` of them; that never changes a result.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and
 so is every text if no document is labelled; ties go to the first language name;
@@ -28,9 +28,12 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,23 +43,71 @@ from .common import small_batches, store
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000
 EM_STEPS = 3
+EM_WORDS = 20_000  # words whose expected pieces are summed at once
 SMOOTHING = 0.1
 MAX_PIECE = 16  # bytes
-MEMO = 200_000
+MEMO = 1_000_000
+BLOCK_WORDS = 1_000_000  # words whose distinct ones are looked up together
 LETTERS = re.compile(r"[^\W\d_]+")
 GROUP = 4096  # words scored at once
-LONG_WORD = 64  # bytes; longer words are scored alone and not remembered
+LONG_WORD = 64  # bytes; longer words are scored a few at a time
 
 
 def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
+class Pieces:
+    """A numbered vocabulary, looked up by a 64-bit hash of a piece's bytes in an open-addressing table."""
+
+    BITS = 18
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+    SPREAD = np.uint64(0xD6E8FEB86659FD93)
+
+    def __init__(self, pieces: list[bytes]):
+        self.pieces, self.none = pieces, len(pieces)
+        self.keys = np.zeros(1 << self.BITS, dtype=np.uint64)
+        self.ids = np.full(1 << self.BITS, self.none, dtype=np.int64)
+        for number, piece in enumerate(pieces):
+            h = self.start(1)
+            for byte in piece:
+                h = self.add(h, np.array([byte], dtype=np.uint64))
+            at = int(self.place(h)[0])
+            while self.keys[at]:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.ids[at] = h[0], number
+
+    def __len__(self) -> int:
+        return self.none
+
+    @staticmethod
+    def start(count: int) -> np.ndarray:
+        return np.ones(count, dtype=np.uint64)
+
+    def add(self, h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(29))) * self.STEP + byte + np.uint64(1)
+        return h | np.uint64(1 << 63)  # never 0, the mark of an empty place
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return ((h * self.SPREAD) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece number of each hash, ``none`` where it is no piece's."""
+        at = self.place(h)
+        out, open_ = np.full(len(h), self.none, dtype=np.int64), np.arange(len(h))
+        while len(open_):
+            key = self.keys[at]
+            hit = key == h[open_]
+            out[open_[hit]] = self.ids[at[hit]]
+            go_on = ~hit & (key != 0)
+            open_, at = open_[go_on], (at[go_on] + 1) % len(self.keys)
+        return out
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> dict[bytes, int]:
-    """Pieces of at most ``MAX_PIECE`` bytes, numbered; all single bytes are among them, so every word has a segmentation."""
-    pieces = sorted(t for t in read_ranks(path) if len(t) <= MAX_PIECE)
-    return {p: i for i, p in enumerate(pieces)}
+def vocabulary(path: str) -> Pieces:
+    """Pieces of at most ``MAX_PIECE`` bytes; all single bytes are among them, so every word has a segmentation."""
+    return Pieces(sorted(t for t in read_ranks(path) if len(t) <= MAX_PIECE))
 
 
 def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
@@ -65,14 +116,16 @@ def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
     return top + np.log(np.exp(stacked - top).sum(axis=0))
 
 
-def _lattice(words: list[bytes], pieces: dict[bytes, int]) -> dict[tuple[int, int], np.ndarray]:
+def _lattice(words: list[bytes], pieces: Pieces) -> dict[tuple[int, int], np.ndarray]:
     """Piece number at every (begin, end) of equally long words; the vocabulary's size where there is none."""
-    n, none, get = len(words[0]), len(pieces), pieces.get
-    out = {}
+    n, out = len(words[0]), {}
+    text = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), n).T.astype(np.uint64)
     for i in range(n):
+        h = pieces.start(len(words))
         for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
-            ids = np.fromiter((get(w[i:j], none) for w in words), dtype=np.int64, count=len(words))
-            if j == i + 1 or (ids != none).any():
+            h = pieces.add(h, text[j - 1])
+            ids = pieces.find(h)
+            if j == i + 1 or (ids != pieces.none).any():
                 out[i, j] = ids
     return out
 
@@ -112,7 +165,7 @@ def _padded(log_p: np.ndarray) -> np.ndarray:
     return np.vstack([log_p, np.full((1, log_p.shape[1]), -1e30)])
 
 
-def score_words(words: list[str], log_p: np.ndarray, pieces: dict[bytes, int]) -> np.ndarray:
+def score_words(words: list[str], log_p: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Log probability of each word in each language (a column of ``log_p``)."""
     out, padded = np.empty((len(words), log_p.shape[1])), _padded(log_p)
     for members, raw in _by_length(words):
@@ -121,16 +174,19 @@ def score_words(words: list[str], log_p: np.ndarray, pieces: dict[bytes, int]) -
     return out
 
 
-def expected_pieces(words: list[str], counts: np.ndarray, log_p: np.ndarray, pieces: dict[bytes, int]) -> np.ndarray:
+def expected_pieces(words: list[str], counts: np.ndarray, log_p: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Expected number of uses of every piece in ``counts`` copies of each word, for one language."""
-    total, padded = np.zeros(len(pieces) + 1), _padded(log_p.reshape(-1, 1))
+    padded = _padded(log_p.reshape(-1, 1))
+    used, shares = [], []
     for members, raw in _by_length(words):
         lattice, n = _lattice(raw, pieces), len(raw[0])
         alpha, beta = _forward(lattice, n, padded), _backward(lattice, n, padded)
         for (i, j), ids in lattice.items():
-            share = np.exp(alpha[i] + padded[ids] + beta[j] - alpha[n])[:, 0]
-            total += np.bincount(ids, weights=share * counts[members], minlength=len(total))
-    return total[:-1]
+            used.append(ids)
+            shares.append(np.exp(alpha[i] + padded[ids] + beta[j] - alpha[n])[:, 0] * counts[members])
+    if not used:
+        return np.zeros(len(pieces))
+    return np.bincount(np.concatenate(used), weights=np.concatenate(shares), minlength=len(pieces) + 1)[:-1]
 
 
 class Model:
@@ -150,38 +206,49 @@ class Model:
         self.number: dict[str, int] = {}
         self.scores = np.empty((1024, len(self.languages)))
 
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self.number) + len(fresh) > MEMO:
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Rows of ``scores`` that hold the words' scores, until the next call."""
+        if len(self.number) > MEMO:
             self.forget()
-        need = len(self.number) + len(fresh)
-        if need > len(self.scores):
-            grown = np.empty((2 * need, len(self.languages)))
-            grown[: len(self.scores)] = self.scores
+        fresh = [w for w in words if w not in self.number]
+        begin, end = len(self.number), len(self.number) + len(fresh)
+        if end > len(self.scores):
+            grown = np.empty((max(end, 2 * len(self.scores)), len(self.languages)))
+            grown[:begin] = self.scores[:begin]
             self.scores = grown
-        begin = len(self.number)
-        self.scores[begin:need] = score_words(fresh, self.log_p, vocabulary(self.path))
-        self.number.update(zip(fresh, range(begin, need)))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        total = self.log_share.copy()
-        for at in range(0, len(words), MEMO // 4):
-            part = words[at : at + MEMO // 4]
-            long = [w for w in part if len(w) > LONG_WORD]
-            if long:
-                total += score_words(long, self.log_p, vocabulary(self.path)).sum(axis=0)
-                part = [w for w in part if len(w) <= LONG_WORD]
-            if fresh := set(part).difference(self.number):
-                if len(self.number) + len(fresh) > MEMO:
-                    self.forget()
-                    fresh = set(part)
-                self._learn(sorted(fresh))
-            if part:
-                total += self.scores[list(map(self.number.__getitem__, part))].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.languages[best], round(float(1 / np.exp(total - total[best]).sum()), 6)
+        if fresh:
+            self.scores[begin:end] = score_words(fresh, self.log_p, vocabulary(self.path))
+            self.number.update(zip(fresh, range(begin, end)))
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its probability for each text; each distinct word of a block is looked up once."""
+        out: list[tuple[str, float]] = []
+        block: list[list[str]] = []
+        size = 0
+        for text in texts:
+            block.append(words_of(text))
+            size += len(block[-1])
+            if size >= BLOCK_WORDS:
+                out += self._predict(block)
+                block, size = [], 0
+        return out + self._predict(block)
+
+    def _predict(self, block: list[list[str]]) -> list[tuple[str, float]]:
+        sizes = np.fromiter(map(len, block), dtype=np.int64, count=len(block))
+        if not self.languages or not sizes.sum():
+            return [(UNKNOWN, 0.0)] * len(block)
+        numbered = pc.dictionary_encode(pa.array(list(chain.from_iterable(block)), pa.large_string()))
+        rows = self._numbers(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
+        some = np.flatnonzero(sizes)
+        begins = (np.cumsum(sizes) - sizes)[some]
+        total = np.add.reduceat(self.scores[rows], begins, axis=0) + self.log_share
+        best = total.argmax(axis=1)
+        share = 1 / np.exp(total - total[np.arange(len(some)), best][:, None]).sum(axis=1)
+        out = [(UNKNOWN, 0.0)] * len(block)
+        for i, b, p in zip(some.tolist(), best.tolist(), share.tolist()):
+            out[i] = (self.languages[b], round(p, 6))
+        return out
 
 
 def learn(
@@ -218,11 +285,21 @@ def learn(
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total: dict[str, np.ndarray] = {}
             own = vocabulary(path)
-            for batch in batches:
-                for lang, group in batch.groupby("lang"):
+
+            def add(rows: pd.DataFrame) -> None:
+                for lang, group in rows.groupby("lang"):
                     column = shared.value[:, languages.index(lang)]
                     used = expected_pieces(list(group["word"]), group["n"].to_numpy(float), column, own)
                     total[lang] = total.get(lang, 0) + used
+
+            held: list[pd.DataFrame] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(map(len, held)) >= EM_WORDS:
+                    add(pd.concat(held))
+                    held = []
+            if held:
+                add(pd.concat(held))
             for lang, used in total.items():
                 at = np.flatnonzero(used > 0)
                 yield pd.DataFrame({"lang": lang, "piece": at, "n": used[at]})
@@ -244,6 +321,6 @@ def predict(text: Column | str, model: Model, spark) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def best(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame(shared.value.predict(list(texts)), columns=["lang", "score"])
 
     return best(text)

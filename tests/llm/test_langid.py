@@ -29,7 +29,8 @@ def test_scores_sum_over_all_segmentations(word):
     pieces = G.vocabulary(PATH)
     log_p = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 3).T)
     got = G.score_words([word, "other", word], log_p, pieces)
-    every = list(segmentations(b" " + word.encode(), pieces))
+    number = {p: i for i, p in enumerate(pieces.pieces)}
+    every = list(segmentations(b" " + word.encode(), number))
     for lang in range(3):
         want = math.log(sum(math.exp(sum(log_p[p, lang] for p in s)) for s in every))
         assert abs(got[0, lang] - want) < 1e-9 and got[2, lang] == got[0, lang]
@@ -46,10 +47,12 @@ def test_long_words_and_memory(monkeypatch):
     rng = np.random.default_rng(0)
     log_p = np.log(rng.dirichlet(np.ones(len(pieces)), 2).T)
     text = " ".join(["x" * 3000] + [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(900)])
-    whole = G.Model(["a", "b"], np.log([0.5, 0.5]), log_p, PATH).predict(text)
+    whole = G.Model(["a", "b"], np.log([0.5, 0.5]), log_p, PATH).predict([text, None, "", "12", text + " abc"])
+    assert whole[1:4] == [("und", 0.0)] * 3
     monkeypatch.setattr(G, "MEMO", 40)
+    monkeypatch.setattr(G, "BLOCK_WORDS", 300)
     small = G.Model(["a", "b"], np.log([0.5, 0.5]), log_p, PATH)
-    assert small.predict(text) == whole and small.predict(text) == whole and len(small.number) <= 40
+    assert small.predict([text, None, "", "12", text + " abc"]) == whole == small.predict([text, None, "", "12", text + " abc"])
 
 
 def test_held_out_accuracy(spark):
