@@ -16,10 +16,10 @@ the operators are columns, so other columns are never touched.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import PieceMemory, Remembered
-
-PRETOKENS = 1_200_000  # pre-tokens remembered, at most
+from .pieces import BLOCK_ROWS, PieceMemory
 
 
 
@@ -84,18 +82,24 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.find = regex.compile(pattern).findall
         hashes = _hashes(list(ranks))
         self.perfect = PerfectHash(hashes)
         self.slot_token: list[bytes] = [b""] * len(ranks)
         self.slot_id = np.zeros(len(ranks), dtype="<i4")
         for slot, (token, rank) in zip(self.perfect.slots(hashes).tolist(), ranks.items()):
             self.slot_token[slot], self.slot_id[slot] = token, rank
-        self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.byte_rank = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pair_rank = [-1] * (1 << 16)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair_rank[token[0] << 8 | token[1]] = rank
+        in_order = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
-        self.pretokens = Remembered(self.resolve, PRETOKENS)
-        self.memory = PieceMemory(self.learn)
+            in_order[rank] = token
+        self.token_bytes = np.frombuffer(b"".join(in_order), dtype=np.uint8)
+        self.token_size = np.fromiter(map(len, in_order), dtype=np.int64, count=len(in_order))
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.memory = PieceMemory(regex.compile(pattern).findall, self.resolve)
 
     def merge(self, token: bytes) -> bytes:
         """Ids of a byte string by heap merges over linked byte runs."""
@@ -104,27 +108,32 @@ class Codec:
         mask = (1 << bits) - 1
         end = list(range(1, n + 2))  # of the run that begins here; 0 once it has been merged away
         before = list(range(-1, n))
+        run = list(map(self.byte_rank.__getitem__, token))  # id of the run that begins here
         # an entry is rank, begin and stop of a pair in one number: the lowest rank comes first, then the leftmost
-        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank_of(token[i : i + 2])) is not None]
+        pair_rank, heap, last = self.pair_rank, [], token[0]
+        for i in range(1, n):
+            this = token[i]
+            if (r := pair_rank[last << 8 | this]) >= 0:
+                heap.append((r << bits | i - 1) << bits | i + 1)
+            last = this
         heapify(heap)
         while heap:
             top = heappop(heap)
-            a, stop = top >> bits & mask, top & mask
+            stop = top & mask
+            top >>= bits
+            a = top & mask
             mid = end[a]
             if not mid or end[mid] != stop:
                 continue  # one of the two runs has grown or gone since
+            run[a] = top >> bits
             end[a] = stop
             end[mid] = 0
             before[stop] = a
-            if stop < n and (r := rank_of(token[a : end[stop]])) is not None:
-                heappush(heap, (r << bits | a) << bits | end[stop])
-            if a and (r := rank_of(token[before[a] : stop])) is not None:
-                heappush(heap, (r << bits | before[a]) << bits | stop)
-        ids, at = [], 0
-        while at < n:
-            ids.append(self.ranks[token[at : end[at]]])
-            at = end[at]
-        return pack(f"<{len(ids)}i", *ids)
+            if stop < n and (r := rank_of(token[a : (last := end[stop])])) is not None:
+                heappush(heap, (r << bits | a) << bits | last)
+            if a and (r := rank_of(token[(first := before[a]) : stop])) is not None:
+                heappush(heap, (r << bits | first) << bits | stop)
+        return array("i", [r for r, e in zip(run, end) if e]).tobytes()
 
     def resolve(self, pretokens: list[str]) -> list[bytes]:
         """Ids of distinct pre-tokens: the perfect hash first, the heap for what is not a token."""
@@ -136,19 +145,17 @@ class Codec:
             out.append(self.slot_id[slot : slot + 1].tobytes() if hit else self.merge(token))
         return out
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces of text, each cut into pre-tokens."""
-        # an ASCII word, with the space before it, is one pre-token by itself
-        cut = [[p] if p[1:].isalpha() and p[0] == " " and p.isascii() else self.find(p) for p in pieces]
-        self.pretokens.start()
-        ids = self.pretokens.fill({t for p in cut for t in p})
-        return [b"".join([ids[t] for t in p]) for p in cut]
-
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         return self.memory.encode(texts)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, lists: list[np.ndarray]) -> Iterator[bytes]:
+        """Bytes of each list of ids, gathered from the tokens' bytes."""
+        for ids in lists:
+            size = self.token_size[ids]
+            ends = np.cumsum(size)
+            at = np.repeat(self.token_start[ids] - ends + size, size)
+            at += np.arange(len(at))
+            yield self.token_bytes[at].tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -165,7 +172,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(text: Column | str, path: str, pattern: str) -> Column:
     """Token ids (array<int>) of each text; special tokens are never made."""
-    small_batches()
+    small_batches(BLOCK_ROWS)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
@@ -176,11 +183,11 @@ def encode(text: Column | str, path: str, pattern: str) -> Column:
 
 def decode(ids: Column | str, path: str, pattern: str) -> Column:
     """Bytes of each array of token ids."""
-    small_batches()
+    small_batches(BLOCK_ROWS)
 
     @F.pandas_udf("binary")
     def raw(lists: pd.Series) -> pd.Series:
-        of = codec(path, pattern).decode
-        return pd.Series([b"" if x is None else of(x.tolist()) for x in lists], dtype=object)
+        none = np.zeros(0, dtype=np.int32)
+        return pd.Series(list(codec(path, pattern).decode([none if x is None else x for x in lists])), dtype=object)
 
     return raw(ids)

@@ -40,11 +40,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def small_batches() -> None:
-    """At most ``BATCH_ROWS`` rows an Arrow batch, so that a batch of long texts fits in a Python worker."""
-    spark = SparkSession.active()
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def small_batches(rows: int = BATCH_ROWS) -> None:
+    """``rows`` rows an Arrow batch from now on, so that a batch of long texts fits in a Python worker."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def unused(name: str, columns: Iterable[str]) -> str:

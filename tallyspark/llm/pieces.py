@@ -1,27 +1,28 @@
-"""Cutting texts at spaces so that pieces can be tokenised one by one and remembered.
+"""Cutting texts at spaces so that pieces can be tokenised one by one and their words remembered.
 
 The byte-level pre-token expression joins a space to the word after it and never
 joins it to a word before it, so a text may be cut before a space.  Where a space
-has white space on both sides (or before it, and the end of the text after it)
-the cut could split a run of white space that the expression keeps together;
-such a text is tokenised whole.
+has white space or an end of the text on both sides, the cut could split a run of
+white space that the expression keeps together; such a text is tokenised whole.
 
 The memory is a bounded cache: it never changes a result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECES = 1_000_000  # pieces remembered, at most
-LONG_PIECE = 64  # characters; longer pieces are not remembered
-BLOCK_CHARS = 4_000_000  # of the texts whose pieces are numbered together
-UNSAFE_CUT = re.compile(r"\s \s|\s \Z")
+WORDS = 800_000  # pre-tokens with a space before them that are remembered, at most
+OTHERS = 50_000  # other pre-tokens
+COMPOSITES = 500_000  # pieces of several pre-tokens
+LONG = 64  # characters; longer pre-tokens are not remembered
+BLOCK_CHARS = 16_000_000  # of the texts whose pieces are numbered together
+BLOCK_ROWS = 4000  # texts of an Arrow batch
+TEXTS_AT_ONCE = 500  # texts whose ids are put together at once
 
 
 class Remembered:
@@ -54,18 +55,40 @@ class Remembered:
         for key in known:
             self.young[key] = self.old.pop(key)
         fresh = list(missing - known)
-        self.long += [key for key in fresh if len(key) > LONG_PIECE]
+        self.long += [key for key in fresh if len(key) > LONG]
         self.young.update(zip(fresh, self.learn(fresh)))
         return self.young
 
 
+def is_word(piece: str) -> bool:
+    """Only Latin letters: with the space before it, one pre-token."""
+    return piece.isalpha() and (piece.isascii() or max(piece) < "\u0250")
+
+
 class PieceMemory:
-    """``learn`` gives the ids, as bytes, of each of a list of pieces."""
+    """Encodes texts piece by piece, remembering the ids of pre-tokens.
+
+    ``cut`` gives the pre-tokens of a piece; ``resolve`` gives the ids, as bytes, of
+    each of a list of pre-tokens.
+    """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int = PIECES):
-        self.learn = learn
-        self.first = Remembered(learn, limit // 4)  # a text's first piece
-        self.later = Remembered(lambda keys: learn([" " + k for k in keys]), limit)  # what follows a space
+    def __init__(self, cut: Callable[[str], list[str]], resolve: Callable[[list[str]], list[bytes]], words: int = WORDS):
+        self.cut = cut
+        self.words = Remembered(lambda keys: resolve([" " + k for k in keys]), words)  # by what follows the space
+        self.others = Remembered(resolve, OTHERS)
+        self.composites = Remembered(self.put_together, COMPOSITES)  # pieces of several pre-tokens
+
+    def put_together(self, pieces: list[str]) -> list[bytes]:
+        parts = [self.cut(p) for p in pieces]
+        words, others = set(), set()
+        for part in parts:
+            for token in part:
+                if token[0] == " " and len(token) > 1:
+                    words.add(token[1:])
+                else:
+                    others.add(token)
+        words, others = self.words.fill(words), self.others.fill(others)
+        return [b"".join([words[t[1:]] if t[0] == " " and len(t) > 1 else others[t] for t in part]) for part in parts]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (int32) of each text."""
@@ -82,24 +105,38 @@ class PieceMemory:
 
     def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Each distinct piece of the block is looked up once; Arrow numbers the pieces."""
-        whole = [UNSAFE_CUT.search(t) is not None for t in texts]
-        cut = pc.split_pattern(pa.array([" " if w else t for t, w in zip(texts, whole)], pa.large_string()), " ")
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         numbered = pc.dictionary_encode(cut.flatten())
-        bounds, number = cut.offsets.to_numpy().copy(), numbered.indices.to_numpy().copy()
-        bounds -= bounds[0]
-        heads, tails = [t.split(" ", 1)[0] if not w else "" for t, w in zip(texts, whole)], numbered.dictionary.to_pylist()
-        self.first.start()
-        self.later.start()
-        first, later = self.first.fill(set(heads)), self.later.fill(tails)
+        bounds, number = cut.offsets.to_numpy(), numbered.indices.to_numpy().copy()
+        tails = numbered.dictionary.to_pylist()
+        # a space between two pieces is unsafe if white space (or another space) stands on both its sides
+        opens = np.fromiter((not t or t[0].isspace() for t in tails), dtype=bool, count=len(tails))
+        closes = np.fromiter((not t or t[-1].isspace() for t in tails), dtype=bool, count=len(tails))
+        unsafe = np.flatnonzero(closes[number[:-1]] & opens[number[1:]])
+        of_text = np.searchsorted(bounds, unsafe, "right") - 1
+        whole = set(of_text[unsafe + 1 < bounds[of_text + 1]].tolist())
+
+        heads = [tails[i] for i in number[bounds[:-1]]]
+        for memory in (self.words, self.others, self.composites):
+            memory.start()
+        simple = list(map(is_word, tails))
+        rest = [" " + t for t, s in zip(tails, simple) if not s]
+        words = self.words.fill(t for t, s in zip(tails, simple) if s)
+        several = self.composites.fill([*rest, *heads])
         # a text's first piece has no space before it: a number of its own
         number[bounds[:-1]] = np.arange(len(tails), len(tails) + len(heads))
-        ids = [later[t] for t in tails] + [first[h] for h in heads]
+        ids = [words[t] if s else several[" " + t] for t, s in zip(tails, simple)] + [several[h] for h in heads]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         starts = np.cumsum(sizes) - sizes
-        n = sizes[number]
-        ends = np.cumsum(n)
-        at = np.repeat(starts[number] - (ends - n), n) + np.arange(ends[-1])
-        flat = np.frombuffer(b"".join(ids), dtype="<i4")[at]
-        cuts = np.concatenate([[0], ends])[bounds]
-        for i, text in enumerate(texts):
-            yield np.frombuffer(self.learn([text])[0], dtype="<i4") if whole[i] else flat[cuts[i] : cuts[i + 1]]
+        flat = np.frombuffer(b"".join(ids), dtype="<i4")
+        for begin in range(0, len(texts), TEXTS_AT_ONCE):
+            edges = bounds[begin : begin + TEXTS_AT_ONCE + 1]
+            own = number[edges[0] : edges[-1]]
+            n = sizes[own]
+            ends = np.cumsum(n)
+            at = np.repeat(starts[own] - (ends - n), n)
+            at += np.arange(len(at))
+            found = flat[at]
+            cuts = np.concatenate([[0], ends])[edges - edges[0]]
+            for i, text in enumerate(texts[begin : begin + TEXTS_AT_ONCE]):
+                yield np.frombuffer(self.put_together([text])[0], dtype="<i4") if begin + i in whole else found[cuts[i] : cuts[i + 1]]

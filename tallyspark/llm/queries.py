@@ -81,7 +81,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "rans")
-    rans.write(read_documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    rans.write(read_documents(spark, sf_dir), path, *vocabulary, end_id=2)
     return rans.read(spark, path).select(
         "doc_id",
         "start",

@@ -30,23 +30,25 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, store
-from .pieces import PieceMemory
+from .pieces import BLOCK_ROWS, PieceMemory
 
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)  # states stay in [2**31, 2**63)
-LANES = 1024
-BLOCK_IDS = 1 << 18
+LANES = 4096
+BLOCK_IDS = 1 << 20
 CHECKPOINT_STEPS = 128
 MAGIC, VERSION = b"RANS", 1
 HEADER = struct.Struct("<4sHHIIIIII")
@@ -153,29 +155,37 @@ def decode_block(raw: bytes, table: Frequencies, checkpoint: int = 0) -> tuple[l
     return [None if z else k for k, z in zip(keys.tolist(), nulls.tolist())], sizes, out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write for bytes: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> PieceMemory:
+def _tokenizer(path: str, pattern: str) -> PieceMemory:
+    """The library's merges for every new pre-token, cut by the byte-level expression that its file asks for."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    merge, letters = Tokenizer.from_file(path).model.tokenize, _byte_letters()
 
-    def learn(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    def resolve(words: list[str]) -> list[bytes]:
+        written = [w.encode("utf-8", "replace").decode("latin-1").translate(letters) for w in words]
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in written]
 
-    return PieceMemory(learn)
+    return PieceMemory(regex.compile(pattern).findall, resolve)
 
 
-def token_ids(text: Column | str, path: str, end_id: int) -> Column:
+def token_ids(text: Column | str, path: str, pattern: str, end_id: int) -> Column:
     """Ids of each text and the end id: zstandard-compressed little-endian uint32."""
 
-    small_batches()
+    small_batches(BLOCK_ROWS)
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        pack, end = zstandard.ZstdCompressor(level=3).compress, np.array([end_id], dtype="<u4")
-        encoded = _tokenizer(path).encode(["" if t is None else t for t in texts])
+        pack, end = zstandard.ZstdCompressor(level=1).compress, np.array([end_id], dtype="<u4")
+        encoded = _tokenizer(path, pattern).encode(["" if t is None else t for t in texts])
         return pd.Series([pack(_narrow(np.concatenate([x.view("<u4"), end]))) for x in encoded], dtype=object)
 
     return ids(text)
@@ -194,18 +204,20 @@ def unpack_ids(packed: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        for packed in batch.column(0).to_pylist():
-            n = np.bincount(unpack_ids(packed), minlength=len(total))
-            if len(n) > len(total):
-                total = np.pad(total, (0, len(n) - len(total)))
-            total += n
+        ids = [unpack_ids(packed) for packed in batch.column(0).to_pylist()]
+        n = np.bincount(np.concatenate(ids), minlength=len(total)) if ids else total * 0
+        if len(n) > len(total):
+            total = np.pad(total, (0, len(n) - len(total)))
+        total += n
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
-    """Tokenise ``docs`` and write the dataset at ``path``."""
-    ids = store(docs.select(F.col(id_col).alias("doc_id"), token_ids(text_col, tokenizer, end_id).alias("ids")), "ids")
+def write(
+    docs: DataFrame, path: str, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2
+) -> None:
+    """Tokenise ``docs`` (vocabulary file ``tokenizer``, pre-token expression ``pattern``) and write the dataset at ``path``."""
+    ids = store(docs.select(F.col(id_col).alias("doc_id"), token_ids(text_col, tokenizer, pattern, end_id).alias("ids")), "ids")
     counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     table = Frequencies.scale(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     spark = docs.sparkSession

@@ -54,11 +54,11 @@ def test_compression_is_near_the_entropy():
 @pytest.mark.parametrize("block", [40, R.BLOCK_IDS])
 def test_dataset_round_trip(spark, monkeypatch, block):
     monkeypatch.setattr(R, "BLOCK_IDS", block)
-    texts = ["the cat sat", None, "", "a  b", "a\n \nb", "word " * 900, "<|endoftext|> é 日本", "x" * 5000, "thbleth and 12"]
+    texts = ["the cat sat", None, "", "a  b", "a\n \nb", "word " * 900, "<|endoftext|> é 日本", "x" * 5000, "thbleth and 12", "Ñandú größe, été\u0085 ȷ ɐɐ ªº", "\x00\x7f\xad ¡" + chr(0x10FFFF)]
     rows = [(1000 - i, texts[i % len(texts)] if i % 4 else f"row {i}") for i in range(120)] + [(None, "lost"), (7, "tie b"), (7, "tie a")]
     path = scratch_path(spark, f"rans-{uuid.uuid4().hex[:6]}")
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ids int")
-    R.write(df, path, PATH)
+    R.write(df, path, PATH, public_tokenizers.PATTERN)
     got = sorted(R.read(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
     want = {d: library_ids(t) for d, t in rows if d != 7}
@@ -72,5 +72,5 @@ def test_dataset_round_trip(spark, monkeypatch, block):
 
 def test_empty_dataset(spark):
     path = scratch_path(spark, "rans-empty")
-    R.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
+    R.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH, public_tokenizers.PATTERN)
     assert R.read(spark, path).count() == 0
