@@ -29,7 +29,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import BLOCK_ROWS, PieceMemory
+from .pieces import BLOCK_ROWS, WORDS, PieceMemory
 
 
 
@@ -145,8 +145,8 @@ class Codec:
             out.append(self.slot_id[slot : slot + 1].tobytes() if hit else self.merge(token))
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        return self.memory.encode(texts)
+    def encode(self, texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
+        return self.memory.limited(words).encode(texts)
 
     def decode(self, lists: list[np.ndarray]) -> Iterator[bytes]:
         """Bytes of each list of ids, gathered from the tokens' bytes."""
@@ -170,20 +170,24 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode(text: Column | str, path: str, pattern: str) -> Column:
-    """Token ids (array<int>) of each text; special tokens are never made."""
-    small_batches(BLOCK_ROWS)
+def encode(text: Column | str, path: str, pattern: str, words: int = WORDS, rows: int = BLOCK_ROWS) -> Column:
+    """Token ids (array<int>) of each text; special tokens are never made.
+
+    ``words`` bounds what a worker remembers and ``rows`` its batches: smaller
+    values take less memory and more time, with the same ids.
+    """
+    small_batches(rows)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(codec(path, pattern).encode(["" if t is None else t for t in texts])), dtype=object)
+        texts = ["" if t is None else t for t in texts]
+        return pd.Series(list(codec(path, pattern).encode(texts, words)), dtype=object)
 
     return ids(text)
 
 
 def decode(ids: Column | str, path: str, pattern: str) -> Column:
     """Bytes of each array of token ids."""
-    small_batches(BLOCK_ROWS)
 
     @F.pandas_udf("binary")
     def raw(lists: pd.Series) -> pd.Series:

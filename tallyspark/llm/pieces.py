@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORDS = 800_000  # pre-tokens with a space before them that are remembered, at most
+WORDS = 700_000  # pre-tokens with a space before them that are remembered, at most
 OTHERS = 50_000  # other pre-tokens
-COMPOSITES = 500_000  # pieces of several pre-tokens
+COMPOSITES = 400_000  # pieces of several pre-tokens
 LONG = 64  # characters; longer pre-tokens are not remembered
-BLOCK_CHARS = 16_000_000  # of the texts whose pieces are numbered together
-BLOCK_ROWS = 4000  # texts of an Arrow batch
+BLOCK_CHARS = 12_000_000  # of the texts whose pieces are numbered together
+BLOCK_ROWS = 3000  # texts of an Arrow batch
 TEXTS_AT_ONCE = 500  # texts whose ids are put together at once
 
 
@@ -72,12 +72,17 @@ class PieceMemory:
     each of a list of pre-tokens.
     """
 
-    def __init__(self, cut: Callable[[str], list[str]], resolve: Callable[[list[str]], list[bytes]], words: int = WORDS):
+    def __init__(self, cut: Callable[[str], list[str]], resolve: Callable[[list[str]], list[bytes]]):
         self.cut = cut
-        self.words = Remembered(lambda keys: resolve([" " + k for k in keys]), words)  # by what follows the space
+        self.words = Remembered(lambda keys: resolve([" " + k for k in keys]), WORDS)  # by what follows the space
         self.others = Remembered(resolve, OTHERS)
         self.composites = Remembered(self.put_together, COMPOSITES)  # pieces of several pre-tokens
 
+    def limited(self, words: int) -> PieceMemory:
+        """The same memory, for at most ``words`` words (and composites in proportion)."""
+        self.words.limit, self.composites.limit = words, COMPOSITES * words // WORDS
+        return self
+
     def put_together(self, pieces: list[str]) -> list[bytes]:
         parts = [self.cut(p) for p in pieces]
         words, others = set(), set()

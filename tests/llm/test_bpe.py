@@ -43,9 +43,9 @@ def test_perfect_hash_is_minimal_and_perfect():
 
 def test_forgetting_changes_nothing():
     small = B.Codec(B.read_ranks(PATH), PATTERN)
-    small.memory.words.limit = small.memory.others.limit = 6
+    small.memory.others.limit = 6
     texts = [f"w{i % 40} x{i} y{i % 7}, " + "z" * (i % 90) for i in range(900)]
-    got = [x.tolist() for at in range(0, 900, 50) for x in small.encode(texts[at : at + 50])]
+    got = [x.tolist() for at in range(0, 900, 50) for x in small.encode(texts[at : at + 50], 6)]
     assert got == [REFERENCE.encode_ordinary(t) for t in texts]
     assert len(small.memory.words.old) + len(small.memory.words.young) < 400
 
