@@ -20,6 +20,7 @@ from tallyspark.llm import bpe, mixing, quality, secrets, simhash
 from tallyspark.llm.common import read_documents, store
 
 SHINGLE_WORDS, MAX_BITS = 3, 2
+REMEMBERED_WORDS = 150_000
 VOCABULARY = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -42,7 +43,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select("doc_id", "lang", "source", "text", bpe.encode("text", *VOCABULARY).alias("token_ids"))
+    # executors still hold what earlier stages left, so workers remember less here than the operator's default
+    ids = bpe.encode("text", *VOCABULARY, words=REMEMBERED_WORDS, rows=1000)
+    docs = docs.select("doc_id", "lang", "source", "text", ids.alias("token_ids"))
     decoded = bpe.decode("token_ids", *VOCABULARY)
     same = decoded == F.coalesce("text", F.lit("")).cast("binary")
     return docs.select(
