@@ -82,7 +82,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "rans")
     vocabulary = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    rans.write(read_documents(spark, sf_dir), path, *vocabulary, end_id=2)
+    rans.write(read_documents(spark, sf_dir), path, *vocabulary, end_id=2, added=True)
     return rans.read(spark, path).select(
         "doc_id",
         "start",

@@ -27,6 +27,7 @@ empty dataset; other columns are not written.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -162,6 +163,51 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
+class AddedTokens:
+    """Cuts texts at the added tokens of a vocabulary file as the library does: those that are not normalised first."""
+
+    def __init__(self, listed: list[dict]):
+        self.tokens = {t["content"]: t for t in listed}
+        groups = [[c for c, t in self.tokens.items() if t["normalized"] == late] for late in (False, True)]
+        longest = lambda g: sorted(g, key=len, reverse=True)
+        self.expressions = [regex.compile("|".join(map(regex.escape, longest(g)))) for g in groups if g]
+
+    def _split(self, expression: regex.Pattern, text: str) -> Iterator[str | int]:
+        at = 0
+        for m in expression.finditer(text):
+            token, (begin, end) = self.tokens[m[0]], m.span()
+            if token["single_word"] and regex.search(r"\w", text[max(begin - 1, 0) : begin] + text[end : end + 1]):
+                continue
+            yield text[at:begin].rstrip() if token["lstrip"] else text[at:begin]
+            yield token["id"]
+            at = len(text) - len(text[end:].lstrip()) if token["rstrip"] else end
+        yield text[at:]
+
+    def cut(self, text: str) -> list[str | int]:
+        """The stretches between added tokens, and the tokens as ids."""
+        if not any(content in text for content in self.tokens):
+            return [text]
+        parts: list[str | int] = [text]
+        for expression in self.expressions:
+            parts = [y for x in parts for y in (self._split(expression, x) if isinstance(x, str) else [x])]
+        return [x for x in parts if x != ""]
+
+
+@lru_cache(maxsize=2)
+def _added_tokens(path: str) -> AddedTokens:
+    with open(path, encoding="utf-8") as f:
+        return AddedTokens(json.load(f).get("added_tokens", []))
+
+
+def _encoded(texts: list[str], path: str, pattern: str, added: bool) -> Iterator[np.ndarray]:
+    """Ids of each text: added tokens as one id, the stretches between them by their pieces."""
+    cut = list(map(_added_tokens(path).cut, texts)) if added else [[t] for t in texts]
+    ids = _tokenizer(path, pattern).encode([x for parts in cut for x in parts if isinstance(x, str)])
+    for parts in cut:
+        found = [next(ids).view("<u4") if isinstance(x, str) else np.array([x], dtype="<u4") for x in parts]
+        yield found[0] if len(found) == 1 else np.concatenate([np.array([], dtype="<u4"), *found])
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str, pattern: str) -> PieceMemory:
     """The library's merges for every new pre-token, cut by the byte-level expression that its file asks for."""
@@ -177,16 +223,20 @@ def _tokenizer(path: str, pattern: str) -> PieceMemory:
     return PieceMemory(regex.compile(pattern).findall, resolve)
 
 
-def token_ids(text: Column | str, path: str, pattern: str, end_id: int) -> Column:
-    """Ids of each text and the end id: zstandard-compressed little-endian uint32."""
+def token_ids(text: Column | str, path: str, pattern: str, end_id: int, added: bool = False) -> Column:
+    """Ids of each text and the end id: zstandard-compressed little-endian uint32.
+
+    With ``added``, the vocabulary file's added tokens are found in texts and get
+    their one id, as in the library's ``encode``; else they are text like any other.
+    """
 
     small_batches(BLOCK_ROWS)
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
         pack, end = zstandard.ZstdCompressor(level=1).compress, np.array([end_id], dtype="<u4")
-        encoded = _tokenizer(path, pattern).encode(["" if t is None else t for t in texts])
-        return pd.Series([pack(_narrow(np.concatenate([x.view("<u4"), end]))) for x in encoded], dtype=object)
+        encoded = _encoded(["" if t is None else t for t in texts], path, pattern, added)
+        return pd.Series([pack(_narrow(np.concatenate([x, end]))) for x in encoded], dtype=object)
 
     return ids(text)
 
@@ -214,10 +264,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write(
-    docs: DataFrame, path: str, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2
-) -> None:
-    """Tokenise ``docs`` (vocabulary file ``tokenizer``, pre-token expression ``pattern``) and write the dataset at ``path``."""
-    ids = store(docs.select(F.col(id_col).alias("doc_id"), token_ids(text_col, tokenizer, pattern, end_id).alias("ids")), "ids")
+    docs: DataFrame, path: str, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
+    added: bool = False,
+) -> None:
+    """Tokenise ``docs`` (vocabulary file ``tokenizer``, pre-token expression ``pattern``) and write the dataset at ``path``.
+
+    ``added``: see ``token_ids``.
+    """
+    ids = store(docs.select(F.col(id_col).alias("doc_id"), token_ids(text_col, tokenizer, pattern, end_id, added).alias("ids")), "ids")
     counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     table = Frequencies.scale(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     spark = docs.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from tallyspark.llm import rans as R
+from tallyspark.llm.common import DOCUMENTS
+from tallyspark.llm.queries import QUERIES
 from tallyspark.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +73,32 @@ def test_dataset_round_trip(spark, monkeypatch, block):
     assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in got if r.doc_id == 7) == sorted(map(library_ids, ["tie a", "tie b"]))
 
 
+def test_added_tokens_are_those_of_a_plain_encode(spark, tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b", f"the end {end} \n{end}{end} of it", f"{end[:-1]}  {end}x ", "none", f" {end}\n", None, ""]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    at = 0
+    for r in sorted(QUERIES["op10_rans_output"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id):
+        ids = plain.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_flags_of_added_tokens(tmp_path):
+    from tokenizers import AddedToken
+
+    t = Tokenizer.from_file(PATH)
+    t.add_tokens([AddedToken("zq", single_word=True, normalized=True), AddedToken("<l>", lstrip=True, normalized=False)])
+    t.add_special_tokens([AddedToken("<l><r>", rstrip=True, normalized=False)])
+    path = str(tmp_path / "t.json")
+    t.save(path)
+    texts = ["a  <l> b", "a  <l><r>  b", "zq zqx xzq (zq)", "<r><l><r>", "no", "zq<l>zq"]
+    got = [x.tolist() for x in R._encoded(texts, path, public_tokenizers.PATTERN, True)]
+    assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_empty_dataset(spark):
     path = scratch_path(spark, "rans-empty")
     R.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH, public_tokenizers.PATTERN)
