@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -17,7 +18,7 @@ from test_simhash import brute_classes, brute_fp
 
 import corpus_pipeline as C
 from tallyspark.llm import bpe, quality
-from tallyspark.llm.common import read_documents
+from tallyspark.llm.common import DOCUMENTS, read_documents
 from tallyspark.llm.queries import ORACLES, QUERIES
 
 
@@ -144,3 +145,19 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     for _, stage in C.STAGES:
         empty = stage(spark, empty, SF_SMALL)
         assert empty.count() == 0
+
+
+def test_mix_reaches_the_pipeline_result(spark, tmp_path):
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    sizes = {"a": 900, "b": 400, "c": 100}
+    rows = [(1000 * k + i, words(1000 * k + i), "en", s, 400) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    spark.createDataFrame(rows, DOCUMENTS).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(C.run(spark, str(tmp_path)).select("mix_position", "source", "doc_id").collect())
+    assert [r.mix_position for r in got] == list(range(len(got))) and len(got) > 1300
+    left = Counter(r.source for r in got)
+    share = {s: left[s] ** 0.5 / sum(n**0.5 for n in left.values()) for s in left}
+    inside = int(min(left[s] / share[s] for s in left)) - 32
+    seen = Counter()
+    for n, r in enumerate(got[:inside], 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - share[s] * n) <= 32 for s in share), n
