@@ -164,13 +164,23 @@ def classes(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id, ties by text.
 
+    An id with different texts may stand for several classes, with one row for each.
+
     Rows without an id stay only where their whole class has none, again one a class.
     """
     found = classes(docs, id_col, text_col, shingle, max_bits)
-    ids = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    own = F.col(id_col) == F.col("component_id")
+    ids = found.groupBy(id_col).agg((F.min("fp") == F.max("fp")).alias("_same"), F.max(own).alias("_own")).where("_own")
     order = [F.col(text_col), F.xxhash64(*docs.columns)]
     one = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
-    named = docs.join(ids, id_col, "left_semi").withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
+    named = docs.join(ids.where("_same"), id_col, "left_semi").withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
+    # of an id with several fingerprints, the rows of the classes that it names: only these are hashed again
+    several = ids.where("not _same").select(id_col)
+    classes_of = found.where(own).join(several, id_col, "left_semi").select(id_col, F.col("fp").alias("_fp"), F.col("class_fp").alias("_class"))
+    rows = docs.join(several, id_col, "left_semi").withColumn("_fp", fingerprint(F.col(text_col), shingle))
+    one = F.row_number().over(Window.partitionBy("_class").orderBy(*order))
+    rows = rows.join(classes_of.distinct(), [id_col, "_fp"]).withColumn("_nth", one).where("_nth = 1")
+    named = named.unionByName(rows.select(*docs.columns))
     lone = found.where("component_id is null").select("fp", "class_fp").distinct()
     unnamed = docs.where(F.col(id_col).isNull()).withColumn("fp", fingerprint(F.col(text_col), shingle)).join(lone, "fp")
     one = F.row_number().over(Window.partitionBy("class_fp").orderBy(*order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -116,3 +118,11 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], DOC)
     assert S.classes(df).count() == 0
     assert S.keep_one(df).count() == 0
+
+
+def test_keep_one_row_of_each_class_when_ids_repeat(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (5, c), (5, d), (6, d), (7, c)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (4, c), (5, d)])
