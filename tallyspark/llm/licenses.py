@@ -11,6 +11,12 @@ it holds at least ``THRESHOLD`` of the template's words.  The join is exact:
   block's order bound the overlap that is still possible;
 * candidates are verified by the size of the intersection.
 
+With ``windows``, statements wrapped over line ends are found as well: beside the lines,
+windows of consecutive words of the whole text are blocks, for each template twice as
+long as its statement and begun every half statement, so that any stretch of one and a
+half statements lies in one.  A text is cut into them only where all its words
+together reach the template's ``need``.  Hits of windows that overlap are one.
+
 The index holds the templates' words only (a parameter, not data), so it travels
 inside the plan, and each text meets it in place: no text is shuffled and no block
 can be hot.  Besides, fixed phrases are found as consecutive words of the whole text.
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +133,56 @@ def matches(lines: Column, templates, counts: dict[str, int], threshold: float)
     return F.flatten(F.transform(lines, of_line))
 
 
+def wrapped(lines: Column, normal: Column, templates, threshold: float) -> Column:
+    """Array of struct(line, label, containment) of the word windows that match; ``line`` is that of the first word."""
+    every = sorted(set().union(*(template_words(statement) for _, statement in templates)))
+    kind = "array<struct<line:int,label:string,containment:double>>"
+    numbered = F.flatten(
+        F.transform(
+            lines, lambda x, i: F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), i.alias("line")))
+        )
+    )
+
+    def hits(words: Column, label: str, statement: str) -> Column:
+        own, size = sorted(template_words(statement)), len(re.findall(r"[0-9a-z]+", statement.lower()))
+        step, least = max(size // 2, 1), need(len(own), threshold)
+        met = lambda part: F.size(F.array_intersect(F.transform(part, lambda x: x["w"]), F.array(*map(F.lit, own))))
+
+        def window(i: Column) -> Column:
+            part = F.slice(words, i + 1, 2 * size)
+            return F.struct(i.alias("at"), part[0]["line"].alias("line"), met(part).alias("met"))
+
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
+        found = F.filter(F.transform(starts, window), lambda x: x["met"] >= least)
+
+        def merge(acc: Column, x: Column) -> Column:
+            last = F.element_at(acc, -1)
+            both = F.struct(x["at"].alias("at"), last["line"].alias("line"), F.greatest(last["met"], x["met"]).alias("met"))
+            joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))
+            return F.when((F.size(acc) > 0) & (x["at"] < F.try_element_at(acc, F.lit(-1))["at"] + 2 * size), joined).otherwise(
+                F.concat(acc, F.array(x))
+            )
+
+        merged = F.aggregate(found, F.array().cast("array<struct<at:int,line:int,met:int>>"), merge)
+        one = lambda x: F.struct(x["line"].alias("line"), F.lit(label).alias("label"), (x["met"] / len(own)).alias("containment"))
+        return F.transform(merged, one).cast(kind)
+
+    def of_text(seen: Column) -> Column:
+        """Per template, whether the words of the whole text reach its need."""
+        enough = [
+            F.size(F.array_intersect(seen, F.array(*map(F.lit, sorted(t))))) >= need(len(t), threshold)
+            for t in (template_words(statement) for _, statement in templates)
+        ]
+        empty = F.array().cast(kind)
+        all_hits = lambda words: F.concat(
+            *[F.when(e, hits(words, *t)).otherwise(empty) for e, t in zip(enough, templates)]
+        )
+        return F.when(reduce(lambda a, b: a | b, enough), let(numbered, all_hits)).otherwise(empty)
+
+    seen = F.array_distinct(F.filter(F.split(normal, " "), lambda w: w.isin(every)))
+    return F.when(F.size(lines) > 1, let(seen, of_text)).otherwise(F.array().cast(kind))
+
+
 def places(normal: Column, phrase: str) -> Column:
     """Word numbers at which the phrase's words stand consecutively in single-spaced ``normal`` text."""
     size = len(phrase.split())
@@ -143,11 +200,13 @@ def places(normal: Column, phrase: str) -> Column:
 
 
 def scan(
-    docs: DataFrame, text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD
-) -> DataFrame:
+    docs: DataFrame, text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD,
+    windows: bool = False,
+) -> DataFrame:
     """``docs`` and the columns n_words, places (struct label, word), blocks (struct line, label, containment).
 
-    Names get ``_`` where taken.  ``line`` counts from 0.
+    Names get ``_`` where taken.  ``line`` counts from 0.  With ``windows`` also wrapped,
+    like blocks, for the windows of texts with more than one line.
     """
     counts = word_counts(docs, text_col, sorted(set().union(*(template_words(s) for _, s in templates))))
     name = {k: unused(k, docs.columns) for k in ("n_words", "places", "blocks")}
@@ -160,4 +219,7 @@ def scan(
     found = F.concat(*[of(p, label) for p, label in phrases])
     blocks = matches(F.split(F.col(lines), "\n"), templates, counts, threshold)
     out = out.withColumns({name["n_words"]: n_words.cast("long"), name["places"]: found, name["blocks"]: blocks})
+    if windows:
+        name["wrapped"] = unused("wrapped", docs.columns)
+        out = out.withColumn(name["wrapped"], wrapped(F.split(F.col(lines), "\n"), text, templates, threshold))
     return out.select(*docs.columns, *name.values())

@@ -108,7 +108,8 @@ def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(read_documents(spark, sf_dir))
+    found = licenses.scan(read_documents(spark, sf_dir), windows=True)
+    found = found.withColumn("blocks", F.concat("blocks", "wrapped"))
     words, base = F.col("places.word"), F.col("places.label")
     both = F.array_union(base, F.col("blocks.label"))
     listed = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import licenses as L
+from tallyspark.llm.common import DOCUMENTS
+from tallyspark.llm.queries import QUERIES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -71,3 +73,37 @@ def test_places_and_blocks_equal_brute_force(spark, threshold):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.scan(df).where(F.col("n_words") >= 0).count() == 0
+
+
+def brute_windows(text, threshold=L.THRESHOLD):
+    """Labels with a window of the template's length, across line ends."""
+    words = re.findall(WORD, ascii_lower(text))
+    out = set()
+    for label, statement in L.TEMPLATES:
+        t, size = L.template_words(statement), len(re.findall(r"\w+", statement))
+        if any(len(set(words[i : i + 2 * size]) & t) >= L.need(len(t), threshold) for i in range(0, len(words), size // 2)):
+            out.add(label)
+    return out
+
+
+def test_wrapped_statements_are_found(spark, tmp_path):
+    rng = random.Random(2)
+    filler = lambda n: [f"f{rng.randrange(999)}" for _ in range(n)]
+    texts, own = [], []
+    for label, statement in L.TEMPLATES:
+        words = statement.split()
+        for cut in range(1, len(words)):
+            for before in (0, 13):
+                lines = [filler(before) + words[:cut], words[cut:] + filler(40), filler(60)]
+                texts.append("\n".join(" ".join(x) for x in lines))
+                own.append(label)
+    scattered = sorted(L.template_words(dict(L.TEMPLATES)["apache-2"]))
+    texts.append("\n".join(" ".join([w, *filler(30)]) for w in scattered))  # all words, but nowhere together
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENTS)
+    for r in L.scan(df, windows=True).collect():
+        assert {b.label for b in r.wrapped} == brute_windows(r.text), r.text
+        assert len(r.wrapped) == len({b.label for b in r.wrapped})
+        assert all(0 <= b.line < r.text.count("\n") + 1 and 0.8 <= b.containment <= 1 for b in r.wrapped)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = {r.doc_id: r.labels for r in QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()}
+    assert all(label in labels[i].split(",") for i, label in enumerate(own)) and labels[len(own)] == ""
