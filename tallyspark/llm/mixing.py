@@ -1,16 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents form blocks of ``block`` rows.  Weights are whole units
-of a frame of ``frame`` slots, at least one unit a source.  Block k of a source
-with w units is released at slot floor(k * frame / w) and due before slot
-ceil((k + 1) * frame / w); each slot goes to the released block with the earliest
-deadline.  Every prefix of the order then holds of each source its share to less
-than one block.  All windows begin and end with the frame, so one frame is
-scheduled and repeats: a block's slot follows from its number alone, for any
-number of blocks, without a pass over the corpus.
+Each source's documents form blocks of ``block`` rows.  Block k of a source with target
+weight w (all sum to 1) is released at slot floor(k / w) and due before slot
+ceil((k + 1) / w); each slot goes to the released block with the earliest deadline.
+Every prefix of the order then holds of each source its target share to less than
+one block, up to the first source's end.  The schedule has a step per block, in passes
+of ``PASS`` slots; a block's slot is then looked up by source and number.
+
+With ``frame``, weights are whole units of a frame of so many slots instead, at
+least one unit a source, and one frame is scheduled and repeated: no pass over the
+corpus, but shares are met only as closely as the units meet them.
 
 Every row is kept and gets one slot.  ``in_mix`` marks the slots before the first
-source runs out; the rows after them keep their slots at the end of the order.
+source runs out; the rows after them follow in the order of their deadlines.  A weight
+of zero counts as ``LEAST_SHARE`` of all.
 
 Ranks within a source come from salted parts: counts per (source, part) give each
 part its offset, and rows are numbered inside parts, so a hot source is spread
@@ -24,12 +27,17 @@ an empty result; other columns come back unchanged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, unused
+from .common import let, store, unused
 
 FRAME = 1000
+PASS = 1 << 19  # slots of a pass
+STEPS = 256  # slots whose blocks are put together at once
+LEAST_SHARE = 1e-9
 BLOCK_ROWS = 16
 PARTS = 1024
 
@@ -86,6 +94,85 @@ def frame_schedule(units: DataFrame, frame: int = FRAME) -> DataFrame:
     return rows.select(F.get(F.col("s"), F.col("o.i"))["source"].alias("source"), "o.k", "o.slot")
 
 
+def release(k: Column, share: Column) -> Column:
+    return F.floor(F.round(k / share, 6)).cast("long")
+
+
+def deadline(k: Column, share: Column) -> Column:
+    return F.ceil(F.round((k + 1) / share, 6)).cast("long")
+
+
+def target_shares(counts: DataFrame, block: int) -> DataFrame:
+    """(source, rows, share, blocks, at, n): shares that sum to 1, the source's number and the number of sources."""
+    total = Window.partitionBy()
+    least = F.greatest(F.col("share"), F.sum("share").over(total) * LEAST_SHARE)
+    out = counts.withColumn("least", least).withColumn("share", F.col("least") / F.sum("least").over(total))
+    at = F.row_number().over(Window.partitionBy().orderBy("source")) - 1
+    blocks = F.ceil(F.col("rows") / block).cast("long")
+    return out.select("source", "rows", "share", blocks.alias("blocks"), at.cast("long").alias("at"), F.count(F.lit(1)).over(total).alias("n"))
+
+
+def target_schedule(targets: DataFrame, slots: int = PASS, steps: int = STEPS) -> DataFrame:
+    """(source, k, slot) of the blocks before the first source runs out, by earliest deadline first.
+
+    ``targets`` as of ``target_shares``.  One row a block; the passes hand on how many blocks each source has had.
+    """
+    one = F.sort_array(F.collect_list(F.struct("at", "source", "share", "blocks")))
+    last = F.min(deadline(F.col("blocks"), F.col("share")))  # the first missing block is due before it
+    state = targets.agg(one.alias("s"), last.alias("last")).where(F.size("s") > 0)
+    state = store(state.withColumns({"done": F.transform("s", lambda _: F.lit(0).cast("long")), "t": F.lit(0).cast("long"), "end": F.lit(False)}), "mix")
+    none = F.array().cast("array<struct<i:int,k:bigint,slot:bigint>>")
+
+    def chosen(acc: Column) -> Column:
+        def due(x: Column, i: Column) -> Column:
+            k = F.get(acc["done"], i)
+            late = release(k, x["share"]) > acc["t"]
+            return F.struct(late.alias("late"), deadline(k, x["share"]).alias("due"), i.alias("i"), k.alias("k"), (k >= x["blocks"]).alias("end"))
+
+        return F.array_min(F.transform(F.col("s"), due))
+
+    def step(acc: Column, _: Column) -> Column:
+        def taken(c: Column) -> Column:
+            item = F.struct(c["i"].alias("i"), c["k"].alias("k"), acc["t"].alias("slot"))
+            after = F.struct(
+                F.transform(acc["done"], lambda d, i: F.when(i == c["i"], d + 1).otherwise(d)).alias("done"),
+                (acc["t"] + 1).alias("t"), F.lit(False).alias("end"), F.concat(acc["out"], F.array(item)).alias("out"),
+            )
+            ended = F.struct(acc["done"].alias("done"), acc["t"].alias("t"), F.lit(True).alias("end"), acc["out"].alias("out"))
+            return F.when(c["end"], ended).otherwise(after)
+
+        return F.when(acc["end"], acc).otherwise(let(chosen(acc), taken))
+
+    def several(acc: Column, _: Column) -> Column:
+        start = F.struct(acc["done"].alias("done"), acc["t"].alias("t"), acc["end"].alias("end"), none.alias("out"))
+        run = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+        return let(run, lambda x: F.struct(x["done"].alias("done"), x["t"].alias("t"), x["end"].alias("end"), F.concat(acc["outs"], F.array(x["out"])).alias("outs")))
+
+    found = []
+    while True:
+        start = F.struct("done", "t", "end", F.array().cast("array<array<struct<i:int,k:bigint,slot:bigint>>>").alias("outs"))
+        rounds = F.ceil((F.least(F.col("last") - F.col("t"), F.lit(slots)) + 1) / steps).cast("int")
+        run = F.aggregate(F.sequence(F.lit(1), rounds), start, several)
+        passed = store(state.select("s", "last", run.alias("r")), "mix")
+        rows = passed.select("s", F.explode(F.flatten("r.outs")).alias("o"))
+        found.append(rows.select(F.get(F.col("s"), F.col("o.i"))["source"].alias("source"), "o.k", "o.slot"))
+        state = passed.select("s", "last", "r.done", "r.t", "r.end")
+        if state.where("not end").isEmpty():
+            return store(reduce(DataFrame.unionAll, found), "mix")
+
+
+def _frames(counts: DataFrame, block: int, frame: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units, schedule of a frame, and per source (s, units, horizon)."""
+    units = store(frame_units(counts, frame), "mix")
+    table = store(frame_schedule(units, frame), "mix")
+    # a source runs out at the slot of its first missing block
+    missing = F.ceil(F.col("rows") / block).cast("long")
+    ends = units.withColumn("k", missing % F.col("units")).withColumn("full", (missing - F.col("k")) / F.col("units"))
+    ends = ends.join(table, ends["source"].eqNullSafe(table["source"]) & (ends["k"] == table["k"]))
+    horizon = F.min(F.col("full") * frame + F.col("slot")).over(Window.partitionBy())
+    return units, table, ends.select(units["source"].alias("s"), "units", horizon.cast("long").alias("horizon"))
+
+
 def schedule(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -93,7 +180,7 @@ def schedule(
     source_col: str = "source",
     text_col: str = "text",
     block: int = BLOCK_ROWS,
-    frame: int = FRAME,
+    frame: int | None = None,
     parts: int = PARTS,
 ) -> DataFrame:
     """``docs`` and the columns rank, block, slot, release, deadline, in_mix (names get ``_`` where taken).
@@ -113,18 +200,22 @@ def schedule(
 
     counts = offsets.groupBy("source").agg(F.sum("rows").alias("rows"))
     share = F.sqrt("rows")
-    for name, weight in (weights or {}).items():
-        share = F.when(F.col("source") == name, F.lit(float(weight))).otherwise(share)
-    units = store(frame_units(counts.withColumn("share", share), frame), "mix")
-    table = store(frame_schedule(units, frame), "mix")
-    # a source runs out at the slot of its first missing block
-    missing = F.ceil(F.col("rows") / block).cast("long")
-    ends = units.withColumn("k", missing % F.col("units")).withColumn("full", (missing - F.col("k")) / F.col("units"))
-    ends = ends.join(table, ends["source"].eqNullSafe(table["source"]) & (ends["k"] == table["k"]))
-    horizon = F.min(F.col("full") * frame + F.col("slot")).over(Window.partitionBy())
-    ends = ends.select(units["source"].alias("s"), "units", horizon.cast("long").alias("horizon"))
+    given = [F.lit(x) for name, weight in (weights or {}).items() if name is not None for x in (name, float(weight))]
+    if given:
+        share = F.coalesce(F.try_element_at(F.create_map(*given), F.col("source")), share)
+    if frame is None:
+        own["share"], own["n"] = (unused(f"mix_{k}", docs.columns) for k in ("share", "n"))
+        targets = store(target_shares(counts.withColumn("share", share), block), "mix")
+        table = target_schedule(targets)
+        done = targets.join(F.broadcast(table.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("k"))), F.col("source").eqNullSafe(F.col("s")), "left")
+        horizon = F.coalesce(F.sum("k").over(Window.partitionBy()), F.lit(0))
+        ends = done.select(F.col("source").alias("s"), "share", "at", "n", horizon.alias("horizon"))
+        extra = ("share", "at", "n", "horizon")
+    else:
+        _, table, ends = _frames(counts.withColumn("share", share), block, frame)
+        extra = ("units", "horizon")
     of_part = offsets.join(ends, offsets["source"].eqNullSafe(ends["s"])).select(
-        *[F.col(c).alias(own[c]) for c in ("source", "part", "first", "units", "horizon")]
+        *[F.col(c).alias(own[c]) for c in ("source", "part", "first", *extra)]
     )
 
     p = unused("mix_p", [*docs.columns, *own.values()])
@@ -134,7 +225,18 @@ def schedule(
     rows = rows.join(of_part, F.col(source_col).eqNullSafe(F.col(own["source"])) & (F.col(p) == F.col(own["part"])))
     rows = rows.withColumn(out["rank"], F.col(out["rank"]) + F.col(own["first"]))
     rows = rows.withColumn(out["block"], F.floor(F.col(out["rank"]) / block))
-    rows = rows.withColumn(own["k"], F.col(out["block"]) % F.col(own["units"])).drop(own["source"])
+    rows = rows.drop(own["source"])
+    if frame is None:
+        k, w, end = F.col(out["block"]), F.col(own["share"]), F.col(own["horizon"])
+        at = table.select(F.col("source").alias(own["source"]), F.col("k").alias(own["k"]), F.col("slot").alias(out["slot"]))
+        rows = rows.join(at, F.col(source_col).eqNullSafe(F.col(own["source"])) & (k == F.col(own["k"])), "left")
+        after = end + (deadline(k, w) - 1 - end) * F.col(own["n"]) + F.col(own["at"])  # one place a source and deadline
+        slot = F.coalesce(F.col(out["slot"]), after)
+        return rows.select(
+            *docs.columns, F.col(out["rank"]), k, slot.alias(out["slot"]), release(k, w).alias(out["release"]),
+            deadline(k, w).alias(out["deadline"]), (slot < end).alias(out["in_mix"]),
+        )
+    rows = rows.withColumn(own["k"], F.col(out["block"]) % F.col(own["units"]))
     at = table.select(F.col("source").alias(own["source"]), F.col("k").alias(own["at"]), F.col("slot").alias(out["slot"]))
     rows = rows.join(at, F.col(source_col).eqNullSafe(F.col(own["source"])) & (F.col(own["k"]) == F.col(own["at"])))
     whole = (F.col(out["block"]) - F.col(own["k"])) / F.col(own["units"]) * frame  # slots of the frames before

@@ -83,3 +83,40 @@ def test_empty_and_too_many_sources(spark):
     df = spark.createDataFrame([(i, "t", f"s{i}") for i in range(5)], DOC)
     with pytest.raises(Exception, match="more sources than slots"):
         M.schedule(df, frame=4).count()
+
+
+SIZES = {"a": (900, 0.7), "b": (500, 0.2), None: (200, 0.0996), "d": (9, 0.0004)}
+MANY = {f"s{i:04}": (4, float(1 + i % 7)) for i in range(1100)}
+
+
+@pytest.mark.parametrize("sizes,block", [(SIZES, 1), (SIZES, 2), (MANY, 2)])
+def test_every_prefix_holds_the_given_weights(spark, sizes, block):
+    rows = [(i, "t", s) for s, (n, _) in sizes.items() for i in range(n)]
+    total = sum(w for _, w in sizes.values())
+    weights = {s: w for s, (_, w) in sizes.items() if s is not None}
+    if None in sizes:  # a source without a weight has the root of its rows
+        total = sum(weights.values()) + sizes[None][0] ** 0.5
+    share = {s: (sizes[s][0] ** 0.5 if s is None else w) / total for s, (_, w) in sizes.items()}
+    got = M.schedule(spark.createDataFrame(rows, DOC), weights, block=block).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+        assert not r.in_mix or r.release <= r.slot < r.deadline
+    inside = sorted({r.slot for r in got if r.in_mix})
+    assert inside == list(range(len(inside))) and all(r.in_mix == (r.slot < len(inside)) for r in got)
+    blocks = {s: -(-n // block) for s, (n, _) in sizes.items()}
+    assert len(inside) >= min(b / share[s] for s, b in blocks.items()) - 1 / min(share[s] for s in share)
+    seen = Counter()
+    for n in inside:
+        assert slots[n][1] == seen[slots[n][0]]
+        seen[slots[n][0]] += 1
+        assert all(abs(seen[s] - share[s] * (n + 1)) < 1 + 1e-6 for s in share)
+    assert any(seen[s] == blocks[s] for s in share)
+
+
+def test_passes_hand_on_their_state(spark):
+    df = spark.createDataFrame([("a", 700, 0.55), ("b", 700, 0.3), (None, 700, 0.15)], "source string, rows long, share double")
+    targets = M.target_shares(df, 1)
+    want = sorted(map(str, M.target_schedule(targets).collect()))
+    assert sorted(map(str, M.target_schedule(targets, slots=64, steps=16).collect())) == want and len(want) > 1000
