@@ -21,8 +21,12 @@ DOCUMENTS = T.StructType(
 )
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return read_table(spark, sf_dir, "documents", DOCUMENTS)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

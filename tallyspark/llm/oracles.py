@@ -82,3 +82,70 @@ def license_scan() -> str:
         "CASE WHEN pa.n > 0 THEN 1.0 ELSE coalesce(ma.c, 0.0) END::DOUBLE AS score "
         "FROM d LEFT JOIN pa USING (rid) LEFT JOIN ma USING (rid)"
     )
+
+
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def divergence_audit() -> str:
+    """Every kept term in every group of its language, every pair of groups over all terms."""
+    share = "1 + (1000000000::HUGEINT * (coalesce({0}, 0) + 2)) // (coalesce({1}, 0) + 2 * v.n)"
+    gap = "CAST((p - q) * (p - q) // (p + q) AS BIGINT)"
+    rank = "CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank"
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, "
+        f"regexp_extract_all({LOW}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents), "
+        "t AS (SELECT rid, lang, source, unnest(w) AS term FROM d), "
+        "k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 10), "
+        "v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS n FROM k GROUP BY lang), "
+        "c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL), "
+        "gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL), "
+        "cl AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL), ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL), "
+        "g AS (SELECT DISTINCT lang, source FROM d), "
+        f"s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST({share.format('c.n', 'gn.n')} AS HUGEINT) AS p "
+        "FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) "
+        "LEFT JOIN gn USING (lang, source)), "
+        f"l AS (SELECT cl.lang, cl.term, CAST({share.format('cl.n', 'ln.n')} AS HUGEINT) AS q "
+        "FROM cl JOIN ln USING (lang) JOIN v USING (lang)), "
+        "x AS (SELECT a.lang, a.source, b.source AS item, sum(CAST((a.p - b.p) * (a.p - b.p) // (a.p + b.p) AS BIGINT)) AS value "
+        "FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL), "
+        "pairs AS (SELECT g.lang, g.source, h.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g JOIN g h "
+        "ON g.lang = h.lang AND g.source <> h.source LEFT JOIN x ON x.lang = g.lang AND x.source = g.source "
+        "AND x.item = h.source), "
+        f"terms AS (SELECT lang, source, term AS item, {gap} AS value FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q) "
+        f"SELECT lang, source, 'pair' AS part, item, value, {rank} FROM pairs UNION ALL "
+        f"SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {rank} FROM terms) WHERE rank <= 10"
+    )
+
+
+def importance_resample() -> str:
+    """Features counted by bucket, CRC-32 by its table of 256 (made from the polynomial 0xEDB88320)."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(w))), "
+        "lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)), "
+        "lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 10000"
+    )
+    words = f"regexp_extract_all({LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws"
+    return (
+        f"WITH RECURSIVE bits AS (SELECT b, 0 AS k, b AS c FROM (SELECT unnest(range(256)) AS b) UNION ALL "
+        f"SELECT b, k + 1, {step} FROM bits WHERE k < 8), "
+        "crc AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE k = 8), "
+        f"d AS (SELECT row_number() OVER () AS rid, doc_id, {words} FROM documents), b AS (SELECT {words} FROM benchmark), "
+        "dw AS (SELECT rid, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b), "
+        f"h AS (SELECT w, {crc} AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc), "
+        "dc AS (SELECT rid, bucket, count(*) AS n FROM dw JOIN h USING (w) GROUP BY ALL), "
+        "s AS (SELECT bucket, sum(n) AS n FROM dc GROUP BY ALL), "
+        "t AS (SELECT bucket, count(*) AS n FROM bw JOIN h USING (w) GROUP BY ALL), "
+        "z AS (SELECT CAST((SELECT coalesce(sum(n), 0) FROM s) AS DOUBLE) AS s, "
+        "CAST((SELECT coalesce(sum(n), 0) FROM t) AS DOUBLE) AS t), "
+        "gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * (z.s + 10000) / "
+        "((s.n + 1.0::DOUBLE) * (z.t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), z), "
+        "dg AS (SELECT rid, sum(n * gain) AS weight FROM dc JOIN gain USING (bucket) GROUP BY ALL), "
+        "e AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, "
+        "('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN dg USING (rid)), "
+        "f AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e), "
+        "r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f WHERE n_features >= 20) "
+        "SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank "
+        "FROM f LEFT JOIN r USING (rid)"
+    )

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, langid, licenses, lzprint, mixing, oracles, passages, quality, rans, secrets, simhash
-from .common import read_documents
+from . import (
+    bpe, divergence, langid, licenses, lzprint, mixing, oracles, passages, quality, rans, ranking, resample, secrets, simhash,
+)
+from .common import read_documents, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,4 +128,31 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLES.update(op3_secret_scan=oracles.secret_scan(), op8_license_scan=oracles.license_scan())
+@register
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_documents(spark, sf_dir), min_docs=10, top_terms=10)
+
+
+@register
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = read_table(spark, sf_dir, "benchmark", "item_id long, text string")
+    found = resample.resample(read_documents(spark, sf_dir), target, percent=10, seed=2024, buckets=10_000, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register
+def op13_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    labels = read_table(spark, sf_dir, "labels", "doc_id long, quality int, toxic int")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = ranking.learn(docs, labels.where(~held_out), cutoff=0.7)
+    scored = docs.select("doc_id", held_out.alias("held_out"), ranking.score("text", model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+ORACLES.update(
+    op3_secret_scan=oracles.secret_scan(),
+    op8_license_scan=oracles.license_scan(),
+    op11_divergence_audit=oracles.divergence_audit(),
+    op12_resample=oracles.importance_resample(),
+)
