@@ -10,9 +10,9 @@ questions).
 
 Item lists are ordered like the reference's tables and then joined with
 ``"; "``; the restock, best-seller and debtor lists keep the first 8 / 5 / 8
-items (the per-shop ``row_number`` limit runs before the shuffle); the
-low-stock list keeps every low-stock product of the shop and is assembled
-in two levels (per stock/name bucket, then per shop).
+items (a literal ``row_number`` limit, planned as a WindowGroupLimit that runs before the shuffle);
+the low-stock list keeps every low-stock product of the shop, in parts of ``PART_ITEMS``
+that are cut by distributed positions (``order.numbered``), so no task ranks a whole shop.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import money_text, name_key
 from . import reports as R
+from .order import numbered
 
 # Intent names and the answer sentences (must equal the reference's).
 RESTOCK = "restock"
@@ -182,7 +183,8 @@ def answer_low_stock(shops: DataFrame, products: DataFrame) -> DataFrame:
     """Q7: every low-stock product of the shop, lowest stock first, in numbered parts of ``PART_ITEMS`` items."""
     low = products.where(F.col("stock_quantity") <= F.col("low_stock_threshold"))
     item = F.concat(F.col("name"), F.lit(" ("), F.col("stock_quantity").cast("string"), F.lit(" left)"))
-    ranked = R.rank_within_shop(low, [F.col("stock_quantity"), F.col("name")], None, "pos")
+    low = low.select("shop_id", "stock_quantity", "name")
+    ranked = numbered(low, ["stock_quantity", "name"], "pos", ["shop_id"])
     packed = ranked.select("shop_id", _part("pos").alias("part"), F.struct("pos", item.alias("_item")).alias("_e"))
     texts = packed.groupBy("shop_id", "part").agg(_joined("_e").alias("text"))
     j = _shop_ids(shops).join(texts, "shop_id", "left")
@@ -233,7 +235,7 @@ def _entries(*items: Column) -> Column:
 
 
 def _stock_entries(products: DataFrame, sales: DataFrame, today: date) -> DataFrame:
-    """Entries of Q2, Q3, Q4 and Q7 from one scan of the sales and one of the products.
+    """Entries of Q2, Q3 and Q4 from one scan of the sales and one of the products.
 
     Sales are summed per (shop, product id, name) with conditional sums for the
     periods; each sum then counts for its name (best sellers), its product
@@ -285,8 +287,6 @@ def _stock_entries(products: DataFrame, sales: DataFrame, today: date) -> DataFr
               F.concat(c("name"), F.lit(" ("), c("units").cast("string"), F.lit(" units)"))),
         _item(RESTOCK, is_product & (low | soon), shown, c("p.stock"), c("p.name"),
               F.concat(c("p.name"), F.lit(" ("), stock, F.lit(" left: "), why, F.lit(")")), late=shown.isNull()),
-        _item(LOW_STOCK, is_product & low, c("p.stock"), None, c("p.name"),
-              F.concat(c("p.name"), F.lit(" ("), stock, F.lit(" left)"))),
         _item(PROFIT_WEEK, c("kind") == "shop", None, None, None, None, c("week")),
         _item(PROFIT_TODAY, c("kind") == "shop", None, None, None, None, c("day")),
     )
@@ -310,8 +310,8 @@ LISTS = {
     RESTOCK: (RESTOCK_ITEMS, RESTOCK_PREFIX, RESTOCK_EMPTY),
     BEST: (BEST_ITEMS, BEST_PREFIX, BEST_EMPTY),
     DEBTORS: (DEBTOR_ITEMS, DEBTORS_PREFIX, DEBTORS_EMPTY),
-    LOW_STOCK: (None, LOW_STOCK_PREFIX, LOW_STOCK_EMPTY),
 }
+MOST_ITEMS = max(most for most, _, _ in LISTS.values())
 VALUES = {PROFIT_WEEK: PROFIT_WEEK_PREFIX, PROFIT_TODAY: PROFIT_TODAY_PREFIX, UNPAID: UNPAID_PREFIX}
 
 
@@ -323,26 +323,27 @@ def answer_table(
     debts: DataFrame,
     today: date,
 ) -> DataFrame:
-    """``(shop_id, intent, part, answer)`` for every shop and every intent but help, in one pass.
+    """``(shop_id, intent, part, answer)`` for every shop and every intent but help.
 
-    Sales, products, debts and customers are each read once; all answers share
-    one ranking and one grouping.  An unbounded list comes in numbered parts.
+    Sales, debts and customers are each read once; the capped lists and the values
+    share one ranking and one grouping.  The unbounded low-stock list comes in numbered parts.
     """
     entries = _stock_entries(products, sales, today).unionByName(_balance_entries(customers, debts))
     listed = entries.groupBy("shop_id", "intent", "late", "first", "second", "name", "exact", "text").agg(
         F.sum("value").alias("value"), F.count(F.lit(1)).alias("n")
     )
+    # equal items are rows of their own again, as many as a list can show; a value is one row
+    copies = F.when(F.col("text").isNull(), F.lit(1)).otherwise(F.least("n", F.lit(MOST_ITEMS)).cast("int"))
+    rows = listed.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
     order = Window.partitionBy("shop_id", "intent").orderBy("late", "first", "second", "name", "exact", "text")
-    ranked = listed.withColumn("rank", F.row_number().over(order))
-    limit = F.lit(None).cast("int")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_ITEMS)
+    limit = F.lit(MOST_ITEMS)
     for intent, (most, _, _) in LISTS.items():
-        if most is not None:
-            limit = F.when(F.col("intent") == intent, F.lit(most)).otherwise(limit)
-    part = F.when(F.col("text").isNull(), F.lit(0)).otherwise(_part("rank"))
-    entry = F.struct(F.col("rank").alias("pos"), F.array_join(F.array_repeat("text", F.col("n").cast("int")), ITEM_SEPARATOR).alias("_item"))
-    kept = ranked.where(F.coalesce(F.col("rank") <= limit, F.lit(True)))
-    kept = kept.select("shop_id", "intent", part.alias("part"), F.when(F.col("text").isNotNull(), entry).alias("_e"), "value")
-    texts = kept.groupBy("shop_id", "intent", "part").agg(_joined("_e").alias("text"), F.sum("value").alias("value"))
+        limit = F.when(F.col("intent") == intent, F.lit(most)).otherwise(limit)
+    entry = F.struct(F.col("rank").alias("pos"), F.col("text").alias("_item"))
+    kept = ranked.where(F.col("rank") <= limit)
+    kept = kept.select("shop_id", "intent", F.when(F.col("text").isNotNull(), entry).alias("_e"), "value")
+    texts = kept.groupBy("shop_id", "intent").agg(_joined("_e").alias("text"), F.sum("value").alias("value"))
     intents = F.explode(F.array(*[F.lit(i) for i in (*LISTS, *VALUES)]))
     base = _shop_ids(shops).select("shop_id", intents.alias("intent"))
     j = base.join(texts, ["shop_id", "intent"], "left")
@@ -353,7 +354,8 @@ def answer_table(
     for intent, prefix in VALUES.items():
         money = money_text(F.coalesce(F.col("value"), F.lit(0).cast("decimal(38,4)")))
         answer = F.when(F.col("intent") == intent, F.concat(F.lit(prefix), money, F.lit("."))).otherwise(answer)
-    return j.select("shop_id", "intent", F.coalesce("part", F.lit(0)).alias("part"), answer.alias("answer"))
+    bounded = j.select("shop_id", "intent", F.lit(0).alias("part"), answer.alias("answer"))
+    return bounded.unionByName(answer_low_stock(shops, products))
 
 
 def assistant_answers(questions: DataFrame, answers: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ result equals applying the commands one after the other.  Validation rules
 (V*) come first, every violated rule is reported; then joins (M1-M3, M5,
 M6, M8) or the greedy fold (M4, M7, M9).
 
-New ids are ``max(existing id) + 1 + (seq - min(seq))`` where ``seq`` is the
-command's unique sequence number: deterministic, collision-free and computed
-without a window or a driver round trip (two scalar subqueries).
+New ids follow the largest existing id without gaps, in the order of the accepted
+commands' unique sequence numbers, as an auto-increment column would give them
+(``order.numbered``: ranks from the sizes of range partitions, no window over the batch).
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import blank_to_null, is_blank, money, name_key, reasons, strip, to_double, violated
 from ..schemas import MONEY
+from ..sources.sinks import rewrite_buckets
 from .fold import ADD, SKIP, TAKE, greedy_fold
+from .order import connected, numbered, stored
 
 ACCEPTED = "accepted"
 REJECTED = "rejected"
@@ -28,10 +30,10 @@ def _status(ok: Column) -> Column:
     return F.when(ok, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED))
 
 
-def _new_ids(existing: DataFrame, id_col: str, batch: DataFrame, seq_col: str = "seq") -> Column:
+def _with_new_ids(existing: DataFrame, rows: DataFrame, name: str, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
+    """``rows`` with the ids after the largest of ``existing``, in the order of ``seq_col``."""
     top = existing.select(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
-    low = batch.select(F.min(seq_col).cast("long")).scalar()
-    return top + F.lit(1) + (F.col(seq_col) - low)
+    return numbered(rows, [seq_col], name).withColumn(name, F.col(name) + top)
 
 
 def _cents(c: str | Column) -> Column:
@@ -87,9 +89,9 @@ def insert_products(products: DataFrame, requests: DataFrame) -> DataFrame:
     """M1: the accepted inserts as product rows with new ids (trimmed text).
     The checked rows carry every request column, so the batch is not re-read."""
     rows = _insert_check(products, requests).where(F.col("reason") == "")
-    return rows.select(
+    return _with_new_ids(products, rows, "_id").select(
         "shop_id",
-        _new_ids(products, "id", requests).alias("id"),
+        F.col("_id").alias("id"),
         strip("name").alias("name"),
         strip("category").alias("category"),
         money("buy_price").alias("buy_price"),
@@ -103,29 +105,27 @@ UPDATE_FIELDS = ["name", "category", "buy_price", "sell_price", "stock_quantity"
 
 
 def _rename_walk(batches):
-    """Replays the contested commands of each shop in order (rows sorted by shop, rank, date, command id).
+    """Replays the contested commands of each group in order (rows sorted by group, rank, date, command id).
 
     Rank 0 rows say who holds a contested name before the batch, rank 1 rows are
-    commands; the state is the contested names of the current shop.
+    commands; the state is the contested names of the current group.
     """
-    shop, holders, held = None, {}, {}
+    group, holders, held = None, {}, {}
     for batch in batches:
         taken = []
-        for row in zip(*(batch[c].tolist() for c in ("shop_id", "_rank", "id", "_nk", "_valid"))):
-            if row[0] != shop:
-                shop, holders, held = row[0], {}, {}
-            _, rank, product, name, valid = row
-            if rank == 0:
+        for g, shop, rank, product, key, valid in zip(*(batch[c].tolist() for c in ("_group", "shop_id", "_rank", "id", "_nk", "_valid"))):
+            if g != group:
+                group, holders, held = g, {}, {}
+            product, name = (shop, product), (shop, key)
+            clash = False
+            if rank:
+                clash = bool(holders.get(name, set()) - {product})
+                if valid and not clash:
+                    holders.get(held.get(product), set()).discard(product)
+            if not rank or (valid and not clash):
                 holders.setdefault(name, set()).add(product)
                 held[product] = name
-                taken.append(False)
-                continue
-            clash = bool(holders.get(name, set()) - {product})
             taken.append(clash)
-            if valid and not clash:
-                holders.get(held.get(product), set()).discard(product)
-                holders.setdefault(name, set()).add(product)
-                held[product] = name
         out = batch[["shop_id", "command_id"]].assign(_taken=taken)
         yield out[batch["_rank"] == 1]
 
@@ -135,33 +135,36 @@ def update_outcomes(products: DataFrame, updates: DataFrame) -> DataFrame:
     of the shop uses at that moment.
 
     Commands count in order (date, command id).  Only *contested* names need the
-    order: those that a command would move a product to or from.  A command
-    on any other name is decided by the opening snapshot.  The contested
-    commands of a shop are replayed in order, streamed, with the shop's
-    contested names as state.
+    order: those that a moving product has or is moved to.  A command on any other name is
+    decided by the opening snapshot.  Contested names that one product links
+    (it has one and is moved to the other) belong to one group; each group is replayed in order, on
+    its own, with its names as state, so a shop with very many renames is spread over
+    as many tasks as it has groups.  Building the plan runs the jobs that find the groups.
     """
     own = products.select("shop_id", "id", name_key("name").alias("_own"))
+    types = dict(updates.dtypes)
     u = validate_products(updates).withColumn("_nk", name_key("name")).join(own, ["shop_id", "id"], "left")
-    moves = u.where((F.col("reasons") == "") & F.col("_own").isNotNull() & (F.col("_nk") != F.col("_own")))
-    contested = moves.select("shop_id", F.explode(F.array("_nk", "_own")).alias("_nk")).distinct()
-    movers = moves.select("shop_id", "id").distinct()
-    # a mover's other commands belong to the replay too: they move it back
-    marked = u.join(contested.withColumn("_c", F.lit(True)), ["shop_id", "_nk"], "left").join(
-        movers.withColumn("_m", F.lit(True)), ["shop_id", "id"], "left"
-    )
-    order = ["shop_id", "_rank", "command_date", "command_id"]
-    commands = marked.where(F.col("_c") | F.col("_m")).select(
+    u = stored(u, "updates")
+    moves = (F.col("reasons") == "") & F.col("_own").isNotNull() & (F.col("_nk") != F.col("_own"))
+    movers = u.where(moves).select("shop_id", "id").distinct()
+    moving = u.join(movers, ["shop_id", "id"], "left_semi")
+    # a node is the hash of a name or a product: should two be equal, their groups are replayed as one
+    product, node = F.xxhash64("shop_id", "id", F.lit("product")), F.xxhash64("shop_id", "_nk")
+    links = moving.select("shop_id", "id", F.explode(F.array("_nk", "_own")).alias("_nk")).distinct()
+    groups = connected(links.select(product.alias("a"), node.alias("b"))).withColumnRenamed("group", "_group")
+    order = ["_group", "_rank", "command_date", "command_id"]
+    commands = u.select(
         "shop_id", F.lit(1).alias("_rank"), "command_date", "command_id", "id", "_nk",
         ((F.col("reasons") == "") & F.col("_own").isNotNull()).alias("_valid"),
     )
-    opening = own.withColumnRenamed("_own", "_nk").join(contested, ["shop_id", "_nk"], "left_semi").select(
+    opening = own.withColumnRenamed("_own", "_nk").select(
         "shop_id", F.lit(0).alias("_rank"), F.lit(None).cast("date").alias("command_date"),
-        F.lit(None).cast(dict(updates.dtypes)["command_id"]).alias("command_id"), "id", "_nk", F.lit(True).alias("_valid"),
+        F.lit(None).cast(types["command_id"]).alias("command_id"), "id", "_nk", F.lit(True).alias("_valid"),
     )
-    types = dict(updates.dtypes)
+    # rows of names without a group are not contested; a repartition on an expression is never dropped as redundant
+    contested = commands.unionByName(opening).withColumn("node", node).join(groups, "node").drop("node")
     walked = (
-        commands.unionByName(opening)
-        .repartition(F.xxhash64("shop_id"))
+        contested.repartition(F.xxhash64("_group"))
         .sortWithinPartitions(*order)
         .mapInPandas(_rename_walk, f"shop_id {types['shop_id']}, command_id {types['command_id']}, _taken boolean")
     )
@@ -222,6 +225,20 @@ def null_deleted_refs(ledger: DataFrame, products: DataFrame, deletes: DataFrame
     return j.withColumn(ref, F.when(F.col("_gone").isNull(), F.col(ref))).drop("_gone").select(*ledger.columns)
 
 
+def null_refs_stored(spark, path: str, schema, products: DataFrame, deletes: DataFrame, order: list[str], ref: str = "product_id") -> dict:
+    """M3 on a ledger written by ``sinks.write_buckets``: a new version in which only the buckets of the shops
+    with a deleted product are rewritten."""
+    gone = stored(accepted_deletes(products, deletes), "deletes")
+    change = lambda rows: null_deleted_refs(rows, gone, gone, ref)
+    return rewrite_buckets(spark, path, schema, gone.select("shop_id"), change, order)
+
+
+def cascade_customers_stored(spark, path: str, schema, deletes: DataFrame, order: list[str]) -> dict:
+    """M3b on a ledger written by ``sinks.write_buckets``: likewise for the rows of deleted customers."""
+    gone = stored(deletes.select("shop_id", "id").distinct(), "deletes")
+    return rewrite_buckets(spark, path, schema, gone.select("shop_id"), lambda rows: cascade_customer_delete(rows, gone).select(*schema.names), order)
+
+
 def cascade_customer_delete(debts: DataFrame, deletes: DataFrame) -> DataFrame:
     """Ledger rows of deleted customers disappear with them."""
     return debts.join(deletes.select("shop_id", F.col("id").alias("customer_id")), ["shop_id", "customer_id"], "left_anti")
@@ -482,7 +499,7 @@ def upsert_customers(customers: DataFrame, commands: DataFrame) -> DataFrame:
     """M5: customers after a batch of debts: unknown names are created (first
     spelling by seq wins), a non-blank phone overwrites (last by seq wins).
 
-    One full outer join of the customers with the batch's per-name summary
+    One full outer join of the customers with the batch's per-name summary, written once,
     yields both the updated and the new rows, so the batch is aggregated once.
     """
     v = validate_debts(commands).where(F.col("accepted")).withColumn("_nk", name_key("customer_name"))
@@ -492,15 +509,20 @@ def upsert_customers(customers: DataFrame, commands: DataFrame) -> DataFrame:
     )
     # The phone goes to the lowest id among customers sharing the name key.
     c = customers.withColumn("_nk", name_key("name")).join(_customer_keys(customers), ["shop_id", "_nk"], "left")
-    j = c.join(per_name, ["shop_id", "_nk"], "full").withColumn("seq", F.col("_first.seq"))
-    known = F.col("id").isNotNull()
-    new_phone = F.when((F.col("id") == F.col("_cid")) & F.col("_phone").isNotNull(), F.col("_phone.ph"))
-    return j.select(
-        "shop_id",
-        F.when(known, F.col("id")).otherwise(_new_ids(customers, "id", v)).alias("id"),
-        F.when(known, F.col("name")).otherwise(F.col("_first.n")).alias("name"),
-        F.when(known, F.coalesce(new_phone, F.col("phone"))).otherwise(F.col("_phone.ph")).alias("phone"),
+    j = stored(c.join(per_name, ["shop_id", "_nk"], "full"), "upsert")
+    new_phone = F.when(F.col("id") == F.col("_cid"), F.col("_phone.ph"))
+    known = j.where(F.col("id").isNotNull()).select("shop_id", "id", "name", F.coalesce(new_phone, F.col("phone")).alias("phone"))
+    new = j.where(F.col("id").isNull()).select(
+        "shop_id", F.col("_first.seq").alias("seq"), F.col("_first.n").alias("name"), F.col("_phone.ph").alias("phone")
     )
+    return known.unionByName(_with_new_ids(customers, new, "id").select("shop_id", "id", "name", "phone"))
+
+
+def phone_updates(customers: DataFrame, commands: DataFrame) -> DataFrame:
+    """The customers (shop_id, id) whose phone a batch of debts sets, to whatever value."""
+    v = validate_debts(commands).where(F.col("accepted") & ~is_blank("phone"))
+    names = v.select("shop_id", name_key("customer_name").alias("_nk")).distinct()
+    return _customer_keys(customers).join(names, ["shop_id", "_nk"]).select("shop_id", F.col("_cid").alias("id"))
 
 
 def apply_debts(customers: DataFrame, commands: DataFrame) -> DataFrame:
@@ -612,14 +634,15 @@ def onboard_shops(shops: DataFrame, profiles: DataFrame, requests: DataFrame) ->
     reason = F.when(F.col("reasons") != "", F.col("reasons")).when(
         F.col("seq") != F.col("_first"), F.lit("already_has_shop")
     ).otherwise(F.lit(""))
-    c = c.withColumn("reason", reason)
+    c = stored(c.withColumn("reason", reason), "onboarding")
     ok = F.col("reason") == ""
-    return c.select(
+    ids = _with_new_ids(shops, c.where(ok).select("seq"), "_id")
+    return c.join(ids, "seq", "left").select(
         "user_id",
         "seq",
         _status(ok).alias("status"),
         "reason",
-        F.when(ok, _new_ids(shops, "id", requests)).alias("shop_id"),
+        F.when(ok, F.col("_id")).alias("shop_id"),
         F.when(ok, strip("shop_name")).alias("shop_name"),
         F.when(ok, blank_to_null("full_name")).alias("full_name"),
         F.when(ok, F.lit("owner")).alias("role"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import is_blank, reasons
+from ..sources.sinks import SHOP_BUCKET, shop_bucket
 
 
 def caller_shops(profiles: DataFrame) -> DataFrame:
@@ -25,6 +26,17 @@ def rows_for_caller(table: DataFrame, profiles: DataFrame, caller: int) -> DataF
     return table.join(own, "shop_id", "left_semi")
 
 
+def stored_rows_for_caller(ledger: DataFrame, profiles: DataFrame, caller: int, buckets: int) -> DataFrame:
+    """P2 on a ledger written with ``shop_buckets=buckets`` and read with its bucket column.
+
+    The join on the bucket folder lets Spark take the caller's bucket from the profile at run time and
+    list and read only that folder (dynamic partition pruning); the join on the shop does the rest.
+    """
+    own = caller_shops(profiles).where(F.col("user_id") == caller).select("shop_id").distinct()
+    own = own.withColumn(SHOP_BUCKET, shop_bucket("shop_id", buckets))
+    return ledger.join(own, [SHOP_BUCKET, "shop_id"], "left_semi").drop(SHOP_BUCKET)
+
+
 def visible_rows(table: DataFrame, profiles: DataFrame) -> DataFrame:
     """P2 for all callers at once: every row of ``table`` with each user of its shop (rows × users of a shop;
     use ``rows_for_caller`` for one caller)."""

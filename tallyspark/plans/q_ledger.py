@@ -72,8 +72,7 @@ def duplicate_products(t):
     "insert_products",
     with_tables(
         DUP_CTE
-        + "SELECT shop_id, (SELECT coalesce(max(id), 0) FROM t_products) + 1 + (seq - (SELECT min(seq) FROM "
-        "t_product_requests)) AS id, trim(name) AS name, trim(category) AS category, CAST(buy_price AS DOUBLE) AS "
+        + "SELECT shop_id, (SELECT coalesce(max(id), 0) FROM t_products) + row_number() OVER (ORDER BY seq) AS id, trim(name) AS name, trim(category) AS category, CAST(buy_price AS DOUBLE) AS "
         "buy_price, CAST(sell_price AS DOUBLE) AS sell_price, stock_quantity, low_stock_threshold FROM dup "
         "WHERE reason = ''",
         "t_product_requests",
@@ -490,8 +489,8 @@ UPSERT = (
     "arg_max(trim(phone), seq) FILTER (WHERE phone IS NOT NULL AND trim(phone) <> '') AS ph FROM v "
     "GROUP BY shop_id, nk), "
     "keys AS (SELECT shop_id, lower(trim(name)) AS nk, min(id) AS cid FROM t_customers GROUP BY shop_id, lower(trim(name))), "
-    "newc AS (SELECT n.shop_id, (SELECT coalesce(max(id), 0) FROM t_customers) + 1 + (n.first_seq - "
-    "(SELECT min(seq) FROM v)) AS id, n.first_name AS name, n.ph AS phone FROM per_name n LEFT JOIN keys k "
+    "newc AS (SELECT n.shop_id, (SELECT coalesce(max(id), 0) FROM t_customers) + row_number() OVER (ORDER BY n.first_seq) AS id, "
+    "n.first_name AS name, n.ph AS phone FROM per_name n LEFT JOIN keys k "
     "ON k.shop_id = n.shop_id AND k.nk = n.nk WHERE k.cid IS NULL), "
     "oldc AS (SELECT c.shop_id, c.id, c.name, coalesce(u.ph, c.phone) AS phone FROM t_customers c LEFT JOIN "
     "(SELECT k.shop_id, k.cid, n.ph FROM per_name n JOIN keys k ON k.shop_id = n.shop_id AND k.nk = n.nk "
@@ -613,8 +612,8 @@ def validate_payments(t):
         "o AS (SELECT c.*, CASE WHEN c.reasons <> '' THEN c.reasons WHEN c.seq <> f.first THEN 'already_has_shop' "
         "ELSE '' END AS reason FROM c LEFT JOIN f ON f.user_id = c.user_id)\n"
         "SELECT user_id, seq, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS status, reason, "
-        "CASE WHEN reason = '' THEN (SELECT coalesce(max(id), 0) FROM t_shops) + 1 + (seq - (SELECT min(seq) FROM "
-        "t_onboarding)) END AS shop_id, CASE WHEN reason = '' THEN trim(shop_name) END AS shop_name, "
+        "CASE WHEN reason = '' THEN (SELECT coalesce(max(id), 0) FROM t_shops) + row_number() OVER (PARTITION BY reason = '' "
+        "ORDER BY seq) END AS shop_id, CASE WHEN reason = '' THEN trim(shop_name) END AS shop_name, "
         "CASE WHEN reason = '' THEN nullif(trim(full_name), '') END AS full_name, "
         "CASE WHEN reason = '' THEN 'owner' END AS role FROM o",
         "t_onboarding",

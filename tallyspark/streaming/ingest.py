@@ -8,17 +8,25 @@ batch operators: the M9 timeline (M4 sales and M6 restocks on one order per
 product) against the product snapshot, and M7 (payments no larger than the
 balance) against a balance snapshot.
 
+Several streams may write one ledger and one snapshot (new debts by name and payments share
+the balances).  Each has a name of its own and numbers its batches from 0.
+
 Exactly-once per micro-batch:
 
-1. the batch's outcomes go to a folder named by the batch id; the accepted
+1. the batch's outcomes go to a folder named by stream and batch id; the accepted
    rows go to the ledger in its declared schema, under the batch's own
-   folders, and the rejected rows to a folder of rejects (all overwritten on a
+   folders, and the rejected rows to a folder of rejects (all replaced on a
    replay, so a retried batch never duplicates rows);
-2. the new snapshot (products or balances) is written as a new version and
-   committed by a pointer that records the batch id;
-3. a batch whose id is not above the committed one is skipped, so a batch
+2. the changed rows of the snapshot (products or balances) are written as a delta and
+   committed as a new version, whose manifest records the last batch of every stream;
+3. a batch whose id is not above its stream's committed one is skipped, so a batch
    replayed after a crash between (2) and the stream's own commit does not
-   apply twice.
+   apply twice;
+4. where another stream has committed meanwhile, the commit is refused and the
+   batch is applied again to the new version.
+
+A batch reads only the buckets of the snapshot that its keys fall into and writes only the
+rows that it changes; deltas are folded into the buckets when there are more than a few.
 
 The stock or balance change is computed from the ledger rows *read back* from storage,
 which cuts the lineage between the fold and the snapshot write.  Commands
@@ -49,12 +57,18 @@ from ..operators import ledger as L
 from ..schemas import CUSTOMERS, DEBTS, MONEY, PRODUCTS
 from ..sources.sinks import (
     LEDGER_DATE,
+    MAX_DELTAS,
+    CommitConflict,
+    applied,
+    batch_folder,
+    compact_snapshot,
+    drop_batch,
     read_ledger,
     read_snapshot,
     snapshot_meta,
     table_schemas,
+    update_snapshot,
     write_ledger,
-    write_snapshot,
 )
 
 COMMANDS = StructType(
@@ -77,9 +91,24 @@ SALE_COLUMNS = ["shop_id", "product_id", "id", "command_date", "quantity"]
 RESTOCK_COLUMNS = SALE_COLUMNS + ["supplier_name", "unit_buy_price", "update_buy_price"]
 
 
-def _applied(meta: dict | None, batch_id: int) -> bool:
-    """True when the committed snapshot already includes ``batch_id``."""
-    return meta is not None and meta.get("batch_id") is not None and int(meta["batch_id"]) >= batch_id
+STOCK, CREDIT, NAMED = "stock", "credit", "named_debts"  # default stream names
+PRODUCT_KEYS, BALANCE_KEYS, CUSTOMER_KEYS = ["shop_id", "id"], ["shop_id", "customer_id"], ["shop_id", "id"]
+
+
+def _until_committed(attempt: Callable[[], bool]) -> bool:
+    """Repeat ``attempt`` while other streams commit first; each commit of theirs is progress."""
+    while True:
+        try:
+            return attempt()
+        except CommitConflict:
+            continue
+
+
+def _tidy(spark: SparkSession, table_dir: str, schema: StructType) -> None:
+    try:
+        compact_snapshot(spark, table_dir, schema, MAX_DELTAS)
+    except CommitConflict:  # another stream has committed; a later batch will do it
+        pass
 
 
 def split_commands(cmds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,14 +117,27 @@ def split_commands(cmds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sales, restocks
 
 
-def _reject(rows: DataFrame, ledger_dir: str, name: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{ledger_dir.rstrip('/')}/rejects/{name}/batch_id={batch_id}")
+def _folder(ledger_dir: str, kind: str, name: str, stream: str, batch_id: int) -> str:
+    return f"{ledger_dir.rstrip('/')}/{kind}/{name}/stream={stream}/batch_id={batch_id}"
 
 
-def _accept(rows: DataFrame, ledger_dir: str, name: str, batch_id: int) -> None:
+def _outcomes(rows: DataFrame, ledger_dir: str, name: str, stream: str, batch_id: int) -> DataFrame:
+    """A batch's outcomes, written once: the ledger, the rejects and the snapshot are read from there."""
+    path = _folder(ledger_dir, "outcomes", name, stream, batch_id)
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _reject(rows: DataFrame, ledger_dir: str, name: str, stream: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(_folder(ledger_dir, "rejects", name, stream, batch_id))
+
+
+def _accept(rows: DataFrame, ledger_dir: str, name: str, stream: str, batch_id: int) -> None:
     """Accepted rows in the ledger's declared schema, under the batch's own folders."""
     typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in table_schemas()[name].fields])
-    write_ledger(typed, f"{ledger_dir.rstrip('/')}/{name}", LEDGER_DATE[name], batch_id)
+    path = f"{ledger_dir.rstrip('/')}/{name}"
+    drop_batch(rows.sparkSession, path, batch_id, stream)
+    write_ledger(typed, path, LEDGER_DATE[name], batch_id, stream)
 
 
 def ledger(spark: SparkSession, ledger_dir: str, name: str) -> DataFrame:
@@ -104,32 +146,38 @@ def ledger(spark: SparkSession, ledger_dir: str, name: str) -> DataFrame:
 
 
 def apply_command_batch(
-    spark: SparkSession, cmds: DataFrame, batch_id: int, products_dir: str, ledger_dir: str
+    spark: SparkSession, cmds: DataFrame, batch_id: int, products_dir: str, ledger_dir: str, stream: str = STOCK
 ) -> bool:
     """Apply one batch of commands; ``False`` when the batch was already applied."""
-    meta = snapshot_meta(spark, products_dir)
-    if _applied(meta, batch_id):
-        return False
-    products = read_snapshot(spark, products_dir, PRODUCTS)
-    sales, restocks = split_commands(cmds)
-    # outcomes of the batch, once: the ledger, the rejects and the snapshot are read from there
-    outcome_dir = f"{ledger_dir.rstrip('/')}/outcomes/sales/batch_id={batch_id}"
-    L.apply_stock_timeline(products, sales, restocks).write.mode("overwrite").parquet(outcome_dir)
-    outcomes = spark.read.parquet(outcome_dir)
-    sold = outcomes.where(F.col("status") == L.ACCEPTED)
-    _accept(sold, ledger_dir, "sales", batch_id)
-    _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, "sales", batch_id)
-    _accept(L.apply_restocks(products, restocks), ledger_dir, "restocks", batch_id)
-    _reject(L.validate_restocks(products, restocks).where(~F.col("accepted")), ledger_dir, "restocks", batch_id)
-    units = sold.select("shop_id", "product_id", F.col("quantity").alias("units"))
-    after = L.stock_after(L.apply_restocks_stock(products, restocks), units, -1)
-    write_snapshot(spark, after, products_dir, {"batch_id": batch_id}, base=meta)
-    return True
-
-
-def batch_writer(products_dir: str, ledger_dir: str) -> Callable[[DataFrame, int], None]:
+
+    def attempt() -> bool:
+        meta = snapshot_meta(spark, products_dir)
+        if applied(meta, stream, batch_id):
+            return False
+        touched = cmds.select("shop_id", F.col("product_id").alias("id")).distinct()
+        products = read_snapshot(spark, products_dir, PRODUCTS, meta, touched)
+        sales, restocks = split_commands(cmds)
+        outcomes = _outcomes(L.apply_stock_timeline(products, sales, restocks), ledger_dir, "sales", stream, batch_id)
+        sold = outcomes.where(F.col("status") == L.ACCEPTED)
+        _accept(sold, ledger_dir, "sales", stream, batch_id)
+        _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, "sales", stream, batch_id)
+        _accept(L.apply_restocks(products, restocks), ledger_dir, "restocks", stream, batch_id)
+        refused = L.validate_restocks(products, restocks).where(~F.col("accepted"))
+        _reject(refused, ledger_dir, "restocks", stream, batch_id)
+        units = sold.select("shop_id", "product_id", F.col("quantity").alias("units"))
+        moved = products.join(touched, PRODUCT_KEYS, "left_semi")
+        after = L.stock_after(L.apply_restocks_stock(moved, restocks), units, -1)
+        update_snapshot(spark, after, products_dir, PRODUCT_KEYS, {"batch_id": batch_id, "stream": stream}, base=meta)
+        return True
+
+    done = _until_committed(attempt)
+    _tidy(spark, products_dir, PRODUCTS)
+    return done
+
+
+def batch_writer(products_dir: str, ledger_dir: str, stream: str = STOCK) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_command_batch(batch.sparkSession, batch, batch_id, products_dir, ledger_dir)
+        apply_command_batch(batch.sparkSession, batch, batch_id, products_dir, ledger_dir, stream)
 
     return run
 
@@ -142,14 +190,18 @@ def start_command_stream(
     checkpoint_dir: str,
     available_now: bool = False,
     max_files_per_trigger: int | None = None,
+    stream: str = STOCK,
 ) -> StreamingQuery:
-    """Start the ingest stream (``available_now`` processes what is there and stops)."""
+    """Start the ingest stream (``available_now`` processes what is there and stops).
+
+    ``stream`` names it among the streams that write the same tables.
+    """
     reader = spark.readStream.schema(COMMANDS).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     writer = (
         reader.parquet(source_dir)
-        .writeStream.foreachBatch(batch_writer(products_dir, ledger_dir))
+        .writeStream.foreachBatch(batch_writer(products_dir, ledger_dir, stream))
         .option("checkpointLocation", checkpoint_dir)
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -198,74 +250,99 @@ def _add_to_balances(opening: DataFrame, rows: DataFrame) -> DataFrame:
     return j.select("shop_id", "customer_id", total.cast("decimal(20,2)").alias("balance"))
 
 
-def _batch_rows(spark: SparkSession, ledger_dir: str, batch_id: int) -> DataFrame:
+def _batch_rows(spark: SparkSession, ledger_dir: str, stream: str, batch_id: int) -> DataFrame:
     """The accepted debt rows of one batch, read back from storage."""
     path = f"{ledger_dir.rstrip('/')}/debt_transactions"
     schema = StructType(DEBTS.fields + [StructField("batch", StringType(), True)])
-    return spark.read.schema(schema).parquet(path).where(F.col("batch") == str(batch_id)).drop("batch")
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.where(F.col("batch") == batch_folder(batch_id, stream)).drop("batch")
 
 
-def _outcomes(rows: DataFrame, ledger_dir: str, name: str, batch_id: int) -> DataFrame:
-    path = f"{ledger_dir.rstrip('/')}/outcomes/{name}/batch_id={batch_id}"
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+def _post(spark: SparkSession, rows: DataFrame, balances_dir: str, stream: str, batch_id: int, meta: dict | None) -> None:
+    """Commit the balances of the customers that have rows in a batch."""
+    keys = rows.select(*BALANCE_KEYS).distinct()
+    opening = read_snapshot(spark, balances_dir, BALANCES, meta, keys).join(keys, BALANCE_KEYS, "left_semi")
+    after = _add_to_balances(opening, rows)
+    update_snapshot(spark, after, balances_dir, BALANCE_KEYS, {"batch_id": batch_id, "stream": stream}, base=meta)
 
 
 def apply_credit_batch(
-    spark: SparkSession, cmds: DataFrame, batch_id: int, customers_dir: str, balances_dir: str, ledger_dir: str
-) -> bool:
+    spark: SparkSession, cmds: DataFrame, batch_id: int, customers_dir: str, balances_dir: str, ledger_dir: str,
+    stream: str = CREDIT,
+) -> bool:
     """Apply one batch of debts and payments; ``False`` when already applied.
 
     Accepted rows go to the ledger, rejected ones apart; the balance change is
     summed from the batch's outcomes read back from storage and committed as a
-    new balance snapshot with the batch id.
+    new balance version with the batch id.
     """
-    meta = snapshot_meta(spark, balances_dir)
-    if _applied(meta, batch_id):
-        return False
-    customers = read_snapshot(spark, customers_dir, CUSTOMERS)
-    opening = read_snapshot(spark, balances_dir, BALANCES)
-    outcomes = _outcomes(L.apply_payments(customers, cmds, opening), ledger_dir, "debt_transactions", batch_id)
-    rows = outcomes.where(F.col("status") == L.ACCEPTED).withColumn("amount", F.col("amount").cast(MONEY))
-    _accept(rows, ledger_dir, "debt_transactions", batch_id)
-    _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, "debt_transactions", batch_id)
-    write_snapshot(spark, _add_to_balances(opening, rows), balances_dir, {"batch_id": batch_id}, base=meta)
-    return True
+    name = "debt_transactions"
+
+    def attempt() -> bool:
+        meta = snapshot_meta(spark, balances_dir)
+        if applied(meta, stream, batch_id):
+            return False
+        customers = read_snapshot(spark, customers_dir, CUSTOMERS)
+        opening = read_snapshot(spark, balances_dir, BALANCES, meta, cmds.select(*BALANCE_KEYS).distinct())
+        outcomes = _outcomes(L.apply_payments(customers, cmds, opening), ledger_dir, name, stream, batch_id)
+        rows = outcomes.where(F.col("status") == L.ACCEPTED).withColumn("amount", F.col("amount").cast(MONEY))
+        _accept(rows, ledger_dir, name, stream, batch_id)
+        _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, name, stream, batch_id)
+        _post(spark, rows, balances_dir, stream, batch_id, meta)
+        return True
+
+    done = _until_committed(attempt)
+    _tidy(spark, balances_dir, BALANCES)
+    return done
 
 
 def apply_named_debts(
-    spark: SparkSession, cmds: DataFrame, batch_id: int, customers_dir: str, balances_dir: str, ledger_dir: str
-) -> bool:
+    spark: SparkSession, cmds: DataFrame, batch_id: int, customers_dir: str, balances_dir: str, ledger_dir: str,
+    stream: str = NAMED,
+) -> bool:
     """M5 as a stream: new debts by customer name; unknown names become customers.
 
-    The ledger rows come first, then the customer snapshot, then the balances;
-    each commit records the batch id, and a replay resumes at the first that
+    The ledger rows come first, then the customers, then the balances;
+    each commit records the stream's batch id, and a replay resumes at the first that
     does not have it.  ``False`` when all of them do.
     """
-    known, owed = snapshot_meta(spark, customers_dir), snapshot_meta(spark, balances_dir)
-    if _applied(known, batch_id) and _applied(owed, batch_id):
-        return False
-    name = "named_debts"
-    if not _applied(known, batch_id):
-        customers = read_snapshot(spark, customers_dir, CUSTOMERS)
-        outcomes = _outcomes(L.apply_debts(customers, cmds), ledger_dir, name, batch_id)
-        _accept(outcomes.where(F.col("status") == L.ACCEPTED), ledger_dir, "debt_transactions", batch_id)
-        _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, name, batch_id)
-        write_snapshot(spark, L.upsert_customers(customers, cmds), customers_dir, {"batch_id": batch_id}, base=known)
-    rows = _batch_rows(spark, ledger_dir, batch_id)
-    after = _add_to_balances(read_snapshot(spark, balances_dir, BALANCES), rows)
-    write_snapshot(spark, after, balances_dir, {"batch_id": batch_id}, base=owed)
-    return True
+
+    def name_customers() -> bool:
+        known = snapshot_meta(spark, customers_dir)
+        if applied(known, stream, batch_id):
+            return False
+        customers = read_snapshot(spark, customers_dir, CUSTOMERS, known)
+        outcomes = _outcomes(L.apply_debts(customers, cmds), ledger_dir, "named_debts", stream, batch_id)
+        _accept(outcomes.where(F.col("status") == L.ACCEPTED), ledger_dir, "debt_transactions", stream, batch_id)
+        _reject(outcomes.where(F.col("status") != L.ACCEPTED), ledger_dir, "named_debts", stream, batch_id)
+        after = L.upsert_customers(customers, cmds)
+        same = [after[c].eqNullSafe(customers[c]) for c in CUSTOMERS.names]
+        changed = after.join(customers, same, "left_anti")
+        update_snapshot(spark, changed, customers_dir, CUSTOMER_KEYS, {"batch_id": batch_id, "stream": stream}, base=known)
+        return True
+
+    def post_balances() -> bool:
+        owed = snapshot_meta(spark, balances_dir)
+        if applied(owed, stream, batch_id):
+            return False
+        _post(spark, _batch_rows(spark, ledger_dir, stream, batch_id), balances_dir, stream, batch_id, owed)
+        return True
+
+    named = _until_committed(name_customers)
+    posted = _until_committed(post_balances)
+    _tidy(spark, customers_dir, CUSTOMERS)
+    _tidy(spark, balances_dir, BALANCES)
+    return named or posted
 
 
 def start_named_debt_stream(
     spark: SparkSession, source_dir: str, customers_dir: str, balances_dir: str, ledger_dir: str, checkpoint_dir: str,
-    available_now: bool = False,
+    available_now: bool = False, stream: str = NAMED,
 ) -> StreamingQuery:
     """Start the ingest stream of new debts by name."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_named_debts(batch.sparkSession, batch, batch_id, customers_dir, balances_dir, ledger_dir)
+        apply_named_debts(batch.sparkSession, batch, batch_id, customers_dir, balances_dir, ledger_dir, stream)
 
     writer = (
         spark.readStream.schema(NAMED_DEBTS)
@@ -286,11 +363,12 @@ def start_credit_stream(
     ledger_dir: str,
     checkpoint_dir: str,
     available_now: bool = False,
+    stream: str = CREDIT,
 ) -> StreamingQuery:
     """Start the debt/payment ingest stream."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_credit_batch(batch.sparkSession, batch, batch_id, customers_dir, balances_dir, ledger_dir)
+        apply_credit_batch(batch.sparkSession, batch, batch_id, customers_dir, balances_dir, ledger_dir, stream)
 
     writer = (
         spark.readStream.schema(CREDIT_COMMANDS)

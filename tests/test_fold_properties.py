@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyspark.operators import ledger as L
-from tallyspark.operators.fold import ADD, SKIP, SLICE, TAKE, greedy_fold, replay
+from tallyspark.operators.fold import ADD, SKIP, SLICE, TAKE, greedy_fold, replay, run_steps
 
 CMD = st.tuples(st.sampled_from([ADD, TAKE, TAKE, SKIP]), st.integers(min_value=0, max_value=9))
 KEYS = st.lists(st.tuples(st.integers(min_value=0, max_value=15), st.lists(CMD, min_size=1, max_size=12)),
@@ -142,9 +142,74 @@ def test_replay_equals_the_walk_across_slices(opening):
         assert list(zip(ok.tolist(), after.tolist())) == walk(opening, cmds)
 
 
-def test_the_fold_runs_no_job_while_the_plan_is_built(spark):
+def test_the_fold_evaluates_the_commands_once(spark):
+    """Building the plan writes what the fold works on; nothing of the input is evaluated again by its result."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
     p = products_df(spark, [(1, 1, "A", "c", 1, 2, 10, 0)])
-    broken = spark.createDataFrame([(1, 1, "x", TODAY, 5)], SALE_CMD).withColumn(
-        "quantity", F.raise_error(F.lit("a job ran")).cast("int")
-    )
-    L.apply_sales(p, broken)  # evaluating one row would raise
+    commands = spark.createDataFrame([(1, 1, f"x{i}", TODAY, 5) for i in range(7)], SALE_CMD)
+    out = L.apply_sales(p, commands.mapInArrow(seen, SALE_CMD))
+    assert out.where("status = 'accepted'").count() == 2 and out.count() == 7
+    assert rows.value == 7
+
+
+def _step_walk(level, rows):
+    for kind, amount, extra in rows:
+        if kind == ADD:
+            level += amount
+        elif kind == TAKE and amount + extra <= level:
+            level -= amount
+    return level
+
+
+@settings(max_examples=200, deadline=None)
+@given(rows=st.lists(st.tuples(st.sampled_from([ADD, TAKE, TAKE, SKIP]), st.integers(0, 9), st.integers(0, 1)), max_size=90))
+def test_step_functions_equal_the_walk_from_every_level(rows):
+    kinds, amounts, extras = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+    steps = run_steps(kinds, amounts, extras)
+    assert steps.starts[0] == 0 and (np.diff(steps.starts) > 0).all()
+    for level in [*range(60), 500, 10**12]:
+        assert steps(level) == _step_walk(level, rows), level
+
+
+@pytest.mark.parametrize("run_rows,partitions", [(1, 5), (3, 2), (7, 9), (512, 3)])
+def test_one_key_on_one_day_is_cut_into_runs(spark, run_rows, partitions):
+    """A hot key with a third of all rows, all on one day, besides short keys and keys that never fit."""
+    rng = random.Random(run_rows)
+    rows, expected = [], {}
+    for k in range(40):
+        n, opening = (400 if k == 7 else rng.randint(1, 25)), rng.randint(0, 60)
+        level, mark = opening, None
+        for pos in range(n):
+            kind, a, extra = rng.choice([ADD, TAKE, TAKE, SKIP]), rng.randint(0, 30), rng.choice([0, 0, 1])
+            m = rng.choice([None, None, pos]) if kind == ADD else None
+            mark = mark if m is None else m
+            ok = kind == ADD or (kind == TAKE and a + extra <= level)
+            level += a if kind == ADD else -a if ok else 0
+            expected[k, pos] = (ok, None if kind == SKIP else level, None if kind == SKIP else mark)
+            rows.append((k, 1, pos, kind, a, extra, opening, m, None, f"{k}-{pos}"))
+    rng.shuffle(rows)
+    schema = "k long, day int, pos long, _kind int, _amount long, _extra long, _opening long, _mark long, _opening_mark long, sid string"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = greedy_fold(spark.createDataFrame(rows, schema), ["k"], ["day", "pos"], mark=True, spread="sid", run_rows=run_rows)
+        got = {(r.k, r.pos): (r.accepted, r.level_after, r.mark_at) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == expected
+
+
+def test_null_keys_and_empty_commands(spark):
+    schema = "k long, pos long, _kind int, _amount long, _opening long, sid string"
+    assert greedy_fold(spark.createDataFrame([], schema), ["k"], ["pos"], spread="sid").collect() == []
+    rows = [(None, i, SKIP, 0, 0, f"n{i}") for i in range(50)] + [(1, 1, TAKE, 3, 3, "a"), (1, 2, TAKE, 1, 3, "b")]
+    got = {r.sid: (r.accepted, r.level_after) for r in greedy_fold(spark.createDataFrame(rows, schema), ["k"], ["pos"], spread="sid").collect()}
+    assert got == {f"n{i}": (False, None) for i in range(50)} | {"a": (True, 0), "b": (False, 0)}
