@@ -11,11 +11,11 @@ it holds at least ``THRESHOLD`` of the template's words.  The join is exact:
   block's order bound the overlap that is still possible;
 * candidates are verified by the size of the intersection.
 
-With ``windows``, statements wrapped over line ends are found as well: beside the lines,
-windows of consecutive words of the whole text are blocks, for each template twice as
+With ``windows``, statements are found wherever line ends fall: windows of consecutive words of
+the whole text are blocks too, for each template twice as
 long as its statement and begun every half statement, so that any stretch of one and a
-half statements lies in one.  A text is cut into them only where all its words
-together reach the template's ``need``.  Hits of windows that overlap are one.
+half statements lies in one.  Every text is cut into them, however many lines it has, by the same
+filters, unless all its words together do not reach the template's ``need``.  Hits of windows that overlap are one.
 
 The index holds the templates' words only (a parameter, not data), so it travels
 inside the plan, and each text meets it in place: no text is shuffled and no block
@@ -85,8 +85,8 @@ def word_counts(docs: DataFrame, text_col: str, words: list[str]) -> dict[str, i
     return {r.word: r.n for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def matches(lines: Column, templates, counts: dict[str, int], threshold: float) -> Column:
-    """Array of struct(line, label, containment) of the lines that match; lines as of ``lines_of``, split."""
+def matches(blocks: Column, templates, counts: dict[str, int], threshold: float) -> Column:
+    """Array of struct(line, label, containment) of the blocks (arrays of words) that match; ``line`` is the block's number."""
     sets = [template_words(statement) for _, statement in templates]
     words = sorted(set().union(*sets), key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(words)}
@@ -106,9 +106,9 @@ def matches(lines: Column, templates, counts: dict[str, int], threshold: float)
     size_of = ints(map(len, ordered))
     labels = F.array(*[F.lit(label) for label, _ in templates])
 
-    def block(line: Column) -> Column:
-        """Ranks of the line's template words, rarest first."""
-        return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(line, " "), lambda w: w.isin(words)), lambda w: rank_of[w])))
+    def block(own: Column) -> Column:
+        """Ranks of the block's template words, rarest first."""
+        return F.sort_array(F.array_distinct(F.transform(F.filter(own, lambda w: w.isin(words)), lambda w: rank_of[w])))
 
     def candidates(b: Column) -> Column:
         def met(r: Column, at: Column) -> Column:
@@ -129,11 +129,11 @@ def matches(lines: Column, templates, counts: dict[str, int], threshold: float)
 
     empty = F.array().cast("array<struct<line:int,label:string,containment:double>>")
     long_enough = lambda b: F.size(b) >= min(needed)
-    of_line = lambda x, i: let(block(x), lambda b: F.when(long_enough(b), verified(b, i)).otherwise(empty))
-    return F.flatten(F.transform(lines, of_line))
+    of_block = lambda x, i: let(block(x), lambda b: F.when(long_enough(b), verified(b, i)).otherwise(empty))
+    return F.flatten(F.transform(blocks, of_block))
 
 
-def wrapped(lines: Column, normal: Column, templates, threshold: float) -> Column:
+def wrapped(lines: Column, normal: Column, templates, counts: dict[str, int], threshold: float) -> Column:
     """Array of struct(line, label, containment) of the word windows that match; ``line`` is that of the first word."""
     every = sorted(set().union(*(template_words(statement) for _, statement in templates)))
     kind = "array<struct<line:int,label:string,containment:double>>"
@@ -144,16 +144,16 @@ def wrapped(lines: Column, normal: Column, templates, threshold: float) -> Colum
     )
 
     def hits(words: Column, label: str, statement: str) -> Column:
-        own, size = sorted(template_words(statement)), len(re.findall(r"[0-9a-z]+", statement.lower()))
-        step, least = max(size // 2, 1), need(len(own), threshold)
-        met = lambda part: F.size(F.array_intersect(F.transform(part, lambda x: x["w"]), F.array(*map(F.lit, own))))
-
-        def window(i: Column) -> Column:
-            part = F.slice(words, i + 1, 2 * size)
-            return F.struct(i.alias("at"), part[0]["line"].alias("line"), met(part).alias("met"))
-
+        size = len(re.findall(r"[0-9a-z]+", statement.lower()))
+        step = max(size // 2, 1)
         starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(step))
-        found = F.filter(F.transform(starts, window), lambda x: x["met"] >= least)
+        windows = F.transform(starts, lambda i: F.transform(F.slice(words, i + 1, 2 * size), lambda x: x["w"]))
+        found = F.transform(
+            matches(windows, ((label, statement),), counts, threshold),
+            lambda x: F.struct(
+                (x["line"] * step).alias("at"), F.get(words, x["line"] * step)["line"].alias("line"), x["containment"].alias("met")
+            ),
+        )
 
         def merge(acc: Column, x: Column) -> Column:
             last = F.element_at(acc, -1)
@@ -163,8 +163,8 @@ def wrapped(lines: Column, normal: Column, templates, threshold: float) -> Colum
                 F.concat(acc, F.array(x))
             )
 
-        merged = F.aggregate(found, F.array().cast("array<struct<at:int,line:int,met:int>>"), merge)
-        one = lambda x: F.struct(x["line"].alias("line"), F.lit(label).alias("label"), (x["met"] / len(own)).alias("containment"))
+        merged = F.aggregate(found, F.array().cast("array<struct<at:int,line:int,met:double>>"), merge)
+        one = lambda x: F.struct(x["line"].alias("line"), F.lit(label).alias("label"), x["met"].alias("containment"))
         return F.transform(merged, one).cast(kind)
 
     def of_text(seen: Column) -> Column:
@@ -180,7 +180,7 @@ def wrapped(lines: Column, normal: Column, templates, threshold: float) -> Colum
         return F.when(reduce(lambda a, b: a | b, enough), let(numbered, all_hits)).otherwise(empty)
 
     seen = F.array_distinct(F.filter(F.split(normal, " "), lambda w: w.isin(every)))
-    return F.when(F.size(lines) > 1, let(seen, of_text)).otherwise(F.array().cast(kind))
+    return let(seen, of_text)
 
 
 def places(normal: Column, phrase: str) -> Column:
@@ -206,7 +206,7 @@ def scan(
     """``docs`` and the columns n_words, places (struct label, word), blocks (struct line, label, containment).
 
     Names get ``_`` where taken.  ``line`` counts from 0.  With ``windows`` also wrapped,
-    like blocks, for the windows of texts with more than one line.
+    like blocks, for the windows.
     """
     counts = word_counts(docs, text_col, sorted(set().union(*(template_words(s) for _, s in templates))))
     name = {k: unused(k, docs.columns) for k in ("n_words", "places", "blocks")}
@@ -217,9 +217,9 @@ def scan(
     n_words = F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
     of = lambda p, label: F.transform(places(text, p), lambda at: F.struct(F.lit(label).alias("label"), at.alias("word")))
     found = F.concat(*[of(p, label) for p, label in phrases])
-    blocks = matches(F.split(F.col(lines), "\n"), templates, counts, threshold)
+    blocks = matches(F.transform(F.split(F.col(lines), "\n"), lambda x: F.split(x, " ")), templates, counts, threshold)
     out = out.withColumns({name["n_words"]: n_words.cast("long"), name["places"]: found, name["blocks"]: blocks})
     if windows:
         name["wrapped"] = unused("wrapped", docs.columns)
-        out = out.withColumn(name["wrapped"], wrapped(F.split(F.col(lines), "\n"), text, templates, threshold))
+        out = out.withColumn(name["wrapped"], wrapped(F.split(F.col(lines), "\n"), text, templates, counts, threshold))
     return out.select(*docs.columns, *name.values())

@@ -107,3 +107,34 @@ def test_wrapped_statements_are_found(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     labels = {r.doc_id: r.labels for r in QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()}
     assert all(label in labels[i].split(",") for i, label in enumerate(own)) and labels[len(own)] == ""
+
+
+def test_one_long_line_is_cut_into_windows_too(spark, tmp_path):
+    words = dict(L.TEMPLATES)["apache-2"].split()
+    filler = " ".join(f"f{i}" for i in range(500))
+    texts = [" ".join(f"{filler} {w}" for w in words), f"{filler} {' '.join(words)} {filler}", " ".join(words), " ".join(words[:4])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENTS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()}
+    assert got[0] == ("", 0.0) and got[3] == ("", 0.0) and got[1][0] == got[2][0] == "apache-2"
+
+
+def test_query_equals_its_statement_on_wrapped_and_single_lines(spark, tmp_path):
+    import duckdb
+
+    from tallyspark.llm.queries import ORACLES
+
+    rng = random.Random(4)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts())]
+    for label, statement in L.TEMPLATES:
+        words = statement.split()
+        for cut in range(1, len(words), 3):
+            before = [f"f{rng.randrange(99)}" for _ in range(cut * 5)]
+            rows += [(len(rows), " ".join(before + words[:cut]) + mark + " ".join(words[cut:] + before), "en", "s", 0) for mark in "\n \r\t"]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["op8_license_scan"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    order = sorted(df.columns)
+    want = con.sql(ORACLES["op8_license_scan"]).select(*order).fetchall()
+    assert sorted((tuple(r[c] for c in order) for r in df.collect()), key=str) == sorted(want, key=str)
