@@ -1,7 +1,7 @@
 """Language identification with segmentation-marginalised unigrams.
 
 A language is a probability for every piece of a fixed public byte-level
-vocabulary.  The probability of a word (a run of letters, lower-cased, after a
+vocabulary.  The probability of a word (a run of letters and their combining marks, lower-cased, after a
 space) is the sum over all its segmentations into pieces, found by a forward
 algorithm; a text is the product over its words.  The most probable language wins,
 weighed by its share of the labelled documents.
@@ -25,6 +25,8 @@ is a column, so other columns are never touched.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,14 +49,45 @@ EM_WORDS = 20_000  # words whose expected pieces are summed at once
 SMOOTHING = 0.1
 MAX_PIECE = 16  # bytes
 MEMO = 1_000_000
+HASH_BITS = 16
 BLOCK_WORDS = 1_000_000  # words whose distinct ones are looked up together
-LETTERS = re.compile(r"[^\W\d_]+")
 GROUP = 4096  # words scored at once
 LONG_WORD = 64  # bytes; longer words are scored a few at a time
 
 
+ASCII_WORD, WORD = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
+
+
+def _of_kinds(*kinds: str) -> list[int]:
+    """All code points of Unicode categories that begin with one of ``kinds``."""
+    return [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)).startswith(kinds)]
+
+
+@lru_cache(maxsize=1)
+def marks_and_numbers() -> frozenset[str]:
+    """Characters that ``WORD`` takes for what they are not: marks (not part of words), numbers that are no digits (letters)."""
+    return frozenset(map(chr, _of_kinds("M", "No", "Nl")))
+
+
+@lru_cache(maxsize=1)
+def marked_word() -> re.Pattern:
+    """Runs of letters and the marks that belong to them."""
+
+    def listed(*kinds: str) -> str:
+        found = _of_kinds(*kinds)
+        ends = [a for a, b in zip(found, [*found[1:], -1]) if b != a + 1]
+        begins = [b for a, b in zip([-2, *found], found) if b != a + 1]
+        return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(begins, ends))
+
+    return re.compile(f"[{listed('L')}][{listed('L', 'M')}]*")
+
+
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    """Lower-cased runs of letters, each with the marks that follow its letters."""
+    low = (text or "").lower()
+    if low.isascii():
+        return ASCII_WORD.findall(low)
+    return (WORD if marks_and_numbers().isdisjoint(low) else marked_word()).findall(low)
 
 
 class Pieces:
@@ -251,6 +284,20 @@ class Model:
         return out
 
 
+def least_hashed(ids: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of (id, lang) of each language with the smallest hash of their id.
+
+    Rows are counted by the hash's first bits; only those with first bits that can be among the smallest are ranked.
+    """
+    ids = ids.withColumn("hash", F.xxhash64("id")).withColumn("high", F.shiftright("hash", 64 - HASH_BITS))
+    sizes = ids.groupBy("lang", "high").agg(F.count(F.lit(1)).alias("n"))  # 2**HASH_BITS rows a language at most
+    before = Window.partitionBy("lang").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
+    near = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < most)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    few = ids.join(near.select("lang", "high"), ["lang", "high"]).withColumn("nth", nth)
+    return few.where(F.col("nth") <= most).select("id", "lang")
+
+
 def learn(
     labelled: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS, steps: int = EM_STEPS,
@@ -264,8 +311,7 @@ def learn(
     pieces = vocabulary(path)
     if not languages:
         return Model([], np.zeros(0), np.zeros((len(pieces), 0)), path)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = store(rows.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= sample_docs).drop("nth"), "langid")
+    chosen = store(least_hashed(rows.select("id", "lang"), sample_docs), "langid")
     sample = rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,3 +77,26 @@ def test_odd_rows(spark):
     nothing = G.learn(df.limit(0), PATH)
     assert {r.p.lang for r in df.withColumn("p", G.predict("text", nothing, spark)).collect()} == {"und"}
     assert df.limit(0).withColumn("p", G.predict("text", model, spark)).count() == 0
+
+
+def test_words_are_letters_with_their_marks():
+    assert G.words_of("½ ² ① 12 _") == [] and G.words_of(None) == []
+    assert G.words_of("हिन्दी Été x1y café İ") == ["हिन्दी", "été", "x", "y", "café", "i̇"]
+    for text in ("plain ASCII only", "Été ß ñ 漢字 12 ª", "a½b ①x"):
+        assert G.words_of(text) == G.marked_word().findall(text.lower())
+
+
+def test_numbers_that_are_no_letters_have_no_language(spark):
+    model = G.learn(spark.createDataFrame([(i, "en", "the cat") for i in range(3)], "doc_id long, lang string, text string"), PATH)
+    texts = spark.createDataFrame([("½ ² ①",), ("́",), ("the",)], "text string")
+    assert [r[0].lang for r in texts.select(G.predict("text", model, spark)).collect()] == ["und", "und", "en"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 500])
+def test_sample_is_the_smallest_hashes(spark, most):
+    ids = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("lang"))
+    ids = ids.unionByName(spark.createDataFrame([(1, "b"), (1, "a")], "id long, lang string"))
+    got = sorted(map(tuple, G.least_hashed(ids, most).collect()))
+    rows = sorted((r.h, r.id, r.lang) for r in ids.withColumn("h", F.xxhash64("id")).collect())
+    want = sorted((i, x) for lang in "ab" for _, i, x in [r for r in rows if r[2] == lang][:most])
+    assert got == want
