@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 
 MAX_EXACT = 32  # strings that a part of an expression may stand for before they become a query
 
@@ -238,8 +238,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rule
         tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["next"], F.length(text)))
         return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, step, tail))
 
-    name = "_spans"
-    while name in docs.columns:
-        name += "_"
+    name = unused("_spans", docs.columns)
     cleaned = docs.withColumn(name, spans).withColumn(text_col, F.when(text.isNotNull(), cut(F.col(name))))
     return cleaned.select(*docs.columns)

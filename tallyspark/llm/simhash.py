@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import small_batches, store, unused
 from .graph import components
 
 HASH_SEED = 42
@@ -168,21 +168,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows without an id stay only where their whole class has none, again one a class.
     """
-    found = classes(docs, id_col, text_col, shingle, max_bits)
-    own = F.col(id_col) == F.col("component_id")
-    ids = found.groupBy(id_col).agg((F.min("fp") == F.max("fp")).alias("_same"), F.max(own).alias("_own")).where("_own")
+    nth, fp, kind, least = (unused(c, docs.columns) for c in ("nth", "fp", "class", "least"))
+    found = classes(docs.select(id_col, text_col), id_col, text_col, shingle, max_bits)
+    found = found.toDF(id_col, fp, least, kind)
+    own = F.col(id_col) == F.col(least)
+    ids = found.groupBy(id_col).agg((F.min(fp) == F.max(fp)).alias(nth), F.max(own).alias(least)).where(F.col(least))
     order = [F.col(text_col), F.xxhash64(*docs.columns)]
-    one = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
-    named = docs.join(ids.where("_same"), id_col, "left_semi").withColumn("_nth", one).where("_nth = 1").select(*docs.columns)
+
+    def first(rows: DataFrame, of: str) -> DataFrame:
+        one = F.row_number().over(Window.partitionBy(of).orderBy(*order))
+        return rows.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
+
+    named = first(docs.join(ids.where(F.col(nth)), id_col, "left_semi"), id_col)
     # of an id with several fingerprints, the rows of the classes that it names: only these are hashed again
-    several = ids.where("not _same").select(id_col)
-    classes_of = found.where(own).join(several, id_col, "left_semi").select(id_col, F.col("fp").alias("_fp"), F.col("class_fp").alias("_class"))
-    rows = docs.join(several, id_col, "left_semi").withColumn("_fp", fingerprint(F.col(text_col), shingle))
-    one = F.row_number().over(Window.partitionBy("_class").orderBy(*order))
-    rows = rows.join(classes_of.distinct(), [id_col, "_fp"]).withColumn("_nth", one).where("_nth = 1")
-    named = named.unionByName(rows.select(*docs.columns))
-    lone = found.where("component_id is null").select("fp", "class_fp").distinct()
-    unnamed = docs.where(F.col(id_col).isNull()).withColumn("fp", fingerprint(F.col(text_col), shingle)).join(lone, "fp")
-    one = F.row_number().over(Window.partitionBy("class_fp").orderBy(*order))
-    unnamed = unnamed.withColumn("_nth", one).where("_nth = 1").select(*[docs[c] for c in docs.columns])
-    return named.select(*docs.columns).unionByName(unnamed)
+    several = ids.where(~F.col(nth)).select(id_col)
+    classes_of = found.where(own).join(several, id_col, "left_semi").select(id_col, fp, kind).distinct()
+    rows = docs.join(several, id_col, "left_semi").withColumn(fp, fingerprint(F.col(text_col), shingle))
+    named = named.unionByName(first(rows.join(classes_of, [id_col, fp]), kind))
+    lone = found.where(F.col(least).isNull()).select(fp, kind).distinct()
+    unnamed = docs.where(F.col(id_col).isNull()).withColumn(fp, fingerprint(F.col(text_col), shingle)).join(lone, fp)
+    return named.unionByName(first(unnamed, kind))

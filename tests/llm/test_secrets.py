@@ -72,3 +72,10 @@ def test_redaction(spark):
     assert out[1].text == "a [SECRET] b" and out[2].text == "clean" and out[3].text is None and out[4].text == ""
     assert out[5].text == "é [SECRET] [SECRET]" and out[6].text == "x" * 60000 + " [SECRET]" and out[6]._spans == 3
     assert S.redact(df.limit(0)).count() == 0
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = [(1, "token=abcdefghijkl rest", 5, "y"), (2, None, 6, None)]
+    got = S.redact(spark.createDataFrame(rows, "doc_id long, text string, _Spans long, _spans_ string"))
+    assert got.columns == ["doc_id", "text", "_Spans", "_spans_"]
+    assert sorted(map(tuple, got.collect())) == [(1, "[SECRET] rest", 5, "y"), (2, None, 6, None)]

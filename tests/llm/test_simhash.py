@@ -126,3 +126,12 @@ def test_keep_one_row_of_each_class_when_ids_repeat(spark):
     rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c), (5, c), (5, d), (6, d), (7, c)]
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (4, c), (5, d)])
+
+
+def test_keep_one_with_columns_of_the_helpers_names(spark):
+    rows = [(1, "a b c d", 7, "x", 1, True, "k"), (2, "a b c d", 8, "y", 2, False, "l"), (3, "other words here now", 9, "z", 3, None, "m")]
+    rows += [(None, "a b c d", 1, "q", 4, None, "n"), (None, "alone in its class", 1, "q", 4, None, "o")]
+    schema = "doc_id long, text string, _nth long, FP string, class_fp long, _own boolean, nth string"
+    got = S.keep_one(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "_nth", "FP", "class_fp", "_own", "nth"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((rows[i] for i in (0, 2, 4)), key=str)
