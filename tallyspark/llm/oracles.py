@@ -52,7 +52,7 @@ def secret_scan() -> str:
 
 
 def license_scan() -> str:
-    """Every line against every template, every start of every phrase."""
+    """Every window of every text against every template, every start of every phrase."""
     word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     phrases = " UNION ALL ".join(
         f"SELECT rid, {_quoted(label)} AS label, unnest(list_filter(range(len(w) - {len(p.split()) - 1}), lambda i: "
@@ -60,8 +60,10 @@ def license_scan() -> str:
         for p, label in licenses.PHRASES
     )
     templates = ", ".join(
-        f"({_quoted(label)}, {_listed(sorted(words))}, {licenses.need(len(words), licenses.THRESHOLD)})"
-        for label, words in ((label, licenses.template_words(s)) for label, s in licenses.TEMPLATES)
+        f"({_quoted(label)}, {_listed(sorted(words))}, {licenses.need(len(words), licenses.THRESHOLD)}, {size})"
+        for label, words, size in (
+            (label, licenses.template_words(s), len(re.findall("[0-9a-z]+", s.lower()))) for label, s in licenses.TEMPLATES
+        )
     )
     joined = "array_to_string(list_sort(list_distinct({0})), ',')"
     return (
@@ -69,10 +71,10 @@ def license_scan() -> str:
         "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents), "
         f"d AS (SELECT *, regexp_extract_all(t, {word}) AS w FROM low), "
         f"p AS ({phrases}), "
-        f"b AS (SELECT rid, list_distinct(regexp_extract_all(line, {word})) AS w FROM (SELECT rid, "
-        "unnest(string_split(t, chr(10))) AS line FROM low)), "
-        f"m AS (SELECT rid, label, len(list_intersect(w, tw)) / len(tw) AS c FROM b, (VALUES {templates}) v(label, tw, need) "
-        "WHERE len(list_intersect(w, tw)) >= need), "
+        f"b AS (SELECT rid, label, tw, need, size, w, unnest(range(0, len(w), size // 2)) AS i FROM d, "
+        f"(VALUES {templates}) v(label, tw, need, size) WHERE len(list_intersect(list_distinct(w), tw)) >= need), "
+        "x AS (SELECT rid, label, tw, need, list_distinct(w[i + 1:i + 2 * size]) AS w FROM b), "
+        "m AS (SELECT rid, label, len(list_intersect(w, tw)) / len(tw) AS c FROM x WHERE len(list_intersect(w, tw)) >= need), "
         "pa AS (SELECT rid, count(*) AS n, min(place) AS lo, max(place) AS hi, list(label) AS ls FROM p GROUP BY rid), "
         "ma AS (SELECT rid, max(c) AS c, list(label) AS ls FROM m GROUP BY rid) "
         "SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(pa.n, 0) AS BIGINT) AS n_base, "

@@ -63,8 +63,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir).select("doc_id", "source")
-    return mixing.schedule(docs.withColumn("text", F.lit(None).cast("string"))).drop("text")
+    # rows with one id or none are told apart by their text: its digest is what is shuffled
+    docs = read_documents(spark, sf_dir).select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+    return mixing.schedule(docs).drop("text")
 
 
 @register
@@ -111,11 +112,10 @@ def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_documents(spark, sf_dir), windows=True)
-    found = found.withColumn("blocks", F.concat("blocks", "wrapped"))
     words, base = F.col("places.word"), F.col("places.label")
-    both = F.array_union(base, F.col("blocks.label"))
+    both = F.array_union(base, F.col("wrapped.label"))
     listed = lambda x: F.array_join(F.sort_array(F.array_distinct(x)), ",")
-    best = F.array_max(F.col("blocks.containment"))
+    best = F.array_max(F.col("wrapped.containment"))
     return found.select(
         "doc_id",
         "n_words",

@@ -120,3 +120,20 @@ def test_passes_hand_on_their_state(spark):
     targets = M.target_shares(df, 1)
     want = sorted(map(str, M.target_schedule(targets).collect()))
     assert sorted(map(str, M.target_schedule(targets, slots=64, steps=16).collect())) == want and len(want) > 1000
+
+
+def test_query_tells_rows_of_one_id_apart_by_text(spark, tmp_path):
+    from tallyspark.llm.common import DOCUMENTS
+    from tallyspark.llm.queries import QUERIES
+
+    rows = [(None, f"n{i}", "en", "a", 2) for i in range(300)] + [(7, f"s{i}", "en", "b", 2) for i in range(40)] + [(8, None, "en", "b", 0)] * 2
+    spark.createDataFrame(rows, DOCUMENTS).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    query = lambda: QUERIES["op6_mixing"](spark, str(tmp_path))
+    out = query()
+    assert "text" not in out.columns
+    got = out.collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((r[0], r[3]) for r in rows)
+    assert sorted(r["rank"] for r in got if r.source == "a") == list(range(300))
+    docs = spark.read.schema(DOCUMENTS).parquet(f"{tmp_path}/documents.parquet")
+    parts = docs.where("doc_id is null").select(M.F.shiftrightunsigned(M.F.xxhash64("doc_id", "text"), 54)).distinct().count()
+    assert parts > 100  # rows without an id are spread over the parts
