@@ -262,10 +262,13 @@ def _commit(spark: SparkSession, table: str, prev: dict | None, meta: dict | Non
     }
     pointer = spark.createDataFrame([tuple(row[f.name] for f in POINTER.fields)], POINTER).coalesce(1)
     with _committing:
+        path = f"{table}/{POINTERS}/{seq:020d}"
         try:
-            pointer.write.mode("error").json(f"{table}/{POINTERS}/{seq:020d}")
+            pointer.write.mode("error").json(path)
         except AnalysisException as taken:
-            raise CommitConflict(str(taken)) from taken
+            if any(m["seq"] >= seq for m in _pointers(spark, table)):
+                raise CommitConflict(str(taken)) from taken
+            pointer.write.mode("overwrite").json(path)  # a folder without a pointer: its writer died
     return row
 
 

@@ -242,3 +242,13 @@ def test_two_streams_with_the_same_batch_id_keep_their_rows(spark):
     assert sinks.read_ledger(spark, path, SALES, "sale_date").count() == 12
     sinks.drop_batch(spark, path, 1, "a")
     assert sinks.read_ledger(spark, path, SALES, "sale_date").count() == 6
+
+
+def test_a_pointer_folder_of_a_dead_writer_does_not_block(spark):
+    path = scratch_path(spark, "dead-pointer")
+    sinks.update_snapshot(spark, _products(spark, [1], 1), path, KEYS)
+    spark.createDataFrame([("x",)], "note string").write.text(f"{path}/{sinks.POINTERS}/{2:020d}/_temporary/0")
+    assert sinks.snapshot_meta(spark, path)["seq"] == 1
+    sinks.update_snapshot(spark, _products(spark, [2], 1), path, KEYS)
+    assert sinks.snapshot_meta(spark, path)["seq"] == 2
+    assert _stock(sinks.read_snapshot(spark, path, PRODUCTS)) == {1: 1, 2: 1}

@@ -101,7 +101,8 @@ def test_no_cross_joins_and_python_only_in_the_fold(spark):
     from tallyspark.plans import QUERIES
 
     fold_keys = {"apply_payments", "apply_sales", "apply_sales_stock", "apply_stock_timeline", "timeline_stock"}
-    renames = {"update_outcomes", "update_products"}
+    fold_keys |= {"sales_stock_stamps"}
+    renames = {"update_outcomes", "update_products"}  # time stamps need no names: pruned there
     for key, fn in QUERIES.items():
         plan = _plan(fn(spark, SF_SMALL))
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, key
@@ -110,6 +111,27 @@ def test_no_cross_joins_and_python_only_in_the_fold(spark):
         assert ("MapInPandas" in plan) == (key in renames), key
 
 
+def test_no_window_over_a_whole_shop(spark):
+    """Unbounded lists and rankings of whole batches get their positions from partition sizes."""
+    from tallyspark.plans import QUERIES
+
+    for key in ("answer_low_stock", "insert_products", "upsert_customers"):
+        plan = _plan(QUERIES[key](spark, SF_SMALL))
+        assert "row_number" not in plan and "WindowGroupLimit" not in plan, key
+    plan = _plan(QUERIES["assistant_answers"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in plan
+
+
+def test_a_callers_profile_prunes_the_folders_of_a_written_ledger(spark):
+    from tallyspark.plans import QUERIES
+
+    df = QUERIES["rls_caller_sales_stored"](spark, SF_SMALL)
+    plan = _plan(df)
+    part = plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "dynamicpruning" in part and "shop_bucket" in part
+    assert df.count() > 0
+
+
 def test_sales_fold_is_tenant_isolated(spark):
     from tallyspark.operators import ledger as L
 
