@@ -21,6 +21,7 @@ from .q_tenant import CALLER
 from .registry import ORACLES, query
 
 SHOP_BUCKETS = 16
+PRUNED_BUCKETS = 4  # a ledger has this many folders a month
 LOADED, APPLIED = datetime(2001, 1, 1), datetime(2001, 2, 3, 4, 5, 6)
 STAMP_SQL = "TIMESTAMP '{0}' AS created_at, CASE WHEN {1} THEN TIMESTAMP '{2}' ELSE TIMESTAMP '{0}' END AS updated_at"
 
@@ -29,9 +30,9 @@ STAMP_SQL = "TIMESTAMP '{0}' AS created_at, CASE WHEN {1} THEN TIMESTAMP '{2}' E
 def rls_caller_sales_stored(t):
     """P1/P2 on a written ledger: the caller's profile prunes the shop-bucket folders at run time."""
     path = scratch_path(t.spark, "rls-ledger")
-    sinks.write_ledger(fx.sales(t), path, "sale_date", shop_buckets=SHOP_BUCKETS)
+    sinks.write_ledger(fx.sales(t), path, "sale_date", shop_buckets=PRUNED_BUCKETS)
     ledger = sinks.read_ledger(t.spark, path, SALES, "sale_date", shop_buckets=True)
-    return H.sales_history(TN.stored_rows_for_caller(ledger, fx.profiles(t), CALLER, SHOP_BUCKETS))
+    return H.sales_history(TN.stored_rows_for_caller(ledger, fx.profiles(t), CALLER, PRUNED_BUCKETS))
 
 
 @query("sales_after_product_delete_stored", ORACLES["sales_after_product_delete"])

@@ -223,3 +223,23 @@ def test_many_small_batches_are_compacted(spark, monkeypatch):
     meta = snapshot_meta(spark, bal)
     assert len(meta["deltas"]) <= 2 and meta["base"] and meta["batches"] == {I.CREDIT: 4}
     assert _balances(spark, bal) == {(1, 1): 30.0, (1, 2): 20.0}
+
+
+def test_two_streams_at_the_same_time(spark):
+    """Named debts and plain debts arrive on two running streams: commits collide, nothing is lost or doubled."""
+    cust, bal, led = _two_writer_tables(spark)
+    base = scratch_path(spark, "two-running")
+    for n in range(3):
+        _named(spark, [(1, 100 * n + i, "amal" if i % 2 else f"Guest {i}", 1.0, 1) for i in range(10)]).coalesce(1).write.parquet(f"{base}/named/{n}")
+        _credit(spark, [("debt", 1, 1000 + 100 * n + i, 1, 2, 1) for i in range(10)]).coalesce(1).write.parquet(f"{base}/credit/{n}")
+    streams = [
+        I.start_named_debt_stream(spark, f"{base}/named", cust, bal, led, f"{base}/named-ckpt", available_now=True),
+        I.start_credit_stream(spark, f"{base}/credit", cust, bal, led, f"{base}/credit-ckpt", available_now=True),
+    ]
+    for q in streams:
+        q.awaitTermination(300)
+        assert q.exception() is None
+    rows = I.ledger(spark, led, "debt_transactions").collect()
+    assert len(rows) == 60 == len({(r.id, r.customer_id) for r in rows})
+    assert _balances(spark, bal)[1, 1] == 15 + 60 and sum(_balances(spark, bal).values()) == 30 + 60
+    assert set(snapshot_meta(spark, bal)["batches"]) == {I.NAMED, I.CREDIT}
