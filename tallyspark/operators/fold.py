@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .order import stored
 
@@ -54,6 +54,7 @@ TAKE = 1
 SKIP = 2
 
 HELPERS = ("_opening", "_opening_mark", "_mark", "_extra")
+SUMS = ("_change", "_need", "_last")  # a run's net change, need and last mark
 SLICE = 512  # rows of one key settled at once where they all fit or none does
 FEW = 64  # rows of one key that are rather walked than sliced
 RUN = 512  # rows of a key that one step of the chain stands for
@@ -214,16 +215,24 @@ def _place(keys: list[str], own: list[str], mark: bool, run_rows: int):
         at = pa.array(begins)
         accepted, after = _settle(rows, begins, rows.column("_opening").take(at).to_numpy())
         marks = _marks(rows, begins, rows.column("_opening_mark").take(at).combine_chunks()) if mark else None
-        columns = _result(rows, own, accepted, after, marks, mark) + [pa.nulls(rows.num_rows, pa.int64())]
-        return columns + [rows.column(c) for c in helpers]
+        columns = _result(rows, own, accepted, after, marks, mark)
+        return columns + [pa.nulls(rows.num_rows, pa.int64())] * (4 if mark else 3) + [rows.column(c) for c in helpers]
 
     def cut(rows: pa.Table, run: int) -> pa.Table:
         n = rows.num_rows
         blank = [pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), *([pa.nulls(n, pa.int64())] if mark else [])]
-        columns = [rows.column(c) for c in own] + blank + [pa.array(np.full(n, run, dtype=np.int64))]
+        kinds, _, extras, net = _nets(rows)
+        running, takes = np.cumsum(net), kinds == TAKE
+        need = max(0, int((extras - running)[takes].max())) if takes.any() else 0
+        lead = [int(running[-1]), need]  # of the whole run, on its first row
+        if mark:
+            marks = rows.column("_mark").drop_null()
+            lead.append(marks[-1].as_py() if len(marks) else None)
+        sums = [pa.array([x] + [None] * (n - 1), pa.int64()) for x in lead]
+        columns = [rows.column(c) for c in own] + blank + [pa.array(np.full(n, run, dtype=np.int64))] + sums
         return columns + [rows.column(c) for c in helpers]
 
-    names = [*own, "accepted", "level_after", *(["mark_at"] if mark else []), "_run", *helpers]
+    names = [*own, "accepted", "level_after", *(["mark_at"] if mark else []), "_run", *SUMS[: 3 if mark else 2], *helpers]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = TaskContext.get().partitionId() << 33
@@ -295,8 +304,8 @@ def _run_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["_run", "_starts", "_shifts"])
 
 
-def _chain(keys: list[str]):
-    """Entry levels of a key's runs, one after the other."""
+def _chain(keys: list[str], entry: list[str]):
+    """Entry levels of a key's runs, one after the other (their entry marks are known)."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, level = None, 0
@@ -311,7 +320,8 @@ def _chain(keys: list[str]):
                 steps = Steps()
                 steps.starts, steps.shifts = (np.asarray(x[i].values.to_numpy(zero_copy_only=False)) for x in (starts, shifts))
                 level = steps(level)
-            yield pa.RecordBatch.from_arrays([batch.column("_run"), pa.array(entries, pa.int64())], names=["_run", "_entry"])
+            known = [batch.column(c) for c in entry[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column("_run"), pa.array(entries, pa.int64()), *known], names=["_run", *entry])
 
     return walk
 
@@ -334,31 +344,18 @@ def _fields(df: DataFrame, names: list[str]) -> list[StructField]:
 
 
 def _entries(runs: DataFrame, keys: list[str], mark: bool) -> DataFrame:
-    """Net change, need and entry level of every run, and whether a run before it, or itself, does not fit."""
-    inside = Window.partitionBy("_run").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
-    rows = runs.withColumn("_sum", F.sum(_net()).over(inside))
-    last = [F.max(F.when(F.col("_mark").isNotNull(), F.struct("_nth", "_mark"))).alias("_last")] if mark else []
-    opens = [F.max("_opening_mark").alias("_open_mark")] if mark else []
-    sums = rows.groupBy(*keys, "_run").agg(
-        F.sum(_net()).alias("_change"),
-        F.max(F.when(F.col("_kind") == TAKE, F.col("_extra") - F.col("_sum")).otherwise(F.lit(0))).alias("_need"),
-        F.max("_opening").alias("_open"), *opens, *last,
-    )
+    """The entry level of every run if all fit before it, and whether a run before it, or itself, does not fit."""
+    sums = runs.where(F.col("_need").isNotNull())  # one row a run
     chain = Window.partitionBy(*keys).orderBy("_run")
     before, upto = chain.rowsBetween(Window.unboundedPreceding, -1), chain.rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("_entry", F.col("_open") + F.coalesce(F.sum("_change").over(before), F.lit(0)))
+    sums = sums.withColumn("_entry", F.col("_opening") + F.coalesce(F.sum("_change").over(before), F.lit(0)))
     misses = F.max((F.col("_entry") < F.col("_need")).cast("int"))
     sums = sums.withColumn("_late", misses.over(upto) == 1)
     if mark:
-        sums = sums.withColumn("_entry_mark", F.coalesce(F.last("_last._mark", ignorenulls=True).over(before), F.col("_open_mark")))
+        sums = sums.withColumn("_entry_mark", F.coalesce(F.last("_last", ignorenulls=True).over(before), F.col("_opening_mark")))
     return sums.select(*keys, "_run", "_entry", "_late", *(["_entry_mark"] if mark else []))
 
 
-def _net():
-    amount = F.col("_amount")
-    return F.when(F.col("_kind") == ADD, amount).when(F.col("_kind") == TAKE, -amount).otherwise(F.lit(0)).cast("long")
-
-
 def greedy_fold(
     commands: DataFrame, key_cols: list[str], order_cols: list[str], mark: bool = False, spread: str | None = None,
     run_rows: int = RUN,
@@ -381,7 +378,8 @@ def greedy_fold(
     results += [StructField("mark_at", LongType())] if mark else []
     helpers = ["_opening", "_extra", *(["_mark", "_opening_mark"] if mark else [])]
     commands = commands.withColumn("_kind", F.col("_kind").cast("int"))
-    fields = _fields(commands, own) + results + [StructField("_run", LongType())] + _fields(commands, helpers)
+    sums = [StructField(c, LongType()) for c in ("_run", *SUMS[: 3 if mark else 2])]
+    fields = _fields(commands, own) + results + sums + _fields(commands, helpers)
     # written first: the range partitioning reads its input twice, and what the commands come from once
     placed = stored(commands, "commands").repartitionByRange(*by).sortWithinPartitions(*by)
     placed = placed.mapInArrow(_place(key_cols, own, mark, run_rows), StructType(fields))
@@ -390,19 +388,18 @@ def greedy_fold(
 
     runs = placed.where(F.col("_run").isNotNull())
     entries = stored(_entries(runs, key_cols, mark), "entries")  # one row a run
-    found = entries.where("not _late").select("_run", "_entry")
+    entry = ["_entry", *(["_entry_mark"] if mark else [])]
+    found = entries.where("not _late").select("_run", *entry)
     if not entries.where("_late").isEmpty():
         late = entries.where("_late")
         steps = runs.join(late.select("_run"), "_run", "left_semi").select("_run", "_nth", "_kind", "_amount", "_extra")
         steps = steps.repartition(F.xxhash64("_run")).sortWithinPartitions("_run", "_nth")
         steps = steps.mapInArrow(_run_steps, "_run long, _starts array<long>, _shifts array<long>")
-        steps = late.join(steps, "_run").select(*key_cols, "_run", "_entry", "_starts", "_shifts")
+        steps = late.join(steps, "_run").select(*key_cols, "_run", *entry, "_starts", "_shifts")
         # The partition hash is a derived expression, never the bare keys: a repartition on the keys can be dropped
         # as redundant after a join on them, and an adaptive local shuffle read could then split a key over tasks.
         chained = steps.repartition(F.xxhash64(*key_cols)).sortWithinPartitions(*key_cols, "_run")
-        found = found.unionByName(chained.mapInArrow(_chain(key_cols), "_run long, _entry long"))
-    if mark:
-        found = found.join(entries.select("_run", "_entry_mark"), "_run")
+        found = found.unionByName(chained.mapInArrow(_chain(key_cols, entry), ", ".join(f"{c} long" for c in ("_run", *entry))))
     rest = runs.select(*own, "_run", "_nth", "_extra", *(["_mark"] if mark else [])).join(found, "_run")
     rest = rest.repartition(F.xxhash64("_run")).sortWithinPartitions("_run", "_nth")
     schema = StructType(_fields(commands, own) + results)
