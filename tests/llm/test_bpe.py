@@ -33,6 +33,31 @@ def test_any_text(texts):
     same(texts)
 
 
+def test_heaps_of_rows_merge_like_one_heap():
+    codec, rng = B.codec(PATH, PATTERN), np.random.default_rng(3)
+    letters = np.frombuffer(b"  aeinorstthebl\xc3\xa9\xe6\x97\x00\xff", dtype=np.uint8)
+    for width in B.WIDTHS:
+        tokens = [bytes(rng.choice(letters, n)) for n in rng.integers(1, width + 1, 3000)]
+        tokens += [b"a" * n for n in range(1, width + 1)] + [tokens[0]] * 3
+        rows = B.HeapRows(tokens, width, np.array(codec.byte_rank), codec.first, codec.pairs)
+        assert rows.merged() == [codec.merge(t) for t in tokens]
+
+
+def test_ranks_of_pairs():
+    codec = B.codec(PATH, PATTERN)
+    of = {rank: token for token, rank in codec.ranks.items()}
+    left, right = np.random.default_rng(4).integers(0, len(of), (2, 20000))
+    left, right = left % 3000, np.where(np.arange(20000) % 2, right, right % 300)
+    want = [codec.ranks.get(of[a] + of[b], B.PairRanks.NONE) for a, b in zip(left.tolist(), right.tolist())]
+    assert codec.pairs.get(left, right).tolist() == want and min(want) < B.PairRanks.NONE
+
+
+def test_vocabulary_without_all_bytes():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b"abab": 3, b" ": 4, b" ab": 5}
+    codec = B.Codec(ranks, PATTERN)
+    assert [x.tolist() for x in codec.encode(["ababab", "ab abab", ""])] == [[3, 2], [2, 4, 3], []]
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 2**63, 20000).astype(np.uint64))
