@@ -32,10 +32,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import BLOCK_ROWS, WORDS, PieceMemory
+from .pieces import BLOCK_ROWS, PieceMemory
 
+WORDS = 300_000  # pre-tokens that a worker remembers; merging one again takes a few microseconds
 WIDTHS = (8, 16, 32)  # bytes of the strings whose heaps step together; longer ones have a heap of their own
 ROWS_AT_ONCE = 4096
+PRETOKENS_AT_ONCE = 1 << 16
 
 
 class PerfectHash:
@@ -96,11 +98,11 @@ class PairRanks:
         }
         keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
         found = np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))
-        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.bits = max(4, (4 * len(keys)).bit_length())
         bucket = self._bucket(keys)
         order = np.argsort(bucket, kind="stable")
         self.keys, self.ranks = np.append(keys[order], -1), np.append(found[order], self.NONE)  # one entry past the end
-        self.begin = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
+        self.begin = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -240,6 +242,10 @@ class Codec:
 
     def resolve(self, pretokens: list[str]) -> list[bytes]:
         """Ids of distinct pre-tokens: the perfect hash first, the heap for what is not a token."""
+        starts = range(0, len(pretokens), PRETOKENS_AT_ONCE)
+        return [ids for at in starts for ids in self._resolved(pretokens[at : at + PRETOKENS_AT_ONCE])]
+
+    def _resolved(self, pretokens: list[str]) -> list[bytes]:
         raw = [p.encode("utf-8", "replace") for p in pretokens]
         slots = self.perfect.slots(_hashes(raw)).tolist()
         out: list[bytes] = []
