@@ -96,3 +96,36 @@ def test_features_of_the_held_out_never_reach_the_fit(spark):
     one = K.learn(docs, labels.where(~held))
     spoilt = docs.withColumn("text", F.when(held, F.lit("## ##")).otherwise(F.col("text")))
     assert np.allclose(one.weights, K.learn(spoilt, labels.where(~held)).weights)
+
+
+def test_table_fit_takes_every_document(spark):
+    """The distributed fit is the one on all rows in memory, with the loss summed pair by pair; documents beyond 1500 a label count."""
+    rng = np.random.default_rng(7)
+    size = len(K.NAMES)
+    x = np.vstack([rng.normal(0.6, 1, (2600, size)), rng.normal(0, 1, (1900, size))]).round(2)
+    label = np.repeat([1, 0], [2600, 1900])
+    x[:, 3] = 1.5  # the same everywhere
+    rows = [(int(k), v.tolist()) for k, v in zip(label, x)]
+    rows = rows + rows[:40]  # equal scores
+    x, label = np.vstack([x, x[:40]]), np.append(label, label[:40])
+    model = K.fit_table(spark.createDataFrame(rows, "label int, x array<double>").repartition(5), 2640, 1900)
+    want = K.fit(x[label == 1], x[label == 0], 2640, 1900)
+    assert np.allclose(model.weights, want.weights, atol=1e-9) and model.threshold == pytest.approx(want.threshold, abs=1e-9)
+    better, worse, w = model.norm(x[label == 1]), model.norm(x[label == 0]), model.weights
+    lost = 1 / (1 + np.exp((better @ w)[:, None] - (worse @ w)[None, :]))
+    slope = (worse.T @ lost.sum(axis=0) - better.T @ lost.sum(axis=1)) / lost.size + K.RIDGE * w
+    assert np.abs(slope).max() < 1e-9
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """Documents past the first 1500 of a label by their hash change the fit."""
+    docs = spark.range(4400).selectExpr(
+        "id as doc_id",
+        "concat(repeat('plain words ', cast(3 + id % 17 as int)), if(id % 2 = 0, 'stand here', '%% ## X'), if(id % 11 = 0, ' 7 7', '')) as text",
+    )
+    labels = docs.selectExpr("doc_id", "cast((doc_id % 2 = 0) as int) as quality")
+    late = labels.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").offset(1500).select("doc_id")
+    spoilt = docs.join(late.withColumn("late", F.lit(True)), "doc_id", "left")
+    spoilt = spoilt.select("doc_id", F.when(F.col("late"), F.lit("%% ## 7 7 7")).otherwise(F.col("text")).alias("text"))
+    one, two = K.learn(docs, labels), K.learn(spoilt, labels)
+    assert not np.allclose(one.mean, two.mean) and not np.allclose(one.weights, two.weights)
