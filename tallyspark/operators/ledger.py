@@ -220,7 +220,11 @@ def delete_products(products: DataFrame, deletes: DataFrame) -> DataFrame:
 
 def null_deleted_refs(ledger: DataFrame, products: DataFrame, deletes: DataFrame, ref: str = "product_id") -> DataFrame:
     """M3 (ON DELETE SET NULL): ledger rows keep their names, lose the product id."""
-    gone = accepted_deletes(products, deletes).select("shop_id", F.col("id").alias(ref)).withColumn("_gone", F.lit(True))
+    return _null_refs(ledger, accepted_deletes(products, deletes), ref)
+
+
+def _null_refs(ledger: DataFrame, gone: DataFrame, ref: str) -> DataFrame:
+    gone = gone.select("shop_id", F.col("id").alias(ref)).withColumn("_gone", F.lit(True))
     j = ledger.join(gone, ["shop_id", ref], "left")
     return j.withColumn(ref, F.when(F.col("_gone").isNull(), F.col(ref))).drop("_gone").select(*ledger.columns)
 
@@ -229,14 +233,23 @@ def null_refs_stored(spark, path: str, schema, products: DataFrame, deletes: Dat
     """M3 on a ledger written by ``sinks.write_buckets``: a new version in which only the buckets of the shops
     with a deleted product are rewritten."""
     gone = stored(accepted_deletes(products, deletes), "deletes")
-    change = lambda rows: null_deleted_refs(rows, gone, gone, ref)
-    return rewrite_buckets(spark, path, schema, gone.select("shop_id"), change, order)
+    return _rewrite(spark, path, schema, gone, lambda rows, gone: _null_refs(rows, gone, ref), order)
 
 
 def cascade_customers_stored(spark, path: str, schema, deletes: DataFrame, order: list[str]) -> dict:
     """M3b on a ledger written by ``sinks.write_buckets``: likewise for the rows of deleted customers."""
     gone = stored(deletes.select("shop_id", "id").distinct(), "deletes")
-    return rewrite_buckets(spark, path, schema, gone.select("shop_id"), lambda rows: cascade_customer_delete(rows, gone).select(*schema.names), order)
+    return _rewrite(spark, path, schema, gone, lambda rows, gone: cascade_customer_delete(rows, gone).select(*schema.names), order)
+
+
+FEW_KEYS = 1_000_000  # deleted keys that every task may hold
+
+
+def _rewrite(spark, path, schema, gone: DataFrame, change, order: list[str]) -> dict:
+    """``rewrite_buckets`` by the deleted keys: where they are few, rows are changed where they lie, and not dealt out again."""
+    few = gone.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    known = F.broadcast(gone) if few else gone
+    return rewrite_buckets(spark, path, schema, gone.select("shop_id"), lambda rows: change(rows, known), order, placed=few)
 
 
 def cascade_customer_delete(debts: DataFrame, deletes: DataFrame) -> DataFrame:

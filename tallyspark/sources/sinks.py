@@ -353,8 +353,9 @@ def write_buckets(
     return _commit(spark, table, prev, None, version, keys=keys, buckets=buckets, base=base, deltas=[])
 
 
-def _write_cut(spark, df, schema, table, version, keys, buckets, order) -> dict[str, str]:
-    cut = df.withColumn(BUCKET, _bucket(keys, buckets)).repartitionByRange(BUCKET, *order).sortWithinPartitions(BUCKET, *order)
+def _write_cut(spark, df, schema, table, version, keys, buckets, order, placed: bool = False) -> dict[str, str]:
+    cut = df.withColumn(BUCKET, _bucket(keys, buckets))
+    cut = (cut if placed else cut.repartitionByRange(BUCKET, *order)).sortWithinPartitions(BUCKET, *order)
     cut.write.partitionBy(BUCKET).mode("error").parquet(f"{table}/{version}")
     written = spark.read.schema(StructType(schema.fields + [StructField(BUCKET, IntegerType())])).parquet(f"{table}/{version}")
     return {str(r[0]): version for r in written.select(BUCKET).distinct().collect()}  # at most ``buckets``
@@ -362,11 +363,12 @@ def _write_cut(spark, df, schema, table, version, keys, buckets, order) -> dict[
 
 def rewrite_buckets(
     spark: SparkSession, table_dir: str, schema: StructType, touched: DataFrame, change: Callable[[DataFrame], DataFrame],
-    order: list[str],
+    order: list[str], placed: bool = False,
 ) -> dict:
     """Commit a version in which the buckets of the keys in ``touched`` hold ``change`` of their rows.
 
-    The other buckets stay where they are.  Raises ``CommitConflict`` if another writer commits first.
+    The other buckets stay where they are.  With ``placed``, ``change`` leaves the rows in their partitions, and they
+    are written as they were read, without a shuffle.  Raises ``CommitConflict`` if another writer commits first.
     """
     table, prev = table_dir.rstrip("/"), snapshot_meta(spark, table_dir)
     keys, buckets = prev["keys"], prev["buckets"]
@@ -375,7 +377,7 @@ def rewrite_buckets(
     version = f"v-{uuid.uuid4().hex}"
     base = {b: f for b, f in prev["base"].items() if int(b) not in hit}
     if hit:
-        base |= _write_cut(spark, change(rows), schema, table, version, keys, buckets, order)
+        base |= _write_cut(spark, change(rows), schema, table, version, keys, buckets, order, placed)
     return _commit(spark, table, prev, None, version, keys=keys, buckets=buckets, base=base, deltas=[])
 
 

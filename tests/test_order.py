@@ -7,7 +7,7 @@ from collections import defaultdict
 from datetime import date, datetime
 
 import pytest
-from conftest import d, products_df
+from conftest import SF_SMALL, d, products_df
 from pyspark.sql import functions as F
 
 from tallyspark.operators import answers as A
@@ -16,7 +16,9 @@ from tallyspark.operators import stamps as ST
 from tallyspark.operators.order import connected, numbered
 from tallyspark.schemas import CUSTOMERS, DEBTS, PRODUCTS, SALES, SHOPS
 from tallyspark.session import scratch_path
+from tallyspark.sources import fixtures as fx
 from tallyspark.sources import sinks
+from tallyspark.sources.driver import DriverTables
 
 
 @pytest.fixture
@@ -200,3 +202,20 @@ def test_customer_cascade_on_a_stored_ledger(spark):
     assert len({b for b in before["base"] if before["base"][b] != after["base"].get(b)}) <= 2
     got = {r.id for r in sinks.read_snapshot(spark, path, DEBTS).collect()}
     assert got == {i for s, i, c, *_ in rows if not (s == 3 or (s == 4 and c == 1))}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_deleted_products_deal_no_rows_out_again(spark, monkeypatch, few):
+    """The rewrite that nulls references shuffles nothing where the deleted keys are few; its rows are the same otherwise."""
+    t = DriverTables(spark, SF_SMALL)
+    path, by = scratch_path(spark, "null-refs"), ["shop_id", "sale_date", "id"]
+    sinks.write_buckets(spark, fx.sales(t), path, ["shop_id"], by, 4)
+    dealt, deal = [], type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda *a: dealt.append(1) or deal(*a))
+    if not few:
+        monkeypatch.setattr(L, "FEW_KEYS", 0)
+    L.null_refs_stored(spark, path, SALES, fx.products(t), fx.discontinued_products(t), by)
+    assert bool(dealt) != few
+    want = L.null_deleted_refs(fx.sales(t), fx.products(t), fx.discontinued_products(t))
+    got = sinks.read_snapshot(spark, path, SALES)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
