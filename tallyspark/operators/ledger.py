@@ -183,9 +183,10 @@ def update_outcomes(products: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
-def update_products(products: DataFrame, updates: DataFrame) -> DataFrame:
-    """M2: new snapshot; per product the last accepted command (by date, id) wins."""
-    ok = update_outcomes(products, updates).where(F.col("accepted"))
+def update_products(products: DataFrame, updates: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """M2: new snapshot; per product the last accepted command (by date, id) wins.  ``outcomes``: those of
+    the same updates, if they are there already."""
+    ok = (update_outcomes(products, updates) if outcomes is None else outcomes).where(F.col("accepted"))
     last = ok.groupBy("shop_id", "id").agg(
         F.max(F.struct("command_date", "command_id", *[F.col(c).alias(f"n_{c}") for c in UPDATE_FIELDS])).alias("u")
     )
@@ -410,48 +411,29 @@ def apply_restocks_stock(products: DataFrame, commands: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- timeline (M9)
 
 
-def _timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
-    """Sales and restocks on one timeline per product, folded.  A sale sees the
+def _timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame, named: bool) -> DataFrame:
+    """Sales (``_rank`` 1) and restocks (0) on one timeline per product, folded.  A sale sees the
     stock and the buy price left by every earlier command (restocks first on ties).
 
-    Both command kinds are unioned and joined to the products once; each row
-    is validated by its kind's rules (V3 for sales, V6 for restocks) and
-    invalid rows ride through the fold as skips.
+    Each command is validated by its kind's rules (V3 for sales, V6 for restocks) where it is read, so that only the
+    verdict travels; both kinds are unioned and joined to the products once, and invalid
+    rows ride through the fold as skips.  With ``named``, sales carry the product's name and
+    price and whether it is missing.
     """
-    none = F.lit(None)
-    s = sales.select(
-        "shop_id", "product_id", "id", "command_date", "quantity", F.lit(True).alias("_is_sale"),
-        F.lit(1).alias("_rank"), none.cast("string").alias("supplier_name"),
-        none.cast(MONEY).alias("unit_buy_price"), none.cast("boolean").alias("update_buy_price"),
-    )
+    few = F.coalesce(F.col("quantity"), F.lit(0)) <= 0
+    own = ["shop_id", "product_id", "id", "command_date", "quantity"]
+    bad = few | is_blank("supplier_name") | violated(F.col("unit_buy_price") < 0)
+    s = sales.select(*own, F.lit(1).alias("_rank"), few.alias("_bad"), F.lit(None).cast("long").alias("_mark"))
     r = restocks.select(
-        "shop_id", "product_id", "id", "command_date", "quantity", F.lit(False).alias("_is_sale"),
-        F.lit(0).alias("_rank"), "supplier_name", "unit_buy_price", "update_buy_price",
+        *own, F.lit(0).alias("_rank"), bad.alias("_bad"), F.when(~bad & F.col("update_buy_price"), _cents("unit_buy_price")).alias("_mark")
     )
     j = _with_product(s.unionByName(r), products)
-    qty_bad = F.coalesce(F.col("quantity"), F.lit(0)) <= 0
-    missing = F.col("_p_id").isNull()
-    sale_reasons = F.array_join(reasons((qty_bad, "quantity_not_positive"), (missing, "product_not_found")), ";")
-    restock_reasons = F.array_join(
-        reasons(
-            (qty_bad, "quantity_not_positive"),
-            (is_blank("supplier_name"), "supplier_required"),
-            (violated(F.col("unit_buy_price") < 0), "negative_price"),
-            (missing, "product_not_found"),
-        ),
-        ";",
-    )
-    is_sale = F.col("_is_sale")
-    kind = (
-        F.when(is_sale, F.when(sale_reasons == "", F.lit(TAKE)).otherwise(F.lit(SKIP)))
-        .when(restock_reasons == "", F.lit(ADD))
-        .otherwise(F.lit(SKIP))
-    )
+    is_sale, missing = F.col("_rank") == 1, F.col("_p_id").isNull()
+    details = [F.when(is_sale, F.col(c)).alias(c) for c in ("product_name", "sell_price")] + [missing.alias("_missing")]
     cmds = j.select(
-        "shop_id", "product_id", "id", "command_date", "quantity", "_rank", "_is_sale", "product_name", "sell_price",
-        kind.alias("_kind"),
-        F.when(is_sale, sale_reasons).alias("_reasons"),
-        F.when(~is_sale & (restock_reasons == "") & F.col("update_buy_price"), _cents("unit_buy_price")).alias("_mark"),
+        *own, "_rank", *(details if named else []),
+        F.when(F.col("_bad") | missing, F.lit(SKIP)).when(is_sale, F.lit(TAKE)).otherwise(F.lit(ADD)).alias("_kind"),
+        F.when(~missing, F.col("_mark")).alias("_mark"),
         F.coalesce(F.col("quantity").cast("long"), F.lit(0)).alias("_amount"),
         F.coalesce(F.col("stock_quantity").cast("long"), F.lit(0)).alias("_opening"),
         _cents("buy_price").alias("_opening_mark"),
@@ -462,13 +444,14 @@ def _timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> Dat
 def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
     """M9: the sale rows of the timeline, with the product's name and the profit at the buy price of the moment.
     The restock rows are those of ``apply_restocks``: no rule of theirs depends on the order."""
-    sold = _timeline(products, sales, restocks).where(F.col("_is_sale"))
+    sold = _timeline(products, sales, restocks, named=True).where(F.col("_rank") == 1)
     ok = F.col("accepted")
     buy = _from_cents(F.col("mark_at"))
+    broken = reasons((F.coalesce(F.col("quantity"), F.lit(0)) <= 0, "quantity_not_positive"), (F.col("_missing"), "product_not_found"))
     return sold.select(
         "shop_id", "id", "product_id", "product_name", "quantity", F.col("command_date").alias("sale_date"),
         _status(ok).alias("status"),
-        F.when(ok, F.lit("")).when(F.col("_kind") == SKIP, F.col("_reasons"))
+        F.when(ok, F.lit("")).when(F.col("_kind") == SKIP, F.array_join(broken, ";"))
         .otherwise(F.lit("insufficient_stock")).alias("reason"),
         F.when(ok, to_double(F.col("sell_price") * F.col("quantity"))).alias("revenue"),
         F.when(ok, to_double((F.col("sell_price") - buy) * F.col("quantity"))).alias("profit"),
@@ -477,8 +460,8 @@ def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFr
 
 def timeline_stock(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
     """M9: the product snapshot after the timeline: stock moved by every accepted command, the last buy price."""
-    done = _timeline(products, sales, restocks).where(F.col("accepted"))
-    signed = F.when(F.col("_is_sale"), -F.col("quantity")).otherwise(F.col("quantity"))
+    done = _timeline(products, sales, restocks, named=False).where(F.col("accepted"))
+    signed = F.when(F.col("_rank") == 1, -F.col("quantity")).otherwise(F.col("quantity"))
     moved = done.groupBy("shop_id", F.col("product_id").alias("id")).agg(
         F.sum(signed).alias("_units"), F.max(F.struct("command_date", "id", "_rank", "mark_at")).alias("_last")
     )

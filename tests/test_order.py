@@ -219,3 +219,23 @@ def test_few_deleted_products_deal_no_rows_out_again(spark, monkeypatch, few):
     want = L.null_deleted_refs(fx.sales(t), fx.products(t), fx.discontinued_products(t))
     got = sinks.read_snapshot(spark, path, SALES)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_timeline_rows_carry_only_what_is_asked_for(spark, monkeypatch):
+    """The stock after the timeline needs no names, prices or suppliers of its commands; only sales carry names."""
+    t, seen = DriverTables(spark, SF_SMALL), []
+    monkeypatch.setattr(L, "greedy_fold", lambda cmds, *a, **k: seen.append(cmds) or cmds.selectExpr("*", "true as accepted", "1L as level_after", "1L as mark_at"))
+    L.timeline_stock(fx.products(t), fx.sale_commands(t), fx.restock_commands(t))
+    L.apply_stock_timeline(fx.products(t), fx.sale_commands(t), fx.restock_commands(t))
+    assert not {"product_name", "sell_price", "supplier_name"} & set(seen[0].columns)
+    assert seen[1].where("_rank = 0 and product_name is not null").isEmpty()
+    assert not seen[1].where("_rank = 1 and product_name is not null").isEmpty()
+
+
+def test_stamps_resolve_the_updates_once(spark, monkeypatch):
+    calls, outcomes = [], L.update_outcomes
+    monkeypatch.setattr(L, "update_outcomes", lambda *a: calls.append(1) or outcomes(*a))
+    from tallyspark.plans import QUERIES
+
+    QUERIES["update_products_stamps"](spark, SF_SMALL)
+    assert len(calls) == 1
