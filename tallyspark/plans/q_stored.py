@@ -67,8 +67,9 @@ def cascade_customer_delete_stored(t):
 def update_products_stamps(t):
     """products' time stamps after the updates: accepted commands refresh updated_at."""
     before = ST.first_stamps(fx.products(t), LOADED)
-    outcomes = stored(L.update_outcomes(fx.products(t), fx.product_updates(t)), "outcomes")
-    after = L.update_products(fx.products(t), fx.product_updates(t))
+    updates = fx.product_updates(t)
+    outcomes = stored(L.update_outcomes(fx.products(t), updates), "outcomes")
+    after = L.update_products(fx.products(t), updates, outcomes)
     touched = outcomes.where("accepted").select("shop_id", "id")
     return ST.restamp(before, after, ["shop_id", "id"], touched, APPLIED).select("shop_id", "id", *[f.name for f in ST.STAMPS])
 
