@@ -310,9 +310,12 @@ def _table_quantile(rows: DataFrame, model: Model, weights: np.ndarray, reach: f
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    sample_docs: int | None = None, cutoff: float = CUTOFF,
+    sample_docs: int | None = None, cutoff: float = CUTOFF, x_col: str | None = None,
 ) -> Model:
-    """Fit on all labelled documents of ``docs``; if ``sample_docs`` is given, on so many of each label by the hash of their id."""
+    """Fit on all labelled documents of ``docs``; if ``sample_docs`` is given, on so many of each label by the hash of their id.
+
+    ``x_col``: the column of ``docs`` that holds ``described`` texts already, which then need not be joined with the labels.
+    """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.where("id is not null and label in (0, 1)").distinct()
     n = {r.label: r.n for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -321,8 +324,9 @@ def learn(
         marks = [marks.where(F.col("label") == x).orderBy(*order).limit(sample_docs) for x in (0, 1)]
         marks = marks[0].unionByName(marks[1])
     marks = store(marks, "ranking")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = store(rows.join(marks, "id").select("id", "label", described("text").alias("x")).distinct(), "ranking")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(x_col or text_col).alias("given")).join(marks, "id")
+    x = F.col("given") if x_col else described("given")
+    rows = store(rows.select("id", "label", x.alias("x")).distinct(), "ranking")
     if rows.select("label").distinct().count() < 2:
         return flat_model(n.get(1, 0), n.get(0, 0), cutoff)
     return fit_table(rows, n.get(1, 0), n.get(0, 0), cutoff)
@@ -350,3 +354,16 @@ def score(text: Column | str, model: Model, spark) -> Column:
             yield pd.Series(shared.value.score(x), dtype=float)
 
     return scores(text)
+
+
+def score_described(x: Column | str, model: Model, spark) -> Column:
+    """``score`` of texts that are described already."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = np.array(batch.tolist(), dtype=float).reshape(-1, len(NAMES))
+            yield pd.Series(shared.value.score(x), dtype=float)
+
+    return scores(x)

@@ -129,3 +129,23 @@ def test_every_labelled_document_is_learned_from(spark):
     spoilt = spoilt.select("doc_id", F.when(F.col("late"), F.lit("%% ## 7 7 7")).otherwise(F.col("text")).alias("text"))
     one, two = K.learn(docs, labels), K.learn(spoilt, labels)
     assert not np.allclose(one.mean, two.mean) and not np.allclose(one.weights, two.weights)
+
+
+def test_the_query_describes_each_text_once(spark, monkeypatch):
+    """The labels are joined with statistics: no text reaches the fit; the scores are those of the texts."""
+    given, learn = [], K.learn
+
+    def watched(docs, *args, **kwargs):
+        given.append((docs, learn(docs, *args, **kwargs)))
+        return given[-1][1]
+
+    monkeypatch.setattr(K, "learn", watched)
+    got = {r.doc_id: r.score for r in QUERIES["op13_quality_ranking"](spark, SF_SMALL).collect()}
+    (docs, model), = given
+    assert "text" not in docs.columns
+    texts = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    plain = learn(texts, labels, cutoff=0.7)
+    assert np.allclose(plain.weights, model.weights) and plain.threshold == pytest.approx(model.threshold)
+    want = {r.doc_id: r.score for r in texts.select("doc_id", K.score("text", plain, spark).alias("score")).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
