@@ -10,7 +10,10 @@ The memory is a bounded cache: it never changes a result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +53,46 @@ class Remembered:
 
     def fill(self, keys: Iterable[str]) -> dict[str, object]:
         """The same dict, with every one of ``keys``, until the next start."""
-        missing = set(keys).difference(self.young)
-        known = missing.intersection(self.old)
-        for key in known:
-            self.young[key] = self.old.pop(key)
-        fresh = list(missing - known)
+        young, old = self.young, self.old
+        missing = dict.fromkeys([key for key in keys if key not in young])
+        if old:
+            for key in [key for key in missing if key in old]:
+                young[key] = old.pop(key)
+                del missing[key]
+        fresh = list(missing)
         self.long += [key for key in fresh if len(key) > LONG]
-        self.young.update(zip(fresh, self.learn(fresh)))
-        return self.young
+        with collector_paused():
+            young.update(zip(fresh, self.learn(fresh)))
+        return young
+
+
+@contextmanager
+def collector_paused() -> Iterator[None]:
+    """Without looking for cycles: very many small objects are made here, and none refers back."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+
+
+def sizes_and_starts(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of ids as bytes, put one after another: how many each has, and where they begin."""
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    return sizes, np.cumsum(sizes) - sizes
+
+
+def places(starts: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of stretches of ``n`` ids from ``starts`` on; ``ends`` are the running sums of ``n``."""
+    at = np.repeat(starts - (ends - n), n)
+    at += np.arange(len(at))
+    return at
 
 
 def is_word(piece: str) -> bool:
@@ -84,16 +119,36 @@ class PieceMemory:
         return self
 
     def put_together(self, pieces: list[str]) -> list[bytes]:
-        parts = [self.cut(p) for p in pieces]
-        words, others = set(), set()
-        for part in parts:
-            for token in part:
-                if token[0] == " " and len(token) > 1:
-                    words.add(token[1:])
-                else:
-                    others.add(token)
-        words, others = self.words.fill(words), self.others.fill(others)
-        return [b"".join([words[t[1:]] if t[0] == " " and len(t) > 1 else others[t] for t in part]) for part in parts]
+        """Ids of each piece, each of its pre-tokens looked up once.
+
+        Pieces that begin with their only space, with no other white space at either end, are
+        cut in one go: put one after another, they may be cut before each space again, and there only.
+        """
+        safe = [p.rfind(" ") == 0 and not p[1:2].isspace() and not p[-1].isspace() for p in pieces]
+        tokens = self.cut("".join(compress(pieces, safe)))
+        begins = [i for i, t in enumerate(tokens) if t[0] == " "]
+        if len(begins) != sum(safe):
+            safe, tokens, begins = [False] * len(pieces), [], []
+        for piece, joined in zip(pieces, safe):
+            if not joined:
+                begins.append(len(tokens))
+                tokens += self.cut(piece)
+        if not tokens:
+            return [b""] * len(pieces)
+        numbered = pa.array(tokens, pa.large_string()).dictionary_encode()
+        distinct, number = listed(numbered.dictionary), numbered.indices.to_numpy()
+        spaced = [t[0] == " " and len(t) > 1 for t in distinct]
+        words = self.words.fill([t[1:] for t, s in zip(distinct, spaced) if s])
+        others = self.others.fill([t for t, s in zip(distinct, spaced) if not s])
+        ids = [words[t[1:]] if s else others[t] for t, s in zip(distinct, spaced)]
+        sizes, starts = sizes_and_starts(ids)
+        n = sizes[number]
+        ends = np.cumsum(n)
+        found = np.frombuffer(b"".join(ids), dtype="<i4")[places(starts[number], n, ends)].tobytes()
+        cuts = 4 * np.append(0, ends)[[*begins, len(tokens)]]
+        each = [found[a:b] for a, b in pairwise(cuts.tolist())]
+        joined, single = iter(each[: sum(safe)]), iter(each[sum(safe) :])
+        return [next(joined if s else single) for s in safe]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (int32) of each text."""
@@ -113,10 +168,15 @@ class PieceMemory:
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         numbered = pc.dictionary_encode(cut.flatten())
         bounds, number = cut.offsets.to_numpy(), numbered.indices.to_numpy().copy()
-        tails = numbered.dictionary.to_pylist()
+        tails = listed(numbered.dictionary)
         # a space between two pieces is unsafe if white space (or another space) stands on both its sides
-        opens = np.fromiter((not t or t[0].isspace() for t in tails), dtype=bool, count=len(tails))
-        closes = np.fromiter((not t or t[-1].isspace() for t in tails), dtype=bool, count=len(tails))
+        plain = pc.match_substring_regex(numbered.dictionary, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)  # neither space nor other words
+        odd = np.flatnonzero(~plain)
+        opens, closes, simple = np.zeros(len(tails), dtype=bool), np.zeros(len(tails), dtype=bool), plain.copy()
+        odd_tails = [tails[i] for i in odd.tolist()]
+        opens[odd] = [not t or t[0].isspace() for t in odd_tails]
+        closes[odd] = [not t or t[-1].isspace() for t in odd_tails]
+        simple[odd] = list(map(is_word, odd_tails))
         unsafe = np.flatnonzero(closes[number[:-1]] & opens[number[1:]])
         of_text = np.searchsorted(bounds, unsafe, "right") - 1
         whole = set(of_text[unsafe + 1 < bounds[of_text + 1]].tolist())
@@ -124,24 +184,21 @@ class PieceMemory:
         heads = [tails[i] for i in number[bounds[:-1]]]
         for memory in (self.words, self.others, self.composites):
             memory.start()
-        simple = list(map(is_word, tails))
+        simple = simple.tolist()
         rest = [" " + t for t, s in zip(tails, simple) if not s]
-        words = self.words.fill(t for t, s in zip(tails, simple) if s)
+        words = self.words.fill([t for t, s in zip(tails, simple) if s])
         several = self.composites.fill([*rest, *heads])
         # a text's first piece has no space before it: a number of its own
         number[bounds[:-1]] = np.arange(len(tails), len(tails) + len(heads))
         ids = [words[t] if s else several[" " + t] for t, s in zip(tails, simple)] + [several[h] for h in heads]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
+        sizes, starts = sizes_and_starts(ids)
         flat = np.frombuffer(b"".join(ids), dtype="<i4")
         for begin in range(0, len(texts), TEXTS_AT_ONCE):
             edges = bounds[begin : begin + TEXTS_AT_ONCE + 1]
             own = number[edges[0] : edges[-1]]
             n = sizes[own]
             ends = np.cumsum(n)
-            at = np.repeat(starts[own] - (ends - n), n)
-            at += np.arange(len(at))
-            found = flat[at]
+            found = flat[places(starts[own], n, ends)]
             cuts = np.concatenate([[0], ends])[edges - edges[0]]
             for i, text in enumerate(texts[begin : begin + TEXTS_AT_ONCE]):
                 yield np.frombuffer(self.put_together([text])[0], dtype="<i4") if begin + i in whole else found[cuts[i] : cuts[i + 1]]

@@ -93,14 +93,14 @@ def encode_block(docs: list[tuple[int | None, np.ndarray]], table: Frequencies)
     shift, scale = np.uint64(63 - SCALE_BITS), np.uint64(SCALE_BITS)
     written = 0
     for step in range(steps - 1, -1, -1):
-        part = ids[step * LANES : (step + 1) * LANES]
-        x, f = state[: len(part)], table.f[part]
+        part = ids[step * LANES : (step + 1) * LANES].astype(np.int64)
+        x, f = state[: len(part)], table.f.take(part)
         full = x >= f << shift
         words.append(x[full].astype("<u4"))
         written += len(words[-1])
         x = np.where(full, x >> np.uint64(32), x)
         whole = x // f
-        state[: len(part)] = (whole << scale) + (x - whole * f) + table.c[part]
+        state[: len(part)] = (whole << scale) + (x - whole * f) + table.c.take(part)
         if step and step % CHECKPOINT_STEPS == 0:
             marks.append((written, state.copy()))
     stream = b"".join(w.tobytes() for w in reversed(words))
@@ -146,8 +146,9 @@ def decode_block(raw: bytes, table: Frequencies, checkpoint: int = 0) -> tuple[l
         size = min(lanes, len(out) - begin)
         x = state[:size]
         slot = x & mask
-        found = table.slot_id[slot]
-        x = table.f[found] * (x >> scale) + slot - table.c[found]
+        found = table.slot_id.take(slot.view(np.int64))
+        whose = found.astype(np.int64)
+        x = table.f.take(whose) * (x >> scale) + slot - table.c.take(whose)
         low = np.flatnonzero(x < LOW)
         x[low] = x[low] << np.uint64(32) | words[offset : offset + len(low)]
         offset += len(low)
@@ -215,16 +216,24 @@ def _tokenizer(path: str, pattern: str) -> PieceMemory:
     from tokenizers import Tokenizer
 
     merge, letters = Tokenizer.from_file(path).model.tokenize, _byte_letters()
+    letter = np.array([ord(letters[b]) for b in range(256)], dtype="<u4")
 
     def resolve(words: list[str]) -> list[bytes]:
-        written = [w.encode("utf-8", "replace").decode("latin-1").translate(letters) for w in words]
-        return [array("I", [t.id for t in merge(w)]).tobytes() for w in written]
+        raw = [w.encode("utf-8", "replace") for w in words]
+        written = letter[np.frombuffer(b"".join(raw), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))).tolist()
+        ids, cuts = array("I"), [0]
+        for a, b in zip([0, *ends], ends):
+            ids.extend([t.id for t in merge(written[a:b])])
+            cuts.append(4 * len(ids))
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
     return PieceMemory(regex.compile(pattern).findall, resolve)
 
 
 def token_ids(text: Column | str, path: str, pattern: str, end_id: int, added: bool = False) -> Column:
-    """Ids of each text and the end id: zstandard-compressed little-endian uint32.
+    """Ids of each text and the end id: little-endian uint16 or zstandard-compressed uint32, behind a byte that says which.
 
     With ``added``, the vocabulary file's added tokens are found in texts and get
     their one id, as in the library's ``encode``; else they are text like any other.
@@ -234,21 +243,24 @@ def token_ids(text: Column | str, path: str, pattern: str, end_id: int, added: b
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        pack, end = zstandard.ZstdCompressor(level=1).compress, np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4")
         encoded = _encoded(["" if t is None else t for t in texts], path, pattern, added)
-        return pd.Series([pack(_narrow(np.concatenate([x, end]))) for x in encoded], dtype=object)
+        return pd.Series([_narrow(np.concatenate([x, end])) for x in encoded], dtype=object)
 
     return ids(text)
 
 
 def _narrow(ids: np.ndarray) -> bytes:
-    """Ids as uint16 where all fit (marked by the first byte), else as uint32."""
-    return b"\x02" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else b"\x04" + ids.tobytes()
+    """Ids as uint16 where all fit (marked by the first byte), which zstandard makes hardly smaller; else as uint32, compressed."""
+    if ids.max(initial=0) < 1 << 16:
+        return b"\x02" + ids.astype("<u2").tobytes()
+    return b"\x04" + zstandard.ZstdCompressor(level=1).compress(ids.tobytes())
 
 
 def unpack_ids(packed: bytes) -> np.ndarray:
-    raw = zstandard.decompress(packed)
-    return np.frombuffer(raw, dtype="<u2" if raw[0] == 2 else "<u4", offset=1).astype("<u4")
+    if packed[0] == 2:
+        return np.frombuffer(packed, dtype="<u2", offset=1).astype("<u4")
+    return np.frombuffer(zstandard.decompress(packed[1:]), dtype="<u4")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,3 +83,20 @@ def test_columns(spark):
     for r in df.collect():
         assert list(r.ids) == REFERENCE.encode_ordinary(r.text or "") and bytes(r.raw) == (r.text or "").encode()
     assert df.limit(0).count() == 0
+
+
+def test_pieces_of_a_block_are_cut_together():
+    """One call of the expression cuts all pieces that begin with their only space; the ids are those of each piece alone."""
+    words = ["it.", "a\nB", "x'll", "12.5", "é!", "ö\u0085", " b", "\x1cq", "z\x1f", "'s", "***", "", "\n", "日本。"]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(len(words))] + ["  a  b ", " ", "", "one", "a\n \nb.", "end. \n"]
+    codec, calls = B.Codec(B.read_ranks(PATH), PATTERN), []
+    cut = codec.memory.cut
+    codec.memory.cut = lambda text: calls.append(text) or cut(text)
+    got = [x.tolist() for x in codec.encode(texts)]
+    for text, ids in zip(texts, got):
+        assert ids == [i for t in cut(text) for i in np.frombuffer(codec.resolve([t])[0], "<i4").tolist()]
+    calls.clear()
+    many = " ".join(f"w{i}." for i in range(500))
+    (ids,) = codec.encode([many])
+    assert ids.tolist() == [i for t in cut(many) for i in np.frombuffer(codec.resolve([t])[0], "<i4").tolist()]
+    assert len(calls) < 5

@@ -103,3 +103,8 @@ def test_empty_dataset(spark):
     path = scratch_path(spark, "rans-empty")
     R.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH, public_tokenizers.PATTERN)
     assert R.read(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[], [0, 65535, 2], [0, 65536, 2], [2**32 - 1]])
+def test_packed_ids(ids):
+    assert R.unpack_ids(R._narrow(np.array(ids, dtype="<u4"))).tolist() == ids
