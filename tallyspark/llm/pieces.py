@@ -25,6 +25,7 @@ COMPOSITES = 400_000  # pieces of several pre-tokens
 LONG = 64  # characters; longer pre-tokens are not remembered
 BLOCK_CHARS = 12_000_000  # of the texts whose pieces are numbered together
 BLOCK_ROWS = 3000  # texts of an Arrow batch
+PIECES_AT_ONCE = 1 << 14  # pieces whose pre-tokens are held at the same time
 TEXTS_AT_ONCE = 500  # texts whose ids are put together at once
 
 
@@ -111,13 +112,17 @@ class PieceMemory:
         self.cut = cut
         self.words = Remembered(lambda keys: resolve([" " + k for k in keys]), WORDS)  # by what follows the space
         self.others = Remembered(resolve, OTHERS)
-        self.composites = Remembered(self.put_together, COMPOSITES)  # pieces of several pre-tokens
+        self.composites = Remembered(self.learned, COMPOSITES)  # pieces of several pre-tokens
 
     def limited(self, words: int) -> PieceMemory:
         """The same memory, for at most ``words`` words (and composites in proportion)."""
         self.words.limit, self.composites.limit = words, COMPOSITES * words // WORDS
         return self
 
+    def learned(self, pieces: list[str]) -> list[bytes]:
+        starts = range(0, len(pieces), PIECES_AT_ONCE)
+        return [ids for at in starts for ids in self.put_together(pieces[at : at + PIECES_AT_ONCE])]
+
     def put_together(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece, each of its pre-tokens looked up once.
 
