@@ -105,10 +105,10 @@ UPDATE_FIELDS = ["name", "category", "buy_price", "sell_price", "stock_quantity"
 
 
 def _rename_walk(batches):
-    """Replays the contested commands of each group in order (rows sorted by group, rank, date, command id).
+    """Replays the commands of each group in order (rows sorted by group, rank, date, command id).
 
-    Rank 0 rows say who holds a contested name before the batch, rank 1 rows are
-    commands; the state is the contested names of the current group.
+    Rank 0 rows say who holds a name before the batch, rank 1 rows are
+    commands; the state is the names of the current group.
     """
     group, holders, held = None, {}, {}
     for batch in batches:
@@ -134,48 +134,45 @@ def update_outcomes(products: DataFrame, updates: DataFrame) -> DataFrame:
     """M2 per command: unknown id, rule violations, or a name that another product
     of the shop uses at that moment.
 
-    Commands count in order (date, command id).  Only *contested* names need the
-    order: those that a moving product has or is moved to.  A command on any other name is
-    decided by the opening snapshot.  Contested names that one product links
-    (it has one and is moved to the other) belong to one group; each group is replayed in order, on
-    its own, with its names as state, so a shop with very many renames is spread over
-    as many tasks as it has groups.  Building the plan runs the jobs that find the groups.
+    Commands count in order (date, command id).  Names that need the order are those that a moving
+    product has or is moved to.  Such names that one product links
+    (it has one and is moved to the other) belong to one group; any other name is a group of its own.
+    Each group is replayed in order, on its own, with its names as state, so a shop with very many renames is spread over
+    as many tasks as it has groups.  What a command carries besides its name is joined twice only: with the
+    products and with the verdicts.  Building the plan runs the jobs that find the groups.
     """
     own = products.select("shop_id", "id", name_key("name").alias("_own"))
-    types = dict(updates.dtypes)
-    u = validate_products(updates).withColumn("_nk", name_key("name")).join(own, ["shop_id", "id"], "left")
-    u = stored(u, "updates")
-    moves = (F.col("reasons") == "") & F.col("_own").isNotNull() & (F.col("_nk") != F.col("_own"))
-    movers = u.where(moves).select("shop_id", "id").distinct()
-    moving = u.join(movers, ["shop_id", "id"], "left_semi")
+    types, key = dict(updates.dtypes), name_key("name")
+    u = validate_products(updates).join(own, ["shop_id", "id"], "left")
+    other = F.coalesce(key != F.col("_own"), F.lit(False))
+    u = stored(u.select(*updates.columns, "reasons", F.col("_own").isNotNull().alias("_known"), other.alias("_other")), "updates")
+    valid = (F.col("reasons") == "") & F.col("_known")
+    movers = u.where(valid & F.col("_other")).select("shop_id", "id").distinct()
+    asked = u.select("shop_id", "id", key.alias("_nk")).distinct()
     # a node is the hash of a name or a product: should two be equal, their groups are replayed as one
     product, node = F.xxhash64("shop_id", "id", F.lit("product")), F.xxhash64("shop_id", "_nk")
-    links = moving.select("shop_id", "id", F.explode(F.array("_nk", "_own")).alias("_nk")).distinct()
+    named = own.withColumnRenamed("_own", "_nk")
+    links = asked.unionByName(named).join(movers, ["shop_id", "id"], "left_semi").distinct()
     groups = connected(links.select(product.alias("a"), node.alias("b"))).withColumnRenamed("group", "_group")
     order = ["_group", "_rank", "command_date", "command_id"]
-    commands = u.select(
-        "shop_id", F.lit(1).alias("_rank"), "command_date", "command_id", "id", "_nk",
-        ((F.col("reasons") == "") & F.col("_own").isNotNull()).alias("_valid"),
-    )
-    opening = own.withColumnRenamed("_own", "_nk").select(
+    commands = u.select("shop_id", F.lit(1).alias("_rank"), "command_date", "command_id", "id", key.alias("_nk"), valid.alias("_valid"))
+    opening = named.select(
         "shop_id", F.lit(0).alias("_rank"), F.lit(None).cast("date").alias("command_date"),
         F.lit(None).cast(types["command_id"]).alias("command_id"), "id", "_nk", F.lit(True).alias("_valid"),
     )
-    # rows of names without a group are not contested; a repartition on an expression is never dropped as redundant
-    contested = commands.unionByName(opening).withColumn("node", node).join(groups, "node").drop("node")
+    # a missing name, shop or id is nobody's; a repartition on an expression is never dropped as redundant
+    rows = commands.unionByName(opening).where("shop_id is not null and id is not null and _nk is not null")
+    rows = rows.withColumn("node", node).join(groups, "node", "left").withColumn("_group", F.coalesce("_group", "node")).drop("node")
     walked = (
-        contested.repartition(F.xxhash64("_group"))
+        rows.repartition(F.xxhash64("_group"))
         .sortWithinPartitions(*order)
         .mapInPandas(_rename_walk, f"shop_id {types['shop_id']}, command_id {types['command_id']}, _taken boolean")
     )
-    # names that no command moves: taken if the opening snapshot has another holder
-    others = own.groupBy("shop_id", F.col("_own").alias("_nk")).agg(F.min("id").alias("_min_id"), F.max("id").alias("_max_id"))
-    u = u.join(others, ["shop_id", "_nk"], "left").join(walked, ["shop_id", "command_id"], "left")
-    at_first = F.col("_min_id").isNotNull() & ~((F.col("_min_id") == F.col("id")) & (F.col("_max_id") == F.col("id")))
+    u = u.join(walked.where("_taken"), ["shop_id", "command_id"], "left")
     extra = F.concat_ws(
         ";",
-        F.when(F.col("_own").isNull(), F.lit("not_found")),
-        F.when(F.coalesce("_taken", at_first), F.lit("duplicate_name")),
+        F.when(~F.col("_known"), F.lit("not_found")),
+        F.when(F.col("_taken"), F.lit("duplicate_name")),
     )
     allr = F.concat_ws(";", F.nullif(F.col("reasons"), F.lit("")), F.nullif(extra, F.lit("")))
     return u.withColumn("reasons", allr).withColumn("accepted", F.col("reasons") == "").select(

@@ -239,3 +239,16 @@ def test_stamps_resolve_the_updates_once(spark, monkeypatch):
 
     QUERIES["update_products_stamps"](spark, SF_SMALL)
     assert len(calls) == 1
+
+
+def test_update_verdicts_take_one_join_of_whole_commands(spark):
+    """Verdicts of names that nobody moves come from the replay, too: the commands' other columns are not dealt out by name."""
+    p = products_df(spark, [(1, i, n, "c", 1, 2, 3, 4) for i, n in [(1, "a"), (2, " A"), (3, "b"), (4, "d")]])
+    names = [(1, "a"), (3, "B "), (3, None), (4, "b"), (4, "a"), (9, "b"), (9, "new"), (None, "b")]
+    rows = [(1, i, date(1998, 6, 12), k, n, "c", d(1), d(2), 3, 4) for k, (i, n) in enumerate(names)]
+    out = L.update_outcomes(p, spark.createDataFrame(rows, UPDATE))
+    got = [r.reasons for r in sorted(out.collect(), key=lambda r: r.command_id)]
+    twice = "duplicate_name"
+    assert got == [twice, "", "name_required", twice, twice, f"not_found;{twice}", "not_found", "not_found"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
