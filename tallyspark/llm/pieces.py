@@ -13,7 +13,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from itertools import compress, pairwise
+from itertools import compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ BLOCK_CHARS = 12_000_000  # of the texts whose pieces are numbered together
 BLOCK_ROWS = 3000  # texts of an Arrow batch
 PIECES_AT_ONCE = 1 << 14  # pieces whose pre-tokens are held at the same time
 TEXTS_AT_ONCE = 500  # texts whose ids are put together at once
+WORD = f"^ [{''.join(c for c in map(chr, range(0x250)) if c.isalpha())}]+$"  # a space and only Latin letters: one pre-token
 
 
 class Remembered:
@@ -54,15 +55,23 @@ class Remembered:
 
     def fill(self, keys: Iterable[str]) -> dict[str, object]:
         """The same dict, with every one of ``keys``, until the next start."""
-        young, old = self.young, self.old
-        missing = dict.fromkeys([key for key in keys if key not in young])
-        if old:
-            for key in [key for key in missing if key in old]:
-                young[key] = old.pop(key)
-                del missing[key]
-        fresh = list(missing)
-        self.long += [key for key in fresh if len(key) > LONG]
+        young = self.young
+        return self._add(list(dict.fromkeys([key for key in keys if key not in young])))
+
+    def of(self, keys: list[str]) -> list:
+        """What was or is now learned of each of ``keys``, which are distinct and looked up once if they are known."""
+        found = list(map(self.young.get, keys))
+        young = self._add([key for key, known in zip(keys, found) if known is None])
+        return [young[key] if known is None else known for key, known in zip(keys, found)]
+
+    def _add(self, missing: list[str]) -> dict[str, object]:
+        young, fresh = self.young, missing
         with collector_paused():
+            if self.old:
+                kept = list(map(self.old.pop, missing, repeat(None)))
+                young.update((key, known) for key, known in zip(missing, kept) if known is not None)
+                fresh = [key for key, known in zip(missing, kept) if known is None]
+            self.long += [key for key in fresh if len(key) > LONG]
             young.update(zip(fresh, self.learn(fresh)))
         return young
 
@@ -96,9 +105,23 @@ def places(starts: np.ndarray, n: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return at
 
 
-def is_word(piece: str) -> bool:
-    """Only Latin letters: with the space before it, one pre-token."""
-    return piece.isalpha() and (piece.isascii() or max(piece) < "\u0250")
+def cut_before_spaces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, and where each text's begin; all but a text's first piece begin with their only space.
+
+    The pieces are the texts' own bytes, cut at other places.
+    """
+    whole = pa.array(texts, pa.large_string())
+    _, ends, data = whole.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[: len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[: ends[-1]] if data else np.zeros(0, dtype=np.uint8)
+    spaces = np.flatnonzero(raw == ord(" "))
+    bounds = np.arange(len(ends)) + np.searchsorted(spaces, ends)
+    later = np.ones(bounds[-1], dtype=bool)
+    later[bounds[:-1]] = False
+    cuts = np.empty(len(later) + 1, dtype=np.int64)
+    cuts[bounds] = ends
+    cuts[:-1][later] = spaces
+    return pa.LargeStringArray.from_buffers(len(later), pa.py_buffer(cuts), data), bounds
 
 
 class PieceMemory:
@@ -110,7 +133,7 @@ class PieceMemory:
 
     def __init__(self, cut: Callable[[str], list[str]], resolve: Callable[[list[str]], list[bytes]]):
         self.cut = cut
-        self.words = Remembered(lambda keys: resolve([" " + k for k in keys]), WORDS)  # by what follows the space
+        self.words = Remembered(resolve, WORDS)  # with the space before them
         self.others = Remembered(resolve, OTHERS)
         self.composites = Remembered(self.learned, COMPOSITES)  # pieces of several pre-tokens
 
@@ -143,9 +166,9 @@ class PieceMemory:
         numbered = pa.array(tokens, pa.large_string()).dictionary_encode()
         distinct, number = listed(numbered.dictionary), numbered.indices.to_numpy()
         spaced = [t[0] == " " and len(t) > 1 for t in distinct]
-        words = self.words.fill([t[1:] for t, s in zip(distinct, spaced) if s])
+        words = self.words.fill([t for t, s in zip(distinct, spaced) if s])
         others = self.others.fill([t for t, s in zip(distinct, spaced) if not s])
-        ids = [words[t[1:]] if s else others[t] for t, s in zip(distinct, spaced)]
+        ids = [words[t] if s else others[t] for t, s in zip(distinct, spaced)]
         sizes, starts = sizes_and_starts(ids)
         n = sizes[number]
         ends = np.cumsum(n)
@@ -170,32 +193,27 @@ class PieceMemory:
 
     def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Each distinct piece of the block is looked up once; Arrow numbers the pieces."""
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        numbered = pc.dictionary_encode(cut.flatten())
-        bounds, number = cut.offsets.to_numpy(), numbered.indices.to_numpy().copy()
-        tails = listed(numbered.dictionary)
+        cut, bounds = cut_before_spaces(texts)
+        numbered = cut.dictionary_encode()
+        number, pieces = numbered.indices.to_numpy(), listed(numbered.dictionary)
         # a space between two pieces is unsafe if white space (or another space) stands on both its sides
-        plain = pc.match_substring_regex(numbered.dictionary, "^[A-Za-z]+$").to_numpy(zero_copy_only=False)  # neither space nor other words
-        odd = np.flatnonzero(~plain)
-        opens, closes, simple = np.zeros(len(tails), dtype=bool), np.zeros(len(tails), dtype=bool), plain.copy()
-        odd_tails = [tails[i] for i in odd.tolist()]
-        opens[odd] = [not t or t[0].isspace() for t in odd_tails]
-        closes[odd] = [not t or t[-1].isspace() for t in odd_tails]
-        simple[odd] = list(map(is_word, odd_tails))
+        simple = pc.match_substring_regex(numbered.dictionary, WORD).to_numpy(zero_copy_only=False)
+        odd = np.flatnonzero(~simple)  # the others; a word has white space at neither end
+        odd_pieces = [pieces[i] for i in odd.tolist()]
+        opens, closes = np.zeros(len(pieces), dtype=bool), np.zeros(len(pieces), dtype=bool)
+        opens[odd] = [p == " " or p[1:2].isspace() for p in odd_pieces]
+        closes[odd] = [not p or p[-1].isspace() for p in odd_pieces]
         unsafe = np.flatnonzero(closes[number[:-1]] & opens[number[1:]])
         of_text = np.searchsorted(bounds, unsafe, "right") - 1
         whole = set(of_text[unsafe + 1 < bounds[of_text + 1]].tolist())
 
-        heads = [tails[i] for i in number[bounds[:-1]]]
         for memory in (self.words, self.others, self.composites):
             memory.start()
-        simple = simple.tolist()
-        rest = [" " + t for t, s in zip(tails, simple) if not s]
-        words = self.words.fill([t for t, s in zip(tails, simple) if s])
-        several = self.composites.fill([*rest, *heads])
-        # a text's first piece has no space before it: a number of its own
-        number[bounds[:-1]] = np.arange(len(tails), len(tails) + len(heads))
-        ids = [words[t] if s else several[" " + t] for t, s in zip(tails, simple)] + [several[h] for h in heads]
+        ids = self.words.of(list(compress(pieces, simple.tolist())))
+        place = np.cumsum(simple) - 1  # the words' ids come first, then those of the other pieces
+        place[odd] = np.arange(len(ids), len(pieces))
+        number = place[number]
+        ids += self.composites.of(odd_pieces)
         sizes, starts = sizes_and_starts(ids)
         flat = np.frombuffer(b"".join(ids), dtype="<i4")
         for begin in range(0, len(texts), TEXTS_AT_ONCE):

@@ -266,11 +266,13 @@ def unpack_ids(packed: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        ids = [unpack_ids(packed) for packed in batch.column(0).to_pylist()]
-        n = np.bincount(np.concatenate(ids), minlength=len(total)) if ids else total * 0
-        if len(n) > len(total):
-            total = np.pad(total, (0, len(n) - len(total)))
-        total += n
+        packed = batch.column(0).to_pylist()
+        short = np.frombuffer(b"".join([p[1:] for p in packed if p[0] == 2]), dtype="<u2")
+        for ids in (short, *[unpack_ids(p) for p in packed if p[0] != 2]):
+            n = np.bincount(ids, minlength=len(total))
+            if len(n) > len(total):
+                total = np.pad(total, (0, len(n) - len(total)))
+            total += n
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyspark.llm import bpe as B
+from tallyspark.llm import pieces
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 REFERENCE = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=B.read_ranks(PATH), special_tokens={})
@@ -100,3 +101,34 @@ def test_pieces_of_a_block_are_cut_together():
     (ids,) = codec.encode([many])
     assert ids.tolist() == [i for t in cut(many) for i in np.frombuffer(codec.resolve([t])[0], "<i4").tolist()]
     assert len(calls) < 5
+
+
+def test_pieces_are_cut_before_every_space():
+    texts = ["", " ", "a b", "  two  spaces ", "é ü\n x", "", "Wort", " end "]
+    cut, bounds = pieces.cut_before_spaces(texts)
+    found = [cut.to_pylist()[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+    assert found == [[t.split(" ")[0], *[" " + p for p in t.split(" ")[1:]]] for t in texts]
+
+
+def test_known_pieces_are_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counting.asked += 1
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            Counting.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    memory = pieces.PieceMemory(str.split, lambda words: [str(len(w)).zfill(4).encode() for w in words])
+    text = "a " + " ".join(f"word{'x' * i}" for i in range(50))
+    first = [x.tolist() for x in memory.encode([text])]
+    memory.words.young = Counting(memory.words.young)
+    assert [x.tolist() for x in memory.encode([text])] == first
+    assert Counting.asked == 50
