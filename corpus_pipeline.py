@@ -25,7 +25,7 @@ from tallyspark.llm import bpe, mixing, quality, secrets, simhash
 from tallyspark.llm.common import read_documents, store
 
 SHINGLE_WORDS, MAX_BITS = 3, 2
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS, ROWS_AT_ONCE, CHARS_AT_ONCE = 150_000, 200, 600_000
 VOCABULARY = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -66,8 +66,9 @@ def with_position(docs: DataFrame, name: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # executors still hold what earlier stages left, so workers remember less here than the operator's default
-    ids = bpe.encode("text", *VOCABULARY, words=REMEMBERED_WORDS, rows=1000)
+    # executors still hold what earlier stages left, so workers remember less here than the operator's default, and
+    # batches are small: the words of a batch are held besides the remembered ones
+    ids = bpe.encode("text", *VOCABULARY, words=REMEMBERED_WORDS, rows=ROWS_AT_ONCE, chars=CHARS_AT_ONCE)
     docs = with_position(docs.select("doc_id", "lang", "source", "text"), "mix_position")
     docs = docs.select("*", ids.alias("token_ids"))
     decoded = bpe.decode("token_ids", *VOCABULARY)

@@ -32,7 +32,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import BLOCK_ROWS, PieceMemory
+from .pieces import BLOCK_CHARS, BLOCK_ROWS, PieceMemory
 
 WORDS = 300_000  # pre-tokens that a worker remembers; merging one again takes a few microseconds
 WIDTHS = (8, 16, 32)  # bytes of the strings whose heaps step together; longer ones have a heap of their own
@@ -268,8 +268,8 @@ class Codec:
                     out[i] = ids
         return out
 
-    def encode(self, texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
-        return self.memory.limited(words).encode(texts)
+    def encode(self, texts: list[str], words: int = WORDS, chars: int = BLOCK_CHARS) -> Iterator[np.ndarray]:
+        return self.memory.limited(words, chars).encode(texts)
 
     def decode(self, lists: list[np.ndarray]) -> Iterator[bytes]:
         """Bytes of each list of ids, gathered from the tokens' bytes."""
@@ -293,18 +293,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode(text: Column | str, path: str, pattern: str, words: int = WORDS, rows: int = BLOCK_ROWS) -> Column:
+def encode(text: Column | str, path: str, pattern: str, words: int = WORDS, rows: int = BLOCK_ROWS, chars: int = BLOCK_CHARS) -> Column:
     """Token ids (array<int>) of each text; special tokens are never made.
 
-    ``words`` bounds what a worker remembers and ``rows`` its batches: smaller
-    values take less memory and more time, with the same ids.
+    ``words`` bounds what a worker remembers, ``rows`` its batches and ``chars`` the texts of a
+    batch that are encoded together: smaller values take less memory and more time, with the same ids.
     """
     small_batches(rows)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         texts = ["" if t is None else t for t in texts]
-        return pd.Series(list(codec(path, pattern).encode(texts, words)), dtype=object)
+        return pd.Series(list(codec(path, pattern).encode(texts, words, chars)), dtype=object)
 
     return ids(text)
 

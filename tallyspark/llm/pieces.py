@@ -136,10 +136,14 @@ class PieceMemory:
         self.words = Remembered(resolve, WORDS)  # with the space before them
         self.others = Remembered(resolve, OTHERS)
         self.composites = Remembered(self.learned, COMPOSITES)  # pieces of several pre-tokens
+        self.chars = BLOCK_CHARS
 
-    def limited(self, words: int) -> PieceMemory:
-        """The same memory, for at most ``words`` words (and composites in proportion)."""
-        self.words.limit, self.composites.limit = words, COMPOSITES * words // WORDS
+    def limited(self, words: int, chars: int = BLOCK_CHARS) -> PieceMemory:
+        """The same memory, for at most ``words`` words (and composites in proportion) besides those of a block.
+
+        A block ends with the text that reaches ``chars`` characters, however many texts are asked for at once.
+        """
+        self.words.limit, self.composites.limit, self.chars = words, COMPOSITES * words // WORDS, chars
         return self
 
     def learned(self, pieces: list[str]) -> list[bytes]:
@@ -185,7 +189,7 @@ class PieceMemory:
         for text in texts:
             block.append(text)
             size += len(text)
-            if size >= BLOCK_CHARS:
+            if size >= self.chars:
                 yield from self._block(block)
                 block, size = [], 0
         if block:

@@ -76,6 +76,19 @@ def test_forgetting_changes_nothing():
     assert len(small.memory.words.old) + len(small.memory.words.young) < 400
 
 
+def test_a_worker_holds_the_words_of_a_block_not_of_a_batch():
+    words, chars = 200, 2000
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) + " ö." for i in range(500)]  # 10,000 words, none twice
+    small = B.Codec(B.read_ranks(PATH), PATTERN)
+    got, most = [], 0
+    for ids in small.encode(texts, words, chars):
+        got.append(ids.tolist())
+        memory = small.memory
+        most = max(most, *(len(m.young) + len(m.old) for m in (memory.words, memory.composites)))
+    assert got == [REFERENCE.encode_ordinary(t) for t in texts]
+    assert most < 2 * words + chars // 4
+
+
 def test_columns(spark):
     rows = [(1, "the cat"), (2, None), (3, ""), (3, ""), (None, "ththble é")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
