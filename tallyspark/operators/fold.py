@@ -10,7 +10,9 @@ have to be applied in order.  Commands that failed validation travel along as
 
 The commands are range-partitioned once by key and order, so that a key of any size is
 spread over as many partitions as it needs, and the sorted partitions are walked and
-written to the shared folder:
+written to the shared folder.  Commands that lie ``clustered`` already, as a join by the key leaves them,
+are sorted and walked where they lie instead, without another shuffle: only keys that turn out to have rows in
+several partitions (a skewed join is split) are range-partitioned.
 
 1. A key whose commands all lie inside one partition, ``RUN`` of them at most, is settled
    on the spot: together with its neighbours by segmented running sums where everything
@@ -38,6 +40,7 @@ commands are evaluated once.  What it returns is a plan over these tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -207,8 +210,11 @@ def _result(rows: pa.Table, own: list[str], accepted, after, marks, mark: bool)
     return out + ([pc.if_else(live, marks, pa.scalar(None, pa.int64()))] if mark else [])
 
 
-def _place(keys: list[str], own: list[str], mark: bool, run_rows: int):
-    """Walk a sorted partition: keys that lie inside it are settled, all others cut into runs."""
+def _place(keys: list[str], own: list[str], mark: bool, run_rows: int, whole_keys: bool = False):
+    """Walk a sorted partition: keys that lie inside it are settled, all others cut into runs.
+
+    With ``whole_keys`` also its first and its last key are taken to lie inside it.
+    """
     helpers = ["_opening", "_extra", *(["_mark", "_opening_mark"] if mark else [])]
 
     def settled(rows: pa.Table, begins: np.ndarray) -> pa.Table:
@@ -237,7 +243,7 @@ def _place(keys: list[str], own: list[str], mark: bool, run_rows: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = TaskContext.get().partitionId() << 33
         held: pa.Table | None = None
-        spread = True  # the first key may have rows in the partition before
+        spread = not whole_keys  # the first key may have rows in the partition before
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -268,7 +274,8 @@ def _place(keys: list[str], own: list[str], mark: bool, run_rows: int):
                 yield from _batches(cut(held.slice(0, run_rows), run), names)
                 held, run = held.slice(run_rows), run + 1
         if held is not None and held.num_rows:  # the last key may go on in the next partition
-            yield from _batches(cut(held, run), names)
+            rest = settled(held, np.zeros(1, dtype=np.int64)) if whole_keys and not spread else cut(held, run)
+            yield from _batches(rest, names)
 
     return walk
 
@@ -358,7 +365,7 @@ def _entries(runs: DataFrame, keys: list[str], mark: bool) -> DataFrame:
 
 def greedy_fold(
     commands: DataFrame, key_cols: list[str], order_cols: list[str], mark: bool = False, spread: str | None = None,
-    run_rows: int = RUN,
+    run_rows: int = RUN, clustered: bool = False,
 ) -> DataFrame:
     """Apply ordered add/take commands per key.
 
@@ -368,7 +375,8 @@ def greedy_fold(
     (long, ≥ 0: what a take needs beyond its amount).  Returns the commands
     (minus those helper columns) with ``accepted``, ``level_after`` and, with
     ``mark``, ``mark_at`` (both null for skipped rows).  ``spread`` names a
-    unique column that breaks ties of the order.
+    unique column that breaks ties of the order.  ``clustered`` says that the rows of a key mostly lie in
+    one partition; the result is the same if they do not.
     """
     if "_extra" not in commands.columns:
         commands = commands.withColumn("_extra", F.lit(0).cast("long"))
@@ -381,10 +389,20 @@ def greedy_fold(
     sums = [StructField(c, LongType()) for c in ("_run", *SUMS[: 3 if mark else 2])]
     fields = _fields(commands, own) + results + sums + _fields(commands, helpers)
     # written first: the range partitioning reads its input twice, and what the commands come from once
-    placed = stored(commands, "commands").repartitionByRange(*by).sortWithinPartitions(*by)
-    placed = placed.mapInArrow(_place(key_cols, own, mark, run_rows), StructType(fields))
+    placed = commands if clustered else stored(commands, "commands").repartitionByRange(*by)
+    placed = placed.sortWithinPartitions(*by).mapInArrow(_place(key_cols, own, mark, run_rows, clustered), StructType(fields))
     placed = stored(placed.withColumn("_nth", F.monotonically_increasing_id()), "fold")
     names = [*own, *[f.name for f in results]]
+    again = None
+    if clustered:
+        part = F.shiftright("_nth", 33)
+        several = placed.groupBy(*key_cols).agg(F.min(part).alias("_from"), F.max(part).alias("_to")).where("_from < _to")
+        several = stored(several.select(*[F.col(k).alias(f"_in_{k}") for k in key_cols]), "spread")
+        if not several.isEmpty():
+            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_in_{k}")) for k in key_cols])
+            rest = placed.join(several, same, "left_semi").select(*own, *helpers)
+            again = greedy_fold(rest, key_cols, order_cols, mark, spread, run_rows)
+            placed = placed.join(several, same, "left_anti")
 
     runs = placed.where(F.col("_run").isNotNull())
     entries = stored(_entries(runs, key_cols, mark), "entries")  # one row a run
@@ -404,4 +422,5 @@ def greedy_fold(
     rest = rest.repartition(F.xxhash64("_run")).sortWithinPartitions("_run", "_nth")
     schema = StructType(_fields(commands, own) + results)
     replayed = rest.mapInArrow(_replay_runs(own, mark), schema)
-    return placed.where(F.col("_run").isNull()).select(*names).unionByName(replayed)
+    result = placed.where(F.col("_run").isNull()).select(*names).unionByName(replayed)
+    return result if again is None else result.unionByName(again)

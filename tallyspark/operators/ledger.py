@@ -413,8 +413,8 @@ def _timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame, named:
     stock and the buy price left by every earlier command (restocks first on ties).
 
     Each command is validated by its kind's rules (V3 for sales, V6 for restocks) where it is read, so that only the
-    verdict travels; both kinds are unioned and joined to the products once, and invalid
-    rows ride through the fold as skips.  With ``named``, sales carry the product's name and
+    verdict travels; both kinds are unioned and joined to the products once, by a join that leaves the commands of
+    a product together, so that the fold needs no shuffle of its own; invalid rows ride through it as skips.  With ``named``, sales carry the product's name and
     price and whether it is missing.
     """
     few = F.coalesce(F.col("quantity"), F.lit(0)) <= 0
@@ -424,7 +424,7 @@ def _timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame, named:
     r = restocks.select(
         *own, F.lit(0).alias("_rank"), bad.alias("_bad"), F.when(~bad & F.col("update_buy_price"), _cents("unit_buy_price")).alias("_mark")
     )
-    j = _with_product(s.unionByName(r), products)
+    j = _with_product(s.unionByName(r), products.hint("shuffle_hash"))
     is_sale, missing = F.col("_rank") == 1, F.col("_p_id").isNull()
     details = [F.when(is_sale, F.col(c)).alias(c) for c in ("product_name", "sell_price")] + [missing.alias("_missing")]
     cmds = j.select(
@@ -435,7 +435,7 @@ def _timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame, named:
         F.coalesce(F.col("stock_quantity").cast("long"), F.lit(0)).alias("_opening"),
         _cents("buy_price").alias("_opening_mark"),
     )
-    return greedy_fold(cmds, ["shop_id", "product_id"], ["command_date", "id", "_rank"], mark=True, spread="id")
+    return greedy_fold(cmds, ["shop_id", "product_id"], ["command_date", "id", "_rank"], mark=True, spread="id", clustered=True)
 
 
 def apply_stock_timeline(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:

@@ -213,3 +213,30 @@ def test_null_keys_and_empty_commands(spark):
     rows = [(None, i, SKIP, 0, 0, f"n{i}") for i in range(50)] + [(1, 1, TAKE, 3, 3, "a"), (1, 2, TAKE, 1, 3, "b")]
     got = {r.sid: (r.accepted, r.level_after) for r in greedy_fold(spark.createDataFrame(rows, schema), ["k"], ["pos"], spread="sid").collect()}
     assert got == {f"n{i}": (False, None) for i in range(50)} | {"a": (True, 0), "b": (False, 0)}
+
+
+@pytest.mark.parametrize("parts,run_rows", [(1, 512), (6, 4), (6, 512)])
+def test_clustered_commands_are_walked_where_they_lie(spark, monkeypatch, parts, run_rows):
+    """Keys that lie in one partition are dealt out no more; those that turn out to be split are, and the result is the walk's."""
+    rng, frame = random.Random(parts), type(spark.range(1))
+    rows, expected = [], {}
+    for k in [None, *range(30)]:
+        level, mark = rng.randint(0, 60), None
+        opening = level
+        for pos in range(90 if k == 7 else rng.randint(1, 12)):
+            kind, a = SKIP if k is None else rng.choice([ADD, TAKE, TAKE, SKIP]), rng.randint(0, 30)
+            m = rng.choice([None, pos]) if kind == ADD else None
+            mark = mark if m is None else m
+            ok = kind == ADD or (kind == TAKE and a <= level)
+            level += a if kind == ADD else -a if ok else 0
+            expected[k, pos] = (ok, None if kind == SKIP else level, None if kind == SKIP else mark)
+            rows.append((k, pos, kind, a, opening, m, None))
+    rng.shuffle(rows)
+    commands = spark.createDataFrame(rows, "k long, pos long, _kind int, _amount long, _opening long, _mark long, _opening_mark long")
+    dealt, deal = [], frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda *a: dealt.append(1) or deal(*a))
+    for together, df in (True, commands.repartition(parts, "k")), (parts == 1, commands.repartition(parts)):
+        dealt.clear()
+        out = greedy_fold(df, ["k"], ["pos"], mark=True, run_rows=run_rows, clustered=True)
+        assert {(r.k, r.pos): (r.accepted, r.level_after, r.mark_at) for r in out.collect()} == expected
+        assert bool(dealt) != together

@@ -252,3 +252,12 @@ def test_update_verdicts_take_one_join_of_whole_commands(spark):
     assert got == [twice, "", "name_required", twice, twice, f"not_found;{twice}", "not_found", "not_found"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+def test_the_timeline_deals_its_commands_out_once(spark, monkeypatch):
+    """The join with the products leaves the commands of a product together: the fold needs no shuffle of its own."""
+    t, frame = DriverTables(spark, SF_SMALL), type(spark.range(1))
+    dealt, deal = [], frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda *a: dealt.append(1) or deal(*a))
+    rows = L.apply_stock_timeline(fx.products(t), fx.sale_commands(t), fx.restock_commands(t))
+    assert rows.count() == fx.sale_commands(t).count() and not dealt
