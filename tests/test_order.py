@@ -261,3 +261,5 @@ def test_the_timeline_deals_its_commands_out_once(spark, monkeypatch):
     monkeypatch.setattr(frame, "repartitionByRange", lambda *a: dealt.append(1) or deal(*a))
     rows = L.apply_stock_timeline(fx.products(t), fx.sale_commands(t), fx.restock_commands(t))
     assert rows.count() == fx.sale_commands(t).count() and not dealt
+    left = L.timeline_stock(fx.products(t), fx.sale_commands(t), fx.restock_commands(t))
+    assert left.count() == fx.products(t).count() and not dealt
