@@ -13,6 +13,9 @@ commands' unique sequence numbers, as an auto-increment column would give them
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from ..functions.expr import blank_to_null, is_blank, money, name_key, reasons,
 from ..schemas import MONEY
 from ..sources.sinks import rewrite_buckets
 from .fold import ADD, SKIP, TAKE, greedy_fold
-from .order import connected, numbered, stored
+from .order import connected, marked, numbered, stored
 
 ACCEPTED = "accepted"
 REJECTED = "rejected"
@@ -104,80 +107,106 @@ def insert_products(products: DataFrame, requests: DataFrame) -> DataFrame:
 UPDATE_FIELDS = ["name", "category", "buy_price", "sell_price", "stock_quantity", "low_stock_threshold"]
 
 
-def _rename_walk(batches):
+def _rename_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replays the commands of each group in order (rows sorted by group, rank, date, command id).
 
     Rank 0 rows say who holds a name before the batch, rank 1 rows are
-    commands; the state is the names of the current group.
+    commands; the state is the names of the current group.  Yields the commands that ask for a name
+    that another product has, or for an unknown product.
     """
     group, holders, held = None, {}, {}
     for batch in batches:
-        taken = []
-        for g, shop, rank, product, key, valid in zip(*(batch[c].tolist() for c in ("_group", "shop_id", "_rank", "id", "_nk", "_valid"))):
+        found = []
+        columns = (batch.column(c).to_pylist() for c in ("_group", "_rank", "shop_id", "id", "_nk", "_valid", "_known", "_at"))
+        for g, rank, shop, product, key, valid, known, at in zip(*columns):
             if g != group:
                 group, holders, held = g, {}, {}
             product, name = (shop, product), (shop, key)
             clash = False
             if rank:
-                clash = bool(holders.get(name, set()) - {product})
+                others = None if None in product else holders.get(name)  # a missing shop or id is nobody's
+                clash = bool(others) and (len(others) > 1 or product not in others)
                 if valid and not clash:
                     holders.get(held.get(product), set()).discard(product)
+                if clash or not known:
+                    found.append((at, clash, not known))
             if not rank or (valid and not clash):
                 holders.setdefault(name, set()).add(product)
                 held[product] = name
-            taken.append(clash)
-        out = batch[["shop_id", "command_id"]].assign(_taken=taken)
-        yield out[batch["_rank"] == 1]
+        arrays = [pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.bool_(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["_at", "_taken", "_unknown"])
+
+
+def _name_groups(held: DataFrame) -> DataFrame:
+    """The group of every name (_node, _group) that a moving product has or may get, from who may hold which (_node, _product).
+
+    Names that one product links belong to one group.  Only names of several products link any, so
+    each product's are chained to its first one, and the chains are few where the names are.
+    """
+    shared = held.groupBy("_node").agg(F.min("_product").alias("a"), F.max("_product").alias("b")).where("a < b").select("_node")
+    shared = stored(held.join(shared, "_node", "left_semi"), "names")
+    firsts = stored(shared.groupBy("_product").agg(F.min("_node").alias("_first")), "names")
+    chains = shared.join(firsts, "_product").where("_node <> _first").select(F.col("_first").alias("a"), F.col("_node").alias("b")).distinct()
+    firsts = firsts.join(connected(chains), F.col("_first") == F.col("node"), "left")
+    firsts = firsts.select("_product", F.coalesce("group", "_first").alias("_group"))
+    groups = held.join(firsts, "_product", "left")  # a product whose names are all its own is a group
+    return groups.groupBy("_node").agg(F.min(F.coalesce("_group", "_product")).alias("_group"))
 
 
-def update_outcomes(products: DataFrame, updates: DataFrame) -> DataFrame:
+def update_outcomes(products: DataFrame, updates: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
     """M2 per command: unknown id, rule violations, or a name that another product
-    of the shop uses at that moment.
+    of the shop uses at that moment.  ``carry``: the columns of the commands that the result has, if not all.
 
     Commands count in order (date, command id).  Names that need the order are those that a moving
     product has or is moved to.  Such names that one product links
     (it has one and is moved to the other) belong to one group; any other name is a group of its own.
     Each group is replayed in order, on its own, with its names as state, so a shop with very many renames is spread over
-    as many tasks as it has groups.  What a command carries besides its name is joined twice only: with the
-    products and with the verdicts.  Building the plan runs the jobs that find the groups.
+    as many tasks as it has groups.  A command by the only product that may ever hold its name cannot clash and is left
+    out, unless it moves the product.  What a command carries besides its name is written once and not dealt out:
+    the verdicts come back by its position.  Building the plan runs the jobs that find the verdicts.
     """
-    own = products.select("shop_id", "id", name_key("name").alias("_own"))
-    types, key = dict(updates.dtypes), name_key("name")
-    u = validate_products(updates).join(own, ["shop_id", "id"], "left")
-    other = F.coalesce(key != F.col("_own"), F.lit(False))
-    u = stored(u.select(*updates.columns, "reasons", F.col("_own").isNotNull().alias("_known"), other.alias("_other")), "updates")
-    valid = (F.col("reasons") == "") & F.col("_known")
-    movers = u.where(valid & F.col("_other")).select("shop_id", "id").distinct()
-    asked = u.select("shop_id", "id", key.alias("_nk")).distinct()
+    carry = list(updates.columns if carry is None else carry)
+    key, ids = name_key("name"), ["shop_id", "id"]
+    own = products.select(*ids, name_key("name").alias("_own"), F.lit(True).alias("_known"))
+    needed = list(dict.fromkeys([*carry, *ids, "name", "command_date", "command_id"]))
+    u = stored(validate_products(updates).select(*needed, "reasons", F.monotonically_increasing_id().alias("_at")), "updates")
+    ok, known = F.col("reasons") == "", F.coalesce("_known", F.lit(False))
+    asked = u.groupBy(*ids, key.alias("_nk")).agg(F.max(ok).alias("_ok")).join(own, ids, "left")
+    moves = F.col("_ok") & known & ~F.col("_nk").eqNullSafe(F.col("_own"))
+    asked = stored(asked.select(*ids, "_nk", (F.col("_ok") & known).alias("_valid"), known.alias("_known"), moves.alias("_moves")), "asked")
     # a node is the hash of a name or a product: should two be equal, their groups are replayed as one
-    product, node = F.xxhash64("shop_id", "id", F.lit("product")), F.xxhash64("shop_id", "_nk")
-    named = own.withColumnRenamed("_own", "_nk")
-    links = asked.unionByName(named).join(movers, ["shop_id", "id"], "left_semi").distinct()
-    groups = connected(links.select(product.alias("a"), node.alias("b"))).withColumnRenamed("group", "_group")
-    order = ["_group", "_rank", "command_date", "command_id"]
-    commands = u.select("shop_id", F.lit(1).alias("_rank"), "command_date", "command_id", "id", key.alias("_nk"), valid.alias("_valid"))
-    opening = named.select(
-        "shop_id", F.lit(0).alias("_rank"), F.lit(None).cast("date").alias("command_date"),
-        F.lit(None).cast(types["command_id"]).alias("command_id"), "id", "_nk", F.lit(True).alias("_valid"),
-    )
-    # a missing name, shop or id is nobody's; a repartition on an expression is never dropped as redundant
-    rows = commands.unionByName(opening).where("shop_id is not null and id is not null and _nk is not null")
-    rows = rows.withColumn("node", node).join(groups, "node", "left").withColumn("_group", F.coalesce("_group", "node")).drop("node")
-    walked = (
-        rows.repartition(F.xxhash64("_group"))
-        .sortWithinPartitions(*order)
-        .mapInPandas(_rename_walk, f"shop_id {types['shop_id']}, command_id {types['command_id']}, _taken boolean")
-    )
-    u = u.join(walked.where("_taken"), ["shop_id", "command_id"], "left")
-    extra = F.concat_ws(
+    node, product = F.xxhash64("shop_id", "_nk").alias("_node"), F.xxhash64(*ids, F.lit("product")).alias("_product")
+    named = own.where("_own is not null and shop_id is not null and id is not null").select(*ids, F.col("_own").alias("_nk"))
+    held = asked.where("_valid").select(*ids, node).unionByName(named.select(*ids, node)).distinct()
+    movers = asked.where("_moves").select(*ids).distinct().withColumn("_mover", F.lit(True))
+    held = stored(held.join(movers, ids, "left").select(*ids, "_node", product, F.col("_mover").isNotNull().alias("_mover")), "held")
+    groups = _name_groups(held.where("_mover").select("_node", "_product"))
+    only = held.groupBy("_node").agg(F.min(F.struct(*ids)).alias("_least"), F.max(F.struct(*ids)).alias("_last"))
+    names = stored(only.join(groups, "_node", "left"), "names")
+    a = asked.withColumn("_node", node).join(names, "_node", "left")
+    mine = (F.col("_least") == F.col("_last")) & (F.col("_least") == F.struct(*ids))
+    silent = F.col("_least").isNull() | F.coalesce(mine, F.lit(False))  # nobody else ever has the name
+    walks = ~silent | (F.col("_valid") & F.col("_group").isNotNull())
+    a = a.where(walks | ~F.col("_known"))
+    a = a.select(*[F.col(c).alias(f"_a_{c}") for c in ids], F.col("_nk").alias("_a_nk"), "_known", F.coalesce("_group", "_node").alias("_group"))
+    same = (F.col("shop_id").eqNullSafe(F.col("_a_shop_id"))) & (F.col("id").eqNullSafe(F.col("_a_id"))) & F.col("_nk").eqNullSafe(F.col("_a_nk"))
+    rows = u.select("_at", *ids, key.alias("_nk"), "command_date", "command_id", ok.alias("_ok")).join(a, same)
+    rows = rows.select("_group", F.lit(1).alias("_rank"), "command_date", "command_id", *ids, "_nk", (F.col("_ok") & F.col("_known")).alias("_valid"), "_known", "_at")
+    opening = named.withColumn("_node", node).join(names.select("_node", "_group"), "_node", "left").select(
+        F.coalesce("_group", "_node").alias("_group"), F.lit(0).alias("_rank"), *ids, "_nk", F.lit(True).alias("_valid"), F.lit(True).alias("_known")
+    )
+    rows = rows.unionByName(opening, allowMissingColumns=True)
+    # a repartition on an expression is never dropped as redundant
+    rows = rows.repartition(F.xxhash64("_group")).sortWithinPartitions("_group", "_rank", "command_date", "command_id")
+    walked = rows.drop("command_date", "command_id").mapInArrow(_rename_walk, "_at long, _taken boolean, _unknown boolean")
+    u = marked(u, "_at", stored(walked, "verdicts"), "_unknown", "_taken")
+    allr = F.concat_ws(
         ";",
-        F.when(~F.col("_known"), F.lit("not_found")),
+        F.nullif(F.col("reasons"), F.lit("")),
+        F.when(F.col("_unknown"), F.lit("not_found")),
         F.when(F.col("_taken"), F.lit("duplicate_name")),
     )
-    allr = F.concat_ws(";", F.nullif(F.col("reasons"), F.lit("")), F.nullif(extra, F.lit("")))
-    return u.withColumn("reasons", allr).withColumn("accepted", F.col("reasons") == "").select(
-        *updates.columns, "reasons", "accepted"
-    )
+    return u.withColumn("reasons", allr).withColumn("accepted", F.col("reasons") == "").select(*carry, "reasons", "accepted")
 
 
 def update_products(products: DataFrame, updates: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:

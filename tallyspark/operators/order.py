@@ -1,6 +1,7 @@
 """Positions of rows in an order, and connected groups, without a window over a whole shop or table.
 
 Both write what they work on to the shared folder once, because each needs the same rows twice.
+Flags by position go back to rows that were written, without dealing these out again (``marked``).
 """
 
 from __future__ import annotations
@@ -42,6 +43,28 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, groups: Sequence[st
     return rows.join(sizes, same).select(*df.columns, position.alias(name))
 
 
+BLOCK_BITS = 15  # a bitmap stands for 2 ** 15 positions
+FEW_BLOCKS = 16384  # bitmaps (of 4 kB each) that every task may hold
+
+
+def marked(df: DataFrame, at: str, hits: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the flags ``names`` of ``hits`` (``at``, flags) by position; a position that ``hits`` lacks has none set.
+
+    The set positions travel as bitmaps.  Where these are few, ``df`` is read where it lies and not dealt out.
+    """
+    block, bit = F.shiftright(at, BLOCK_BITS), F.col(at).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    few = hits.select(block.alias("_block")).distinct().limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS
+    columns, out = df.columns, df.withColumns({"_block": block, "_bit": bit})
+    for name in names:
+        set_ = hits.where(name).select(block.alias("_block"), bit.alias("_bit")).repartition("_block")
+        bits = set_.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        out = out.join(F.broadcast(bits) if few else bits, "_block", "left")
+        byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int)")
+        flag = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
+        out = out.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_bits")
+    return out.select(*columns, *names)
+
+
 def connected(links: DataFrame) -> DataFrame:
     """The group of every node of the long columns (a, b), as (node, group): the smallest node it is connected with.
 

@@ -116,9 +116,7 @@ UPD_CTE = (
 )
 def update_outcomes(t):
     """M2: every update command with its verdict, names resolved in command order."""
-    return L.update_outcomes(fx.products(t), fx.product_updates(t)).select(
-        "shop_id", "id", "command_date", "command_id", "name", "reasons", "accepted"
-    )
+    return L.update_outcomes(fx.products(t), fx.product_updates(t), ["shop_id", "id", "command_date", "command_id", "name"])
 
 
 @query(

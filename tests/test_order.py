@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import answers as A
 from tallyspark.operators import ledger as L
+from tallyspark.operators import order as O
 from tallyspark.operators import stamps as ST
 from tallyspark.operators.order import connected, numbered
 from tallyspark.schemas import CUSTOMERS, DEBTS, PRODUCTS, SALES, SHOPS
@@ -254,6 +255,42 @@ def test_update_verdicts_take_one_join_of_whole_commands(spark):
     assert plan.count("Join ") == 2
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_flags_come_back_by_position(spark, monkeypatch, few):
+    """Positions of several files and bitmaps, at their borders, with bitmaps held by every task or joined."""
+    if not few:
+        monkeypatch.setattr(O, "FEW_BLOCKS", 0)
+    at = [p + n for p in (0, 1 << 33, 5 << 33) for n in (0, 1, 7, 8, 63, 32767, 32768, 99999)]
+    hits = {a: (i % 2 == 0, i % 5 == 0) for i, a in enumerate(at) if i % 3}
+    df = spark.createDataFrame([(a, f"r{a}") for a in at], "_at long, name string")
+    found = spark.createDataFrame([(a, *f) for a, f in hits.items()], "_at long, x boolean, y boolean")
+    out = O.marked(df, "_at", found, "x", "y")
+    assert out.columns == ["_at", "name", "x", "y"]
+    assert {r._at: (r.x, r.y) for r in out.collect()} == {a: hits.get(a, (False, False)) for a in at}
+
+
+def test_update_commands_are_not_dealt_out_whole(spark):
+    """Verdicts go back to the commands as bitmaps: no shuffle holds what a command carries."""
+    t, names = DriverTables(spark, SF_SMALL), ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        out = L.update_outcomes(fx.products(t), fx.product_updates(t))
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == fx.product_updates(t).count()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
+def test_a_product_without_a_name_can_be_updated(spark):
+    """It is found, gets its name by the update and keeps it from others, as in the SQL."""
+    p = spark.createDataFrame([(1, 1, None, "c", d(1), d(2), 3, 4), (1, 2, "b", "c", d(1), d(2), 3, 4)], PRODUCTS)
+    rows = [(1, i, date(1998, 6, 12), k, n, "c", d(1), d(2), 3, 4) for k, (i, n) in enumerate([(2, "a"), (1, "A"), (1, "b"), (2, " B")])]
+    out = L.update_outcomes(p, spark.createDataFrame(rows, UPDATE), ["command_id"])
+    assert [tuple(r) for r in out.sort("command_id").collect()] == [(0, "", True), (1, "duplicate_name", False), (2, "", True), (3, "duplicate_name", False)]
+
+
 def test_the_timeline_deals_its_commands_out_once(spark, monkeypatch):
     """The join with the products leaves the commands of a product together: the fold needs no shuffle of its own."""
     t, frame = DriverTables(spark, SF_SMALL), type(spark.range(1))
