@@ -278,6 +278,9 @@ def test_update_commands_are_not_dealt_out_whole(spark):
         out = L.update_outcomes(fx.products(t), fx.product_updates(t))
         assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
         assert out.count() == fx.product_updates(t).count()
+        after = L.update_products(fx.products(t), fx.product_updates(t))
+        # the products with each one's last command
+        assert after._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
     finally:
         for name in names:
             spark.conf.unset(name)
