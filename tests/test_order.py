@@ -242,6 +242,16 @@ def test_stamps_resolve_the_updates_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_stamps_write_the_commands_once(spark, monkeypatch):
+    """The commands and their verdicts are written; the outcomes, which hold no more, are not written beside them."""
+    written, path = [], O.scratch_path
+    monkeypatch.setattr(O, "scratch_path", lambda spark, name: written.append(name) or path(spark, name))
+    from tallyspark.plans import QUERIES
+
+    QUERIES["update_products_stamps"](spark, SF_SMALL)
+    assert written.count("updates") == 1 and "outcomes" not in written
+
+
 def test_update_verdicts_take_one_join_of_whole_commands(spark):
     """Verdicts of names that nobody moves come from the replay, too: the commands' other columns are not dealt out by name."""
     p = products_df(spark, [(1, i, n, "c", 1, 2, 3, 4) for i, n in [(1, "a"), (2, " A"), (3, "b"), (4, "d")]])
