@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +107,7 @@ def insert_products(products: DataFrame, requests: DataFrame) -> DataFrame:
 UPDATE_FIELDS = ["name", "category", "buy_price", "sell_price", "stock_quantity", "low_stock_threshold"]
 
 
-def _rename_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rename_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Replays the commands of each group in order (rows sorted by group, rank, date, command id).
 
     Rank 0 rows say who holds a name before the batch, rank 1 rows are
@@ -117,14 +117,14 @@ def _rename_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, holders, held = None, {}, {}
     for batch in batches:
         found = []
-        columns = (batch.column(c).to_pylist() for c in ("_group", "_rank", "shop_id", "id", "_nk", "_valid", "_known", "_at"))
+        columns = (batch[c].tolist() for c in ("_group", "_rank", "shop_id", "id", "_nk", "_valid", "_known", "_at"))
         for g, rank, shop, product, key, valid, known, at in zip(*columns):
             if g != group:
                 group, holders, held = g, {}, {}
             product, name = (shop, product), (shop, key)
             clash = False
             if rank:
-                others = None if None in product else holders.get(name)  # a missing shop or id is nobody's
+                others = holders.get(name)
                 clash = bool(others) and (len(others) > 1 or product not in others)
                 if valid and not clash:
                     holders.get(held.get(product), set()).discard(product)
@@ -133,8 +133,7 @@ def _rename_walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not rank or (valid and not clash):
                 holders.setdefault(name, set()).add(product)
                 held[product] = name
-        arrays = [pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.bool_(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays(arrays, ["_at", "_taken", "_unknown"])
+        yield pd.DataFrame(found, columns=["_at", "_taken", "_unknown"]).astype({"_at": "int64", "_taken": bool, "_unknown": bool})
 
 
 def _name_groups(held: DataFrame) -> DataFrame:
@@ -153,9 +152,10 @@ def _name_groups(held: DataFrame) -> DataFrame:
     return groups.groupBy("_node").agg(F.min(F.coalesce("_group", "_product")).alias("_group"))
 
 
-def update_outcomes(products: DataFrame, updates: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
+def update_outcomes(products: DataFrame, updates: DataFrame, carry: Sequence[str] | None = None, written: bool = False) -> DataFrame:
     """M2 per command: unknown id, rule violations, or a name that another product
-    of the shop uses at that moment.  ``carry``: the columns of the commands that the result has, if not all.
+    of the shop uses at that moment.  ``carry``: the columns of the commands that the result has, if not all;
+    ``written``: the verdicts are written, too, for a result that is read several times.
 
     Commands count in order (date, command id).  Names that need the order are those that a moving
     product has or is moved to.  Such names that one product links
@@ -163,7 +163,7 @@ def update_outcomes(products: DataFrame, updates: DataFrame, carry: Sequence[str
     Each group is replayed in order, on its own, with its names as state, so a shop with very many renames is spread over
     as many tasks as it has groups.  A command by the only product that may ever hold its name cannot clash and is left
     out, unless it moves the product.  What a command carries besides its name is written once and not dealt out:
-    the verdicts come back by its position.  Building the plan runs the jobs that find the verdicts.
+    the verdicts come back by its position.  Building the plan runs the jobs that find the groups.
     """
     carry = list(updates.columns if carry is None else carry)
     key, ids = name_key("name"), ["shop_id", "id"]
@@ -188,22 +188,24 @@ def update_outcomes(products: DataFrame, updates: DataFrame, carry: Sequence[str
     silent = F.col("_least").isNull() | F.coalesce(mine, F.lit(False))  # nobody else ever has the name
     walks = ~silent | (F.col("_valid") & F.col("_group").isNotNull())
     a = a.where(walks | ~F.col("_known"))
-    a = a.select(*[F.col(c).alias(f"_a_{c}") for c in ids], F.col("_nk").alias("_a_nk"), "_known", F.coalesce("_group", "_node").alias("_group"))
-    same = (F.col("shop_id").eqNullSafe(F.col("_a_shop_id"))) & (F.col("id").eqNullSafe(F.col("_a_id"))) & F.col("_nk").eqNullSafe(F.col("_a_nk"))
+    a = a.where("shop_id is not null and id is not null").select(*[F.col(c).alias(f"_a_{c}") for c in ids], F.col("_nk").alias("_a_nk"), "_known", F.coalesce("_group", "_node").alias("_group"))
+    a = stored(a, "asked")
+    same = (F.col("shop_id") == F.col("_a_shop_id")) & (F.col("id") == F.col("_a_id")) & F.col("_nk").eqNullSafe(F.col("_a_nk"))
     rows = u.select("_at", *ids, key.alias("_nk"), "command_date", "command_id", ok.alias("_ok")).join(a, same)
     rows = rows.select("_group", F.lit(1).alias("_rank"), "command_date", "command_id", *ids, "_nk", (F.col("_ok") & F.col("_known")).alias("_valid"), "_known", "_at")
     opening = named.withColumn("_node", node).join(names.select("_node", "_group"), "_node", "left").select(
-        F.coalesce("_group", "_node").alias("_group"), F.lit(0).alias("_rank"), *ids, "_nk", F.lit(True).alias("_valid"), F.lit(True).alias("_known")
+        F.coalesce("_group", "_node").alias("_group"), F.lit(0).alias("_rank"), *ids, "_nk", F.lit(True).alias("_valid"), F.lit(True).alias("_known"), F.lit(-1).cast("long").alias("_at")
     )
-    rows = rows.unionByName(opening, allowMissingColumns=True)
+    rows = rows.unionByName(stored(opening, "opening"), allowMissingColumns=True)
     # a repartition on an expression is never dropped as redundant
     rows = rows.repartition(F.xxhash64("_group")).sortWithinPartitions("_group", "_rank", "command_date", "command_id")
-    walked = rows.drop("command_date", "command_id").mapInArrow(_rename_walk, "_at long, _taken boolean, _unknown boolean")
-    u = marked(u, "_at", stored(walked, "verdicts"), "_unknown", "_taken")
+    walked = rows.drop("command_date", "command_id").mapInPandas(_rename_walk, "_at long, _taken boolean, _unknown boolean")
+    u = marked(u, "_at", stored(walked, "verdicts") if written else walked, "_unknown", "_taken")
+    nobody = F.col("_unknown") | F.col("shop_id").isNull() | F.col("id").isNull()  # a missing shop or id is nobody's
     allr = F.concat_ws(
         ";",
         F.nullif(F.col("reasons"), F.lit("")),
-        F.when(F.col("_unknown"), F.lit("not_found")),
+        F.when(nobody, F.lit("not_found")),
         F.when(F.col("_taken"), F.lit("duplicate_name")),
     )
     return u.withColumn("reasons", allr).withColumn("accepted", F.col("reasons") == "").select(*carry, "reasons", "accepted")

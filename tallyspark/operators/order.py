@@ -50,19 +50,18 @@ FEW_BLOCKS = 16384  # bitmaps (of 4 kB each) that every task may hold
 def marked(df: DataFrame, at: str, hits: DataFrame, *names: str) -> DataFrame:
     """``df`` with the flags ``names`` of ``hits`` (``at``, flags) by position; a position that ``hits`` lacks has none set.
 
-    The set positions travel as bitmaps.  Where these are few, ``df`` is read where it lies and not dealt out.
+    The set positions travel as bitmaps.  Where ``df`` has few of them, it is read where it lies and not dealt out.
     """
     block, bit = F.shiftright(at, BLOCK_BITS), F.col(at).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-    few = hits.select(block.alias("_block")).distinct().limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS
-    columns, out = df.columns, df.withColumns({"_block": block, "_bit": bit})
+    few = df.select(block.alias("_block")).distinct().limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS
+    bits = hits.select(block.alias("_block"), bit.alias("_bit"), *names).repartition("_block").groupBy("_block")
+    bits = bits.agg(*[F.expr(f"bitmap_construct_agg(_bit) FILTER (WHERE {name})").alias(f"_bits_{name}") for name in names])
+    out = df.withColumns({"_block": block, "_bit": bit}).join(F.broadcast(bits) if few else bits, "_block", "left")
     for name in names:
-        set_ = hits.where(name).select(block.alias("_block"), bit.alias("_bit")).repartition("_block")
-        bits = set_.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-        out = out.join(F.broadcast(bits) if few else bits, "_block", "left")
-        byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int)")
+        byte = F.expr(f"cast(conv(hex(substring(_bits_{name}, cast(_bit div 8 + 1 as int), 1)), 16, 10) as int)")
         flag = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
-        out = out.withColumn(name, F.coalesce(flag, F.lit(False))).drop("_bits")
-    return out.select(*columns, *names)
+        out = out.withColumn(name, F.coalesce(flag, F.lit(False)))
+    return out.select(*df.columns, *names)
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def update_products_stamps(t):
     """products' time stamps after the updates: accepted commands refresh updated_at."""
     before = ST.first_stamps(fx.products(t), LOADED)
     updates = fx.product_updates(t)
-    outcomes = L.update_outcomes(fx.products(t), updates)  # the commands and their verdicts are written, so reading them twice is cheap
+    outcomes = L.update_outcomes(fx.products(t), updates, None, True)  # the commands and their verdicts are written, so reading them twice is cheap
     after = L.update_products(fx.products(t), updates, outcomes)
     touched = outcomes.where("accepted").select("shop_id", "id")
     return ST.restamp(before, after, ["shop_id", "id"], touched, APPLIED).select("shop_id", "id", *[f.name for f in ST.STAMPS])

@@ -286,11 +286,13 @@ def test_update_commands_are_not_dealt_out_whole(spark):
         spark.conf.set(name, "-1")
     try:
         out = L.update_outcomes(fx.products(t), fx.product_updates(t))
-        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        # the names asked for with those that are replayed; whole commands meet the bitmaps
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
         assert out.count() == fx.product_updates(t).count()
         after = L.update_products(fx.products(t), fx.product_updates(t))
-        # the products with each one's last command
-        assert after._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
+        # and the products with each one's last command
+        assert after._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 2
     finally:
         for name in names:
             spark.conf.unset(name)
